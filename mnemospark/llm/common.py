@@ -68,7 +68,7 @@ def bitmap(keys: DataFrame, max_bits: int = MAX_BITMAP_BITS) -> np.ndarray | Non
         return None
     slot = F.shiftrightunsigned(F.col("a"), 64 - bits)
     words = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(
-        F.bit_or(F.shiftleft(F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("v")
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("v")
     )
     out = np.zeros(1 << (bits - 6), np.uint64)
     rows = words.toArrow()

@@ -2,13 +2,19 @@
 
 from .decontaminate import OP10_SQL, op10
 from .lines import OP7_SQL, op7
+from .substrings import OP3_SQL, op3
+from .suffixes import OP9_SQL, op9
 
 QUERIES = {
+    "op3_substring_dedup": op3,
     "op7_line_dedup": op7,
+    "op9_suffix_array_dedup": op9,
     "op10_benchmark_decontamination": op10,
 }
 
 ORACLES = {
+    "op3_substring_dedup": OP3_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op9_suffix_array_dedup": OP9_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
 }
