@@ -1,11 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
 from .decontaminate import OP10_SQL, op10
+from .jaccard import OP1_SQL, op1
 from .lines import OP7_SQL, op7
 from .substrings import OP3_SQL, op3
 from .suffixes import OP9_SQL, op9
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1,
     "op3_substring_dedup": op3,
     "op7_line_dedup": op7,
     "op9_suffix_array_dedup": op9,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_ngram_jaccard_join": OP1_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op7_line_dedup": OP7_SQL,
     "op9_suffix_array_dedup": OP9_SQL,
