@@ -2,13 +2,17 @@
 
 from .decontaminate import OP10_SQL, op10
 from .jaccard import OP1_SQL, op1
+from .language import op4
 from .lines import OP7_SQL, op7
+from .media import op5
 from .substrings import OP3_SQL, op3
 from .suffixes import OP9_SQL, op9
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1,
     "op3_substring_dedup": op3,
+    "op4_language_id": op4,
+    "op5_media_columns": op5,
     "op7_line_dedup": op7,
     "op9_suffix_array_dedup": op9,
     "op10_benchmark_decontamination": op10,
