@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 WORD_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +35,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, tkey (a hash of the text) and text. Together doc_id and tkey name a document; repeated rows are one."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("tkey"), text.alias("text"))
+
+
+def text_key(text):
+    """32 bits that tell different texts of one doc_id apart."""
+    return F.hash(text).cast("long")
 
 
 def join_docs(docs: DataFrame, info: DataFrame, how: str = "left") -> DataFrame:
@@ -87,6 +92,34 @@ def local_bitmap(shared) -> np.ndarray | None:
     return None if shared is None else shared.value
 
 
+def _filtered(shared, inside: bool):
+    def run(batches):
+        for batch in slices(batches):
+            hit = in_bitmap(shared.value, batch.column("_h").to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(hit if inside else ~hit)).select(["doc_id", "tkey", "text"])
+
+    return run
+
+
+def meet_docs(docs: DataFrame, info: DataFrame, how: str = "left") -> DataFrame:
+    """join_docs for an info table that has a row for few of the docs: texts of the others are not shuffled.
+
+    A bitmap of info's documents (its size is checked, see bitmap) parts the docs; beyond its bound all texts go to the join.
+    info should be a stored table.
+    """
+    h = F.xxhash64("doc_id", "tkey")
+    bits = bitmap(info.select(h.alias("a")))
+    if bits is None:
+        return join_docs(docs, info, how)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    part = lambda inside: docs.withColumn("_h", h).mapInArrow(_filtered(shared, inside), "doc_id long, tkey long, text string")
+    met = join_docs(part(True), info, how)
+    if how == "inner":
+        return met
+    missing = [F.lit(None).cast(x.dataType).alias(x.name) for x in info.schema if x.name not in ("doc_id", "tkey")]
+    return met.unionByName(part(False).select("*", *missing))
+
+
 # --- bytes in tasks ------------------------------------------------------------------------------------------------
 
 
@@ -96,6 +129,13 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches cut to a few rows each, so that what a task holds at a time stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def grouped(texts: list[bytes], limit: int = CHUNK):
     """(first, last) row ranges whose texts have about limit bytes together; a longer text is alone."""
     first = size = 0

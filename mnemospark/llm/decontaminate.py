@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, byte_class, grouped, hash_words, texts_of
+from .common import Rolling, byte_class, grouped, hash_words, slices, text_key, texts_of
 
 #: Benchmark texts are broadcast in blocks of at most so many bytes; a larger benchmark takes more passes.
 BLOCK_BYTES = 16 << 20
@@ -46,7 +46,7 @@ def _scan(shared):
         for m, x in sets.items():
             bits[m] = np.zeros(1 << 20, bool)
             bits[m][(x >> np.uint64(44)).astype(np.int64)] = True
-        for batch in batches:
+        for batch in slices(batches):
             texts = texts_of(batch.column("text"))
             words, hits, items = [], [], []
             for a, b in grouped(texts):
@@ -123,7 +123,7 @@ def covered(hits) -> int:
 
 
 def _covered(batches):
-    for batch in batches:
+    for batch in slices(batches):
         hits = [covered(x) for x in batch.column("hits").to_pylist()]
         items = batch.column("items").to_pylist()
         yield pa.RecordBatch.from_arrays(
@@ -133,7 +133,7 @@ def _covered(batches):
 
 
 def _without_spans(batches):
-    for batch in batches:
+    for batch in slices(batches):
         texts = []
         for text, hits in zip(texts_of(batch.column("text")), batch.column("hits").to_pylist(), strict=True):
             if hits:
@@ -154,7 +154,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove: documents or spans")
-    own = docs.withColumn("_k", F.xxhash64(F.coalesce("text", F.lit(""))))
+    own = docs.withColumn("_k", text_key(F.coalesce("text", F.lit(""))))
     base = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_k").alias("tkey"), F.coalesce("text", F.lit("")).alias("text"))
     bad = find_leaks(base, benchmark, n).where(F.size("hits") > 0)
     if remove == "documents":

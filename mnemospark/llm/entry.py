@@ -7,6 +7,7 @@ from .lines import OP7_SQL, op7
 from .media import op5
 from .substrings import OP3_SQL, op3
 from .suffixes import OP9_SQL, op9
+from .toxicity import op8
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1,
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_language_id": op4,
     "op5_media_columns": op5,
     "op7_line_dedup": op7,
+    "op8_toxicity": op8,
     "op9_suffix_array_dedup": op9,
     "op10_benchmark_decontamination": op10,
 }

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, bitmap, byte_class, grouped, hash_words, i64, in_bitmap, local_bitmap, mix, store, texts_of
+from .common import Rolling, bitmap, byte_class, grouped, hash_words, i64, in_bitmap, local_bitmap, mix, slices, store, texts_of
 from .components import components
 
 _SPACE = byte_class("space")
@@ -102,7 +102,7 @@ def _sets(texts, k):
 
 def _nodes(k):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for i, _, bounds, nodes in _sets(texts_of(batch.column("text")), k):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(nodes)), pa.array(nodes, pa.binary()), i64(np.diff(bounds))], names=["doc_id", "node", "n"])
 
@@ -116,7 +116,7 @@ def _short(nodes: list[bytes]) -> np.ndarray:
 def _signed(k, percent, shared=None, full=False):
     def run(batches):
         keys = local_bitmap(shared)
-        for batch in batches:
+        for batch in slices(batches):
             for _, x, bounds, nodes in _sets(texts_of(batch.column("text")), k):
                 rows, sigs = signatures(x, bounds, percent)
                 if not full:
@@ -133,7 +133,7 @@ def _signed(k, percent, shared=None, full=False):
 def _members(k, shared):
     def run(batches):
         keys = local_bitmap(shared)
-        for batch in batches:
+        for batch in slices(batches):
             seen = set()
             for _, x, bounds, nodes in _sets(texts_of(batch.column("text")), k):
                 keep = np.arange(len(nodes)) if keys is None else np.flatnonzero(in_bitmap(keys, _short(nodes)))

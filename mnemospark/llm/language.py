@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK
+from .common import CHUNK, slices, text_key
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -129,7 +129,7 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def _document_frequencies(batches):
     df = np.zeros(1 << BITS, np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column("text").to_pylist():
             if text:
                 seen = np.zeros(1 << BITS, bool)
@@ -142,7 +142,7 @@ def _document_frequencies(batches):
 
 
 def _sampled(batches):
-    for batch in batches:
+    for batch in slices(batches):
         found = [features(x or "") for x in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([x[0].astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array([x[1].astype(np.float32) for x in found], pa.list_(pa.float32()))], names=["lang", "at", "tf"])
 
@@ -181,7 +181,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 7) -> M
 
 def _predicted(shared):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = shared.value.predict(batch.column("text").to_pylist())
             rest = [batch.column(k) for k in batch.schema.names if k != "text"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*(k for k in batch.schema.names if k != "text"), "lang_pred", "score"])
@@ -205,7 +205,7 @@ def learnable(docs: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:
 def keep_identified(docs: DataFrame, min_score: float = 0.5, per_language: int = PER_LANGUAGE) -> DataFrame:
     """docs without the documents that language ID rejects: 'und', or a calibrated score under min_score."""
     model = train(learnable(docs), per_language)
-    base = docs.withColumn("_k", F.xxhash64(F.coalesce("text", F.lit(""))))
+    base = docs.withColumn("_k", text_key(F.coalesce("text", F.lit(""))))
     own = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_k").alias("tkey"), "text")
     bad = predict(own, model).where((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"))
     return base.join(bad, base["doc_id"].cast("long").eqNullSafe(bad["_d"]) & (base["_k"] == bad["_t"]), "left_anti").select(*docs.columns)

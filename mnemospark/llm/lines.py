@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD_SPACE, join_docs, keyed, store, texts_of
+from .common import LOWER, UPPER, WORD_SPACE, keyed, meet_docs, slices, store, text_key, texts_of
 
 
 def line_key(line):
@@ -71,7 +71,7 @@ def _kept(min_chars: int):
     lower = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             lines, dropped, kept = [], [], []
             for text, hot in zip(texts_of(batch.column("text")), batch.column("hot").to_pylist(), strict=True):
                 own = text.split(b"\n")
@@ -115,7 +115,7 @@ def drop_lines(docs: DataFrame, hot: DataFrame, min_chars: int = 1, max_broadcas
         return docs.mapInArrow(_with_known(known, min_chars), "doc_id long, tkey long, n_lines long, n_dropped long, text string")
     found = key_hashes(docs, min_chars).select("doc_id", "tkey", F.explode("hs").alias("h")).join(hot, "h", "left_semi")
     per_doc = found.groupBy("doc_id", "tkey").agg(F.collect_set("h").alias("hot"))
-    return join_docs(docs, per_doc).mapInArrow(_kept(min_chars), "doc_id long, tkey long, n_lines long, n_dropped long, text string")
+    return meet_docs(docs, store(per_doc, "hot-by-doc")).mapInArrow(_kept(min_chars), "doc_id long, tkey long, n_lines long, n_dropped long, text string")
 
 
 def _with_known(known, min_chars: int):
@@ -123,7 +123,7 @@ def _with_known(known, min_chars: int):
         same = frozenset(known.value)
         strip = WORD_SPACE.encode()
         lower = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
-        for batch in batches:
+        for batch in slices(batches):
             lines, dropped, kept = [], [], []
             for text in texts_of(batch.column("text")):
                 own = text.split(b"\n")
@@ -161,7 +161,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     base = keyed(docs)
     new = drop_lines(base, hot_lines(base, min_docs, min_chars), min_chars)
     new = new.where("n_dropped > 0").dropDuplicates(["doc_id", "tkey"]).select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"), F.col("text").alias("_text"))
-    own = docs.withColumn("_k", F.xxhash64(F.coalesce("text", F.lit(""))))
+    own = docs.withColumn("_k", text_key(F.coalesce("text", F.lit(""))))
     joined = own.join(new, own["doc_id"].cast("long").eqNullSafe(new["_d"]) & (own["_k"] == new["_t"]), "left")
     return joined.withColumn("text", F.coalesce("_text", "text", F.lit(""))).select(*docs.columns)
 

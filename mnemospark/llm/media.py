@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import slices, texts_of
 
 WIDTH = 64
 
@@ -166,7 +166,7 @@ def media_features(df: DataFrame, media: str = "media") -> DataFrame:
     fields = [*_FIELDS, ("dhash", pa.string()), ("tile_npy", pa.binary()), ("error", pa.string())]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for x in batch.column("m").to_pylist():
                 try:
@@ -182,7 +182,7 @@ def encode_texts(docs: DataFrame, form: str = "pgm") -> DataFrame:
     """doc_id and media: each text (null: empty) as a grey image 64 samples wide in form 'pgm' or 'bmp'."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([to_media(x, form) for x in texts_of(batch.column("text"))], pa.binary())], names=["doc_id", "media"])
 
     return docs.selectExpr("CAST(doc_id AS long) doc_id", "text").mapInArrow(run, "doc_id long, media binary")
@@ -190,7 +190,7 @@ def encode_texts(docs: DataFrame, form: str = "pgm") -> DataFrame:
 
 def _round_trip(form: str):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = texts_of(batch.column("text"))
             found = [describe(to_media(x, form)) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in texts], pa.int64()), *(pa.array([x[k] for x in found], t) for k, t in _FIELDS)], names=["doc_id", "n_bytes", *(k for k, _ in _FIELDS)])

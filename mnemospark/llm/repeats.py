@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, Rolling, bitmap, byte_class, byte_values, grouped, hash_words, i64, in_bitmap, join_docs, local_bitmap, mix, recurring, slide_min, store, texts_of
+from .common import CHUNK, Rolling, bitmap, byte_class, byte_values, grouped, hash_words, i64, in_bitmap, local_bitmap, meet_docs, mix, recurring, slices, slide_min, store, texts_of
 
 _T1, _T2 = byte_values(21), byte_values(22)
 _SPACE = byte_class("space")
@@ -95,7 +95,7 @@ def segments(unit, texts: list[bytes], contents: bool = False, keys: np.ndarray
 
 def _anchors(unit):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = texts_of(batch.column("text"))
             for i, j in grouped(texts):
                 for _, a, _, _, _ in segments(unit, texts[i:j]):
@@ -107,7 +107,7 @@ def _anchors(unit):
 def _segments(unit, shared):
     def run(batches):
         keys = local_bitmap(shared)
-        for batch in batches:
+        for batch in slices(batches):
             texts = texts_of(batch.column("text"))
             for i, j in grouped(texts):
                 for row, a, g, lo, n in segments(unit, texts[i:j], True, keys):
@@ -136,7 +136,7 @@ def _segments(unit, shared):
 
 def _cut(unit):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = {k: [] for k in ("blk", "split", "doc_id", "tkey", "lo", "seg")}
             ids, keys, parts = (batch.column(k).to_pylist() for k in ("doc_id", "tkey", "parts"))
             for d, t, text, own in zip(ids, keys, texts_of(batch.column("text")), parts, strict=True):
@@ -206,13 +206,13 @@ def repeated_spans(docs: DataFrame, unit, find, block_rows: int) -> DataFrame:
     salt = F.when(pieces > 1, F.pmod(F.xxhash64("doc_id", "tkey", "lo"), pieces)).otherwise(F.lit(0).cast("long"))
     parts = parts.withColumn("blk", F.pmod(F.xxhash64("a", salt), F.lit(n_blocks))).withColumn("split", pieces > 1)
     per_doc = parts.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("blk", "split", "lo", "n")).alias("parts"))
-    cut = join_docs(docs, per_doc, "inner").mapInArrow(_cut(unit), "blk long, split boolean, doc_id long, tkey long, lo int, seg binary")
+    cut = meet_docs(docs, store(per_doc, "parts"), "inner").mapInArrow(_cut(unit), "blk long, split boolean, doc_id long, tkey long, lo int, seg binary")
     found = store(cut.groupBy("blk").applyInArrow(_search(find, unit.length), "doc_id long, tkey long, lo int, n int, w binary"), "found")
     open_ = found.where("w IS NOT NULL")
     ahead = open_.groupBy("w").agg(F.min(place).alias("f"))
     over = open_.join(ahead, "w").where(~place.eqNullSafe(F.col("f"))).select("doc_id", "tkey", "lo", "n")
     spans = later.unionByName(settled).unionByName(found.where("w IS NULL").drop("w")).unionByName(over)
-    return spans.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
+    return store(spans.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("lo", "n")).alias("spans")), "spans")
 
 
 def union(spans) -> list[tuple[int, int]]:

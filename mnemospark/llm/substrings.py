@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import join_docs, keyed, texts_of
+from .common import keyed, meet_docs, slices, texts_of
 from .repeats import Words, outside, repeated_spans, union
 
 #: Segments (about 26 words each) that one automaton's block holds at most, on average.
@@ -48,7 +48,7 @@ def repeated_words(docs: DataFrame, length: int = 20, block_rows: int = BLOCK) -
 
 
 def _kept(batches):
-    for batch in batches:
+    for batch in slices(batches):
         n, gone, text = [], [], []
         for x, spans in zip(texts_of(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
             words, runs = x.split(), union(spans)
@@ -64,7 +64,7 @@ def dedup_words(docs: DataFrame, length: int = 20, block_rows: int = BLOCK) -> D
     Windows are judged on the input. Null and empty texts have no words and give the empty text. Documents are ordered by
     doc_id, null first; different texts of one doc_id by the hash of the text; repeated rows are one document.
     """
-    return join_docs(docs, repeated_words(docs, length, block_rows)).mapInArrow(_kept, "doc_id long, tkey long, n_words long, n_removed long, text string")
+    return meet_docs(docs, repeated_words(docs, length, block_rows)).mapInArrow(_kept, "doc_id long, tkey long, n_words long, n_removed long, text string")
 
 
 def _digest(batches):
@@ -75,7 +75,7 @@ def _digest(batches):
 
 def op3(spark, sf_dir: str) -> DataFrame:
     docs = keyed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return join_docs(docs, repeated_words(docs)).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return meet_docs(docs, repeated_words(docs)).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 OP3_SQL = r"""

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import join_docs, keyed, texts_of
+from .common import keyed, meet_docs, slices, texts_of
 from .repeats import Bytes, outside, repeated_spans, union
 
 #: Segments (about 135 bytes each) that one suffix array's block holds at most, on average.
@@ -115,11 +115,11 @@ def dedup_bytes(docs: DataFrame, length: int = 100, block_rows: int = BLOCK) ->
     Strings are judged on the input and never cross documents. Null texts are empty. Documents are ordered by doc_id, null
     first; different texts of one doc_id by the hash of the text; repeated rows are one document.
     """
-    return join_docs(docs, repeated_bytes(docs, length, block_rows)).mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return meet_docs(docs, repeated_bytes(docs, length, block_rows)).mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def _kept(batches):
-    for batch in batches:
+    for batch in slices(batches):
         n, gone, count, kept = [], [], [], []
         for x, spans in zip(texts_of(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
             runs = union(spans)
@@ -138,7 +138,7 @@ def _digest(batches):
 
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = keyed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return join_docs(docs, repeated_bytes(docs)).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return meet_docs(docs, repeated_bytes(docs)).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 OP9_SQL = r"""
