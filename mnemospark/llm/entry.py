@@ -5,15 +5,19 @@ from .jaccard import OP1_SQL, op1
 from .language import op4
 from .lines import OP7_SQL, op7
 from .media import op5
+from .pieces import op6
+from .resampling import op2
 from .substrings import OP3_SQL, op3
 from .suffixes import OP9_SQL, op9
 from .toxicity import op8
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1,
+    "op2_quality_classifier": op2,
     "op3_substring_dedup": op3,
     "op4_language_id": op4,
     "op5_media_columns": op5,
+    "op6_sentencepiece": op6,
     "op7_line_dedup": op7,
     "op8_toxicity": op8,
     "op9_suffix_array_dedup": op9,

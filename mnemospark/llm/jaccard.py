@@ -327,6 +327,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     return full.unionByName(slim.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group of near duplicates, the one of least doc_id; texts without words all stay.
+
+    Rows that repeat a kept doc_id are that document and stay. Rows with a null doc_id stay.
+    """
+    found = near_duplicates(docs, k, percent)
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_d")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_d"], "left_anti")
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=90)
 
