@@ -2,10 +2,11 @@
 
 Equal sets are one node. Nodes that may link meet through part signatures: the hash range is cut into more parts than two
 similar sets can differ in, so one part at least is equal in both. The components of that candidate graph are joined in
-tries of the globally ordered sets. Only component ids are wanted, so a subtree whose sets are all in the probe's component
-is not entered, and a group of n near copies costs about n steps, not n * n.
+tries of the globally ordered sets. Only component ids are wanted, so sets of the probe's component are no candidates, and a
+group of n near copies costs about n steps, not n * n.
 """
 
+import bisect
 import hashlib
 import math
 
@@ -146,11 +147,11 @@ def _members(k, shared):
 class _Trie:
     """A node of the trie: sets[lo:hi] agree on their first `to` elements; the edge into it holds elements [at, to)."""
 
-    __slots__ = ("lo", "hi", "at", "to", "kids", "least", "most", "one")
+    __slots__ = ("lo", "hi", "at", "to", "kids", "starts")
 
-    def __init__(self, lo, hi, at, to, least, most):
-        self.lo, self.hi, self.at, self.to, self.least, self.most = lo, hi, at, to, least, most
-        self.kids, self.one = [], hi - lo == 1
+    def __init__(self, lo, hi, at, to):
+        self.lo, self.hi, self.at, self.to = lo, hi, at, to
+        self.kids, self.starts = [], []
 
 
 def build_trie(sets: list[np.ndarray]) -> _Trie:
@@ -164,7 +165,7 @@ def build_trie(sets: list[np.ndarray]) -> _Trie:
 
     def node(lo, hi, at):
         to = size[lo] if hi - lo == 1 else min(shared[lo : hi - 1])
-        return _Trie(lo, hi, at, to, min(size[lo:hi]), max(size[lo:hi]))
+        return _Trie(lo, hi, at, to)
 
     root = node(0, len(sets), 0)
     todo = [root]
@@ -172,7 +173,8 @@ def build_trie(sets: list[np.ndarray]) -> _Trie:
         x = todo.pop()
         if x.hi - x.lo > 1:
             cut = [x.lo, *(i + 1 for i in range(x.lo, x.hi - 1) if shared[i] == x.to), x.hi]
-            x.kids = [node(a, b, x.to) for a, b in zip(cut, cut[1:], strict=False)]
+            x.kids = [node(a, b, x.to) for a, b in zip(cut, cut[1:], strict=False) if size[a] > x.to or b - a > 1]
+            x.starts = [k.lo for k in x.kids]
             todo += x.kids
     return root
 
@@ -180,45 +182,56 @@ def build_trie(sets: list[np.ndarray]) -> _Trie:
 def trie_links(sets: list[np.ndarray], percent: int, same: list | None = None) -> list[tuple[int, int]]:
     """Links (i, j) of a spanning forest of the graph of sets with Jaccard similarity of percent or more.
 
+    Elements are ordered by their number of sets, rare ones first; sets that share none of their first
+    n - ceil(n * percent / 100) + 1 elements can't link. The trie is walked from the root towards the sets that a probe may
+    still link with, counting overlaps once for all that share a path, and a subtree is left as soon as the remaining lengths
+    can't make up the overlap. Sets of the probe's own component are no candidates.
     same: labels; sets of one label count as linked from the start.
     """
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-    xs = [sets[i] for i in order]
-    up = list(range(len(xs)))
-
-    def find(i):
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+    links: list[tuple[int, int]] = []
+    if len(sets) < 2:
+        return links
+    value, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(value), np.int64)
+    rank[np.lexsort((value, count))] = np.arange(len(value))
+    ranked = [np.sort(x) for x in np.split(rank[inverse], np.cumsum([len(x) for x in sets])[:-1])]
+    order = sorted(range(len(sets)), key=lambda i: ranked[i].astype(">u8").tobytes())
+    xs = [ranked[i] for i in order]
+    size = np.array([len(x) for x in xs])
+    group = np.arange(len(xs))
+    members = {i: [i] for i in range(len(xs))}
+
+    def unite(i, j):
+        i, j = sorted((int(group[i]), int(group[j])), key=lambda g: len(members[g]))
+        if i != j:
+            group[members[i]] = j
+            members[j] += members.pop(i)
+        return i != j
 
     first: dict = {}
     for i, o in enumerate(order if same is not None else ()):
-        up[find(i)] = find(first.setdefault(same[o], i))
-    links = []
-    if len(xs) < 2:
-        return links
+        unite(i, first.setdefault(same[o], i))
+    head = [x[: len(x) * (100 - percent) // 100 + 1] for x in xs]
+    token = np.concatenate(head)
+    owner = np.repeat(np.arange(len(xs)), [len(x) for x in head])
+    by = np.argsort(token, kind="stable")
+    token, owner = token[by], owner[by]
     root = build_trie(xs)
-
-    def settled(t, r):
-        """All sets below t are in component r."""
-        if find(t.lo) != r:
-            return False
-        if not t.one:
-            t.one = all(k.one and find(k.lo) == r for k in t.kids)
-        return t.one
-
     for q, x in enumerate(xs):
         n = len(x)
         least, most = -(-n * percent // 100), n * 100 // percent
-        todo = [(root, 0, 0)]
+        a, b = np.searchsorted(token, head[q]), np.searchsorted(token, head[q], "right")
+        found = np.unique(np.concatenate([owner[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]))
+        found = found[(group[found] != group[q]) & (size[found] >= least) & (size[found] <= most)]
+        todo = [(root, 0, 0, found)] if len(found) else []
         while todo:
-            t, shared, used = todo.pop()
-            if t.most < least or t.least > most or settled(t, find(q)):
+            t, shared, used, own = todo.pop()
+            own = own[group[own] != group[q]]
+            if not len(own):
                 continue
-            need = percent * (n + max(t.least, least))  # of (100 + percent) * overlap
-            y, a = xs[t.lo], t.at
-            alive = True
+            need = percent * (n + int(size[own].min()))  # of (100 + percent) * overlap
+            longest = int(size[own].max())
+            y, a, alive = xs[t.lo], t.at, True
             while alive and a < t.to:
                 b = min(t.to, a + 64)
                 at = np.searchsorted(x, y[a:b])
@@ -226,16 +239,20 @@ def trie_links(sets: list[np.ndarray], percent: int, same: list | None = None) -
                 shared += int(np.count_nonzero(hit))
                 used = int(at[-1]) + int(hit[-1])
                 a = b
-                alive = (100 + percent) * (shared + min(n - used, min(t.most, most) - a)) >= need
+                alive = (100 + percent) * (shared + min(n - used, longest - a)) >= need
             if not alive:
                 continue
-            for k in t.kids:
-                todo.append((k, shared, used))
-            if len(y) == t.to and t.lo != q and (100 + percent) * shared >= percent * (n + len(y)):
-                i, j = find(q), find(t.lo)
-                if i != j:
-                    up[i] = j
-                    links.append((order[q], order[t.lo]))
+            if len(y) == t.to and own[0] == t.lo and (100 + percent) * shared >= percent * (n + len(y)) and unite(q, t.lo):
+                links.append((order[q], order[t.lo]))
+            i = 0
+            while t.kids and i < len(own):
+                k = bisect.bisect_right(t.starts, int(own[i])) - 1
+                if k < 0:  # the set that ends here
+                    i += 1
+                    continue
+                j = int(np.searchsorted(own, t.kids[k].hi))
+                todo.append((t.kids[k], shared, used, own[i:j]))
+                i = j
     return links
 
 
