@@ -71,7 +71,7 @@ def bitmap(keys: DataFrame, max_bits: int = MAX_BITMAP_BITS) -> np.ndarray | Non
     bits = max(16, math.ceil(math.log2(max(n, 1) * 16)))
     if 1 << bits > max_bits:
         return None
-    slot = F.shiftrightunsigned(F.col("a"), 64 - bits)
+    slot = F.col("a").bitwiseAND(F.lit((1 << bits) - 1))  # low bits: anchors are minima, so their high bits crowd
     words = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("v")
     )
@@ -83,7 +83,7 @@ def bitmap(keys: DataFrame, max_bits: int = MAX_BITMAP_BITS) -> np.ndarray | Non
 
 def in_bitmap(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the uint64 keys may be in a bitmap."""
-    slot = keys >> np.uint64(64 - (6 + int(len(words)).bit_length() - 1))
+    slot = keys & np.uint64(len(words) * 64 - 1)
     return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 

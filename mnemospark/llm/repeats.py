@@ -180,7 +180,7 @@ def _search(find, length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, unit, find, block_rows: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, unit, find, block_rows: int, hot_rows: int) -> DataFrame:
     """doc_id, tkey, spans (lo, n in symbols): windows of keyed docs that also start earlier, by (doc_id, tkey, start).
 
     Documents without a repeat have no row. Repeated rows are one document. find: see _search.
@@ -202,7 +202,7 @@ def repeated_spans(docs: DataFrame, unit, find, block_rows: int) -> DataFrame:
     total = several.agg(F.sum("nv")).first()[0] or 0
     n_blocks = max(1, math.ceil(total / block_rows))
     parts = first.join(several, "a").select("a", "nv", "f.*")
-    pieces = F.ceil(F.col("nv") / F.lit(block_rows)).cast("long")
+    pieces = F.ceil(F.col("nv") / F.lit(hot_rows)).cast("long")
     salt = F.when(pieces > 1, F.pmod(F.xxhash64("doc_id", "tkey", "lo"), pieces)).otherwise(F.lit(0).cast("long"))
     parts = parts.withColumn("blk", F.pmod(F.xxhash64("a", salt), F.lit(n_blocks))).withColumn("split", pieces > 1)
     per_doc = parts.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("blk", "split", "lo", "n")).alias("parts"))

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from .common import keyed, meet_docs, slices, texts_of
 from .repeats import Words, outside, repeated_spans, union
 
-#: Segments (about 26 words each) that one automaton's block holds at most, on average.
-BLOCK = 3000
+#: Segments (about 26 words each) of several anchors in an automaton's block, on average, and of one anchor at most.
+BLOCK, HOT = 3000, 20_000
 
 
 def phrase_automaton(length: int):
@@ -22,8 +22,9 @@ def phrase_automaton(length: int):
     def find(segs: list[bytes]):
         number: dict[bytes, int] = {}
         seqs = [tuple(number.setdefault(w, len(number)) for w in x.split(b" ")) for x in segs]
-        seen = Counter(x[i : i + length] for x in seqs for i in range(len(x) - length + 1))
-        phrases = [x for x, k in seen.items() if k > 1]
+        seen = Counter(hash(x[i : i + length]) for x in seqs for i in range(len(x) - length + 1))
+        phrases = list({p: None for x in seqs for i in range(len(x) - length + 1) if seen[hash(p := x[i : i + length])] > 1})
+        del seen
         flags = [np.zeros(max(0, len(x) - length + 1), bool) for x in seqs]
         if phrases:
             machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
@@ -42,9 +43,9 @@ def phrase_automaton(length: int):
     return find
 
 
-def repeated_words(docs: DataFrame, length: int = 20, block_rows: int = BLOCK) -> DataFrame:
+def repeated_words(docs: DataFrame, length: int = 20, block_rows: int = BLOCK, hot_rows: int = HOT) -> DataFrame:
     """Spans of words of keyed docs that lie in a window of `length` words which also starts earlier."""
-    return repeated_spans(docs, Words(length), phrase_automaton(length), block_rows)
+    return repeated_spans(docs, Words(length), phrase_automaton(length), block_rows, hot_rows)
 
 
 def _kept(batches):

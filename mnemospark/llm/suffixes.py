@@ -6,11 +6,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import keyed, meet_docs, slices, texts_of
+from .common import CHUNK, Rolling, byte_values, keyed, meet_docs, slices, texts_of
 from .repeats import Bytes, outside, repeated_spans, union
 
-#: Segments (about 135 bytes each) that one suffix array's block holds at most, on average.
-BLOCK = 8000
+#: Segments (about 135 bytes each) of several anchors in a block, on average, and of one anchor in a block at most.
+BLOCK, HOT = 8000, 50_000
+#: Suffixes that are ordered at a time.
+SLICE = 100_000
+_T3 = byte_values(31)
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
@@ -67,46 +70,57 @@ def longest_previous_factor(text: bytes) -> np.ndarray:
 def previous_factors(length: int):
     """find() for repeats: LPF of a block's segments, cut off at `length`.
 
-    Suffixes are ordered by their first `length` bytes (prefix doubling from 8-byte keys, the last step overlapping), ties
-    by position. Then a suffix whose previous smaller position in suffix order shares all `length` bytes has it as its
-    neighbour, and the next smaller position never shares more, so LPF >= length is one comparison.
+    Suffixes are ordered by their first `length` bytes, ties by position. Then a suffix whose previous smaller position in
+    suffix order shares all `length` bytes has it as its neighbour, and the next smaller position never shares more, so
+    LPF >= length is one comparison. Suffixes whose hash of these bytes is alone in the block can't share them and are left
+    out of the order; the others are ordered a bounded slice of whole hash groups at a time.
     """
+    word = 8 if length >= 8 else 1
+    offsets = sorted({*range(0, length - word + 1, word), length - word})
 
     def find(segs: list[bytes]):
         n = np.fromiter(map(len, segs), np.int64, len(segs))
+        start = np.cumsum(n) - n
         text = b"".join(segs) + bytes(8)
         data = np.frombuffer(text, np.uint8)
-        start = np.cumsum(n) - n
-        size = 8 if length >= 8 else 1
-        if size == 8:
-            keys = np.ndarray((len(text) - 8,), ">u8", text, strides=(1,)).astype(np.uint64)
-        else:
-            keys = data[:-8].astype(np.uint64)
-        left = np.repeat(start + n, n) - np.arange(len(text) - 8)  # bytes up to the segment's end
-        rank = np.zeros(len(keys), np.uint64)
-        at = np.flatnonzero(left >= size)
-        rank[at] = _ranks(keys[at])
-        while 2 * size <= length:
-            at = np.flatnonzero(left >= 2 * size)
-            new = np.zeros(len(keys), np.uint64)
-            new[at] = _ranks((rank[at] << np.uint64(32)) | rank[at + size])
-            rank, size = new, 2 * size
-        at = np.flatnonzero(left >= length)
-        key = (rank[at] << np.uint64(32)) | rank[at + length - size]
-        order = np.argsort(key, kind="stable")
-        same = np.zeros(len(at), bool)
-        same[order[1:]] = key[order[1:]] == key[order[:-1]]
-        seen = np.zeros(len(keys), bool)
-        seen[at] = same
-        flags = [seen[a : a + max(0, m - length + 1)] for a, m in zip(start.tolist(), n.tolist(), strict=True)]
+        words = np.ndarray((len(text) - 8,), ">u8", text, strides=(1,)) if word == 8 else data
+        m = np.maximum(n - length + 1, 0)
+        at = np.arange(m.sum()) + np.repeat(start - (np.cumsum(m) - m), m)
+        h = np.zeros(len(at), np.uint64)
+        done = np.concatenate([[0], np.cumsum(m)])
+        first = 0
+        while first < len(segs):
+            last = max(first + 1, int(np.searchsorted(start, start[first] + CHUNK)))
+            own = slice(done[first], done[last])
+            p = at[own] - start[first]
+            h[own] = Rolling(_T3[data[start[first] : start[last - 1] + n[last - 1]]]).spans(p, p + length)
+            first = last
+        order = np.argsort(h, kind="stable")
+        tie = h[order[1:]] == h[order[:-1]]
+        group = order[np.concatenate([tie, [False]]) | np.concatenate([[False], tie])] if len(order) else order
+        seen = np.zeros(len(at), bool)
+        border = np.flatnonzero(np.concatenate([[True], h[group[1:]] != h[group[:-1]], [True]])) if len(group) else np.zeros(1, int)
+        a = 0
+        while a < len(group):
+            b = int(border[max(np.searchsorted(border, a + SLICE, "right") - 1, np.searchsorted(border, a, "right"))])
+            own = group[a:b]
+            keys = [words[at[own] + o] for o in offsets]
+            suffix = np.lexsort((at[own], *(k.astype(np.uint64) for k in reversed(keys))))
+            same = np.ones(len(own) - 1, bool)
+            for k in keys:
+                k = k[suffix]
+                same &= k[1:] == k[:-1]
+            seen[own[suffix[1:][same]]] = True
+            a = b
+        flags = np.split(seen, done[1:-1])
         return flags, lambda k, a: segs[k][a : a + length]
 
     return find
 
 
-def repeated_bytes(docs: DataFrame, length: int = 100, block_rows: int = BLOCK) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 100, block_rows: int = BLOCK, hot_rows: int = HOT) -> DataFrame:
     """Spans of UTF-8 bytes of keyed docs that lie in a string of `length` bytes which also starts earlier."""
-    return repeated_spans(docs, Bytes(length), previous_factors(length), block_rows)
+    return repeated_spans(docs, Bytes(length), previous_factors(length), block_rows, hot_rows)
 
 
 def dedup_bytes(docs: DataFrame, length: int = 100, block_rows: int = BLOCK) -> DataFrame:
