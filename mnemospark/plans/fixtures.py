@@ -41,6 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def mem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mem_columns(table(spark, sf_dir, "conversations"))
+
+
+def mem_columns(conversations: DataFrame) -> DataFrame:
+    """The columns of MEM over a batch or stream of conversations."""
     head, _, _ = MEM.partition("\nFROM conversations")
     columns, depth, at = [], 0, 7
     for i in range(7, len(head) + 1):
@@ -49,7 +54,7 @@ def mem(spark: SparkSession, sf_dir: str) -> DataFrame:
         if c in (",", "") and not depth:
             columns.append(head[at:i])
             at = i + 1
-    return table(spark, sf_dir, "conversations").selectExpr(*columns)
+    return conversations.selectExpr(*columns)
 
 
 def ent(spark: SparkSession, sf_dir: str) -> DataFrame:

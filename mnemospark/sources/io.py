@@ -108,3 +108,38 @@ def write_partitioned(df: DataFrame, path: str, key: str, buckets: int = 64) ->
     """Postings, relations or profiles by a bounded number of key buckets, sorted by key within files."""
     b = F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")
     df.select("*", b).repartition("bucket").sortWithinPartitions(key).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local one only where that is unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives for all that is there now, as a table: complete results replace each other, appended ones add up."""
+    spark = stream.sparkSession
+    path = shared_path(spark, "stream")
+    write = "overwrite" if mode == "complete" else "append"
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode(write).parquet(path)
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", shared_path(spark, "offsets")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def stream_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, a folder or one file, as a stream of its files."""
+    schema = spark.read.parquet(path).schema
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", p.getName()).parquet(path.rpartition("/")[0])
