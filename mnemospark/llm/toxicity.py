@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Labelled documents that are sampled for training, toxic and other (expected numbers).
-TOXIC_ROWS, OTHER_ROWS = 1500, 3500
+TOXIC_ROWS, OTHER_ROWS = 1200, 2800
 LANDMARKS, ORDER, DECAY, WIDTH = 48, 3, 0.6, 26
-#: A word is compared with a landmark if it has this share of its letter pairs, gaps of one letter allowed.
-PAIRS = 0.4
+#: A word is compared with a landmark if it has this share of its letter pairs, gaps of one letter allowed; else their kernel
+#: counts as 0, in training as in scoring.
+PAIRS = 0.5
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 
 
@@ -53,23 +54,30 @@ def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return k
 
 
-def own_kernel(x: np.ndarray) -> np.ndarray:
-    """The kernel of each row with itself."""
-    n, width = len(x), int((x > 0).sum(1).max(initial=0))
+def paired_kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The kernel of each row of x with the same row of y."""
+    n, width = len(x), int((y > 0).sum(1).max(initial=0))
     k = np.zeros(n, np.float32)
     prefix = [np.ones((width + 1, n), np.float32)] + [np.zeros((width + 1, n), np.float32) for _ in range(ORDER - 1)]
-    for a in range(width):
-        same = (x[:, a, None] == x[:, :width]) & (x[:, a, None] > 0)
+    square = np.float32(DECAY * DECAY)
+    decay = np.float32(DECAY)
+    for a in range(int((x > 0).sum(1).max(initial=0))):
+        same = [square * ((x[:, a] == y[:, j]) & (x[:, a] > 0)) for j in range(width)]
         for j in range(width):
-            k += DECAY * DECAY * same[:, j] * prefix[ORDER - 1][j]
+            k += same[j] * prefix[ORDER - 1][j]
         for i in range(ORDER - 1, 0, -1):
             run = np.zeros(n, np.float32)
             for j in range(width):
-                run = DECAY * run + DECAY * DECAY * same[:, j] * prefix[i - 1][j]
-                prefix[i][j + 1] = DECAY * prefix[i][j + 1] + run
+                run = decay * run + same[j] * prefix[i - 1][j]
+                prefix[i][j + 1] = decay * prefix[i][j + 1] + run
     return k
 
 
+def own_kernel(x: np.ndarray) -> np.ndarray:
+    """The kernel of each row with itself."""
+    return paired_kernel(x, x)
+
+
 def normal_kernel(x: np.ndarray, y: np.ndarray, block: int = 2000) -> np.ndarray:
     own = np.sqrt(own_kernel(y)) + 1e-9
     parts = [kernel(x[i : i + block], y) / ((np.sqrt(own_kernel(x[i : i + block])) + 1e-9)[:, None] * own) for i in range(0, len(x), block)]
@@ -109,7 +117,8 @@ class Model:
         for k, x in enumerate(self.codes):
             own = x[x > 0].astype(int)
             self.pairs[own[:-1] * 64 + own[1:], k] = 1
-        self.wanted = np.maximum(2, np.ceil(PAIRS * self.pairs.sum(0)))
+        self.wanted = np.maximum(3, np.ceil(PAIRS * self.pairs.sum(0)))
+        self.own = np.sqrt(own_kernel(self.codes)) + 1e-9
 
     def similar(self, words: list[str], block: int = 4000) -> tuple[np.ndarray, np.ndarray]:
         """(indices of words, kernel rows) for words, or parts of long ones, that share enough letter pairs with a landmark."""
@@ -125,16 +134,27 @@ class Model:
                 shared += self.pairs[np.where(x[:, col + 1] > 0, near[:, col], 0)]
                 if col < WIDTH - 2:
                     shared += self.pairs[np.where(x[:, col + 2] > 0, over[:, col], 0)]
-            take = np.flatnonzero((shared >= self.wanted).any(1))
-            if len(take):
+            word, mark = np.nonzero(shared >= self.wanted)
+            if len(word):
+                take, at_row = np.unique(word, return_inverse=True)
+                size = np.sqrt(own_kernel(x[take])) + 1e-9
+                values = np.zeros((len(take), len(self.landmarks)), np.float32)
+                values[at_row, mark] = paired_kernel(x[word], self.codes[mark]) / (size[at_row] * self.own[mark])
                 rows.append(own[take])
-                found.append(normal_kernel(x[take], self.codes))
+                found.append(values)
         return np.concatenate(rows), np.concatenate(found)
 
     def margins(self, words: list[str]) -> np.ndarray:
         """SVM margins; a word that shares too few letter pairs with every landmark has the bias."""
         return self.weigh(len(words), *self.similar(words))
 
+    def dense(self, words: list[str]) -> np.ndarray:
+        """Kernel rows of words of at most WIDTH letters, zeros for those that similar() leaves out."""
+        out = np.zeros((len(words), len(self.landmarks)), np.float32)
+        rows, found = self.similar(words)
+        out[rows] = found
+        return out
+
     def weigh(self, n: int, rows: np.ndarray, kernels: np.ndarray) -> np.ndarray:
         out = np.full(n, self.bias, np.float64)
         np.maximum.at(out, rows, kernels @ self.weights + self.bias)
@@ -144,7 +164,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -30, 30)))
 
 
-def document_margins(model: Model, texts: list[str], cache: dict[str, float], limit: int = 400_000) -> np.ndarray:
+def document_margins(model: Model, texts: list[str], cache: dict[str, float], limit: int = 250_000) -> np.ndarray:
     """The largest margin of each whole text. cache: margins of tokens met before, emptied at its limit."""
     out = np.full(len(texts), model.bias)
     todo: dict[str, list[int]] = {}
@@ -155,7 +175,7 @@ def document_margins(model: Model, texts: list[str], cache: dict[str, float], li
                 todo.setdefault(t, []).append(i)
             elif m > out[i]:
                 out[i] = m
-        if len(todo) > 100_000 or i == len(texts) - 1:
+        if len(todo) > 50_000 or i == len(texts) - 1:
             own = list(todo)
             found = model.margins([letters_of(t) for t in own])
             for t, m in zip(own, found.tolist(), strict=True):
@@ -206,14 +226,17 @@ def _g2(k: int, c: int, n: int, m: int) -> float:
     return 2 * (part(k, n * p) + part(c, m * p) + part(n - k, n * (1 - p)) + part(m - c, m * (1 - p)))
 
 
-def fit(rows: list[tuple[set[str], int]], n_landmarks: int = LANDMARKS) -> Model:
-    """Fit on (distinct words, label) of labelled documents.
+def fit(rows: list[tuple[list[str], int]], n_landmarks: int = LANDMARKS) -> Model:
+    """Fit on (distinct tokens, label) of labelled documents; the list is used up.
 
     Letter sequences of 3 to 6 letters that toxic documents have and others lack point out each toxic document's likeliest
     word (its witness). Landmarks are witnesses that differ from each other; the SVM parts witnesses from other documents'
     words, those most like the landmarks among them.
     """
-    rows = [(set(map(letters_of, w)), y) for w, y in rows]
+    one: dict[str, str] = {}
+    for i, (words, y) in enumerate(rows):
+        rows[i] = ({one.setdefault(x, x) for x in map(letters_of, words)}, y)
+    del one
     toxic = [w for w, y in rows if y]
     if not toxic or len(toxic) == len(rows):
         rate = len(toxic) / len(rows) if rows else 0.0
@@ -227,17 +250,19 @@ def fit(rows: list[tuple[set[str], int]], n_landmarks: int = LANDMARKS) -> Model
         for w in words:
             own[w] = own.get(w, 0) + 1
     bad: dict[str, int] = {}
-    clean: dict[str, int] = {}
     for w, k in bad_words.items():
-        for g in grams(w[:64]):
-            bad[g] = bad.get(g, 0) + k
+        if w not in clean_words:
+            for g in grams(w[:64]):
+                bad[g] = bad.get(g, 0) + k
+    bad = {g: k for g, k in bad.items() if k >= 3}
+    clean = dict.fromkeys(bad, 0)
     for w, k in clean_words.items():
         for g in grams(w[:64]):
-            if g in bad:
-                clean[g] = clean.get(g, 0) + k
+            if g in clean:
+                clean[g] += k
     # G-squared of a letter sequence's counts; what chance gives the best of so many sequences is no evidence
-    chance = 2 * np.log(max(2, sum(k >= 2 for k in bad.values()))) - 4
-    evidence = {g: v for g, k in bad.items() if k >= 3 and (v := _g2(min(k, n_bad), min(clean.get(g, 0), n_clean), n_bad, n_clean)) > chance}
+    chance = 2 * np.log(max(2, len(bad))) - 2
+    evidence = {g: v for g, k in bad.items() if (v := _g2(min(k, n_bad), min(clean.get(g, 0), n_clean), n_bad, n_clean)) > chance}
     witness: dict[str, int] = {}
     value: dict[str, float] = {}
     for words in toxic:
@@ -270,7 +295,7 @@ def fit(rows: list[tuple[set[str], int]], n_landmarks: int = LANDMARKS) -> Model
     every = sorted({*bad_words, *clean_words})
     rows_of = near.similar(every)
     for _ in range(3):  # other documents' words that the last machine took for insults join the negative rows
-        x = np.concatenate([normal_kernel(encode(positive), marks), normal_kernel(encode(negative), marks)]) @ root
+        x = near.dense([*positive, *negative]) @ root
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
         c = np.array([witness[w] for w in positive], float)
         c = np.concatenate([1000 * c / c.sum(), np.full(len(negative), 3000 / len(negative))])
@@ -302,8 +327,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, othe
     found = []
     for batch in rows.toArrow().to_batches():
         for y, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found.append((set(words.as_py()), int(y)))
-    found.sort(key=lambda r: (r[1], len(r[0]), sorted(r[0])[:20]))
+            found.append((words.as_py(), int(y)))
+    found.sort(key=lambda r: (r[1], len(r[0]), r[0][:20]))
     return fit(found)
 
 
