@@ -86,7 +86,7 @@ def generalise(new: DataFrame, existing: DataFrame, least: int = 3) -> DataFrame
     a = new.select("entity", F.substring("entity", F.lit(1), half).alias("p"), half.alias("h"))
     b = existing.select(F.col("entity").alias("e"))
     lengths = a.select("h").distinct()
-    b = b.join(F.broadcast(lengths.limit(1000)), F.length("e") >= F.col("h")).withColumn("p", F.substring("e", F.lit(1), F.col("h")))
+    b = b.where(F.length("e") > 0).select("e", F.explode(F.sequence(F.lit(1), F.length("e"))).alias("h")).join(lengths, "h").withColumn("p", F.substring("e", F.lit(1), F.col("h")))
     group = a.join(b, ["p", "h"]).select("entity", "e").unionByName(a.select("entity", F.col("entity").alias("e")))
     ends = group.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.min("e").alias("lo"), F.max("e").alias("hi"))
     from ..functions.text import prefix_length

@@ -10,6 +10,8 @@ from ..functions import rules as R
 from ..functions.text import extract_all, id_in_text, query_shingles
 
 BLOCK = 16
+#: Query vectors that are broadcast at most.
+MOST_BROADCAST = 10_000
 
 
 def top(channel: DataFrame, limit, order: Column | None = None) -> DataFrame:
@@ -30,9 +32,9 @@ def query_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
     Queries are exploded to substrings of the lengths that entities have, so this is an equi join whatever the dictionary's size.
     """
     names = entities.select("entity").distinct()
-    lengths = names.select(F.length("entity").alias("n")).distinct()
-    at = queries.crossJoin(F.broadcast(lengths.limit(200))).where(F.length("query") >= F.col("n"))
-    parts = at.select("qid", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("query") - F.col("n") + 1), lambda i: F.substring("query", i, F.col("n"))))).alias("entity"))
+    lengths = names.select(F.length("entity").alias("n")).where("n > 0").distinct()
+    sized = queries.where(F.length("query") > 0).select("qid", "query", F.explode(F.sequence(F.lit(1), F.length("query"))).alias("n")).join(lengths, "n")
+    parts = sized.select("qid", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("query") - F.col("n") + 1), lambda i: F.substring("query", i, F.col("n"))))).alias("entity"))
     return parts.join(names, "entity").select("qid", "entity").distinct()
 
 
@@ -44,14 +46,16 @@ def entity_channel(found: DataFrame, links: DataFrame) -> DataFrame:
 def pending_channel(queries: DataFrame, pending: DataFrame) -> DataFrame:
     """Pending rows (mid, content, importance) that contain query words; score is importance, match the share of the words.
 
-    Substring tests have no equi key: queries are a bounded batch, in blocks small enough to broadcast, against all rows.
+    Substrings of the rows' distinct tokens, up to the longest query word, meet the query words in an equi join.
     """
     words = queries.select("qid", F.array_distinct(extract_all(F.lower("query"), "[\\x{4e00}-\\x{9fa5}]+|[a-zA-Z]+")).alias("w")).where(F.size("w") > 0)
     inverted = words.select("qid", F.size("w").alias("n"), F.explode("w").alias("word"))
     vocabulary = inverted.select("word").distinct()
     tokens = pending.select(F.explode(F.array_distinct(F.split(F.lower("content"), r"\s+"))).alias("t")).distinct()
     # A word lies in a content if and only if it lies in one of its tokens (words hold no space).
-    grams = tokens.select("t", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.transform(F.sequence(F.lit(1), F.length("t") - i + 1), lambda k: F.substring("t", i, k)))))).alias("word")).where(F.length("t") > 0)
+    longest = vocabulary.agg(F.max(F.length("word"))).first()[0] or 0
+    parts = F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.length("t") - i + 1, F.lit(longest))), lambda k: F.substring("t", i, k)))
+    grams = tokens.where((F.length("t") > 0) & F.lit(longest > 0)).select("t", F.explode(F.array_distinct(F.flatten(parts))).alias("word"))
     pairs = grams.join(vocabulary, "word").select("t", "word")
     rows = pending.select("mid", "importance", F.explode(F.array_distinct(F.split(F.lower("content"), r"\s+"))).alias("t"))
     hits = rows.join(pairs, "t").select("mid", "importance", "word").distinct().join(inverted, "word")
@@ -106,10 +110,13 @@ def _dot(a, b):
 
 def vector_channel(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK, digits: int = 9) -> DataFrame:
     """Exact cosine of queries (qid, qv) with all vectors (mid, v), top k. The stated query set meets all rows in blocks:
-    vectors are read once for each block of queries that is small enough to hold in a row."""
-    blocks = queries.withColumn("qb", F.floor(F.row_number().over(Window.orderBy("qid")) / block)).groupBy("qb").agg(F.collect_list(F.struct("qid", "qv", F.sqrt(_dot(F.col("qv"), F.col("qv"))).alias("qn"))).alias("qs"))
-    sized = vectors.withColumn("n", F.sqrt(_dot(F.col("v"), F.col("v"))))
-    rows = sized.join(F.broadcast(blocks.limit(1000)), F.col("n") > 0).select("mid", "v", "n", F.explode("qs").alias("q")).where("q.qn > 0")
+    a vector is read once for each block of queries. Few queries (their number is checked) are broadcast; more make Spark deal
+    pairs of partitions."""
+    n = queries.count()
+    part = F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-n // block))))
+    blocks = queries.groupBy(part.alias("qb")).agg(F.collect_list(F.struct("qid", "qv", F.sqrt(_dot(F.col("qv"), F.col("qv"))).alias("qn"))).alias("qs"))
+    sized = vectors.withColumn("n", F.sqrt(_dot(F.col("v"), F.col("v")))).where("n > 0")
+    rows = sized.crossJoin(F.broadcast(blocks) if n <= MOST_BROADCAST else blocks).select("mid", "v", "n", F.explode("qs").alias("q")).where("q.qn > 0")
     cosine = F.round(_dot(F.col("q.qv"), F.col("v")) / (F.col("n") * F.col("q.qn")), digits)
     return top(rows.select("q.qid", "mid", cosine.alias("score")), k)
 
