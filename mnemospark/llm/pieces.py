@@ -16,9 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers, slices
+from .common import grouped, mix, powers, slices
 
 SPACE = "▁"
+#: Characters of the texts whose new words are encoded together.
+TEXT = 1 << 20
+SLOTS = 1 << 20
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
 
@@ -44,6 +47,10 @@ class Pieces:
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(own, np.int32)[order]
         self.values = np.array([self.scores[i] for i in own])[order]
+        place = (self.keys & np.uint64(SLOTS - 1)).astype(np.int64)
+        self.slot = np.full(SLOTS, -1, np.int32)
+        self.slot[place] = np.arange(len(place))
+        self.shared = np.bincount(place, minlength=SLOTS) > 1
         self.longest = max((len(x) for x in points), default=1)
         self.text = [x.replace(SPACE, " ").encode() if p else b"" for x, p in zip(self.pieces, self.plain, strict=True)]
         for b in range(256 if self.bytes_at >= 0 else 0):
@@ -61,9 +68,15 @@ class Pieces:
         return Pieces([sp.id_to_piece(i) for i in n], [sp.get_score(i) for i in n], plain, first, sp.unk_id(), algorithm)
 
     def probe(self, h: np.ndarray) -> np.ndarray:
-        """Places of hashes in the sorted keys, -1 for those that are no piece's."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, at, -1)
+        """Places of hashes in the sorted keys, -1 for those that are no piece's: by a slot of low bits, searched where keys share one."""
+        place = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        at = self.slot[place]
+        at = np.where(self.keys[at] == h, at, -1)
+        rest = np.flatnonzero((at < 0) & self.shared[place])
+        if len(rest):
+            found = np.minimum(np.searchsorted(self.keys, h[rest]), len(self.keys) - 1)
+            at[rest] = np.where(self.keys[found] == h[rest], found, -1)
+        return at
 
     def _spans(self, sums, s, e):
         r = np.arange(len(sums))
@@ -210,9 +223,9 @@ def model_path() -> str:
 def _encoded(path, algorithm, arrays):
     def run(batches):
         model = loaded(path, algorithm)
-        for batch in slices(batches, 64):
+        for batch in slices(batches):
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            ids = model.encode(texts)
+            ids = [x for i, j in grouped(texts, TEXT) for x in model.encode(texts[i:j])]
             back = [model.decode(x) for x in ids]
             same = pa.array([x == y.replace(SPACE, " ") for x, y in zip(back, texts, strict=True)], pa.bool_())
             count = pa.array(list(map(len, ids)), pa.int64())
