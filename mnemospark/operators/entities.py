@@ -43,22 +43,36 @@ def builtin_entities(content: Column, patterns=L.BUILTIN_ENTITIES) -> Column:
 
 
 def learned_matches(memories: DataFrame, dictionary: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """(mid, entity) for learned entities that a content contains.
+    """(mid, entity) for learned entities that a content contains, for each row of memories.
 
-    The dictionary has at most max_rows rows (learning keeps it at 1,000): it is collected behind that check and tested in
-    one alternation over each content. A larger one is matched by its first word in an equi join.
+    One equi join whatever the dictionary's size: an entity without white space lies in a content if and only if it lies in
+    one of its tokens, so distinct tokens are exploded to substrings of the lengths that such entities have. For entities with
+    white space, contents are. max_rows changes nothing; it is kept for callers.
     """
     names = dictionary.select("entity").where(F.length("entity") > 0).distinct()
-    found = names.limit(max_rows + 1).collect()
-    if len(found) <= max_rows:
-        words = sorted(r["entity"] for r in found)
-        if not words:
-            return memories.select("mid", F.lit("").alias("entity")).limit(0)
-        known = F.array(*map(F.lit, words))
-        return memories.select("mid", F.explode(F.filter(known, lambda w: F.contains(F.col("content"), w))).alias("entity"))
-    tokens = memories.select("mid", "content", F.explode(F.array_distinct(extract_all(F.col("content"), r"[\p{L}\p{N}]+"))).alias("t"))
-    keyed = names.withColumn("t", F.regexp_extract("entity", r"[\p{L}\p{N}]+", 0))
-    return tokens.join(keyed, "t").where(F.contains("content", F.col("entity"))).select("mid", "entity").distinct()
+    spaced = F.col("entity").rlike(r"\s")
+    rows = memories.select("mid", F.xxhash64("content").alias("c"), F.col("content").alias("t"))
+    own = F.filter(F.array_distinct(F.split("t", r"\s+")), lambda t: F.arrays_overlap(F.split(t, ""), F.col("heads")))
+    tokens = rows.crossJoin(F.broadcast(_shape(names.where(~spaced)))).select("mid", "c", F.explode(own).alias("t"))
+    pairs = _contained(tokens.select("t").distinct(), names.where(~spaced)).select("t", "entity")
+    found = tokens.join(pairs, "t").select("mid", "c", "entity").unionByName(_contained(rows, names.where(spaced)).select("mid", "c", "entity")).distinct()
+    again = rows.groupBy("mid", "c").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    times = F.coalesce(again["times"], F.lit(1).cast("long"))
+    on = found["mid"].eqNullSafe(again["mid"]) & (found["c"] == again["c"])
+    return found.join(again, on, "left").select(found["mid"], "entity", F.explode(F.sequence(F.lit(1).cast("long"), times))).select("mid", "entity")
+
+
+def _shape(names: DataFrame) -> DataFrame:
+    """One row: the lengths and the first characters that names have."""
+    return names.agg(F.collect_set(F.length("entity")).alias("lengths"), F.collect_set(F.substring("entity", 1, 1)).alias("heads"))
+
+
+def _contained(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """texts' columns and entity for the names that text t contains: an equi join on substrings of the lengths that names have."""
+    sized = texts.crossJoin(F.broadcast(_shape(names))).withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("t"))))
+    parts = F.transform(F.sequence(F.lit(1), F.length("t") - F.col("n") + 1), lambda i: F.substring("t", i, F.col("n")))
+    parts = F.filter(parts, lambda p: F.array_contains("heads", F.substring(p, 1, 1)))
+    return sized.select(*texts.columns, F.explode(F.array_distinct(parts)).alias("entity")).join(names, "entity")
 
 
 def layered(builtin: Column, learned: Column, external: Column) -> Column:
