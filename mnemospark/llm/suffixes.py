@@ -1,19 +1,19 @@
 """Suffix-array dedup (9): longest-previous-factor arrays over blocks of text."""
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import CHUNK, Rolling, byte_values, keyed, meet_docs, slices, texts_of
+from .common import keyed, meet_docs, slices, texts_of
 from .repeats import Bytes, outside, repeated_spans, union
 
 #: Segments (about 135 bytes each) of several anchors in a block, on average, and of one anchor in a block at most.
 BLOCK, HOT = 8000, 50_000
-#: Suffixes that are ordered at a time.
+#: Suffixes of the order that are walked over at a time.
 SLICE = 100_000
-_T3 = byte_values(31)
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
@@ -67,53 +67,77 @@ def longest_previous_factor(text: bytes) -> np.ndarray:
     return best
 
 
-def previous_factors(length: int):
-    """find() for repeats: LPF of a block's segments, cut off at `length`.
+def suffix_order(words: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes that start at `at`, ordered by their first `length` bytes, ties by place in `at`; and how many of these bytes
+    each shares with the one before it. words: the big-endian word (8 bytes or 1) that starts at each byte.
 
-    Suffixes are ordered by their first `length` bytes, ties by position. Then a suffix whose previous smaller position in
-    suffix order shares all `length` bytes has it as its neighbour, and the next smaller position never shares more, so
-    LPF >= length is one comparison. Suffixes whose hash of these bytes is alone in the block can't share them and are left
-    out of the order; the others are ordered a bounded slice of whole hash groups at a time.
+    A word at a time; groups whose suffixes share the word aren't sorted again.
+    """
+    n, word = len(at), words.dtype.itemsize
+    order, border, shared = np.arange(n, dtype=np.int32), np.zeros(n, bool), np.full(n, length, np.int32)
+    if n:
+        border[0], shared[0] = True, 0
+    for o in sorted({*range(0, length - word + 1, word), length - word}):
+        tied = ~border
+        tied[:-1] |= ~border[1:]
+        idx = np.flatnonzero(tied)
+        if not len(idx):
+            break
+        key = words[at[order[idx]] + o].astype(np.uint64)
+        group = np.cumsum(border[idx], dtype=np.int32) - 1
+        mixed = np.zeros(group[-1] + 1, bool)
+        mixed[group[1:][(group[1:] == group[:-1]) & (key[1:] != key[:-1])]] = True
+        some = mixed[group]
+        idx, key, group = idx[some], key[some], group[some]
+        by = np.lexsort((key, group))
+        order[idx], key = order[idx[by]], key[by]
+        x = key[1:] ^ key[:-1]
+        new = (x != 0) & (group[1:] == group[:-1])
+        x, place = x[new], idx[1:][new]
+        border[place] = True
+        shared[place] = o
+        for k in range(1, word):
+            shared[place] += x < np.uint64(1 << 8 * (word - k))
+    return order, shared
+
+
+def capped_lpf(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """LPF of each suffix: what it shares with its previous or next smaller position in suffix order, whichever is more.
+
+    One walk over the order with a stack of positions that wait for their next smaller one. Each has beside it what it shares
+    with the one below it, its previous smaller one.
     """
+    best = array("i", bytes(4 * len(order)))
+    stack, below = [-1], [0]
+    for a in range(0, len(order), SLICE):
+        for i, m in zip(order[a : a + SLICE].tolist(), shared[a : a + SLICE].tolist(), strict=True):
+            while stack[-1] > i:
+                j = stack.pop()
+                if m > best[j]:
+                    best[j] = m
+                if (k := below.pop()) < m:
+                    m = k
+            best[i] = m
+            stack.append(i)
+            below.append(m)
+    return np.frombuffer(best, np.int32)
+
+
+def previous_factors(length: int):
+    """find() for repeats: the LPF array of a block's windows of `length` bytes, cut off at `length`, from their suffix order
+    with previous and next smaller positions. A window is a repeat where LPF >= length."""
     word = 8 if length >= 8 else 1
-    offsets = sorted({*range(0, length - word + 1, word), length - word})
 
     def find(segs: list[bytes]):
         n = np.fromiter(map(len, segs), np.int64, len(segs))
         start = np.cumsum(n) - n
         text = b"".join(segs) + bytes(8)
-        data = np.frombuffer(text, np.uint8)
-        words = np.ndarray((len(text) - 8,), ">u8", text, strides=(1,)) if word == 8 else data
+        words = np.ndarray((len(text) - 8,), ">u8", text, strides=(1,)) if word == 8 else np.frombuffer(text, np.uint8)
         m = np.maximum(n - length + 1, 0)
-        at = np.arange(m.sum()) + np.repeat(start - (np.cumsum(m) - m), m)
-        h = np.zeros(len(at), np.uint64)
         done = np.concatenate([[0], np.cumsum(m)])
-        first = 0
-        while first < len(segs):
-            last = max(first + 1, int(np.searchsorted(start, start[first] + CHUNK)))
-            own = slice(done[first], done[last])
-            p = at[own] - start[first]
-            h[own] = Rolling(_T3[data[start[first] : start[last - 1] + n[last - 1]]]).spans(p, p + length)
-            first = last
-        order = np.argsort(h, kind="stable")
-        tie = h[order[1:]] == h[order[:-1]]
-        group = order[np.concatenate([tie, [False]]) | np.concatenate([[False], tie])] if len(order) else order
-        seen = np.zeros(len(at), bool)
-        border = np.flatnonzero(np.concatenate([[True], h[group[1:]] != h[group[:-1]], [True]])) if len(group) else np.zeros(1, int)
-        a = 0
-        while a < len(group):
-            b = int(border[max(np.searchsorted(border, a + SLICE, "right") - 1, np.searchsorted(border, a, "right"))])
-            own = group[a:b]
-            keys = [words[at[own] + o] for o in offsets]
-            suffix = np.lexsort((at[own], *(k.astype(np.uint64) for k in reversed(keys))))
-            same = np.ones(len(own) - 1, bool)
-            for k in keys:
-                k = k[suffix]
-                same &= k[1:] == k[:-1]
-            seen[own[suffix[1:][same]]] = True
-            a = b
-        flags = np.split(seen, done[1:-1])
-        return flags, lambda k, a: segs[k][a : a + length]
+        at = np.arange(done[-1]) + np.repeat(start - done[:-1], m)
+        seen = capped_lpf(*suffix_order(words, at, length)) >= length
+        return np.split(seen, done[1:-1]), lambda k, a: segs[k][a : a + length]
 
     return find
 

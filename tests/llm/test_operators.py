@@ -94,6 +94,24 @@ def test_longest_previous_factor():
         assert flags[0].tolist() == [x >= 8 for x in want[: max(0, len(text) - 7)]]
 
 
+def test_blocks_are_flagged_from_lpf():
+    r = random.Random(3)
+    for length in (1, 5, 8, 20, 100):
+        segs = [bytes(r.choice(b"ab") for _ in range(r.randrange(0, 30))) * r.randrange(1, 9) for _ in range(12)]
+        segs += [segs[0], b"", b"a" * 150, segs[3][:9] + segs[4]]
+        windows = [x[i : i + length] for x in segs for i in range(len(x) - length + 1)]
+        same = lambda a, b: next((k for k in range(length) if a[k] != b[k]), length)
+        want = [max([0, *(same(w, x) for x in windows[:i])]) for i, w in enumerate(windows[:150])]
+        start = np.cumsum([0, *map(len, segs)])
+        at = np.concatenate([np.arange(a, b - length + 1) for a, b in itertools.pairwise(start.tolist())])
+        text = b"".join(segs) + bytes(8)
+        words = np.ndarray((len(text) - 8,), ">u8", text, strides=(1,)) if length >= 8 else np.frombuffer(text, np.uint8)
+        got = suffixes.capped_lpf(*suffixes.suffix_order(words, at, length))
+        assert got[:150].tolist() == want
+        flags, _ = suffixes.previous_factors(length)(segs)
+        assert np.concatenate(flags).tolist() == (got >= length).tolist()
+
+
 def test_segments_cover_each_window_once():
     unit = repeats.Bytes(20)
     texts = [b"", b"ab" * 60, b"", bytes(range(32, 120)), b"short", b"z" * 50]
