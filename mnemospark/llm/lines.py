@@ -25,26 +25,38 @@ class SortedRuns:
     """Runs of (h, n): line hash and number of documents, each sorted by h and held as a table in the shared folder.
 
     add() writes a new run at level 0; when a level has `fanout` runs they are merged into one run of the next level,
-    so that a hash is rewritten at most log(batches) times and a batch meets a few sorted runs.
+    so that a hash is rewritten at most log(batches) times and a batch meets a few sorted runs. What meet() finds for hashes
+    that a run has already goes to levels of its own (`more`), compacted likewise.
     """
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.spark, self.fanout, self.levels, self.more = spark, fanout, [[]], [[]]
 
     def add(self, counts: DataFrame) -> None:
-        self._write(counts.select("h", "n"), 0)
-
-    def _write(self, rows: DataFrame, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(store(rows.repartition("h").sortWithinPartitions("h"), f"run{level}"))
-        if len(self.levels[level]) >= self.fanout:
-            self.compact(level)
-
-    def compact(self, level: int) -> None:
-        merged = self.merged(self.levels[level])
-        self.levels[level] = []
-        self._write(merged, level + 1)
+        self._write(counts.select("h", "n"), 0, self.levels)
+
+    def meet(self, counts: DataFrame) -> None:
+        """Take in a batch's distinct hashes (h, n): those in no run enter as a run, the others add their counts."""
+        if not any(self.levels):
+            self.add(counts)
+            return
+        new = store(self.unseen(counts.select("h", "n")), "new-hashes")
+        known = counts.select("h", "n").join(new.select("h").hint("merge"), "h", "left_anti")
+        self._write(known, 0, self.more)
+        self.add(new)
+
+    def _write(self, rows: DataFrame, level: int, levels: list[list[DataFrame]]) -> None:
+        while len(levels) <= level:
+            levels.append([])
+        levels[level].append(store(rows.repartition("h").sortWithinPartitions("h"), f"run{level}"))
+        if len(levels[level]) >= self.fanout:
+            self.compact(level, levels)
+
+    def compact(self, level: int, levels: list[list[DataFrame]] | None = None) -> None:
+        levels = self.levels if levels is None else levels
+        merged = self.merged(levels[level])
+        levels[level] = []
+        self._write(merged, level + 1, levels)
 
     @staticmethod
     def merged(runs: list[DataFrame]) -> DataFrame:
@@ -55,7 +67,7 @@ class SortedRuns:
 
     def counts(self) -> DataFrame:
         """All hashes with their number of documents over all runs."""
-        runs = [r for level in self.levels for r in level]
+        runs = [r for level in self.levels + self.more for r in level]
         return self.merged(runs) if runs else self.spark.createDataFrame([], "h string, n long")
 
     def unseen(self, rows: DataFrame) -> DataFrame:
@@ -90,17 +102,18 @@ def _kept(min_chars: int):
 
 
 def hot_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4) -> DataFrame:
-    """h of the line keys found in at least min_docs rows of docs (repeated rows count as documents of their own).
+    """h of the line keys that at least min_docs doc_ids of docs have; rows without a doc_id don't count.
 
-    One scan of the texts: each document's distinct hashes are counted by batch (a hash of doc_id) with partial sums,
-    so a line that every document has costs a row for each task. The batches' counts then enter the levelled runs.
+    One scan of the texts: each batch (a hash of doc_id) has its distinct (doc_id, h), counted by h with partial sums,
+    so a line that every document has costs a row for each task. The batches then meet the levelled runs one by one.
     """
     spark = docs.sparkSession
-    rows = key_hashes(docs.select("doc_id", "text"), min_chars).select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"), F.explode("hs").alias("h"))
-    counted = store(rows.groupBy("batch", "h").agg(F.count(F.lit(1)).alias("n")), "line-counts")
+    own = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    rows = key_hashes(own, min_chars).select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"), "doc_id", F.explode("hs").alias("h"))
+    counted = store(rows.distinct().groupBy("batch", "h").agg(F.count(F.lit(1)).alias("n")), "line-counts")
     runs = SortedRuns(spark, fanout)
     for k in range(batches):
-        runs.add(counted.where(F.col("batch") == k))
+        runs.meet(counted.where(F.col("batch") == k))
     return store(runs.counts().where(F.col("n") >= min_docs).select("h"), "hot-lines")
 
 

@@ -191,6 +191,22 @@ def test_line_dedup(spark, limit):
     assert len(out) == len(rows) and out[0].asDict().keys() == {"doc_id", "text", "lang", "tkey"}
 
 
+def test_lines_count_doc_ids_and_batches_meet_the_runs(spark, monkeypatch):
+    rows = [(1, "mine\nshared")] * 12 + [(1, f"mine\nversion {k}") for k in range(12)] + [(None, f"mine\n{k}") for k in range(12)] + [(i, f"shared\nown {i}") for i in range(2, 11)]
+    met = []
+    unseen = lines.SortedRuns.unseen
+    monkeypatch.setattr(lines.SortedRuns, "unseen", lambda self, x: met.append(sum(map(len, self.levels))) or unseen(self, x))
+    hot = {r["h"] for r in lines.hot_lines(keyed(table(spark, rows)), 10).collect()}
+    assert hot == {hashlib.md5(b"shared").hexdigest()}
+    assert met == [1, 2, 3]
+    runs = lines.SortedRuns(spark, fanout=2)
+    for k in range(5):
+        runs.meet(spark.createDataFrame([("a", 1), ("b" if k % 2 else "c", 2), (f"d{k}", 3)], "h string, n long"))
+    assert {r["h"]: r["n"] for r in runs.counts().collect()} == {"a": 5, "b": 4, "c": 6} | {f"d{k}": 3 for k in range(5)}
+    rows = [r for level in runs.levels for run in level for r in run.collect()]
+    assert len(rows) == len({r["h"] for r in rows}) == 8
+
+
 def test_sorted_runs_compact_and_anti_join(spark):
     runs = lines.SortedRuns(spark, fanout=2)
     kept = []
