@@ -15,12 +15,17 @@ CHUNK = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a new one only where it is unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = conf or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, one is made for a local session, which has no other machine; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        root = spark.sparkContext.getCheckpointDir()
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        root = context.getCheckpointDir()
     return root.rstrip("/")
 
 
@@ -92,15 +97,50 @@ def local_bitmap(shared) -> np.ndarray | None:
     return None if shared is None else shared.value
 
 
-def _filtered(shared, inside: bool):
+def _filtered(shared, inside: bool, key: str):
     def run(batches):
         for batch in slices(batches):
-            hit = in_bitmap(shared.value, batch.column("_h").to_numpy().view(np.uint64))
-            yield batch.filter(pa.array(hit if inside else ~hit)).select(["doc_id", "tkey", "text"])
+            hit = in_bitmap(shared.value, batch.column(key).to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(hit if inside else ~hit)).select([x for x in batch.schema.names if x != key])
 
     return run
 
 
+def parted(docs: DataFrame, bits: np.ndarray, h) -> tuple[DataFrame, DataFrame]:
+    """(rows whose hash h may be in the bitmap, the other rows); no shuffle."""
+    key = free_name(docs, "_h")
+    shared, own = docs.sparkSession.sparkContext.broadcast(bits), docs.withColumn(key, h)
+    return tuple(own.mapInArrow(_filtered(shared, inside, key), docs.schema) for inside in (True, False))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or a longer one, that no column of df has."""
+    while name.lower() in {x.lower() for x in df.columns}:
+        name += "_"
+    return name
+
+
+def document(doc_id="doc_id", text="text"):
+    """A struct that names a document of any table with doc_id and text: equal for equal rows, nulls included."""
+    return F.struct(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.coalesce(text, F.lit(""))).alias("tkey"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, any columns, less the documents of gone (doc_id, tkey; a stored table).
+
+    A bitmap of gone (its size is checked) clears most rows; only the others are shuffled for the anti-join.
+    """
+    name = free_name(docs, "_doc")
+    h = F.xxhash64(document().getField("doc_id"), document().getField("tkey"))
+    bits = bitmap(gone.select(F.xxhash64("doc_id", "tkey").alias("a")))
+    names = gone.select(F.struct("doc_id", "tkey").alias(name))
+    drop = lambda rows: rows.withColumn(name, document()).join(names, name, "left_anti").select(docs.columns)
+    if bits is None:
+        return drop(docs)
+    some, rest = parted(docs, bits, h)
+    return drop(some).unionByName(rest)
+
+
 def meet_docs(docs: DataFrame, info: DataFrame, how: str = "left") -> DataFrame:
     """join_docs for an info table that has a row for few of the docs: texts of the others are not shuffled.
 
@@ -111,13 +151,12 @@ def meet_docs(docs: DataFrame, info: DataFrame, how: str = "left") -> DataFrame:
     bits = bitmap(info.select(h.alias("a")))
     if bits is None:
         return join_docs(docs, info, how)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-    part = lambda inside: docs.withColumn("_h", h).mapInArrow(_filtered(shared, inside), "doc_id long, tkey long, text string")
-    met = join_docs(part(True), info, how)
+    some, rest = parted(docs.select("doc_id", "tkey", "text"), bits, h)
+    met = join_docs(some, info, how)
     if how == "inner":
         return met
     missing = [F.lit(None).cast(x.dataType).alias(x.name) for x in info.schema if x.name not in ("doc_id", "tkey")]
-    return met.unionByName(part(False).select("*", *missing))
+    return met.unionByName(rest.select("*", *missing))
 
 
 # --- bytes in tasks ------------------------------------------------------------------------------------------------

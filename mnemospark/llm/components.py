@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from .common import store
 
 
+#: Nodes whose edges a task contracts together.
+NODES = 50_000
+
+
 def _contracted(batches):
-    """Each partition's edges as stars around the least node of what they connect: fewer edges, shorter paths."""
+    """A partition's edges, NODES at a time, as stars around the least node of what they connect: fewer edges, shorter paths."""
     up: dict = {}
 
     def find(x):
@@ -17,6 +21,12 @@ def _contracted(batches):
             x = up[x]
         return x
 
+    def stars(kind):
+        nodes = [x for x in up if up[x] != x]
+        for i in range(0, len(nodes), 10_000):
+            own = nodes[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own, kind), pa.array([find(x) for x in own], kind)], names=["u", "v"])
+
     kind = None
     for batch in batches:
         kind = batch.schema.field("u").type
@@ -26,10 +36,10 @@ def _contracted(batches):
             a, b = find(u), find(v)
             if a != b:
                 up[max(a, b)] = min(a, b)
-    nodes = [x for x in up if up[x] != x]
-    for i in range(0, len(nodes), 10_000):
-        own = nodes[i : i + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(own, kind), pa.array([find(x) for x in own], kind)], names=["u", "v"])
+        if len(up) > NODES:
+            yield from stars(kind)
+            up.clear()
+    yield from stars(kind)
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:

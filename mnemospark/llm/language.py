@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, slices, text_key
+from .common import CHUNK, slices
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -202,13 +202,23 @@ def learnable(docs: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:
     return docs.where(F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) != held, F.lit(False)))
 
 
+def _confident(shared, min_score: float):
+    def run(batches):
+        for batch in slices(batches):
+            names, scores = shared.value.predict(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([n != "und" and s >= min_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return run
+
+
 def keep_identified(docs: DataFrame, min_score: float = 0.5, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """docs without the documents that language ID rejects: 'und', or a calibrated score under min_score."""
-    model = train(learnable(docs), per_language)
-    base = docs.withColumn("_k", text_key(F.coalesce("text", F.lit(""))))
-    own = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_k").alias("tkey"), "text")
-    bad = predict(own, model).where((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"))
-    return base.join(bad, base["doc_id"].cast("long").eqNullSafe(bad["_d"]) & (base["_k"] == bad["_t"]), "left_anti").select(*docs.columns)
+    """docs without the documents that language ID rejects: 'und', or a calibrated score under min_score.
+
+    A map over rows that keeps all columns, whatever their names. Null and empty texts are 'und' and go; repeated rows are
+    judged alike; an empty table stays empty; texts of any length are read whole.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(learnable(docs), per_language))
+    return docs.mapInArrow(_confident(shared, min_score), docs.schema)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD_SPACE, keyed, meet_docs, slices, store, text_key, texts_of
+from .common import LOWER, UPPER, WORD_SPACE, bitmap, document, free_name, keyed, meet_docs, parted, slices, store, texts_of
 
 
 def line_key(line):
@@ -104,13 +104,24 @@ def _kept(min_chars: int):
 def hot_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4) -> DataFrame:
     """h of the line keys that at least min_docs doc_ids of docs have; rows without a doc_id don't count.
 
-    One scan of the texts: each batch (a hash of doc_id) has its distinct (doc_id, h), counted by h with partial sums,
-    so a line that every document has costs a row for each task. The batches then meet the levelled runs one by one.
+    Each batch (a hash of doc_id) has its lines counted by h with partial sums, so a line that every document has costs a
+    row for each task. Only rows that repeat a doc_id are shuffled as (doc_id, h) first, to count once. The batches then meet
+    the levelled runs one by one.
     """
     spark = docs.sparkSession
     own = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    rows = key_hashes(own, min_chars).select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"), "doc_id", F.explode("hs").alias("h"))
-    counted = store(rows.distinct().groupBy("batch", "h").agg(F.count(F.lit(1)).alias("n")), "line-counts")
+    again = store(own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"), "repeated-ids")
+    lines_of = lambda rows: key_hashes(rows, min_chars).select("doc_id", F.explode("hs").alias("h"))
+    bits = bitmap(again.select(F.xxhash64("doc_id").alias("a")))
+    if bits is None:
+        rows = lines_of(own).distinct()
+    elif bits.any():
+        some, rest = parted(own, bits, F.xxhash64("doc_id"))
+        rows = lines_of(some).distinct().unionByName(lines_of(rest))
+    else:
+        rows = lines_of(own)
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch")
+    counted = store(rows.select(batch, "h").groupBy("batch", "h").agg(F.count(F.lit(1)).alias("n")), "line-counts")
     runs = SortedRuns(spark, fanout)
     for k in range(batches):
         runs.meet(counted.where(F.col("batch") == k))
@@ -124,26 +135,36 @@ MAX_BROADCAST = 100_000
 def drop_lines(docs: DataFrame, hot: DataFrame, min_chars: int = 1, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """Rows of keyed docs as doc_id, tkey, n_lines, n_dropped and text without the lines whose hash is in hot."""
     if hot.count() <= max_broadcast:
-        known = docs.sparkSession.sparkContext.broadcast(sorted(r["h"] for r in hot.toLocalIterator()))
-        return docs.mapInArrow(_with_known(known, min_chars), "doc_id long, tkey long, n_lines long, n_dropped long, text string")
+        return docs.mapInArrow(_with_known(_known(hot), min_chars), "doc_id long, tkey long, n_lines long, n_dropped long, text string")
     found = key_hashes(docs, min_chars).select("doc_id", "tkey", F.explode("hs").alias("h")).join(hot, "h", "left_semi")
     per_doc = found.groupBy("doc_id", "tkey").agg(F.collect_set("h").alias("hot"))
     return meet_docs(docs, store(per_doc, "hot-by-doc")).mapInArrow(_kept(min_chars), "doc_id long, tkey long, n_lines long, n_dropped long, text string")
 
 
+def _known(hot: DataFrame):
+    """A broadcast list of hot hashes, whose number has been checked."""
+    return hot.sparkSession.sparkContext.broadcast(sorted(r["h"] for r in hot.toLocalIterator()))
+
+
+def _cut(texts: list[bytes], same: frozenset) -> tuple[list[int], list[int], list[str]]:
+    """(lines, dropped lines, what stays) of each text."""
+    strip = WORD_SPACE.encode()
+    lower = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
+    lines, dropped, kept = [], [], []
+    for text in texts:
+        own = text.split(b"\n")
+        left = [x for x in own if hashlib.md5(x.strip(strip).translate(lower)).hexdigest() not in same] if same else own
+        lines.append(len(own))
+        dropped.append(len(own) - len(left))
+        kept.append(b"\n".join(left).decode())
+    return lines, dropped, kept
+
+
 def _with_known(known, min_chars: int):
     def run(batches):
         same = frozenset(known.value)
-        strip = WORD_SPACE.encode()
-        lower = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
         for batch in slices(batches):
-            lines, dropped, kept = [], [], []
-            for text in texts_of(batch.column("text")):
-                own = text.split(b"\n")
-                left = [x for x in own if hashlib.md5(x.strip(strip).translate(lower)).hexdigest() not in same] if same else own
-                lines.append(len(own))
-                dropped.append(len(own) - len(left))
-                kept.append(b"\n".join(left).decode())
+            lines, dropped, kept = _cut(texts_of(batch.column("text")), same)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("tkey"), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())],
                 names=["doc_id", "tkey", "n_lines", "n_dropped", "text"],
@@ -152,6 +173,16 @@ def _with_known(known, min_chars: int):
     return run
 
 
+def _replaced(known):
+    def run(batches):
+        same = frozenset(known.value)
+        for batch in slices(batches):
+            text = pa.array(_cut(texts_of(batch.column("text")), same)[2], batch.column("text").type)
+            yield batch.set_column(batch.schema.get_field_index("text"), batch.schema.field("text"), text)
+
+    return run
+
+
 def dedup_batch(batch: DataFrame, runs: SortedRuns, min_chars: int = 1) -> DataFrame:
     """Incremental form: lines of batch (doc_id, pos, line) that no earlier batch had, first of each key kept; adds the batch to runs.
 
@@ -166,17 +197,21 @@ def dedup_batch(batch: DataFrame, runs: SortedRuns, min_chars: int = 1) -> DataF
     return new.select("f.doc_id", "f.pos", "f.line").unionByName(short)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs with every line dropped whose key is found in at least min_docs documents; other columns as they are.
 
-    A null text becomes the empty text. Empty tables give empty tables.
+    A null text becomes the empty text. Empty tables give empty tables. Rows that repeat a doc_id count once for a line and
+    rows without one don't count, but all lose hot lines. A document all of whose lines are hot stays, with the empty text.
     """
     base = keyed(docs)
-    new = drop_lines(base, hot_lines(base, min_docs, min_chars), min_chars)
-    new = new.where("n_dropped > 0").dropDuplicates(["doc_id", "tkey"]).select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"), F.col("text").alias("_text"))
-    own = docs.withColumn("_k", text_key(F.coalesce("text", F.lit(""))))
-    joined = own.join(new, own["doc_id"].cast("long").eqNullSafe(new["_d"]) & (own["_k"] == new["_t"]), "left")
-    return joined.withColumn("text", F.coalesce("_text", "text", F.lit(""))).select(*docs.columns)
+    hot = hot_lines(base, min_docs, min_chars)
+    if hot.count() <= max_broadcast:
+        return docs.mapInArrow(_replaced(_known(hot)), docs.schema)
+    name, text = free_name(docs, "_doc"), free_name(docs, "_text")
+    new = drop_lines(base, hot, min_chars, max_broadcast).where("n_dropped > 0").dropDuplicates(["doc_id", "tkey"])
+    new = new.select(F.struct("doc_id", "tkey").alias(name), F.col("text").alias(text))
+    joined = docs.withColumn(name, document()).join(new, name, "left")
+    return joined.withColumn("text", F.coalesce(text, "text", F.lit(""))).select(docs.columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

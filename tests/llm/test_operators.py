@@ -391,3 +391,33 @@ def test_empty_tables(spark):
     assert resampling.resample(docs, bench.select(F.col("item_id").alias("doc_id"))).count() == 0
     full = table(spark, [(1, "x"), (2, None)])
     assert decontaminate.decontaminate(full, bench).count() == 2
+
+
+def test_signatures_join_similar_sets_and_few_others():
+    r = np.random.default_rng(5)
+    sets = [np.sort(r.integers(0, 1 << 64, int(n), dtype=np.uint64)) for n in r.integers(4, 13, 20_000)]
+    rows, sigs = jaccard.signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), 80)
+    assert np.unique(sigs, return_counts=True)[1].max() <= 3  # unrelated sets
+    for percent in (80, 90):
+        for _ in range(300):
+            n = int(r.integers(4, 400))
+            a = r.integers(0, 1 << 64, n, dtype=np.uint64)
+            both = np.concatenate([a[r.integers(0, n * (100 - percent) // 100 + 1) :], r.integers(0, 1 << 64, int(r.integers(0, n * (100 - percent) // 100 + 1)), dtype=np.uint64)])
+            x, y = np.sort(a), np.sort(both)
+            same = len(np.intersect1d(x, y))
+            if len(x) == len(y) == same or 100 * same < percent * (len(x) + len(y) - same):
+                continue
+            rows, sigs = jaccard.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), percent)
+            assert set(sigs[rows == 0].tolist()) & set(sigs[rows == 1].tolist())
+
+
+def test_keep_one_tells_texts_of_one_doc_id_apart(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (7, a + " end"), (3, b), (5, b + " end"), (None, a), (3, b), (8, None), (9, "")]
+    kept = sorted(((x["doc_id"], x["text"]) for x in jaccard.keep_one(table(spark, rows)).collect()), key=str)
+    assert kept == sorted([(5, a), (3, b), (3, b), (8, None), (9, "")], key=str)
+    for block in (50, 400):  # clusters for several tasks
+        many = [(i, " ".join(f"w{j}" if j != i else f"x{i}" for j in range(120))) for i in range(30)] + rows
+        kept = {x["doc_id"] for x in jaccard.keep_one(table(spark, many), block=block).collect()}
+        assert kept == {0, 3, 5, 8, 9}
