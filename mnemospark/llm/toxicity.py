@@ -1,26 +1,27 @@
 """Toxicity (8): a support vector machine over a gapped subsequence string kernel with Nystroem landmarks.
 
-A sentence is scored by its strongest word: each word (letters only, lower case; runs of single letters count as one word)
-is compared with the landmarks by the normalised subsequence kernel, whose decay tolerates gaps and inserted characters.
-A document's margin is its largest one, turned into a probability by a logistic fit on training documents.
+Words (letters only, lower case, between border marks; a run of single letters counts as one word) are compared with the
+landmarks by the normalised subsequence kernel, whose decay tolerates gaps and inserted characters. The machine parts words
+of toxic documents that letter sequences give away from the words of other documents. A document's score is a logistic
+function of its two largest margins and of the share of its words on the toxic side, fitted on the training documents.
 """
 
 import re
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, store
 
-#: Labelled documents that are sampled for training, toxic and other (expected numbers).
+#: Labelled documents that are sampled for training, toxic and other (at most).
 TOXIC_ROWS, OTHER_ROWS = 1200, 2800
 LANDMARKS, ORDER, DECAY, WIDTH = 48, 3, 0.6, 26
-#: A word is compared with a landmark if it has this share of its letter pairs, gaps of one letter allowed; else their kernel
-#: counts as 0, in training as in scoring.
-PAIRS = 0.5
+#: Lengths of the letter sequences that point out landmarks.
+GRAMS = range(4, 8)
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 
 
@@ -39,32 +40,33 @@ def encode(words: list[str]) -> np.ndarray:
 def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Gapped subsequence kernel of each row of x with each row of y: common subsequences of ORDER letters, each weighted by
     DECAY to the power of the lengths that it spans in both."""
-    k = np.zeros((len(x), len(y)), np.float32)
-    width = int((y > 0).sum(1).max(initial=0))
-    prefix = [np.ones((width + 1, len(x), len(y)), np.float32)] + [np.zeros((width + 1, len(x), len(y)), np.float32) for _ in range(ORDER - 1)]
+    n, m, width = len(x), len(y), int((y > 0).sum(1).max(initial=0))
+    decay = np.float32(DECAY)
+    match = [np.where((y[None, :, j] == np.arange(64)[:, None]) & (y[None, :, j] > 0), decay * decay, 0).astype(np.float32) for j in range(width)]
+    k, run, step = (np.zeros((n, m), np.float32) for _ in range(3))
+    prefix = [None, *(np.zeros((width + 1, n, m), np.float32) for _ in range(ORDER - 1))]
     for a in range(int((x > 0).sum(1).max(initial=0))):
-        same = [(x[:, a, None] == y[None, :, j]) & (x[:, a, None] > 0) for j in range(width)]
+        same = [t[x[:, a]] for t in match]
         for j in range(width):
-            k += DECAY * DECAY * same[j] * prefix[ORDER - 1][j]
+            k += np.multiply(same[j], prefix[ORDER - 1][j], out=step)
         for i in range(ORDER - 1, 0, -1):
-            run = np.zeros((len(x), len(y)), np.float32)
+            run[:] = 0
             for j in range(width):
-                run = DECAY * run + DECAY * DECAY * same[j] * prefix[i - 1][j]
-                prefix[i][j + 1] = DECAY * prefix[i][j + 1] + run
+                run *= decay
+                run += np.multiply(same[j], prefix[i - 1][j], out=step) if i > 1 else same[j]
+                prefix[i][j + 1] *= decay
+                prefix[i][j + 1] += run
     return k
 
 
-def paired_kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The kernel of each row of x with the same row of y."""
-    n, width = len(x), int((y > 0).sum(1).max(initial=0))
-    k = np.zeros(n, np.float32)
+def own_kernel(x: np.ndarray) -> np.ndarray:
+    """The kernel of each row with itself."""
+    n, width = len(x), int((x > 0).sum(1).max(initial=0))
+    k, decay = np.zeros(n, np.float32), np.float32(DECAY)
     prefix = [np.ones((width + 1, n), np.float32)] + [np.zeros((width + 1, n), np.float32) for _ in range(ORDER - 1)]
-    square = np.float32(DECAY * DECAY)
-    decay = np.float32(DECAY)
-    for a in range(int((x > 0).sum(1).max(initial=0))):
-        same = [square * ((x[:, a] == y[:, j]) & (x[:, a] > 0)) for j in range(width)]
-        for j in range(width):
-            k += same[j] * prefix[ORDER - 1][j]
+    for a in range(width):
+        same = decay * decay * ((x[:, a] == x[:, :width].T) & (x[:, a] > 0))
+        k += (same * prefix[ORDER - 1][:width]).sum(0)
         for i in range(ORDER - 1, 0, -1):
             run = np.zeros(n, np.float32)
             for j in range(width):
@@ -73,15 +75,15 @@ def paired_kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return k
 
 
-def own_kernel(x: np.ndarray) -> np.ndarray:
-    """The kernel of each row with itself."""
-    return paired_kernel(x, x)
-
-
 def normal_kernel(x: np.ndarray, y: np.ndarray, block: int = 2000) -> np.ndarray:
+    """The kernel over the root of both rows' own kernels; rows of x go in blocks of like length."""
     own = np.sqrt(own_kernel(y)) + 1e-9
-    parts = [kernel(x[i : i + block], y) / ((np.sqrt(own_kernel(x[i : i + block])) + 1e-9)[:, None] * own) for i in range(0, len(x), block)]
-    return np.concatenate(parts) if parts else np.zeros((0, len(y)), np.float32)
+    out = np.zeros((len(x), len(y)), np.float32)
+    order = np.argsort((x > 0).sum(1), kind="stable")
+    for i in range(0, len(x), block):
+        at = order[i : i + block]
+        out[at] = kernel(x[at], y) / ((np.sqrt(own_kernel(x[at])) + 1e-9)[:, None] * own)
+    return out
 
 
 def letters_of(token: str) -> str:
@@ -89,10 +91,10 @@ def letters_of(token: str) -> str:
     return f"<{token if token.isalpha() else ''.join(filter(str.isalpha, token))}>"
 
 
-def tokens(text: str) -> set[str]:
-    """Distinct tokens of a text, and the words that runs of single characters spell."""
+def tokens(text: str) -> Counter:
+    """Tokens of a text with their counts, and the words that runs of single characters spell."""
     low = text.lower()
-    out = set(low.split())
+    out = Counter(low.split())
     if sum(len(x) == 1 for x in out) > 2:
         out.update("".join(m.group().split()) for m in _SPACED.finditer(low))
     return out
@@ -105,246 +107,278 @@ def pieces(word: str) -> list[str]:
 
 @dataclass
 class Model:
+    """Landmarks, the machine over their kernels, and the weights of (1, largest margin, second, log share of toxic words)."""
+
     landmarks: list[str]
     weights: np.ndarray
     bias: float
-    slope: float
-    shift: float
+    document: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
     def __post_init__(self):
         self.codes = encode(self.landmarks)
-        self.pairs = np.zeros((4096, len(self.landmarks)), np.uint8)
-        for k, x in enumerate(self.codes):
-            own = x[x > 0].astype(int)
-            self.pairs[own[:-1] * 64 + own[1:], k] = 1
-        self.wanted = np.maximum(3, np.ceil(PAIRS * self.pairs.sum(0)))
-        self.own = np.sqrt(own_kernel(self.codes)) + 1e-9
-
-    def similar(self, words: list[str], block: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-        """(indices of words, kernel rows) for words, or parts of long ones, that share enough letter pairs with a landmark."""
-        at = [(i, p) for i, w in enumerate(words) if len(w) >= ORDER + 2 for p in pieces(w)]
-        rows, found = [np.zeros(0, np.int64)], [np.zeros((0, len(self.landmarks)), np.float32)]
-        for b in range(0, len(at) if self.landmarks else 0, block):
-            own = np.array([i for i, _ in at[b : b + block]])
-            x = encode([p for _, p in at[b : b + block]])
-            near = x[:, :-1].astype(np.int64) * 64 + x[:, 1:]
-            over = x[:, :-2].astype(np.int64) * 64 + x[:, 2:]
-            shared = np.zeros((len(x), len(self.landmarks)), np.uint8)
-            for col in range(int((x > 0).sum(1).max()) - 1):
-                shared += self.pairs[np.where(x[:, col + 1] > 0, near[:, col], 0)]
-                if col < WIDTH - 2:
-                    shared += self.pairs[np.where(x[:, col + 2] > 0, over[:, col], 0)]
-            word, mark = np.nonzero(shared >= self.wanted)
-            if len(word):
-                take, at_row = np.unique(word, return_inverse=True)
-                size = np.sqrt(own_kernel(x[take])) + 1e-9
-                values = np.zeros((len(take), len(self.landmarks)), np.float32)
-                values[at_row, mark] = paired_kernel(x[word], self.codes[mark]) / (size[at_row] * self.own[mark])
-                rows.append(own[take])
-                found.append(values)
-        return np.concatenate(rows), np.concatenate(found)
 
     def margins(self, words: list[str]) -> np.ndarray:
-        """SVM margins; a word that shares too few letter pairs with every landmark has the bias."""
-        return self.weigh(len(words), *self.similar(words))
-
-    def dense(self, words: list[str]) -> np.ndarray:
-        """Kernel rows of words of at most WIDTH letters, zeros for those that similar() leaves out."""
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        rows, found = self.similar(words)
-        out[rows] = found
-        return out
-
-    def weigh(self, n: int, rows: np.ndarray, kernels: np.ndarray) -> np.ndarray:
-        out = np.full(n, self.bias, np.float64)
-        np.maximum.at(out, rows, kernels @ self.weights + self.bias)
+        """The machine's margin of each word, the largest one of a long word's parts; words too short for the kernel have the bias."""
+        out = np.full(len(words), self.bias)
+        at = [(i, p) for i, w in enumerate(words) if len(w) >= ORDER + 2 for p in pieces(w)] if self.landmarks else []
+        for b in range(0, len(at), 50_000):
+            own = at[b : b + 50_000]
+            k = normal_kernel(encode([p for _, p in own]), self.codes)
+            np.maximum.at(out, np.array([i for i, _ in own]), k @ self.weights + self.bias)
         return out
 
-    def scores(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -30, 30)))
-
-
-def document_margins(model: Model, texts: list[str], cache: dict[str, float], limit: int = 250_000) -> np.ndarray:
-    """The largest margin of each whole text. cache: margins of tokens met before, emptied at its limit."""
-    out = np.full(len(texts), model.bias)
-    todo: dict[str, list[int]] = {}
-    for i, text in enumerate(texts):
-        for t in tokens(text):
-            m = cache.get(t)
-            if m is None:
-                todo.setdefault(t, []).append(i)
-            elif m > out[i]:
-                out[i] = m
-        if len(todo) > 50_000 or i == len(texts) - 1:
-            own = list(todo)
-            found = model.margins([letters_of(t) for t in own])
-            for t, m in zip(own, found.tolist(), strict=True):
-                for k in todo[t]:
-                    out[k] = max(out[k], m)
-            if len(cache) + len(own) > limit:
-                cache.clear()
-            cache.update(zip(own, found.tolist(), strict=True))
-            todo = {}
+    def scores(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features @ self.document, -30, 30)))
+
+
+def document_features(model: Model, texts: list[str], cache: dict[str, float], limit: int = 250_000) -> np.ndarray:
+    """(1, largest margin, second, log share of toxic words) of each whole text. cache: margins of tokens met before, emptied
+    at its limit."""
+    out = np.tile([1.0, model.bias, model.bias, np.log(0.5 / 20)], (len(texts), 1))
+    counts = [tokens(x) for x in texts]
+    for first in range(0, len(texts), 64):
+        own = counts[first : first + 64]
+        new = list({t for c in own for t in c if t not in cache})
+        if len(cache) + len(new) > limit:
+            cache.clear()
+            new = list({t for c in own for t in c})
+        cache.update(zip(new, model.margins([letters_of(t) for t in new]).tolist(), strict=True))
+        for i, c in enumerate(own, first):
+            if not c:
+                continue
+            m = np.fromiter(map(cache.__getitem__, c), np.float64, len(c))
+            n = np.fromiter(c.values(), np.int64, len(c))
+            top = int(m.argmax())
+            best = m[top]
+            if n[top] == 1:
+                m[top] = model.bias
+            bad = int(n[m > 0].sum()) + int(n[top] == 1 and best > 0)
+            out[i, 1:] = best, m.max(), np.log((bad + 0.5) / (int(n.sum()) + 20))
     return out
 
 
-def hinge_svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, steps: int = 1500) -> tuple[np.ndarray, float]:
-    """A linear SVM (squared hinge, weights c for the rows) by accelerated gradient steps."""
+def svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, steps: int = 50) -> tuple[np.ndarray, float]:
+    """A linear SVM (squared hinge, weights c for the rows) by Newton steps over the rows inside the margin."""
     z = np.concatenate([x, np.ones((len(x), 1))], 1)
-    rate = 1 / (1 + 2 * np.linalg.norm(z * np.sqrt(c)[:, None], 2) ** 2)
-    w = v = np.zeros(z.shape[1])
-    for k in range(steps):
-        gap = np.maximum(0, 1 - y * (z @ v))
-        new = v - rate * (v - 2 * z.T @ (c * gap * y))
-        v = new + k / (k + 3) * (new - w)
-        w = new
+    w, before = np.zeros(z.shape[1]), None
+    for _ in range(steps):
+        inside = np.flatnonzero(y * (z @ w) < 1)
+        if before is not None and np.array_equal(inside, before):
+            break
+        before, own = inside, z[inside] * c[inside, None]
+        w = np.linalg.solve(np.eye(z.shape[1]) + 2 * own.T @ z[inside], 2 * own.T @ y[inside])
     return w[:-1], float(w[-1])
 
 
-def logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic fit of labels on margins (Newton steps, smoothed targets, the rarer class raised half-way)."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of a logistic fit (Newton steps, ridge on all but the constant, the rarer class raised half-way)."""
     pos, neg = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     c = np.where(y > 0, (pos * len(y)) ** -0.5, (neg * len(y)) ** -0.5)
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        g = np.array([(c * (p - t) * m).sum() + 1e-4 * a, (c * (p - t)).sum()])
-        q = c * p * (1 - p)
-        h = np.array([[(q * m * m).sum() + 1e-4, (q * m).sum()], [(q * m).sum(), q.sum() + 1e-9]])
-        step = np.linalg.solve(h, g)
-        a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
-    return float(a), float(b)
-
-
-def _g2(k: int, c: int, n: int, m: int) -> float:
-    """G-squared of k of n against c of m, 0 unless the first share is 10 times the second (half a count more)."""
-    if k * (m + 1) < 10 * (c + 0.5) * n:
-        return 0.0
-    p = (k + c) / (n + m)
-    part = lambda x, e: x * np.log(x / e) if x else 0.0
-    return 2 * (part(k, n * p) + part(c, m * p) + part(n - k, n * (1 - p)) + part(m - c, m * (1 - p)))
-
+    mean, size = x[:, 1:].mean(0), x[:, 1:].std(0) + 1e-9
+    z = np.concatenate([x[:, :1], (x[:, 1:] - mean) / size], 1)
+    w, pull = np.zeros(z.shape[1]), np.diag([1e-6, *[ridge] * (z.shape[1] - 1)])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (c * p * (1 - p))[:, None]).T @ z + pull, z.T @ (c * (p - y)) + pull @ w)
+        w = w - np.clip(step, -2, 2)
+    out = w.copy()
+    out[1:] /= size
+    out[0] -= (out[1:] * mean).sum()
+    return out
 
-def fit(rows: list[tuple[list[str], int]], n_landmarks: int = LANDMARKS) -> Model:
-    """Fit on (distinct tokens, label) of labelled documents; the list is used up.
 
-    Letter sequences of 3 to 6 letters that toxic documents have and others lack point out each toxic document's likeliest
-    word (its witness). Landmarks are witnesses that differ from each other; the SVM parts witnesses from other documents'
-    words, those most like the landmarks among them.
+def _g2(k: np.ndarray, c: np.ndarray, n: int, m: int) -> np.ndarray:
+    """G-squared of k of n against c of m, 0 unless the first share is 10 times the second (half a count more)."""
+    p = (k + c) / (n + m)
+    part = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9)), 0.0)
+    g = 2 * (part(k, n * p) + part(c, m * p) + part(n - k, n * (1 - p)) + part(m - c, m * (1 - p)))
+    return np.where(k * (m + 1.0) < 10 * (c + 0.5) * n, 0.0, g)
+
+
+def _grams(codes: np.ndarray, known: np.ndarray | None = None, block: int = 20_000):
+    """(rows, packed letter sequences of the lengths in GRAMS), each once a row; only those in the sorted array known."""
+    for first in range(0, len(codes), block):
+        x = codes[first : first + block].astype(np.uint64)
+        rows, keys = [], []
+        for k in GRAMS:
+            packed = np.zeros((len(x), WIDTH - k + 1), np.uint64)
+            for i in range(k):
+                packed = packed << np.uint64(6) | x[:, i : WIDTH - k + 1 + i]
+            r, a = np.nonzero(x[:, k - 1 :])
+            g = packed[r, a]
+            if known is not None and len(known):
+                keep = known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g
+                r, g = r[keep], g[keep]
+            rows.append(r)
+            keys.append(g)
+        r, g = np.concatenate(rows), np.concatenate(keys)
+        by = np.lexsort((r, g))
+        r, g = r[by], g[by]
+        once = np.concatenate([[True], (g[1:] != g[:-1]) | (r[1:] != r[:-1])])[: len(g)]
+        yield r[once] + first, g[once]
+
+
+def _unpacked(gram: int) -> bytes:
+    out = []
+    while gram:
+        out.append(gram & 63)
+        gram >>= 6
+    return bytes(out[::-1])
+
+
+def _grown(gram: bytes, words: list[str], codes: list[bytes], weight: np.ndarray, least: float = 0.8) -> str:
+    """The gram's letters in the words that hold it, with the letters before and after that most of them agree on."""
+    at = [c.find(gram) for c in codes]
+    lo, hi, total = 0, len(gram), weight.sum()
+    for step in (-1, 1):
+        while hi - lo < WIDTH:
+            k = lo - 1 if step < 0 else hi
+            found: Counter = Counter()
+            for a, w, n in zip(at, words, weight.tolist(), strict=True):
+                if 0 <= a + k < len(w):
+                    found[w[a + k]] += n
+            if not found or found.most_common(1)[0][1] < least * total:
+                break
+            lo, hi = (lo - 1, hi) if step < 0 else (lo, hi + 1)
+    first = max(range(len(words)), key=lambda i: (0 <= at[i] + lo and at[i] + hi <= len(words[i]), weight[i], words[i]))
+    return words[first][max(0, at[first] + lo) : at[first] + hi]
+
+
+def landmarks(words: list[str], clean: np.ndarray, n_clean: int, toxic: list[np.ndarray], most: int = LANDMARKS):
+    """(landmarks, numbers of toxic documents in which they explain each word). toxic: each toxic document's words, by number.
+
+    Landmarks are letter sequences that toxic documents have and others lack, the strongest first. One explains the toxic
+    documents' words that hold it; the next is sought among the other words. A document counts half as much for each word
+    that is explained, so that words which copies of a toxic document share by chance don't pass for insults.
     """
-    one: dict[str, str] = {}
-    for i, (words, y) in enumerate(rows):
-        rows[i] = ({one.setdefault(x, x) for x in map(letters_of, words)}, y)
-    del one
-    toxic = [w for w, y in rows if y]
-    if not toxic or len(toxic) == len(rows):
-        rate = len(toxic) / len(rows) if rows else 0.0
-        return Model([], np.zeros(0), 0.0, 0.0, float(np.log((rate + 0.01) / (1.01 - rate))))
-    grams = lambda w: {w[i : i + k] for k in range(3, 7) for i in range(len(w) - k + 1)}
-    n_bad, n_clean = len(toxic), len(rows) - len(toxic)
-    bad_words: dict[str, int] = {}
-    clean_words: dict[str, int] = {}
-    for words, y in rows:
-        own = bad_words if y else clean_words
-        for w in words:
-            own[w] = own.get(w, 0) + 1
-    bad: dict[str, int] = {}
-    for w, k in bad_words.items():
-        if w not in clean_words:
-            for g in grams(w[:64]):
-                bad[g] = bad.get(g, 0) + k
-    bad = {g: k for g, k in bad.items() if k >= 3}
-    clean = dict.fromkeys(bad, 0)
-    for w, k in clean_words.items():
-        for g in grams(w[:64]):
-            if g in clean:
-                clean[g] += k
-    # G-squared of a letter sequence's counts; what chance gives the best of so many sequences is no evidence
-    chance = 2 * np.log(max(2, len(bad))) - 2
-    evidence = {g: v for g, k in bad.items() if (v := _g2(min(k, n_bad), min(clean.get(g, 0), n_clean), n_bad, n_clean)) > chance}
-    witness: dict[str, int] = {}
-    value: dict[str, float] = {}
-    for words in toxic:
-        scored = [(max((evidence.get(g, 0.0) for g in grams(w[:64])), default=0.0), w) for w in words if len(w) >= ORDER + 2 and w not in clean_words]
-        best = max((v for v, _ in scored), default=0.0)
-        for v, w in scored:
-            if v > 0 and v >= 0.8 * best:
-                witness[w] = witness.get(w, 0) + 1
-                value[w] = v
-    names = sorted(witness, key=lambda w: (-witness[w] * value[w], w))
-    chosen: list[str] = []
-    for w in (w for w in names[:600] if len(w) <= WIDTH):
-        if len(chosen) == n_landmarks:
+    codes = encode(words)
+    doc = np.repeat(np.arange(len(toxic)), [len(x) for x in toxic])
+    word = np.concatenate([np.zeros(0, np.int64), *toxic])
+    bad = np.bincount(word, minlength=len(words)).astype(float)
+    own = np.flatnonzero(bad > 0)
+    found = list(_grams(codes[own]))
+    row, key = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.uint64) for i in (0, 1))
+    known, place = np.unique(key, return_inverse=True)
+    row = own[row.astype(np.int64)]
+    often = np.bincount(place, bad[row], len(known)) >= 3
+    row, key, known = row[often[place]], key[often[place]], known[often]
+    gram = np.searchsorted(known, key)
+    c = np.zeros(len(known))
+    for r, g in _grams(codes, known) if len(known) else ():
+        np.add.at(c, np.searchsorted(known, g), clean[r])
+    length = np.array([len(_unpacked(int(g))) for g in known.tolist()])
+    chance = 2 * np.log(max(2, len(known))) - 2  # what chance gives the best of so many sequences is no evidence
+    out: list[str] = []
+    explained, weight = np.zeros(len(words), bool), np.ones(len(toxic))
+    while len(out) < most and len(known):
+        k = np.bincount(gram, np.bincount(word, weight[doc], len(words))[row], len(known))
+        n = float(weight.sum())
+        g2 = _g2(np.minimum(k, n), np.minimum(c, n_clean), n, n_clean)
+        if g2.max() <= chance:
             break
-        if not chosen or normal_kernel(encode([w]), encode(chosen)).max() < 0.7:
-            chosen.append(w)
-    if not chosen:
-        rate = n_bad / len(rows)
-        return Model([], np.zeros(0), 0.0, 0.0, float(np.log((rate + 0.01) / (1.01 - rate))))
-    near = Model(chosen, np.ones(len(chosen)), 0.0, 1.0, 0.0)
-    others = sorted(w for w in clean_words if ORDER + 2 <= len(w) <= WIDTH)
-    like = near.margins(others)
-    hard = [others[i] for i in np.argsort(-like, kind="stable")[:2000]]
-    positive = [w for w in names[:1500] if len(w) <= WIDTH]
-    negative = sorted({*hard, *others[:: max(1, len(others) // 1500)]})
-    marks = encode(chosen)
-    values, vectors = np.linalg.eigh(normal_kernel(marks, marks).astype(np.float64))
-    keep = values > 1e-4
-    root = vectors[:, keep] / np.sqrt(values[keep])
-    every = sorted({*bad_words, *clean_words})
-    rows_of = near.similar(every)
-    for _ in range(3):  # other documents' words that the last machine took for insults join the negative rows
-        x = near.dense([*positive, *negative]) @ root
-        y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        c = np.array([witness[w] for w in positive], float)
-        c = np.concatenate([1000 * c / c.sum(), np.full(len(negative), 3000 / len(negative))])
-        w, bias = hinge_svm(x, y, c)
-        model = Model(chosen, (root @ w).astype(np.float64), bias, 1.0, 0.0)
-        known = dict(zip(every, model.weigh(len(every), *rows_of).tolist(), strict=True))
-        wrong = sorted((t for t in clean_words if known[t] > -0.7 and len(t) <= WIDTH), key=lambda t: (-known[t], t))[:2000]
-        if set(wrong) <= set(negative):
-            break
-        negative = sorted({*negative, *wrong})
-    m = np.array([max([bias, *(known[t] for t in words)]) for words, _ in rows])
-    model.slope, model.shift = logistic(m, np.array([float(y) for _, y in rows]))
-    return model
+        best = max(np.flatnonzero(g2 >= 0.95 * g2.max()).tolist(), key=lambda i: (length[i], g2[i], i))
+        new = np.unique(row[gram == best])
+        mark = _grown(_unpacked(int(known[best])), [words[i] for i in new.tolist()], [bytes(codes[i]) for i in new.tolist()], bad[new])
+        if mark not in out:
+            out.append(mark)
+        explained[new] = True
+        gone = np.isin(row, new)
+        c -= np.bincount(gram[gone], clean[row[gone]], len(known))
+        row, gram = row[~gone], gram[~gone]
+        weight *= 0.5 ** np.bincount(doc[np.isin(word, new)], minlength=len(toxic))
+    return out, np.where(explained, bad, 0.0)
+
+
+def fit(counts: dict[str, int], n_clean: int, toxic: list[list[str]], most: int = LANDMARKS) -> Model:
+    """Landmarks and machine from the words of toxic training documents and the numbers of others that each word is in.
+
+    The machine parts words that landmarks explain, weighted by their toxic documents, from all words of other documents.
+    """
+    number: dict[str, int] = {}
+    split = {w: [number.setdefault(p, len(number)) for p in pieces(w)] if len(w) >= ORDER + 2 else [] for w in sorted({*counts, *(w for x in toxic for w in x)})}
+    clean = np.zeros(len(number))
+    for w, c in counts.items():
+        clean[split[w]] += c
+    words = list(number)
+    rows = [np.unique(np.array([k for w in x for k in split[w]], np.int64)) for x in toxic]
+    marks, bad = landmarks(words, clean, n_clean, rows, most) if toxic and n_clean else ([], None)
+    rate = np.log((len(toxic) + 0.5) / (n_clean + 0.5))
+    if not marks:
+        return Model([], np.zeros(0), 0.0, np.array([rate, 0.0, 0.0, 0.0]))
+    values, vectors = np.linalg.eigh(normal_kernel(encode(marks), encode(marks)).astype(np.float64))
+    root = vectors[:, values > 1e-4] / np.sqrt(values[values > 1e-4])
+    positive, negative = np.flatnonzero(bad), np.flatnonzero(clean)
+    every = np.concatenate([positive, negative])
+    x = normal_kernel(encode([words[i] for i in every.tolist()]), encode(marks)) @ root
+    y = np.repeat([1.0, -1.0], [len(positive), len(negative)])
+    c = np.concatenate([1000 * bad[positive] / bad.sum(), 3000 * np.sqrt(clean[negative]) / np.sqrt(clean[negative]).sum()])
+    w, bias = svm(x, y, c)
+    return Model(marks, root @ w, bias, np.array([rate, 0.0, 0.0, 0.0]))
+
+
+def words_of(text: str | None) -> list[str]:
+    """Distinct words of a text, in order."""
+    return sorted(set(map(letters_of, tokens(text or ""))))
+
+
+def _words(batches):
+    for batch in slices(batches):
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([words_of(x) for x in batch.column("text").to_pylist()], pa.list_(pa.string()))], names=["toxic", "words"])
 
 
-def _tokens(batches):
-    for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([sorted(tokens(x or "")) for x in batch.column("text").to_pylist()], pa.list_(pa.string()))], names=["toxic", "words"])
+def _featured(shared):
+    def run(batches):
+        model, cache = shared.value, {}
+        for batch in slices(batches):
+            f = document_features(model, [x or "" for x in batch.column("text").to_pylist()], cache)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(f[:, i]) for i in range(4))], names=["toxic", "f0", "f1", "f2", "f3"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS, seed: int = 5) -> Model:
-    """Fit on a sample, by hash of doc_id, of about toxic_rows toxic and other_rows other labelled documents (or all)."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-    part = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))
-    rate = F.when(F.col("toxic") == 1, toxic_rows / max(1, n.get(1, 0))).otherwise(other_rows / max(1, n.get(0, 0)))
-    sample = F.broadcast(known.where(part < rate).limit(2 * (toxic_rows + other_rows)))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("toxic", "text").limit(2 * (toxic_rows + other_rows)).mapInArrow(_tokens, "toxic int, words array<string>")
-    found = []
-    for batch in rows.toArrow().to_batches():
-        for y, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found.append((words.as_py(), int(y)))
-    found.sort(key=lambda r: (r[1], len(r[0]), r[0][:20]))
-    return fit(found)
+    """Fit on toxic_rows toxic and other_rows other labelled documents (or all), those whose doc_id hashes least.
+
+    A doc_id is toxic if one of its labels is 1; labels other than 0 and 1 and null ids don't count. Of several texts of a
+    doc_id the least is taken. Equal tables give equal models. Without toxic or without other rows the model has no
+    landmarks, and every document gets the share of toxic rows as its score. The driver holds the sample's distinct words, of
+    each toxic document and of all others together.
+    """
+    spark = docs.sparkSession
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    here = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    order = (F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
+    sample = here.where("toxic = 1").orderBy(*order).limit(toxic_rows).unionByName(here.where("toxic = 0").orderBy(*order).limit(other_rows))
+    sample = store(sample, "toxicity-sample")  # at most toxic_rows + other_rows pairs of numbers
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    rows = store(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-rows")
+    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+    words = store(rows.mapInArrow(_words, "toxic int, words array<string>"), "toxicity-words")
+    found = words.where("toxic = 0").select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c")).toArrow()
+    toxic = [x.as_py() for batch in words.where("toxic = 1").select("words").toArrow().to_batches() for x in batch.column(0)]
+    model = fit(dict(zip(found["w"].to_pylist(), found["c"].to_pylist(), strict=True)), n.get(0, 0), sorted(toxic))
+    if model.landmarks:
+        got = rows.mapInArrow(_featured(spark.sparkContext.broadcast(model)), "toxic int, f0 double, f1 double, f2 double, f3 double").toPandas().to_numpy(float)
+        model.document = logistic(got[:, 1:], got[:, 0])
+    return model
 
 
 def _scored(shared):
     def run(batches):
         model, cache = shared.value, {}
         for batch in slices(batches):
-            m = document_margins(model, [x or "" for x in batch.column("text").to_pylist()], cache)
-            s = model.scores(m)
+            s = model.scores(document_features(model, [x or "" for x in batch.column("text").to_pylist()], cache))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score and predicted of docs' whole texts (doc_id, held_out, text); a null text is an empty one."""
+    """doc_id, held_out, score and predicted of docs' whole texts (doc_id, held_out, text), a row for each row.
+
+    A map over rows: a null text is an empty one, repeated rows score alike, an empty table stays empty, and a document of
+    any length is taken whole. Equal margins of different words don't matter, as only the margins' values are used.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "held_out", "text").mapInArrow(_scored(shared), "doc_id long, held_out boolean, score double, predicted int")
 

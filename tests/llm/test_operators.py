@@ -393,6 +393,50 @@ def test_empty_tables(spark):
     assert decontaminate.decontaminate(full, bench).count() == 2
 
 
+def plain_margin(model, token):
+    """The machine's margin of a token, by the kernel's definition."""
+
+    def k(s, t):
+        total = 0.0
+        for a in itertools.combinations(range(len(s)), toxicity.ORDER):
+            for b in itertools.combinations(range(len(t)), toxicity.ORDER):
+                if all(s[i] == t[j] for i, j in zip(a, b, strict=True)):
+                    total += toxicity.DECAY ** (a[-1] - a[0] + 1 + b[-1] - b[0] + 1)
+        return total
+
+    w = "<" + "".join(c for c in token.lower() if c.isalpha()) + ">"
+    if len(w) < toxicity.ORDER + 2:
+        return model.bias
+    return sum(v * k(w, m) / np.sqrt(k(w, w) * k(m, m)) for m, v in zip(model.landmarks, model.weights, strict=True)) + model.bias
+
+
+def test_toxicity_scores_follow_from_the_plain_kernel(spark):
+    r = random.Random(18)
+    bad = ["idiot", "clown", "worthless"]
+    word = lambda: "".join(r.choices(["tha", "ner", "ing", "ou"], k=r.randrange(1, 4)))
+    rows = [(i, " ".join(r.sample([word() for _ in range(12)] + r.choices(bad, k=2) * (i % 4 == 0), k=12))) for i in range(120)]
+    rows += [(200, None), (201, ""), (202, "i d i o t !"), (203, "idxiot id.iot"), rows[4], rows[4]]
+    docs = table(spark, rows).withColumn("held_out", F.lit(True))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)] + [(4, 0), (None, 1), (7, 5)], "doc_id long, toxic int")
+    model, again = (toxicity.train(docs, labels) for _ in range(2))
+    assert model.landmarks == again.landmarks and np.allclose(model.weights, again.weights) and np.allclose(model.document, again.document)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(rows)
+    text = dict(rows)
+    for x in got:
+        low = (text[x["doc_id"]] or "").lower()
+        words = low.split() + (["idiot"] if x["doc_id"] == 202 else [])
+        margins = sorted((plain_margin(model, w) for w in words), reverse=True)
+        first, second = ([*margins, model.bias, model.bias])[:2]
+        share = np.log((sum(m > 0 for m in margins) + 0.5) / (len(words) + 20))
+        z = model.document @ [1, first if words else model.bias, second if words else model.bias, share]
+        assert abs(x["score"] - 1 / (1 + np.exp(-z))) < 1e-3 and x["predicted"] == (x["score"] >= 0.5)
+    score = {x["doc_id"]: x["score"] for x in got}
+    assert score[203] > 0.5 > score[200] == score[201]
+    none = spark.createDataFrame([], "doc_id long, text string, held_out boolean")
+    assert toxicity.score(none, model).count() == 0 and toxicity.train(none, labels).landmarks == []
+
+
 def test_signatures_join_similar_sets_and_few_others():
     r = np.random.default_rng(5)
     sets = [np.sort(r.integers(0, 1 << 64, int(n), dtype=np.uint64)) for n in r.integers(4, 13, 20_000)]
