@@ -72,7 +72,7 @@ BELIEF_NEGATIONS = ("不", "没", "无", "非", "否", "别", "不是", "没有"
 OVERRIDE_TIER1 = ("不再", "改成", "换成", "搬到", "现在是", "已经是", "不是", "而是", "从", "到", "修正", "更正", "变成", "其实是", "实际上", "事实上", "准确说")
 OVERRIDE_TIER2 = ("逗你的", "开玩笑", "骗你的", "瞎说的", "胡说", "刚才说错了", "说反了", "搞错了", "弄错了")
 STOP_WORDS = ("的", "了", "在", "是", "我", "你", "他", "她", "它", "the", "a", "an", "is", "are", "was", "were")
-FIXED_ENTITIES = ("我", "你", "他", "她", "用户", "Ktao", "Tkao", "项目", "系统", "工具", "应用", "App", "北京", "上海", "深圳", "广州", "杭州", "河南", "郑州", "公司", "学校", "大学", "医院", "团队")
+FIXED_ENTITIES = ("我", "你", "他", "她", "用户", "项目", "系统", "工具", "应用", "App", "北京", "上海", "深圳", "广州", "杭州", "河南", "郑州", "公司", "学校", "大学", "医院", "团队")
 NUMBERED_ENTITIES = (r"项目_\d+", r"城市_\d+", r"地点_\d+", r"组织_\d+", r"团队_\d+")
 QUOTES = ("「([^」]+)」", "『([^』]+)』", "“([^”]+)”", "‘([^’]+)’", "《([^》]+)》", "'([^']+)'", '"([^"]+)"')
 BUILTIN_ENTITIES = (r"机器人[_\-]?\d+", r"项目[_\-]?[A-Z]", r"城市[_\-]?\d+", r"用户[_\-]?\d+", r"Agent[_\-]?\d+", r"协议[_\-]?[A-Z]")

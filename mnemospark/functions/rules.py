@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .text import any_of, extract_all, floor_days, found_words, matches
+from .text import any_of, any_of_lower, extract_all, floor_days, found_words, matches
 
 # --- noise ---------------------------------------------------------------------------------------------------------
 
@@ -14,7 +14,7 @@ def noise_reason(content: Column, importance: Column | None = None, n_entities:
     text = F.trim(content)
     importance = F.lit(0.5) if importance is None else importance
     out = (
-        F.when(matches(text, patterns, "(?i)"), "pattern").when(any_of(F.lower(text), keywords), "keyword")
+        F.when(matches(text, patterns, "(?i)"), "pattern").when(any_of_lower(text, keywords), "keyword")
         .when(matches(text, conversation, "(?i)"), "conversation").when(matches(text, distraction, "(?i)"), "pattern")
         .when(F.length(text) < 5, "length").when(importance < 0.2, "importance")
     )
@@ -241,7 +241,12 @@ def conflict_reason(*args) -> Column:
 
 def contradictory(new_content: Column, new_s: Column, old_s: Column, words=L.CONTRADICTION_WORDS) -> Column:
     """F21."""
-    return any_of(F.lower(new_content), words) | F.coalesce((new_s > old_s) & (floor_days(new_s, old_s) > 7), F.lit(False))
+    return any_of(F.lower(new_content), words) | later(new_s, old_s)
+
+
+def later(new_s: Column, old_s: Column, days: int = 7) -> Column:
+    """Is new more than so many whole days after old?"""
+    return F.coalesce((new_s > old_s) & (floor_days(new_s, old_s) > days), F.lit(False))
 
 
 def override_tier(content: Column, tier1=L.OVERRIDE_TIER1, tier2=L.OVERRIDE_TIER2) -> Column:

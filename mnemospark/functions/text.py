@@ -15,9 +15,16 @@ def any_of(text: Column, words) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words), F.lit(False))
 
 
+def any_of_lower(text: Column, words) -> Column:
+    """Does the lower-cased text contain one of the words? Words without case are sought in the text as it is."""
+    plain = [w for w in words if w.lower() == w == w.upper()]
+    cased = [w for w in words if w not in plain]
+    return any_of(text, plain) | any_of(F.lower(text), cased) if cased else any_of(text, plain)
+
+
 def matches(text: Column, patterns, flags: str = "") -> Column:
-    """Does one of the patterns match somewhere? One alternation, so one pass."""
-    return text.rlike(flags + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+    """Does one of the patterns match somewhere? One alternation, so one pass; a leading .* adds nothing to a search."""
+    return text.rlike(flags + "|".join(f"(?:{p.removeprefix('.*')})" for p in patterns)) if patterns else F.lit(False)
 
 
 def found_words(text: Column, words) -> Column:

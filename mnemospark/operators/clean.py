@@ -19,6 +19,12 @@ def importance_filter(segments: DataFrame, importance: Column, threshold: float
     return sure.unionByName(open_)
 
 
+def sample(segments: DataFrame, n: int = 3, order: str = "ord") -> DataFrame:
+    """The first n filtered segments, as a log shows them: importance to one place and 40 characters."""
+    line = F.concat(F.lit("["), F.format_number("importance", 1), F.lit("] "), F.substring("content", 1, 40), F.lit("..."))
+    return segments.orderBy(order).limit(n).select(order, line.alias("line"))
+
+
 def mini_filter(pending: DataFrame, threshold: float = 0.5) -> DataFrame:
     """pending rows (content, urgent, importance): no noise, and urgent or important."""
     return pending.where(noise_reason(F.col("content")).isNull() & (F.col("urgent") | (F.col("importance") >= threshold)))

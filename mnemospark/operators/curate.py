@@ -1,5 +1,7 @@
 """Curation: dedup, conflicts, beliefs, summaries, profiles, decay, expiry, archive (J06-J08, J14, J18, A06, A07, A09, F12-F22, D*)."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,19 +74,53 @@ def entity_pairs(new: DataFrame, old: DataFrame, links: DataFrame) -> DataFrame:
     return a.join(b, "entity").select("a", "b").distinct()
 
 
+def token_pairs(new: DataFrame, old: DataFrame, least: float, of: str = "union") -> DataFrame:
+    """(a, b) of token sets (mid, tokens) that may share `least` of what they hold together (of='union'), of new's tokens
+    ('new') or of the smaller set's ('smaller').
+
+    Such sets share one of the first n - ceil(least * n) + 1 tokens of one side, in any common order. Rare tokens come first,
+    so common words, which many records have, are hardly ever joined on.
+    """
+    rows = [df.select("mid", F.size("tokens").alias("n"), F.explode("tokens").alias("w")) for df in (new, old)]
+    common = rows[0].select("w").unionByName(rows[1].select("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    need = F.ceil(F.col("n") * least - 1e-9)
+
+    def first(r: DataFrame, key: str) -> DataFrame:
+        order = F.array_sort(F.collect_list(F.struct("df", "w")))
+        cut = r.join(common, "w").groupBy("mid", "n").agg(order.alias("o")).select("mid", "n", F.explode(F.slice("o", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("x"))
+        return cut.select(F.col("mid").alias(key), F.col("n").alias(f"n_{key}"), "x.w")
+
+    whole = lambda r, key: r.select(F.col("mid").alias(key), F.col("n").alias(f"n_{key}"), "w")
+    if of == "union":
+        sizes = (F.col("n_a") >= F.col("n_b") * least) & (F.col("n_b") >= F.col("n_a") * least)
+        return first(rows[0], "a").join(first(rows[1], "b"), "w").where(sizes).select("a", "b").distinct()
+    pairs = first(rows[0], "a").join(whole(rows[1], "b"), "w")
+    if of == "new":
+        return pairs.select("a", "b").distinct()
+    pairs = pairs.where("n_a <= n_b").unionByName(whole(rows[0], "a").join(first(rows[1], "b"), "w").where("n_b < n_a"))
+    return pairs.select("a", "b").distinct()
+
+
 _SIDE = ("content", "created_s", "confidence", "ownership", "importance", "score", "ord")
 
 
-def paired(new: DataFrame, old: DataFrame, links: DataFrame, tokens) -> DataFrame:
-    """entity_pairs with both sides' columns (n_*, o_*) and token sets, which are made once for each record."""
-    side = lambda df, p, k: df.select(F.col("mid").alias(k), *(F.col(c).alias(p + c) for c in _SIDE), tokens(F.col("content")).alias(p + "tokens"))
-    return entity_pairs(new, old, links).join(side(new, "n_", "a"), "a").join(side(old, "o_", "b"), "b")
+def paired(new: DataFrame, old: DataFrame, links: DataFrame, tokens, least: float, of: str = "union", small: int = 0) -> DataFrame:
+    """Pairs of new and old records that share an entity and may share `least` of their tokens (see token_pairs), or have
+    fewer than `small` tokens on a side; with both sides' columns (n_*, o_*) and token sets, made once for each record."""
+    names = links.groupBy("mid").agg(F.collect_set("entity").alias("entities"))
+    sides = [df.select("mid", *_SIDE, tokens(F.col("content")).alias("tokens")).join(names, "mid") for df in (new, old)]
+    pairs = token_pairs(sides[0].select("mid", "tokens"), sides[1].select("mid", "tokens"), least, of)
+    if small:
+        few = [x.where(F.size("tokens") < small).select("mid") for x in sides]
+        pairs = pairs.unionByName(entity_pairs(few[0], old, links)).unionByName(entity_pairs(new, few[1], links)).distinct()
+    side = lambda df, p, k: df.select(F.col("mid").alias(k), *(F.col(c).alias(p + c) for c in (*_SIDE, "tokens", "entities")))
+    return pairs.join(side(sides[0], "n_", "a"), "a").join(side(sides[1], "o_", "b"), "b").where(F.arrays_overlap("n_entities", "o_entities"))
 
 
 def decide(new: DataFrame, old: DataFrame, links: DataFrame, threshold: float = 0.7, words=L.CONTRADICTION_WORDS) -> DataFrame:
     """(a, op, target, conflict) for each new record. The target is the first old record, in stored order, that shares an
     entity, is similar beyond the threshold and contradicted. UPDATE, NOOP or ADD by the conflict score; ADD without a target."""
-    p = paired(new, old, links, word_tokens).where(jaccard(F.col("n_tokens"), F.col("o_tokens")) > threshold).where(R.contradictory(F.col("n_content"), F.col("n_created_s"), F.col("o_created_s"), words))
+    p = paired(new, old, links, word_tokens, threshold).where(jaccard(F.col("n_tokens"), F.col("o_tokens")) > threshold).where(R.contradictory(F.col("n_content"), F.col("n_created_s"), F.col("o_created_s"), words))
     score = R.conflict_score(*(F.col(c) for c in ("n_created_s", "o_created_s", "n_confidence", "o_confidence", "n_ownership", "o_ownership")))
     target = p.groupBy("a").agg(F.min_by(F.struct("b", score.alias("s")), F.struct("o_ord", "b")).alias("t"))
     action = R.conflict_action(F.col("t.s"))
@@ -104,7 +140,8 @@ def apply_decisions(old: DataFrame, new: DataFrame, decisions: DataFrame) -> Dat
 def overlap_dedup(new: DataFrame, old: DataFrame, links: DataFrame, least: float = 0.3, tier1=L.OVERRIDE_TIER1, tier2=L.OVERRIDE_TIER2, penalties=(0.1, 0.4)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(inserts, updates, downgrades). A new record like an old one (containment or overlap) is its duplicate, unless it
     carries an override signal: then the old one is downgraded. All are judged on the input version: downgrades multiply."""
-    p = paired(new, old, links, lambda c: mixed_tokens(F.lower(c)))
+    # A text inside another shares all its tokens but the first and the last, so only texts of few tokens need more pairs.
+    p = paired(new, old, links, lambda c: mixed_tokens(F.lower(c)), least, "smaller", math.ceil(2 / (1 - least)) if least < 1 else 2**31 - 1)
     p = p.withColumn("overlap", overlap_coefficient(F.col("n_tokens"), F.col("o_tokens"))).withColumn("tier", R.override_tier(F.col("n_content"), tier1, tier2))
     n, o = F.lower("n_content"), F.lower("o_content")
     like = p.where(F.contains(n, o) | F.contains(o, n) | (F.col("overlap") >= least))
@@ -122,7 +159,7 @@ def overlap_dedup(new: DataFrame, old: DataFrame, links: DataFrame, least: float
 def verify_beliefs(beliefs: DataFrame, facts: DataFrame, links: DataFrame, negations=L.BELIEF_NEGATIONS) -> DataFrame:
     """(mid, verdict, fact, confidence): the first fact, in stored order, that shares an entity and confirms (overlap over
     half) or contradicts (one side negated, overlap over 0.3) the belief; else unchanged."""
-    p = paired(beliefs, facts, links, whitespace_words)
+    p = paired(beliefs, facts, links, whitespace_words, 0.3, "new")
     overlap = F.size(F.array_intersect("n_tokens", "o_tokens")) / F.greatest(F.size("n_tokens"), F.lit(1))
     negated = any_of(F.lower("n_content"), negations) != any_of(F.lower("o_content"), negations)
     verdict = F.when(overlap > 0.5, "confirmed").when(negated & (overlap > 0.3), "contradicted")
@@ -180,10 +217,11 @@ def summaries(facts: DataFrame, links: DataFrame, last: DataFrame, as_of_s: int,
 
 
 def profiles(memories: DataFrame, links: DataFrame) -> DataFrame:
-    """For each entity the sorted ids of its facts, beliefs and summaries, and the count of facts and beliefs."""
+    """An entity's profile as rows (entity, mtype, mid, n), n its number of facts and beliefs. Rows, not lists: an entity
+    of very many records is never gathered."""
     rows = links.join(memories.select("mid", "mtype"), "mid")
-    ids = lambda t: F.array_sort(F.collect_list(F.when(F.col("mtype") == t, F.col("mid"))))
-    return rows.groupBy("entity").agg(ids("fact").alias("facts"), ids("belief").alias("beliefs"), ids("summary").alias("summaries"), F.count_if(F.col("mtype").isin("fact", "belief")).alias("n"))
+    counts = rows.groupBy("entity").agg(F.count_if(F.col("mtype").isin("fact", "belief")).alias("n"))
+    return rows.join(counts, "entity").select("entity", "mtype", "mid", "n")
 
 
 # --- forms from the design notes ---------------------------------------------------------------------------------------
@@ -202,15 +240,15 @@ def vote(versions: DataFrame, as_of_s: int, rate: float = 0.01) -> DataFrame:
 
 
 def merge_attributes(rows: DataFrame, classes: dict[str, tuple], links: DataFrame) -> DataFrame:
-    """(entity, attribute) with the newest content and the history of the earlier ones, oldest first."""
+    """(entity, attribute, mid, created_s, content, newest): an attribute's newest record and, as rows, its history."""
     attribute = None
     for name, words in classes.items():
         hit = any_of(F.col("content"), words)
         attribute = F.when(hit, name) if attribute is None else attribute.when(hit, name)
-    r = rows.withColumn("attribute", attribute).where("attribute IS NOT NULL").join(links, "mid")
-    g = r.groupBy("entity", "attribute").agg(F.array_sort(F.collect_list(F.struct("created_s", "mid", "content"))).alias("h"))
-    n = F.size("h")
-    return g.select("entity", "attribute", F.col("h")[n - 1]["content"].alias("content"), F.transform(F.slice("h", 1, n - 1), lambda x: x["mid"]).alias("history"))
+    r = rows.select("mid", "created_s", "content", attribute.alias("attribute")).where("attribute IS NOT NULL").join(links, "mid")
+    last = r.groupBy("entity", "attribute").agg(F.max(F.struct("created_s", "mid")).alias("last"))
+    newest = F.struct("created_s", "mid") == F.col("last")
+    return r.join(last, ["entity", "attribute"]).select("entity", "attribute", "mid", "created_s", "content", newest.alias("newest"))
 
 
 def deny(beliefs: DataFrame, verdicts: DataFrame, step: float = 0.3, least: float = 0.2) -> DataFrame:

@@ -1,5 +1,7 @@
 """Entities: extraction, learning, similarity, inhibition."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -7,7 +9,6 @@ from ..functions import lexicon as L
 from ..functions.text import any_of, entity_similarity, extract_all, suffix_type
 
 
-
 def links(memories: DataFrame, entities: Column, least: int = 2) -> DataFrame:
     """(mid, entity) pairs, distinct: the n:m link table."""
     return memories.select("mid", F.explode(entities).alias("entity")).where(F.length("entity") >= least).distinct()
@@ -81,6 +82,17 @@ def layered(builtin: Column, learned: Column, external: Column) -> Column:
     return F.when(F.size(builtin) > 0, value(builtin, "builtin")).when(F.size(learned) > 0, value(learned, "learned")).when(F.size(external) > 0, value(external, "external")).otherwise(value(builtin, "none"))
 
 
+def with_external(rows: DataFrame, extractor: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows (mid, content, builtin, learned) with the entities and the layer they come from. Only rows that no layer has
+    anything for go to the extractor, a function on a DataFrame that adds `reply`, a JSON array of names; what doesn't parse
+    counts as none."""
+    open_ = (F.size("builtin") == 0) & (F.size("learned") == 0)
+    names = F.coalesce(F.from_json("reply", "array<string>"), F.array().cast("array<string>"))
+    asked = extractor(rows.where(open_)).withColumn("external", names).drop("reply")
+    every = rows.where(~open_).withColumn("external", F.array().cast("array<string>")).unionByName(asked.select(*rows.columns, "external"))
+    return every.withColumn("v", layered(F.col("builtin"), F.col("learned"), F.col("external"))).select("mid", "v.entities", "v.source")
+
+
 def learn(seen: DataFrame, known: DataFrame, as_of_s: int, limit: int = 1000) -> DataFrame:
     """New rows (entity, first_seen_s, last_used_s, use_count) for unseen entities, most frequent first, up to the limit
     less those known. seen: (entity); known: (entity)."""
@@ -156,10 +168,11 @@ def isolation_needed(query_entities: DataFrame, candidate_entities: DataFrame, t
 
 def inhibit(candidates: DataFrame, query_entities: DataFrame, links_: DataFrame, factor: float = 0.1, threshold: float = 0.5) -> DataFrame:
     """Candidates (qid, mid, score) without an entity of the query but with one that is like it get score * factor."""
-    pairs = similar_pairs(query_entities.select("q").distinct(), links_.select(F.col("entity").alias("e")).distinct(), threshold)
-    exact = candidates.join(links_, "mid").join(query_entities.withColumnRenamed("q", "entity"), ["qid", "entity"]).select("qid", "mid").distinct()
+    named = candidates.select("qid", "mid").join(links_, "mid")
+    pairs = similar_pairs(query_entities.select("q").distinct(), named.select(F.col("entity").alias("e")).distinct(), threshold)
+    exact = named.join(query_entities.withColumnRenamed("q", "entity"), ["qid", "entity"]).select("qid", "mid").distinct()
     close = query_entities.join(pairs, "q").select("qid", F.col("e").alias("entity")).distinct()
-    near = candidates.join(links_, "mid").join(close, ["qid", "entity"]).select("qid", "mid").distinct().join(exact, ["qid", "mid"], "left_anti").withColumn("inhibited", F.lit(True))
+    near = named.join(close, ["qid", "entity"]).select("qid", "mid").distinct().join(exact, ["qid", "mid"], "left_anti").withColumn("inhibited", F.lit(True))
     out = candidates.join(near, ["qid", "mid"], "left").withColumn("inhibited", F.coalesce("inhibited", F.lit(False)))
     return out.withColumn("score", F.when(F.col("inhibited"), F.col("score") * factor).otherwise(F.col("score")))
 

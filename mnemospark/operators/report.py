@@ -1,9 +1,10 @@
 """Statistics, health and snapshot."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import importance_band
+from ..functions.rules import health_status, importance_band
+from ..functions.text import floor_days
 
 
 def active(memories: DataFrame, mtype: str | None = None) -> DataFrame:
@@ -37,10 +38,14 @@ def rates(rows: DataFrame, column: str) -> DataFrame:
     return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all")))).select(column, "n", F.round(F.col("n") / F.col("all"), 6).alias("rate"))
 
 
-def scorer_stats(events: DataFrame) -> DataFrame:
-    """Calls, successes, fallbacks, tokens and first errors of external scoring, by phase."""
-    errors = F.slice(F.array_sort(F.collect_set(F.when(F.col("error").isNotNull(), F.struct("eid", "error")))), 1, 5)
-    return events.groupBy("phase").agg(F.count_if("called").alias("calls"), F.count_if("success").alias("successes"), F.count_if("fallback").alias("fallbacks"), F.sum("tokens").alias("tokens"), F.array_join(F.transform(errors, lambda e: e["error"]), "|").alias("errors"))
+def scorer_stats(events: DataFrame, most: int = 5) -> DataFrame:
+    """Calls, successes, fallbacks, tokens and the first errors of external scoring, by phase."""
+    w = Window.partitionBy("phase").orderBy("eid")
+    first = events.where("error IS NOT NULL").select("phase", "eid", "error").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    errors = first.groupBy("phase").agg(F.array_sort(F.collect_list(F.struct("r", "error"))).alias("e"))
+    totals = events.groupBy("phase").agg(F.count_if("called").alias("calls"), F.count_if("success").alias("successes"), F.count_if("fallback").alias("fallbacks"), F.sum("tokens").alias("tokens"))
+    text = F.coalesce(F.array_join(F.transform("e", lambda e: e["error"]), "|"), F.lit(""))
+    return totals.join(errors, "phase", "left").select(*totals.columns, text.alias("errors"))
 
 
 def health(memories: DataFrame) -> DataFrame:
@@ -100,12 +105,69 @@ def top_by_type(memories: DataFrame, sizes: dict[str, int]) -> DataFrame:
     return memories.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def snapshot(memories: DataFrame, links: DataFrame, sizes=(5, 15, 10)) -> DataFrame:
-    """Sections (section, pos, line) of a working-memory snapshot: critical, ranking, entities."""
-    critical = top_by(memories.where(F.col("importance") >= 0.9), "importance", sizes[0]).select(F.lit("critical").alias("section"), F.col("rank").alias("pos"), F.substring("content", 1, 60).alias("line"))
-    ranking = top_by(memories, "score", sizes[1]).select(F.lit("ranking").alias("section"), F.col("rank").alias("pos"), F.concat(F.col("mid"), F.lit(" "), F.round("score", 3)).alias("line"))
-    names = entity_counts(links, sizes[2]).withColumn("pos", F.row_number().over(Window.orderBy("entity"))).select(F.lit("entities").alias("section"), "pos", F.concat("entity", F.lit(": "), "n").alias("line"))
-    return critical.unionByName(ranking).unionByName(names)
+def by_dynamic_score(memories: DataFrame, score: Column, n: int = 50) -> DataFrame:
+    """The n best records by a score made at read time (P21), to 9 places, with their rank."""
+    return top_by(memories.withColumn("dynamic_score", F.round(score, 9)), "dynamic_score", n)
+
+
+def snapshot(memories: DataFrame, links: DataFrame, sizes=(5, 5, 5, 15, 10)) -> DataFrame:
+    """A working-memory snapshot as lines (section, pos, line): critical, high and downgraded records, the ranking, all
+    by score, the first entities by name, and totals. memories: active ones; with conflict_downgraded, if it is known."""
+    one = F.regexp_replace("content", "\n", " ")
+    two = lambda c: F.format_number(c, 2)
+    down = F.col("conflict_downgraded") if "conflict_downgraded" in memories.columns else F.lit(False)
+    lists = (
+        ("critical", F.col("importance") >= 0.9, F.concat(F.lit("- **"), one, F.lit("**"))),
+        ("high", (F.col("importance") >= 0.7) & (F.col("importance") < 0.9), F.concat(F.lit("- "), one)),
+        ("downgraded", F.coalesce(down, F.lit(False)), F.concat(F.lit("- ~~"), F.substring(one, 1, 40), F.lit("~~ (Score: "), two("importance"), F.lit(" → "), two("score"), F.lit(")"))),
+        ("ranking", F.lit(True), F.concat(F.lit("| "), "rank", F.lit(" | "), two("score"), F.lit(" | ["), F.upper(F.substring("mtype", 1, 1)), F.lit("] "), F.substring(one, 1, 40), F.lit(" |"))),
+    )
+    out = None
+    for (name, rows, line), n in zip(lists, sizes, strict=False):
+        own = top_by(memories.where(rows), "score", n).select(F.lit(name).alias("section"), F.col("rank").alias("pos"), line.alias("line"))
+        out = own if out is None else out.unionByName(own)
+    names = entity_counts(links.join(memories.select("mid"), "mid", "left_semi"), sizes[4]).withColumn("pos", F.row_number().over(Window.orderBy("entity")))
+    out = out.unionByName(names.select(F.lit("entities").alias("section"), "pos", F.concat(F.lit("- **"), "entity", F.lit("**: "), "n", F.lit(" 条相关记忆")).alias("line")))
+    kinds = {"Facts": F.col("mtype") == "fact", "Beliefs": F.col("mtype") == "belief", "Summaries": F.col("mtype") == "summary", "关键信息": F.col("importance") >= 0.9, "重要信息": (F.col("importance") >= 0.7) & (F.col("importance") < 0.9)}
+    counts = memories.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(k) for k, c in kinds.items()))
+    share = lambda k: F.concat(F.lit(" ("), F.floor(F.col(k) * 100 / F.greatest("n", F.lit(1))), F.lit("%)"))
+    lines = F.array(*(F.struct(F.lit(i).alias("pos"), F.concat(F.lit(f"- **{k}**: "), k, F.lit(" 条"), share(k) if i < 4 else F.lit("")).alias("line")) for i, k in enumerate(kinds, 1)))
+    return out.unionByName(counts.select(F.lit("totals").alias("section"), F.explode(lines).alias("x")).select("section", "x.pos", "x.line"))
+
+
+SECTIONS = ("critical", "high", "downgraded", "ranking", "entities", "totals")
+
+
+def snapshot_text(sections: DataFrame) -> DataFrame:
+    """One row, the snapshot's text: each section's name and its lines in order; a few dozen lines."""
+    place = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section"))
+    rows = sections.select(place.alias("s"), F.col("pos").cast("long").alias("pos"), "line")
+    heads = sections.select("section").distinct().select(place.alias("s"), F.lit(0).cast("long").alias("pos"), F.concat(F.lit("## "), "section").alias("line"))
+    return rows.unionByName(heads).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+def pending_view(pending: DataFrame, urgent: Column, n: int | None = None) -> DataFrame:
+    """Pending rows (ord, content, importance) as lines with an urgency mark, with the totals of A17 on each; the first n."""
+    rows = pending.withColumn("urgent", urgent)
+    totals = rows.agg(F.count(F.lit(1)).alias("pending"), F.count_if("urgent").alias("urgents"))
+    rows = rows.orderBy("ord").limit(n) if n else rows
+    line = F.concat(F.when(F.col("urgent"), "🔴").otherwise("⚪"), F.lit(" "), F.substring("content", 1, 50), F.lit("..."))
+    return rows.crossJoin(F.broadcast(totals)).select("ord", line.alias("line"), F.round("importance", 1).alias("importance"), "pending", "urgents")
+
+
+def dashboard(memories: DataFrame, conflict: Column, as_of_s: int, stale_days: int = 30, sizes=None) -> DataFrame:
+    """The health dashboard as rows (section, pos, line): totals (A13) and the most important facts and beliefs (T04), each
+    with its priority, status (P33) and days since it was verified."""
+    days = F.greatest(F.lit(0), floor_days(F.lit(as_of_s), F.coalesce("last_verified_s", "created_s")))
+    rows = memories.withColumn("days", days).withColumn("status", health_status(conflict, F.coalesce(F.col("days") > stale_days, F.lit(False))))
+    totals = health(rows)
+    parts = F.array(*(F.struct(F.lit(i).alias("pos"), F.concat(F.lit(f"| {k} | "), k, F.lit(" |")).alias("line")) for i, k in enumerate(totals.columns, 1)))
+    mark = F.when(F.col("importance") >= 0.8, "🔴").when(F.col("importance") >= 0.5, "🟡").otherwise("⚪")
+    state = F.when(F.col("status") == "conflict", "🔀").when(F.col("status") == "stale", "⚠️").otherwise("✅")
+    text = F.replace(F.regexp_replace(F.substring("content", 1, 40), "\n", " "), F.lit("|"), F.lit("\\|"))
+    line = F.concat(F.lit("| "), F.substring(F.col("mid").cast("string"), 1, 12), F.lit(" | "), text, F.lit("... | "), mark, F.lit(" | "), state, F.lit(" | "), F.col("days"), F.lit(" |"))
+    lists = top_by_type(rows, sizes or {"fact": 20, "belief": 10}).select(F.col("mtype").alias("section"), F.col("rank").alias("pos"), line.alias("line"))
+    return totals.select(F.lit("totals").alias("section"), F.explode(parts).alias("x")).select("section", "x.pos", "x.line").unionByName(lists)
 
 
 def token_budget(ranked: DataFrame, budget: int, shares=(0.40, 0.25, 0.15, 0.20)) -> DataFrame:
@@ -114,11 +176,13 @@ def token_budget(ranked: DataFrame, budget: int, shares=(0.40, 0.25, 0.15, 0.20)
     return ranked.withColumn("tokens", F.floor(F.lit(budget) * share).cast("long"))
 
 
-def rollup(memories: DataFrame, unit: str = "week", least: float = 0.8) -> DataFrame:
-    """Rows by period and type: count, and the ids of important ones in order."""
-    w = F.date_trunc(unit, F.timestamp_seconds("created_s")).cast("date").alias("period")
-    ids = F.array_sort(F.collect_list(F.when(F.col("importance") >= least, F.col("mid"))))
-    return memories.groupBy(w, "mtype").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(ids, lambda i: i.cast("string")), ",").alias("important"))
+def rollup(memories: DataFrame, unit: str = "week", least: float = 0.8, most: int = 20) -> DataFrame:
+    """Rows by period and type: count, and the first ids of important ones in order, at most so many."""
+    rows = memories.select("mid", "mtype", "importance", F.date_trunc(unit, F.timestamp_seconds("created_s")).cast("date").alias("period"))
+    w = Window.partitionBy("period", "mtype").orderBy("mid")
+    top = rows.where(F.col("importance") >= least).withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    ids = top.groupBy("period", "mtype").agg(F.array_join(F.transform(F.array_sort(F.collect_list("mid")), lambda i: i.cast("string")), ",").alias("important"))
+    return rows.groupBy("period", "mtype").agg(F.count(F.lit(1)).alias("n")).join(ids, ["period", "mtype"], "left").withColumn("important", F.coalesce("important", F.lit("")))
 
 
 def recent(memories: DataFrame, as_of_s: int, days: int, mtype: str | None = None, limit: int | None = None) -> DataFrame:

@@ -3,23 +3,35 @@
 Every operator takes a batch of queries (qid, query). A channel is (qid, mid, score).
 """
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..functions import rules as R
 from ..functions.text import extract_all, id_in_text, query_shingles
+from ..sources.io import stored
+from . import temporal
+from .entities import inhibit
 
 BLOCK = 16
-#: Query vectors that are broadcast at most.
-MOST_BROADCAST = 10_000
+#: Bytes of query vectors that are broadcast at most.
+MOST_BROADCAST = 64 << 20
 
 
 def top(channel: DataFrame, limit, order: Column | None = None) -> DataFrame:
-    """The best rows of each query, with their position. Ties by id. Written so that Spark cuts before the shuffle too."""
-    w = Window.partitionBy("qid").orderBy(F.desc("score") if order is None else order, "mid")
+    """The best rows of each query, with their position. Scores equal to 9 places tie, as sums of parts come in any order;
+    ties by id. With a number for a limit Spark cuts before the shuffle too."""
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)) if order is None else order, "mid")
     return channel.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit)
 
 
+def cut(channel: DataFrame, sizes: DataFrame, column: str, most: int = 35) -> DataFrame:
+    """The best rows of each query, as many as its class has in a column of sizes (qid, ...), never more than most."""
+    return top(channel, most).join(sizes.select("qid", F.col(column).alias("_most")), "qid").where(F.col("pos") <= F.col("_most")).drop("_most")
+
+
 def keyword_channel(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """Number of distinct query shingles among a record's keywords: an equi join on the term."""
     terms = queries.select("qid", F.explode(query_shingles(F.col("query"))).alias("term"))
@@ -110,13 +122,13 @@ def _dot(a, b):
 
 def vector_channel(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK, digits: int = 9) -> DataFrame:
     """Exact cosine of queries (qid, qv) with all vectors (mid, v), top k. The stated query set meets all rows in blocks:
-    a vector is read once for each block of queries. Few queries (their number is checked) are broadcast; more make Spark deal
-    pairs of partitions."""
-    n = queries.count()
+    a vector is read once for each block of queries. Query vectors are broadcast up to MOST_BROADCAST bytes, which are checked;
+    more make Spark deal pairs of partitions."""
+    n, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("qv")), F.lit(0))).first()
     part = F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-n // block))))
     blocks = queries.groupBy(part.alias("qb")).agg(F.collect_list(F.struct("qid", "qv", F.sqrt(_dot(F.col("qv"), F.col("qv"))).alias("qn"))).alias("qs"))
     sized = vectors.withColumn("n", F.sqrt(_dot(F.col("v"), F.col("v")))).where("n > 0")
-    rows = sized.crossJoin(F.broadcast(blocks) if n <= MOST_BROADCAST else blocks).select("mid", "v", "n", F.explode("qs").alias("q")).where("q.qn > 0")
+    rows = sized.crossJoin(F.broadcast(blocks) if n * (8 * width + 16) <= MOST_BROADCAST else blocks).select("mid", "v", "n", F.explode("qs").alias("q")).where("q.qn > 0")
     cosine = F.round(_dot(F.col("q.qv"), F.col("v")) / (F.col("n") * F.col("q.qn")), digits)
     return top(rows.select("q.qid", "mid", cosine.alias("score")), k)
 
@@ -135,12 +147,17 @@ def index_refresh(memories: DataFrame, vectors: DataFrame) -> DataFrame:
     return memories.select("mid").join(have, "mid", "left").agg(F.count(F.lit(1)).alias("total"), F.count("have").alias("indexed"), F.count_if(F.col("have").isNull()).alias("missing"))
 
 
-def fuse(channels: list[DataFrame], top_n: int, k: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion of channels with positions (qid, mid, pos): sum of 1 / (k + pos)."""
+def reciprocal_ranks(channels: list[DataFrame], k: int = 60) -> DataFrame:
+    """(qid, mid, score) of channels with positions (qid, mid, pos): sum of 1 / (k + pos)."""
     rows = channels[0].select("qid", "mid", "pos")
     for c in channels[1:]:
         rows = rows.unionByName(c.select("qid", "mid", "pos"))
-    return top(rows.groupBy("qid", "mid").agg(F.sum(F.lit(1.0) / (k + F.col("pos"))).alias("score")), top_n)
+    return rows.groupBy("qid", "mid").agg(F.sum(F.lit(1.0) / (k + F.col("pos"))).alias("score"))
+
+
+def fuse(channels: list[DataFrame], top_n, k: int = 60) -> DataFrame:
+    """Reciprocal-rank fusion, the best top_n records of each query."""
+    return top(reciprocal_ranks(channels, k), top_n)
 
 
 def merge_by_priority(channels: list[DataFrame]) -> DataFrame:
@@ -153,16 +170,26 @@ def merge_by_priority(channels: list[DataFrame]) -> DataFrame:
 
 
 def rerank(candidates: DataFrame, memories: DataFrame, as_of_s: int) -> DataFrame:
-    """P24 on candidates (qid, mid, score) with their records' importance, score and access time."""
-    m = memories.select("mid", "importance", F.col("score").alias("memory_score"), "last_accessed_s")
-    return candidates.join(m, "mid").select("qid", "mid", "memory_score", R.rerank_score(F.col("score"), F.col("memory_score"), F.col("importance"), F.col("last_accessed_s"), F.lit(as_of_s)).alias("score"))
+    """P24 on candidates (qid, mid, score) with their records' importance, score and access time; records with is_identity fade
+    half as fast."""
+    known = "is_identity" in memories.columns
+    m = memories.select("mid", "importance", F.col("score").alias("memory_score"), "last_accessed_s", *(["is_identity"] if known else []))
+    identity = F.coalesce("is_identity", F.lit(False)) if known else None
+    score = R.rerank_score(F.col("score"), F.col("memory_score"), F.col("importance"), F.col("last_accessed_s"), F.lit(as_of_s), identity)
+    return candidates.join(m, "mid").select("qid", "mid", "memory_score", score.alias("score"))
 
 
-def spread(results: DataFrame, links: DataFrame, facts: DataFrame, factor: float = 0.3, seeds: int = 5, per_entity: int = 5, most: int = 3) -> DataFrame:
+def spread(results: DataFrame, links: DataFrame, facts: DataFrame, factor: float = 0.3, seeds: int = 5, per_entity: int = 5, most: int = 3, most_results: int = 35) -> DataFrame:
     """Facts that share an entity with a query's first results and aren't among them: at most per_entity for each entity,
-    best score first, then `most` for each query, at score * factor."""
+    best score first, then `most` for each query, at score * factor.
+
+    Results hold at most most_results rows a query, so an entity's first per_entity + most_results facts always hold those
+    that remain: an entity of very many facts is cut to them, before the shuffle too, and never meets every query.
+    """
     hot = results.where(F.col("pos") <= seeds).join(links, "mid").select("qid", "entity").distinct()
-    near = hot.join(links, "entity").join(facts.select("mid", "score"), "mid").join(results.select("qid", "mid"), ["qid", "mid"], "left_anti")
+    ranked = Window.partitionBy("entity").orderBy(F.desc("score"), "mid")
+    first = links.join(facts.select("mid", "score"), "mid").withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= per_entity + most_results).drop("r")
+    near = hot.join(first, "entity").join(results.select("qid", "mid"), ["qid", "mid"], "left_anti")
     w = Window.partitionBy("qid", "entity").orderBy(F.desc("score"), "mid")
     kept = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_entity)
     best = kept.groupBy("qid", "mid").agg((F.max("score") * factor).alias("score"))
@@ -207,16 +234,75 @@ def enriched(hits: DataFrame, memories: DataFrame, limit: int = 15) -> DataFrame
     return top(hits.join(m, "mid").select("qid", "mid", (0.4 * F.col("score") + 0.35 * F.col("s") + 0.25 * F.col("importance")).alias("score")), limit)
 
 
-def route(queries: DataFrame, memories: DataFrame, links: DataFrame, postings: DataFrame, as_of_s: int, triggers=None, limit: int = 20) -> DataFrame:
-    """Keyword, entity and TF-IDF channels fused by reciprocal ranks, reranked, cut to the query class's size, spread and
-    graded. (qid, mid, pos, score, tier)."""
+class Routed(NamedTuple):
+    """results: (qid, mid, pos, score, tier, source); stats: rows of each channel, merged and final, by query."""
+
+    results: DataFrame
+    stats: DataFrame
+
+
+def query_sizes(queries: DataFrame, triggers=None, precise=L.PRECISE_WORDS, broad=L.BROAD_WORDS) -> DataFrame:
+    """(qid, layer, trigger, matched, class, initial, rerank, final)."""
+    layered = queries.select("qid", "query", R.trigger(F.col("query"), **({"triggers": triggers} if triggers else {})).alias("t"))
+    kinds = layered.select("qid", "t.*", R.query_class(F.col("query"), F.col("t.layer"), precise, broad).alias("class"))
+    return kinds.withColumns({name: R.size_of(F.col("class"), i) for i, name in enumerate(("initial", "rerank", "final"))})
+
+
+def route(
+    queries: DataFrame, memories: DataFrame, links: DataFrame, postings: DataFrame, as_of_s: int, *, pending: DataFrame | None = None, external: DataFrame | None = None, query_vectors: DataFrame | None = None,
+    vectors: DataFrame | None = None, tfidf: bool = True, triggers=None, precise=L.PRECISE_WORDS, broad=L.BROAD_WORDS, time_words: dict[str, int] | None = None, threshold: float = 0.5,
+) -> Routed:
+    """The whole router over a batch of queries (qid, query).
+
+    A query with a relative time whose day has records gets these and nothing else (J16). For the others, rows of pending
+    (J04) come first; TF-IDF (G03), external hits such as bm25_channel's (G04, J13), keyword (J01), entity (J02) and vector
+    (G05) channels, each cut to the query class's first size, are fused by reciprocal ranks and cut to the second. Without
+    TF-IDF the first channel that has a record decides instead (G02). Then rerank (P24), inhibition of records with entities
+    that are like the query's but not equal (J10), cut to the second size, spread (J11) and cut to the last size; what spreads
+    comes after it. Tiers by the records' own scores (P27). The reranked rows are written once to the shared folder.
+    """
+    ranged = queries.select("qid", temporal.time_range(F.col("query"), F.lit(as_of_s), time_words).alias("r")).select("qid", "r.*")
+    timed = temporal.in_range(ranged.where("from_s IS NOT NULL"), memories).join(memories.select("mid", "score"), "mid").select("qid", "mid", "score")
+    queries = queries.join(timed.select("qid").distinct(), "qid", "left_anti")
+    sizes = query_sizes(queries, triggers, precise, broad)
     found = query_entities(queries, links)
-    channels = [top(c, limit) for c in (keyword_channel(queries, postings), entity_channel(found, links), tfidf_channel(queries, memories))]
-    fused = fuse(channels, 35)
-    kind = {"triggers": triggers} if triggers else {}
-    sizes = queries.select("qid", R.query_class(F.col("query"), R.trigger(F.col("query"), **kind)["layer"]).alias("class")).select("qid", R.size_of(F.col("class"), 2).alias("final"))
-    ranked = rerank(fused, memories, as_of_s).join(sizes, "qid")
-    final = top(ranked, F.col("final")).select("qid", "mid", "pos", "score")
-    bonus = spread(final, links, memories.where("mtype = 'fact'")).withColumn("pos", F.col("pos") + 1000).select("qid", "mid", "pos", "score")
-    both = final.unionByName(bonus).join(memories.select("mid", F.col("score").alias("memory_score")), "mid")
-    return both.select("qid", "mid", "pos", "score", R.injection_tier(F.col("memory_score")).alias("tier"))
+    channels = {"tfidf": tfidf_channel(queries, memories)} if tfidf else {}
+    if external is not None:
+        channels["external"] = external.join(queries.select("qid"), "qid", "left_semi").select("qid", "mid", "score")
+    channels |= {"keyword": keyword_channel(queries, postings), "entity": entity_channel(found, links)}
+    if vectors is not None:
+        channels["vector"] = vector_channel(query_vectors.join(queries.select("qid"), "qid", "left_semi"), vectors, 35)
+    channels = {k: cut(c, sizes, "initial") for k, c in channels.items()}
+    every = memories
+    first = None
+    if pending is not None:
+        first = pending_channel(queries, pending).select("qid", "mid", "score")
+        every = memories.unionByName(pending.join(memories.select("mid"), "mid", "left_anti"), allowMissingColumns=True)
+    if tfidf:
+        merged = cut(reciprocal_ranks(list(channels.values())), sizes, "rerank").select("qid", "mid", "score")
+    else:
+        order = [channels[k] for k in ("vector", "external", "keyword", "entity") if k in channels]
+        merged = merge_by_priority(order).select("qid", "mid", F.col("score").cast("double").alias("score"))
+    if first is not None:
+        merged = first.unionByName(merged.join(first.select("qid", "mid"), ["qid", "mid"], "left_anti"))
+    scored = rerank(merged, every, as_of_s)
+    ranked = cut(inhibit(scored.select("qid", "mid", "score"), found.withColumnRenamed("entity", "q"), links, threshold=threshold), sizes, "rerank")
+    ranked = stored(ranked.select("qid", "mid", "pos", "score"), "ranked")
+    final = ranked.join(sizes.select("qid", F.col("final").alias("_n")), "qid").where(F.col("pos") <= F.col("_n")).drop("_n").withColumn("source", F.lit("search"))
+    bonus = spread(ranked, links, memories.where("mtype = 'fact'")).select("qid", "mid", (F.col("pos") + 1000).alias("pos"), "score", F.lit("spread").alias("source"))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "mid")
+    timed = timed.select("qid", "mid", F.row_number().over(w).alias("pos"), "score", F.lit("temporal").alias("source"))
+    rows = timed.unionByName(final).unionByName(bonus).join(every.select("mid", F.col("score").alias("memory_score")), "mid")
+    results = rows.select("qid", "mid", "pos", "score", R.injection_tier(F.col("memory_score")).alias("tier"), "source")
+    parts = {**channels, **({} if first is None else {"pending": first}), "merged": merged, "final": results}
+    return Routed(results, channel_stats(parts))
+
+
+def search_view(results: DataFrame, memories: DataFrame, n: int = 10) -> DataFrame:
+    """The first n results of each query as lines, with the numbers of direct, marked and reference ones. results: as Routed."""
+    count = lambda t: F.count_if(F.col("tier") == t).alias(t)
+    tiers = results.groupBy("qid").agg(count("direct"), count("marked"), count("reference"))
+    w = Window.partitionBy("qid").orderBy("pos", "mid")
+    head = results.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).join(memories.select("mid", "mtype", "content", "importance"), "mid")
+    line = F.concat(F.lit("["), F.upper(F.substring("mtype", 1, 1)), F.lit("] "), F.substring("content", 1, 50), F.lit("..."))
+    return head.join(tiers, "qid").select("qid", "place", "mid", line.alias("line"), "score", "importance", "direct", "marked", "reference")

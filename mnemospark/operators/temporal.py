@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import contradictory
+from ..functions.rules import later
+from ..functions.text import any_of
 
 
 def time_range(query: Column, as_of_s: Column, words: dict[str, int] | None = None) -> Column:
@@ -30,13 +31,31 @@ def validity(versions: DataFrame) -> DataFrame:
     return versions.withColumn("valid_to", F.lead("ts_us").over(w))
 
 
-def value_at(versions: DataFrame, times: DataFrame) -> DataFrame:
-    """For each (tid, entity, attribute, at_us) the value of the version valid then.
+def extracted(memories: DataFrame, links: DataFrame, attributes: dict[str, Column]) -> DataFrame:
+    """Versions (vid, entity, attribute, value, ts_us) of what an expression for each attribute (as regexp_extract) finds in
+    contents; empty values are none. validity and value_at take them."""
+    found = F.array(*(F.struct(F.lit(k).alias("attribute"), F.nullif(v, F.lit("")).alias("value")) for k, v in attributes.items()))
+    rows = memories.select(F.col("mid").alias("vid"), "mid", (F.col("created_s") * 1_000_000).alias("ts_us"), F.explode(found).alias("f")).where("f.value IS NOT NULL")
+    return rows.join(links, "mid").select("vid", "entity", "f.attribute", "f.value", "ts_us")
 
-    The latest version at or before the time is an aggregate with partial maxima: no version list is gathered.
+
+def value_at(versions: DataFrame, times: DataFrame, bucket_us: int = 30 * 86_400_000_000) -> DataFrame:
+    """For each (tid, entity, attribute, at_us) the value of the version valid then; times before the first have none.
+
+    Versions and times of a key meet in one order, and each time takes the last version before it. Keys are split by time:
+    a bucket with no earlier version of its own takes the last one of the buckets before it.
     """
-    j = times.join(versions, ["entity", "attribute"]).where("ts_us <= at_us")
-    return j.groupBy("tid", "entity", "attribute").agg(F.max(F.struct("ts_us", "vid", "value")).alias("v")).select("tid", "entity", "attribute", "v.vid", "v.value")
+    value = F.struct("ts_us", "vid", "value")
+    rows = versions.select("entity", "attribute", F.col("ts_us").alias("at"), F.lit(None).cast(times.schema["tid"].dataType).alias("tid"), value.alias("v"))
+    rows = rows.unionByName(times.select("entity", "attribute", F.col("at_us").alias("at"), "tid", F.lit(None).cast(rows.schema["v"].dataType).alias("v")))
+    rows = rows.withColumn("b", F.floor(F.col("at") / bucket_us))
+    key = ["entity", "attribute"]
+    ends = rows.groupBy(*key, "b").agg(F.max("v").alias("last"))
+    before = Window.partitionBy(*key).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*key, "b", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    here = Window.partitionBy(*key, "b").orderBy("at", F.col("v").isNull(), "v.vid").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("own", F.last("v", ignorenulls=True).over(here)).where("v IS NULL").join(ends, [*key, "b"])
+    return found.select("tid", *key, F.coalesce("own", "carried").alias("v")).where("v IS NOT NULL").select("tid", *key, "v.vid", "v.value")
 
 
 def evidence(memories: DataFrame) -> DataFrame:
@@ -49,11 +68,10 @@ def evidence(memories: DataFrame) -> DataFrame:
 
 def evidence_chain(edges: DataFrame, hops: int = 5) -> DataFrame:
     """J15 over several hops: (mid, evidence, hop) by a bounded iterative join; edges: (mid, evidence)."""
-    found = edges.select("mid", "evidence", F.lit(1).alias("hop"))
-    last = found
+    found = last = edges.select("mid", "evidence").distinct().withColumn("hop", F.lit(1))
     step = edges.select(F.col("mid").alias("evidence"), F.col("evidence").alias("next"))
     for h in range(2, hops + 1):
-        last = last.join(step, "evidence").select("mid", F.col("next").alias("evidence"), F.lit(h).alias("hop"))
+        last = last.join(step, "evidence").select("mid", F.col("next").alias("evidence")).distinct().withColumn("hop", F.lit(h))
         found = found.unionByName(last)
     return found.groupBy("mid", "evidence").agg(F.min("hop").alias("hop"))
 
@@ -71,8 +89,12 @@ def difference(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def invalidated(new: DataFrame, old: DataFrame, links: DataFrame, words) -> DataFrame:
-    """Old records that a contradicting new one with a shared entity makes invalid."""
-    from .curate import entity_pairs
+    """Old records that a contradicting new one with a shared entity makes invalid.
 
-    p = entity_pairs(new, old, links).join(new.select(F.col("mid").alias("a"), "content", F.col("created_s").alias("n")), "a").join(old.select(F.col("mid").alias("b"), F.col("created_s").alias("o")), "b")
-    return p.where(contradictory(F.col("content"), F.col("n"), F.col("o"), words)).select(F.col("b").alias("mid")).distinct()
+    Whether some new record of an entity contradicts needs two figures of the entity: has one a contradicting word, and when
+    was the newest made. So no pairs are formed.
+    """
+    made = new.select("mid", any_of(F.lower("content"), words).alias("says"), F.col("created_s").alias("n"))
+    marks = links.join(made, "mid").groupBy("entity").agg(F.max("says").alias("says"), F.max("n").alias("n"))
+    rows = links.join(old.select("mid", "created_s"), "mid").join(marks, "entity")
+    return rows.where(F.col("says") | later(F.col("n"), F.col("created_s"))).select("mid").distinct()

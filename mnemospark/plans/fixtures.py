@@ -17,11 +17,16 @@ MEM = """SELECT conv_id*1000+turn AS mid, conv_id AS session_id, turn AS source_
   CASE WHEN (conv_id+turn)%5=0 THEN 1704067200 + (conv_id*1000+turn)*3571%900*3600 ELSE NULL END AS expires_s,
   (conv_id*3+turn)%7 AS retrieval_count, (conv_id+turn*2)%5 AS used_in_response_count, (conv_id*2+turn)%3 AS user_mentioned_count
 FROM conversations"""
-NEW = "SELECT mid, mid AS ord, content, mtype, ownership, importance, score, confidence, created_s FROM mem WHERE session_id % 5 = 0"
-OLD = "SELECT mid, mid AS ord, content, mtype, ownership, importance, score, confidence, created_s FROM mem WHERE session_id % 5 <> 0"
+#: mem with edits: every other record of each fifth session repeats what the next session says at that turn, with one word more.
+EDIT = "worthless"
+MEMX = f"SELECT m.* REPLACE (CASE WHEN o.content IS NULL THEN m.content ELSE o.content || ' {EDIT}' END AS content) FROM mem m LEFT JOIN mem o ON m.session_id % 5 = 0 AND m.mid % 2 = 0 AND o.session_id = m.session_id + 1 AND o.source_turn = m.source_turn"
+NEW = "SELECT mid, mid AS ord, content, mtype, ownership, importance, score, confidence, created_s, expires_s, last_accessed_s FROM memx WHERE session_id % 5 = 0"
+OLD = "SELECT mid, mid AS ord, content, mtype, ownership, importance, score, confidence, created_s, expires_s, last_accessed_s FROM memx WHERE session_id % 5 <> 0"
 VIEWS = {
     "mem": MEM,
     "ent": "SELECT DISTINCT mid, e AS entity FROM (SELECT mid, unnest(regexp_extract_all(content, '[A-Z][a-z]+')) AS e FROM mem) t WHERE length(e) > 1",
+    "memx": MEMX,
+    "entx": "SELECT DISTINCT mid, e AS entity FROM (SELECT mid, unnest(regexp_extract_all(content, '[A-Z][a-z]+')) AS e FROM memx) t WHERE length(e) > 1",
     "mem_new": NEW,
     "mem_old": OLD,
     "qry": "SELECT item_id AS qid, text AS query FROM benchmark WHERE text IS NOT NULL",
@@ -57,18 +62,33 @@ def mem_columns(conversations: DataFrame) -> DataFrame:
     return conversations.selectExpr(*columns)
 
 
-def ent(spark: SparkSession, sf_dir: str) -> DataFrame:
+def memx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mem(spark, sf_dir)
+    edits = m.where("(session_id - 1) % 5 = 0").select((F.col("session_id") - 1).alias("session_id"), "source_turn", F.concat("content", F.lit(f" {EDIT}")).alias("edit"))
+    edited = F.when(F.col("mid") % 2 == 0, F.col("edit"))
+    return m.join(edits, ["session_id", "source_turn"], "left").withColumn("content", F.coalesce(edited, "content")).select(*m.columns)
+
+
+def _names(memories: DataFrame) -> DataFrame:
     from ..operators.entities import links
 
-    return links(mem(spark, sf_dir), F.regexp_extract_all("content", F.lit("[A-Z][a-z]+"), F.lit(0)))
+    return links(memories, F.regexp_extract_all("content", F.lit("[A-Z][a-z]+"), F.lit(0)))
+
+
+def ent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(mem(spark, sf_dir))
+
+
+def entx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(memx(spark, sf_dir))
 
 
 def mem_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mem(spark, sf_dir).where("session_id % 5 = 0").withColumn("ord", F.col("mid"))
+    return memx(spark, sf_dir).where("session_id % 5 = 0").withColumn("ord", F.col("mid"))
 
 
 def mem_old(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mem(spark, sf_dir).where("session_id % 5 <> 0").withColumn("ord", F.col("mid"))
+    return memx(spark, sf_dir).where("session_id % 5 <> 0").withColumn("ord", F.col("mid"))
 
 
 def qry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,14 @@
 """Composite jobs."""
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..functions import rules as R
-from ..operators import clean, curate, index
+from ..operators import clean, curate, index, report
+from ..sources.io import stored
 
 
 def extract(segments: DataFrame, importance: Column, identity: Column, threshold: float = 0.3) -> DataFrame:
@@ -13,23 +17,57 @@ def extract(segments: DataFrame, importance: Column, identity: Column, threshold
     return clean.records(kept, identity)
 
 
-def consolidate(stored: DataFrame, segments: DataFrame, links: DataFrame, importance: Column, identity: Column, as_of_s: int, words, threshold: float = 0.7, least: float = 0.05) -> DataFrame:
-    """Expire stored records, extract new ones, reconcile facts, decay, archive. The next version, with state.
+class Consolidated(NamedTuple):
+    """What a consolidation gives: the next version of the records and all that is derived from it."""
+
+    records: DataFrame
+    summaries: DataFrame
+    profiles: DataFrame
+    postings: DataFrame
+    relations: DataFrame
+    snapshot: DataFrame
+    rankings: DataFrame
+
+
+def consolidate(memories: DataFrame, segments: DataFrame, links: DataFrame, importance: Column, identity: Column, as_of_s: int, words, negations=L.BELIEF_NEGATIONS, *, threshold: float = 0.7, least: float = 0.05, stale_days: int = 30, trigger: int = 3) -> Consolidated:
+    """C01, all phases: expire stored records (0), take and filter segments (1, 2), extract records (3), reconcile them with the
+    stored ones, verify new beliefs against stored and new facts (X02), summaries and profiles (4), decay with access
+    protection and archive (5), indexes and stale scan (6), snapshot and rankings (7).
 
-    One plan over immutable inputs: expired rows become state 2, rows under the least score state 1.
+    The reconciled records are written once to the shared folder; all results derive from them. records: (mid, mtype, content, importance, score, confidence, created_s, state, stale,
+    stale_days); state 1 is archived, 2 expired.
     """
-    expired, valid = curate.split_expired(stored, as_of_s)
-    new = extract(segments, importance, identity).withColumn("ord", F.col("mid"))
+    expired, valid = curate.split_expired(memories, as_of_s)
+    new = extract(segments.where(F.length(F.trim("content")) > 5), importance, identity).withColumn("ord", F.col("mid"))
     decisions = curate.decide(new, valid, links, threshold, words)
-    columns = ["mid", "mtype", "content", "importance", "score", "created_s"]
-    return finish(curate.apply_decisions(valid.select(*columns), new, decisions), expired.select(*columns), least)
+    kept = ["mid", "mtype", "content", "importance", "score", "confidence", "created_s", "last_accessed_s"]
+    fresh = new.withColumn("last_accessed_s", F.lit(None).cast("long"))
+    current = curate.apply_decisions(valid.select(kept), fresh, decisions)
+    verdicts = curate.verify_beliefs(new.where("mtype = 'belief'"), known_facts(valid, new), links, negations)
+    current = stored(settle(current, verdicts), "consolidated")
+    decayed = current.withColumn("score", R.protected_decay(F.col("score"), F.col("importance"), F.col("mtype"), F.col("last_accessed_s"), F.lit(as_of_s)))
+    keep, gone = curate.split_archive(decayed, least)
+    active = curate.stale_scan(keep.withColumn("last_verified_s", F.lit(None).cast("long")), as_of_s, stale_days).drop("last_verified_s")
+    old = gone.withColumn("state", F.lit(1)).unionByName(expired.select(kept).withColumn("state", F.lit(2)))
+    records = active.withColumn("state", F.lit(0)).unionByName(old, allowMissingColumns=True)
+    facts = current.where("mtype = 'fact'")
+    last = links.join(valid.where("mtype = 'summary'").select("mid", "created_s"), "mid").select("entity", "created_s")
+    made = curate.summaries(facts, links, last, as_of_s, F.lit(False), trigger)
+    return Consolidated(records, made, curate.profiles(active, links), index.postings(active), index.relation_index(active, links), report.snapshot(active, links), report.top_by(active, "score", 50).select("mid", "score", "rank"))
 
 
-def finish(current: DataFrame, expired: DataFrame, least: float = 0.05) -> DataFrame:
-    """Phase 5: decay of the current records, archive of those under the least score (state 1), expired ones as junk (state 2)."""
-    decayed = current.withColumn("score", R.plain_decay(F.col("score"), F.col("importance"), F.col("mtype")))
-    keep, gone = curate.split_archive(decayed, least)
-    return keep.withColumn("state", F.lit(0)).unionByName(gone.withColumn("state", F.lit(1))).unionByName(expired.withColumn("state", F.lit(2)))
+def known_facts(valid: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored facts, then extracted ones, in this order."""
+    columns = ["mid", "content", "created_s", "confidence", "ownership", "importance", "score"]
+    both = valid.where("mtype = 'fact'").select(*columns, F.col("mid").alias("ord"))
+    return both.unionByName(new.where("mtype = 'fact'").select(*columns, (F.col("mid") + F.lit(1 << 60)).alias("ord")))
+
+
+def settle(current: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Confirmed beliefs become facts, contradicted ones lose confidence."""
+    v = verdicts.select("mid", "verdict", F.col("confidence").alias("_c"))
+    out = current.join(v, "mid", "left").withColumn("confidence", F.coalesce("_c", "confidence"))
+    return out.withColumn("mtype", F.when(F.col("verdict") == "confirmed", "fact").otherwise(F.col("mtype"))).select(current.columns)
 
 
 def mini_consolidate(pending: DataFrame, importance: Column, identity: Column, threshold: float = 0.5) -> DataFrame:

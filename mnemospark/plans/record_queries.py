@@ -6,7 +6,7 @@ from ..functions import rules as R
 from ..operators import clean, curate, entities, index, report, search, temporal
 from . import fixtures as X
 from . import jobs
-from .rule_queries import AGE, IMP, KEYS, NOISE, RATE, RER, SHINGLES, SIMSET, TRIG, WORDS, O, Q, has, imp, q
+from .rule_queries import AGE, DYN, IMP, KEYS, NOISE, RATE, RER, SHINGLES, SIMSET, TRIG, WORDS, O, Q, boost_col, has, imp, q
 
 C, LIT = F.col, F.lit
 AS = X.AS_OF
@@ -133,13 +133,13 @@ def j05(s, d):
 
 W = WORDS
 CONTR = f"({has('lower(n.content)', NEG)} OR (n.created_s > o.created_s AND floor((n.created_s - o.created_s) / 86400.0) > 7))"
-EP = "ep AS (SELECT DISTINCT a.mid AS a, b.mid AS b FROM ent a JOIN ent b ON a.entity = b.entity WHERE a.mid IN (SELECT mid FROM mem_new) AND b.mid IN (SELECT mid FROM mem_old))"
+EP = "ep AS (SELECT DISTINCT a.mid AS a, b.mid AS b FROM entx a JOIN entx b ON a.entity = b.entity WHERE a.mid IN (SELECT mid FROM mem_new) AND b.mid IN (SELECT mid FROM mem_old))"
 CS = "CAST(CASE WHEN floor((n.created_s - o.created_s) / 86400.0) > 7 THEN 0.5 WHEN floor((n.created_s - o.created_s) / 86400.0) > 0 THEN 0.25 WHEN floor((n.created_s - o.created_s) / 86400.0) < -7 THEN -0.5 ELSE 0 END AS DOUBLE) + CAST(CASE WHEN n.confidence - o.confidence > CAST(0.3 AS DOUBLE) THEN 1 WHEN n.confidence - o.confidence > CAST(0.1 AS DOUBLE) THEN 0.5 WHEN n.confidence - o.confidence < CAST(-0.3 AS DOUBLE) THEN -1 WHEN n.confidence - o.confidence < CAST(-0.1 AS DOUBLE) THEN -0.5 ELSE 0 END AS DOUBLE) * CAST(0.3 AS DOUBLE) + CAST(sign(CASE n.ownership WHEN 'user' THEN 3 WHEN 'third_party' THEN 1 ELSE 2 END - CASE o.ownership WHEN 'user' THEN 3 WHEN 'third_party' THEN 1 ELSE 2 END) AS DOUBLE) * CAST(0.2 AS DOUBLE)"
-DEC = f"{EP}, tk AS (SELECT mid, {W.format('content')} AS t FROM mem), hit AS (SELECT ep.a, ep.b, o.ord, {CS} AS conflict FROM ep JOIN mem_new n ON n.mid = ep.a JOIN mem_old o ON o.mid = ep.b JOIN tk x ON x.mid = ep.a JOIN tk y ON y.mid = ep.b WHERE len(x.t) > 0 AND len(y.t) > 0 AND len(list_intersect(x.t, y.t)) / CAST(len(list_distinct(list_concat(x.t, y.t))) AS DOUBLE) > CAST(0.2 AS DOUBLE) AND {CONTR}), tg AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY a ORDER BY ord, b) = 1), dec AS (SELECT mem_new.mid AS a, CASE WHEN conflict > CAST(0.3 AS DOUBLE) THEN 'UPDATE' WHEN conflict < CAST(-0.3 AS DOUBLE) THEN 'NOOP' ELSE 'ADD' END AS op, b AS target, conflict FROM mem_new LEFT JOIN tg ON tg.a = mem_new.mid)"
+DEC = f"{EP}, tk AS (SELECT mid, {W.format('content')} AS t FROM memx), hit AS (SELECT ep.a, ep.b, o.ord, {CS} AS conflict FROM ep JOIN mem_new n ON n.mid = ep.a JOIN mem_old o ON o.mid = ep.b JOIN tk x ON x.mid = ep.a JOIN tk y ON y.mid = ep.b WHERE len(x.t) > 0 AND len(y.t) > 0 AND len(list_intersect(x.t, y.t)) / CAST(len(list_distinct(list_concat(x.t, y.t))) AS DOUBLE) > CAST(0.7 AS DOUBLE) AND {CONTR}), tg AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY a ORDER BY ord, b) = 1), dec AS (SELECT mem_new.mid AS a, CASE WHEN conflict > CAST(0.3 AS DOUBLE) THEN 'UPDATE' WHEN conflict < CAST(-0.3 AS DOUBLE) THEN 'NOOP' ELSE 'ADD' END AS op, b AS target, conflict FROM mem_new LEFT JOIN tg ON tg.a = mem_new.mid)"
 
 
 def decided(s, d):
-    return curate.decide(X.mem_new(s, d), X.mem_old(s, d), X.ent(s, d), threshold=0.2, words=NEG)
+    return curate.decide(X.mem_new(s, d), X.mem_old(s, d), X.entx(s, d), words=NEG)
 
 
 @q("j06_operator_dedup", f"{DEC} SELECT a, op, target, round(conflict, 6) AS conflict FROM dec")
@@ -154,11 +154,11 @@ def j06b(s, d):
 
 
 T1, T2 = ("worthless", "thing"), ("with",)
-LIKE = f"{EP}, tk AS (SELECT mid, list_distinct(regexp_extract_all(lower(content), '[a-zA-Z]+')) AS t FROM mem), lk AS (SELECT ep.a, ep.b, o.ord, n.ord AS nord, n.content AS nc, n.importance AS ni, o.importance AS oi, n.score AS ns, o.score AS os, contains(lower(n.content), lower(o.content)) OR contains(lower(o.content), lower(n.content)) AS inside, len(list_intersect(x.t, y.t)) / CAST(greatest(least(len(x.t), len(y.t)), 1) AS DOUBLE) AS ov, CASE WHEN {has('n.content', T1)} THEN 1 WHEN {has('n.content', T2)} THEN 2 END AS tier FROM ep JOIN mem_new n ON n.mid = ep.a JOIN mem_old o ON o.mid = ep.b JOIN tk x ON x.mid = ep.a JOIN tk y ON y.mid = ep.b), lks AS (SELECT * FROM lk WHERE inside OR ov >= CAST(0.3 AS DOUBLE)), dn AS (SELECT * FROM lks WHERE tier IS NOT NULL AND ov >= CAST(0.3 AS DOUBLE)), dp AS (SELECT * FROM lks WHERE tier IS NULL OR ov < CAST(0.3 AS DOUBLE)), ft AS (SELECT * FROM dp QUALIFY row_number() OVER (PARTITION BY a ORDER BY ord, b) = 1)"
+LIKE = f"{EP}, tk AS (SELECT mid, list_distinct(regexp_extract_all(lower(content), '[a-zA-Z]+')) AS t FROM memx), lk AS (SELECT ep.a, ep.b, o.ord, n.ord AS nord, n.content AS nc, n.importance AS ni, o.importance AS oi, n.score AS ns, o.score AS os, contains(lower(n.content), lower(o.content)) OR contains(lower(o.content), lower(n.content)) AS inside, len(list_intersect(x.t, y.t)) / CAST(greatest(least(len(x.t), len(y.t)), 1) AS DOUBLE) AS ov, CASE WHEN {has('n.content', T1)} THEN 1 WHEN {has('n.content', T2)} THEN 2 END AS tier FROM ep JOIN mem_new n ON n.mid = ep.a JOIN mem_old o ON o.mid = ep.b JOIN tk x ON x.mid = ep.a JOIN tk y ON y.mid = ep.b), lks AS (SELECT * FROM lk WHERE inside OR ov >= CAST(0.3 AS DOUBLE)), dn AS (SELECT * FROM lks WHERE tier IS NOT NULL AND ov >= CAST(0.3 AS DOUBLE)), dp AS (SELECT * FROM lks WHERE tier IS NULL OR ov < CAST(0.3 AS DOUBLE)), ft AS (SELECT * FROM dp QUALIFY row_number() OVER (PARTITION BY a ORDER BY ord, b) = 1)"
 
 
 def overlaps(s, d):
-    return curate.overlap_dedup(X.mem_new(s, d), X.mem_old(s, d), X.ent(s, d), tier1=T1, tier2=T2)
+    return curate.overlap_dedup(X.mem_new(s, d), X.mem_old(s, d), X.entx(s, d), tier1=T1, tier2=T2)
 
 
 @q("j07_overlap_inserts", f"{LIKE} SELECT mid FROM mem_new WHERE mid NOT IN (SELECT a FROM ft)")
@@ -176,9 +176,9 @@ def j07c(s, d):
     return overlaps(s, d)[2].select("mid", "n", "override_tier", F.round("score", 6).alias("score"))
 
 
-@q("j08_verify_beliefs", f"ws AS (SELECT mid, list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda w: w <> '')) AS t FROM mem), bp AS (SELECT DISTINCT a.mid AS a, b.mid AS b FROM ent a JOIN ent b ON a.entity = b.entity JOIN mem_new x ON x.mid = a.mid AND x.mtype = 'belief' JOIN mem_old y ON y.mid = b.mid AND y.mtype = 'fact'), v AS (SELECT bp.a, bp.b, CASE WHEN len(list_intersect(x.t, y.t)) / CAST(greatest(len(x.t), 1) AS DOUBLE) > CAST(0.2 AS DOUBLE) * 2.5 THEN 'confirmed' WHEN {has('lower(n.content)', NEG)} <> {has('lower(o.content)', NEG)} AND len(list_intersect(x.t, y.t)) / CAST(greatest(len(x.t), 1) AS DOUBLE) > CAST(0.3 AS DOUBLE) THEN 'contradicted' END AS verdict FROM bp JOIN ws x ON x.mid = bp.a JOIN ws y ON y.mid = bp.b JOIN mem n ON n.mid = bp.a JOIN mem o ON o.mid = bp.b), f AS (SELECT * FROM v WHERE verdict IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a ORDER BY b) = 1) SELECT n.mid, coalesce(verdict, 'unchanged') AS verdict, b AS fact, round(CASE verdict WHEN 'confirmed' THEN CAST(1 AS DOUBLE) WHEN 'contradicted' THEN greatest(CAST(0.1 AS DOUBLE), confidence - CAST(0.3 AS DOUBLE)) ELSE confidence END, 6) AS confidence FROM mem_new n LEFT JOIN f ON f.a = n.mid WHERE n.mtype = 'belief'")
+@q("j08_verify_beliefs", f"ws AS (SELECT mid, list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda w: w <> '')) AS t FROM memx), bp AS (SELECT DISTINCT a.mid AS a, b.mid AS b FROM entx a JOIN entx b ON a.entity = b.entity JOIN mem_new x ON x.mid = a.mid AND x.mtype = 'belief' JOIN mem_old y ON y.mid = b.mid AND y.mtype = 'fact'), v AS (SELECT bp.a, bp.b, CASE WHEN len(list_intersect(x.t, y.t)) / CAST(greatest(len(x.t), 1) AS DOUBLE) > CAST(0.2 AS DOUBLE) * 2.5 THEN 'confirmed' WHEN {has('lower(n.content)', NEG)} <> {has('lower(o.content)', NEG)} AND len(list_intersect(x.t, y.t)) / CAST(greatest(len(x.t), 1) AS DOUBLE) > CAST(0.3 AS DOUBLE) THEN 'contradicted' END AS verdict FROM bp JOIN ws x ON x.mid = bp.a JOIN ws y ON y.mid = bp.b JOIN memx n ON n.mid = bp.a JOIN memx o ON o.mid = bp.b), f AS (SELECT * FROM v WHERE verdict IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a ORDER BY b) = 1) SELECT n.mid, coalesce(verdict, 'unchanged') AS verdict, b AS fact, round(CASE verdict WHEN 'confirmed' THEN CAST(1 AS DOUBLE) WHEN 'contradicted' THEN greatest(CAST(0.1 AS DOUBLE), confidence - CAST(0.3 AS DOUBLE)) ELSE confidence END, 6) AS confidence FROM mem_new n LEFT JOIN f ON f.a = n.mid WHERE n.mtype = 'belief'")
 def j08(s, d):
-    return curate.verify_beliefs(X.mem_new(s, d).where("mtype = 'belief'"), X.mem_old(s, d).where("mtype = 'fact'"), X.ent(s, d), NEG).withColumn("confidence", F.round("confidence", 6))
+    return curate.verify_beliefs(X.mem_new(s, d).where("mtype = 'belief'"), X.mem_old(s, d).where("mtype = 'fact'"), X.entx(s, d), NEG).withColumn("confidence", F.round("confidence", 6))
 
 
 @q("j14_supersede", f"{DEC}, lo AS (SELECT target AS mid, max(a) AS superseded_by FROM dec WHERE op = 'UPDATE' GROUP BY target), wi AS (SELECT a AS mid, string_agg(CAST(target AS VARCHAR), ',') AS supersedes FROM dec WHERE op = 'UPDATE' GROUP BY a) SELECT mem.mid, superseded_by IS NOT NULL AS superseded, superseded_by, CASE WHEN superseded_by IS NOT NULL THEN 1 ELSE 0 END AS state, coalesce(supersedes, '') AS supersedes FROM mem LEFT JOIN lo ON lo.mid = mem.mid LEFT JOIN wi ON wi.mid = mem.mid")
@@ -208,9 +208,9 @@ def a06(s, d):
     return curate.summaries(m.where("mtype = 'fact'"), e, last, AS, C("mid") % 4 == 0).select("entity", "n_facts", "is_reflection", "content", F.round("importance", 6).alias("importance"))
 
 
-@q("a07_profiles", "SELECT entity, coalesce(string_agg(CAST(mem.mid AS VARCHAR), ',' ORDER BY mem.mid) FILTER (WHERE mtype = 'fact'), '') AS facts, coalesce(string_agg(CAST(mem.mid AS VARCHAR), ',' ORDER BY mem.mid) FILTER (WHERE mtype = 'belief'), '') AS beliefs, count(*) FILTER (WHERE mtype IN ('fact', 'belief')) AS n FROM ent JOIN mem ON mem.mid = ent.mid GROUP BY entity")
+@q("a07_profiles", "SELECT entity, mtype, mem.mid, count(*) FILTER (WHERE mtype IN ('fact', 'belief')) OVER (PARTITION BY entity) AS n FROM ent JOIN mem ON mem.mid = ent.mid")
 def a07(s, d):
-    return curate.profiles(X.mem(s, d), X.ent(s, d)).select("entity", csv("facts").alias("facts"), csv("beliefs").alias("beliefs"), "n")
+    return curate.profiles(X.mem(s, d), X.ent(s, d))
 
 
 @q("a09_access_stats", "SELECT mid, count(*) AS accesses, count(*) FILTER (WHERE access_type = 'retrieval') AS retrieval, count(*) FILTER (WHERE access_type = 'used_in_response') AS used_in_response, count(*) FILTER (WHERE access_type = 'user_mentioned') AS user_mentioned, CAST(floor(max(ts_us) / 1000000.0) AS BIGINT) AS last_s FROM access_log GROUP BY mid")
@@ -339,9 +339,51 @@ def w10(s, d):
     return report.top_by(X.mem(s, d).where("mtype = 'fact'"), "created_s", 20).select("mid", "created_s")
 
 
-@q("r05_snapshot", "SELECT 'critical' AS section, row_number() OVER (ORDER BY importance DESC, mid) AS pos, substring(content, 1, 60) AS line FROM mem WHERE importance >= CAST(0.9 AS DOUBLE) QUALIFY pos <= 5 UNION ALL SELECT 'entities', row_number() OVER (ORDER BY entity) AS pos, entity || ': ' || count(*) FROM ent GROUP BY entity QUALIFY pos <= 10")
+ONE = "replace(content, chr(10), ' ')"
+SNAP = f"""sn AS (SELECT *, mid % 8 = 0 AS down, {ONE} AS one FROM mem), sc AS (
+SELECT 'critical' AS section, row_number() OVER (ORDER BY score DESC, mid) AS pos, '- **' || one || '**' AS line FROM sn WHERE importance >= CAST(0.9 AS DOUBLE) QUALIFY pos <= 5
+UNION ALL SELECT 'high', row_number() OVER (ORDER BY score DESC, mid) AS pos, '- ' || one FROM sn WHERE importance >= CAST(0.7 AS DOUBLE) AND importance < CAST(0.9 AS DOUBLE) QUALIFY pos <= 5
+UNION ALL SELECT 'downgraded', row_number() OVER (ORDER BY score DESC, mid) AS pos, '- ~~' || substring(one, 1, 40) || '~~ (Score: ' || printf('%.2f', importance) || ' → ' || printf('%.2f', score) || ')' FROM sn WHERE down QUALIFY pos <= 5
+UNION ALL SELECT 'ranking', row_number() OVER (ORDER BY score DESC, mid) AS pos, '| ' || row_number() OVER (ORDER BY score DESC, mid) || ' | ' || printf('%.2f', score) || ' | [' || upper(substring(mtype, 1, 1)) || '] ' || substring(one, 1, 40) || ' |' FROM sn QUALIFY pos <= 15
+UNION ALL SELECT 'entities', row_number() OVER (ORDER BY entity) AS pos, '- **' || entity || '**: ' || count(*) || ' 条相关记忆' FROM ent GROUP BY entity QUALIFY pos <= 10
+UNION ALL SELECT 'totals', pos, '- **' || k || '**: ' || v || ' 条' || CASE WHEN pos < 4 THEN ' (' || CAST(floor(v * 100 / n) AS BIGINT) || '%)' ELSE '' END FROM (SELECT count(*) AS n, count(*) FILTER (WHERE mtype = 'fact') AS a, count(*) FILTER (WHERE mtype = 'belief') AS b, count(*) FILTER (WHERE mtype = 'summary') AS c, count(*) FILTER (WHERE importance >= CAST(0.9 AS DOUBLE)) AS d, count(*) FILTER (WHERE importance >= CAST(0.7 AS DOUBLE) AND importance < CAST(0.9 AS DOUBLE)) AS e FROM mem), LATERAL (VALUES (1, 'Facts', a), (2, 'Beliefs', b), (3, 'Summaries', c), (4, '关键信息', d), (5, '重要信息', e)) AS t(pos, k, v))"""
+
+
+def snapshot(s, d):
+    return report.snapshot(X.mem(s, d).withColumn("conflict_downgraded", C("mid") % 8 == 0), X.ent(s, d))
+
+
+@q("r05_snapshot", f"{SNAP} SELECT section, pos, line FROM sc")
 def r05(s, d):
-    return report.snapshot(X.mem(s, d), X.ent(s, d)).where("section <> 'ranking'")
+    return snapshot(s, d)
+
+
+@q("r05_snapshot_text", f"{SNAP}, o AS (SELECT list_position(['critical', 'high', 'downgraded', 'ranking', 'entities', 'totals'], section) AS s, pos, line FROM sc UNION ALL SELECT DISTINCT list_position(['critical', 'high', 'downgraded', 'ranking', 'entities', 'totals'], section), 0, '## ' || section FROM sc) SELECT string_agg(line, chr(10) ORDER BY s, pos) AS text FROM o")
+def r05t(s, d):
+    return report.snapshot_text(snapshot(s, d))
+
+
+@q("s12_snapshot_sink", f"{SNAP} SELECT line FROM sc")
+def s12(s, d):
+    from ..sources import io
+
+    path = io.shared_path(s, "snapshot")
+    io.write_text(snapshot(s, d), path)
+    return s.read.text(path).select(C("value").alias("line"))
+
+
+@q("r02_pending_view", f"SELECT mid AS ord, CASE WHEN {has('content', ('worthless', 'nicht', 'pour'))} THEN '🔴' ELSE '⚪' END || ' ' || substring(content, 1, 50) || '...' AS line, round(importance, 1) AS importance, (SELECT count(*) FROM mem) AS pending, (SELECT count(*) FROM mem WHERE {has('content', ('worthless', 'nicht', 'pour'))}) AS urgents FROM mem")
+def r02(s, d):
+    u = R.urgency(C("content"), ("worthless",), ("nicht", "pour"), ("^$^",))["urgent"]
+    return report.pending_view(X.mem(s, d).withColumn("ord", C("mid")), u)
+
+
+DASH = f"greatest(0, CAST(floor(({AS} - coalesce(last_accessed_s, created_s)) / 86400.0) AS BIGINT))"
+
+
+@q("r04_dashboard", f"v AS (SELECT *, {DASH} AS days, CASE WHEN mid % 7 = 0 THEN 'conflict' WHEN {DASH} > 10 THEN 'stale' ELSE 'active' END AS st FROM mem), t AS (SELECT count(*) AS a, count(*) FILTER (WHERE st = 'active') AS b, count(*) FILTER (WHERE st = 'stale') AS c, count(*) FILTER (WHERE importance >= CAST(0.8 AS DOUBLE)) AS d, count(*) FILTER (WHERE st = 'conflict') AS e FROM v) SELECT 'totals' AS section, pos, '| ' || k || ' | ' || n || ' |' AS line FROM t, LATERAL (VALUES (1, 'total', a), (2, 'active', b), (3, 'stale', c), (4, 'high_priority', d), (5, 'conflict', e)) AS x(pos, k, n) UNION ALL SELECT mtype, pos, line FROM (SELECT mtype, row_number() OVER (PARTITION BY mtype ORDER BY importance DESC, mid) AS pos, '| ' || substring(CAST(mid AS VARCHAR), 1, 12) || ' | ' || replace(replace(substring(content, 1, 40), chr(10), ' '), '|', chr(92) || '|') || '... | ' || CASE WHEN importance >= CAST(0.8 AS DOUBLE) THEN '🔴' WHEN importance >= CAST(0.5 AS DOUBLE) THEN '🟡' ELSE '⚪' END || ' | ' || CASE st WHEN 'conflict' THEN '🔀' WHEN 'stale' THEN '⚠️' ELSE '✅' END || ' | ' || days || ' |' AS line FROM v) WHERE (mtype = 'fact' AND pos <= 20) OR (mtype = 'belief' AND pos <= 10)")
+def r04(s, d):
+    return report.dashboard(X.mem(s, d).withColumn("last_verified_s", C("last_accessed_s")), C("mid") % 7 == 0, AS, 10)
 
 
 @q("r06_token_budget", "k AS (SELECT session_id, mid, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, mid) AS rank, count(*) OVER (PARTITION BY session_id) AS n FROM mem) SELECT mid, rank, CAST(floor(1000 * CASE rank WHEN 1 THEN CAST(0.4 AS DOUBLE) WHEN 2 THEN CAST(0.25 AS DOUBLE) WHEN 3 THEN CAST(0.15 AS DOUBLE) ELSE CAST(0.2 AS DOUBLE) / (n - 3) END) AS BIGINT) AS tokens FROM k")
@@ -391,6 +433,37 @@ def s05(s, d):
     return collect_pending(m, collect_pending(m.where("session % 3 = 0"), none, 16), 16).select("id")
 
 
+@q("s07_pending_segments", "SELECT trim(content) AS content, session_id AS session, 'b1' AS consumed_by FROM mem WHERE length(trim(content)) > 5")
+def s07(s, d):
+    from ..sources.io import pending_segments
+
+    p = X.mem(s, d).select("mid", "content", C("session_id").alias("session"), C("created_s").alias("timestamp"))
+    segments, consumed = pending_segments(p, "b1")
+    marks = consumed.select("consumed_by").distinct()
+    return segments.crossJoin(F.broadcast(marks)).select("content", "session", "consumed_by")
+
+
+@q("s15_expired_log", f"SELECT mid AS memory_id, content, created_s AS created_at, expires_s AS expires_at, CAST({AS} AS BIGINT) AS expired_at FROM mem WHERE expires_s <= {AS}")
+def s15(s, d):
+    from ..sources import io
+
+    path = io.shared_path(s, "expired")
+    expired, _ = curate.split_expired(X.mem(s, d), AS)
+    for part in (0, 1):  # two runs append to one log
+        io.log_expired(expired.where(C("mid") % 2 == part), path, AS)
+    return s.read.schema("memory_id long, content string, created_at long, expires_at long, expired_at long").json(path)
+
+
+@q("s16_profile_sink", "SELECT substring(md5(entity), 1, 8) AS entity_id, entity, mtype, mem.mid FROM ent JOIN mem ON mem.mid = ent.mid")
+def s16(s, d):
+    from ..sources import io
+
+    path = io.shared_path(s, "profiles")
+    rows = curate.profiles(X.mem(s, d), X.ent(s, d)).withColumn("entity_id", F.substring(F.md5("entity"), 1, 8))
+    io.write_partitioned(rows, path, "entity_id", 16)
+    return s.read.parquet(path).select("entity_id", "entity", "mtype", "mid")
+
+
 @q("s08_upsert", "SELECT mid, CASE WHEN mid % 4 = 0 THEN 'new' ELSE content END AS content FROM mem")
 def s08(s, d):
     from ..sources.io import upsert
@@ -416,17 +489,72 @@ def c02(s, d):
     return jobs.mini_consolidate(pending, imp(), LIT(False)).select("mid", "id", F.round("importance", 6).alias("importance"))
 
 
-EX = "ve AS (SELECT * FROM mem_old WHERE NOT coalesce((SELECT expires_s FROM mem WHERE mem.mid = mem_old.mid) <= 1706745600, false))"
-NW = f"nw AS (SELECT mid, mid AS ord, content, mtype, ownership, {IMP} AS importance, {IMP} AS score, CASE WHEN mtype = 'belief' THEN CAST(0.6 AS DOUBLE) END AS confidence, created_s FROM mem_new WHERE ({NOISE.replace('importance <', 'CAST(0.5 AS DOUBLE) <')}) IS NULL AND {IMP} >= CAST(0.3 AS DOUBLE))"
-C1 = f"{EX}, {NW}, " + DEC.replace("mem_new", "nw").replace("mem_old", "ve") + f", u AS (SELECT target, arg_max(n.content, n.ord) AS c, arg_max(n.importance, n.ord) AS i, max(n.score) AS sc FROM dec JOIN nw n ON n.mid = dec.a WHERE op = 'UPDATE' GROUP BY target), cu AS (SELECT o.mid, o.mtype, coalesce(u.i, o.importance) AS importance, greatest(o.score, u.sc) AS score FROM ve o LEFT JOIN u ON u.target = o.mid UNION ALL SELECT n.mid, n.mtype, n.importance, n.score FROM nw n JOIN dec ON dec.a = n.mid WHERE op = 'ADD'), de AS (SELECT mid, score * (1 - {RATE} * (1 - importance * CAST(0.5 AS DOUBLE))) AS score FROM cu) SELECT mid, round(score, 6) AS score, CASE WHEN score < CAST(0.05 AS DOUBLE) THEN 1 ELSE 0 END AS state FROM de UNION ALL SELECT mid, round(score, 6), 2 FROM mem_old WHERE mid NOT IN (SELECT mid FROM ve)"
+EX = f"ve AS (SELECT * FROM mem_old WHERE NOT coalesce(expires_s <= {AS}, false))"
+NW = f"nw AS (SELECT mid, mid AS ord, content, mtype, ownership, {IMP} AS importance, {IMP} AS score, CASE WHEN mtype = 'belief' THEN CAST(0.6 AS DOUBLE) END AS confidence, created_s FROM mem_new WHERE length(trim(content)) > 5 AND ({NOISE.replace('importance <', 'CAST(0.5 AS DOUBLE) <')}) IS NULL AND {IMP} >= CAST(0.3 AS DOUBLE))"
+KEEP = f"CAST(CASE WHEN CAST(floor(({AS} - la) / 86400.0) AS BIGINT) <= 3 THEN 0.99 WHEN CAST(floor(({AS} - la) / 86400.0) AS BIGINT) <= 7 THEN 0.97 WHEN CAST(floor(({AS} - la) / 86400.0) AS BIGINT) <= 14 THEN 0.95 ELSE 1 END AS DOUBLE)"
+VER = f"ws AS (SELECT mid, content AS wc, list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda w: w <> '')) AS t FROM memx), kf AS (SELECT mid, 0 AS g FROM ve WHERE mtype = 'fact' UNION ALL SELECT mid, 1 FROM nw WHERE mtype = 'fact'), bp AS (SELECT DISTINCT a.mid AS a, b.mid AS b, g FROM entx a JOIN entx b ON a.entity = b.entity JOIN nw ON nw.mid = a.mid AND nw.mtype = 'belief' JOIN kf ON kf.mid = b.mid), vd AS (SELECT bp.a, bp.b, g, CASE WHEN len(list_intersect(x.t, y.t)) / CAST(greatest(len(x.t), 1) AS DOUBLE) > CAST(0.5 AS DOUBLE) THEN 'confirmed' WHEN {has('lower(x.wc)', NEG)} <> {has('lower(y.wc)', NEG)} AND len(list_intersect(x.t, y.t)) / CAST(greatest(len(x.t), 1) AS DOUBLE) > CAST(0.3 AS DOUBLE) THEN 'contradicted' END AS verdict FROM bp JOIN ws x ON x.mid = bp.a JOIN ws y ON y.mid = bp.b), vf AS (SELECT * FROM vd WHERE verdict IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a ORDER BY g, b) = 1)"
+C1 = f"{EX}, {NW}, " + DEC.replace("mem_new", "nw").replace("mem_old", "ve") + f", {VER}, u AS (SELECT target, arg_max(n.content, n.ord) AS c, arg_max(n.importance, n.ord) AS i, max(n.score) AS sc FROM dec JOIN nw n ON n.mid = dec.a WHERE op = 'UPDATE' GROUP BY target), cu AS (SELECT o.mid, o.mtype, coalesce(u.c, o.content) AS content, coalesce(u.i, o.importance) AS importance, greatest(o.score, u.sc) AS score, o.confidence, o.created_s, o.last_accessed_s AS la FROM ve o LEFT JOIN u ON u.target = o.mid UNION ALL SELECT n.mid, CASE WHEN verdict = 'confirmed' THEN 'fact' ELSE n.mtype END, n.content, n.importance, n.score, CASE verdict WHEN 'confirmed' THEN CAST(1 AS DOUBLE) WHEN 'contradicted' THEN greatest(CAST(0.1 AS DOUBLE), n.confidence - CAST(0.3 AS DOUBLE)) ELSE n.confidence END, n.created_s, NULL FROM nw n JOIN dec ON dec.a = n.mid LEFT JOIN vf ON vf.a = n.mid WHERE op = 'ADD'), de AS (SELECT mid, mtype, content, importance, confidence, created_s, score * (1 - {RATE} * (1 - importance * CAST(0.5 AS DOUBLE)) * {KEEP}) AS score FROM cu), ac AS (SELECT * FROM de WHERE score >= CAST(0.05 AS DOUBLE))"
 
 
-@q("c01_consolidate", C1)
-def c01(s, d):
-    m = X.mem(s, d).withColumn("ord", C("mid"))
+def consolidated(s, d):
+    m = X.memx(s, d).withColumn("ord", C("mid"))
     stored, seg = m.where("session_id % 5 <> 0"), m.where("session_id % 5 = 0")
-    out = jobs.consolidate(stored, seg, X.ent(s, d), imp(), LIT(False), AS, NEG, threshold=0.2)
-    return out.select("mid", F.round("score", 6).alias("score"), "state")
+    return jobs.consolidate(stored, seg, X.entx(s, d), imp(), LIT(False), AS, NEG, NEG, stale_days=20)
+
+
+@q("c01_consolidate", f"{C1} SELECT mid, mtype, content, round(confidence, 6) AS confidence, round(score, 6) AS score, CASE WHEN score < CAST(0.05 AS DOUBLE) THEN 1 ELSE 0 END AS state, CASE WHEN score >= CAST(0.05 AS DOUBLE) THEN {AGE} > 20 END AS stale FROM de UNION ALL SELECT mid, mtype, content, round(confidence, 6), round(score, 6), 2, NULL FROM mem_old WHERE mid NOT IN (SELECT mid FROM ve)")
+def c01(s, d):
+    return consolidated(s, d).records.select("mid", "mtype", "content", F.round("confidence", 6).alias("confidence"), F.round("score", 6).alias("score"), "state", "stale")
+
+
+@q("c01_outputs", f"{C1}, fc AS (SELECT entity, count(*) AS n FROM entx JOIN cu ON cu.mid = entx.mid WHERE mtype = 'fact' GROUP BY entity), ls AS (SELECT entity, max(created_s) AS last_s FROM entx JOIN ve ON ve.mid = entx.mid WHERE mtype = 'summary' GROUP BY entity) SELECT 'summaries' AS part, count(*) AS n FROM fc LEFT JOIN ls ON ls.entity = fc.entity WHERE (last_s IS NULL AND n >= 3) OR (n >= 8 AND floor(({AS} - last_s) / 86400.0) >= 7) UNION ALL SELECT 'profiles', count(*) FROM entx JOIN ac ON ac.mid = entx.mid UNION ALL SELECT 'postings', count(*) FROM (SELECT unnest({KEYS.format('content')}) FROM ac) UNION ALL SELECT 'relations', count(*) FROM entx JOIN ac ON ac.mid = entx.mid UNION ALL SELECT 'rankings', least(50, count(*)) FROM ac UNION ALL SELECT 'snapshot', least(5, count(*) FILTER (WHERE importance >= CAST(0.9 AS DOUBLE))) + least(5, count(*) FILTER (WHERE importance >= CAST(0.7 AS DOUBLE) AND importance < CAST(0.9 AS DOUBLE))) + least(15, count(*)) + least(10, (SELECT count(DISTINCT entity) FROM entx JOIN ac ON ac.mid = entx.mid)) + 5 FROM ac")
+def c01o(s, d):
+    out = consolidated(s, d)
+    rows = None
+    for part in ("summaries", "profiles", "postings", "relations", "rankings", "snapshot"):
+        n = getattr(out, part).agg(F.count(LIT(1)).alias("n")).select(LIT(part).alias("part"), "n")
+        rows = n if rows is None else rows.unionByName(n)
+    return rows
+
+
+@q("x02_known_facts", f"{EX}, {NW}, {VER} SELECT nw.mid, coalesce(verdict, 'unchanged') AS verdict, b AS fact FROM nw LEFT JOIN vf ON vf.a = nw.mid WHERE nw.mtype = 'belief'")
+def x02(s, d):
+    m = X.memx(s, d).withColumn("ord", C("mid"))
+    _, valid = curate.split_expired(m.where("session_id % 5 <> 0"), AS)
+    new = jobs.extract(m.where("session_id % 5 = 0 AND length(trim(content)) > 5"), imp(), LIT(False))
+    return curate.verify_beliefs(new.where("mtype = 'belief'"), jobs.known_facts(valid, new), X.entx(s, d), NEG).select("mid", "verdict", "fact")
+
+
+@q("t06_sample", f"SELECT mid, '[' || printf('%.1f', {IMP}) || '] ' || substring(content, 1, 40) || '...' AS line FROM mem WHERE ({NOISE.replace('importance <', 'CAST(0.5 AS DOUBLE) <')}) IS NULL AND {IMP} >= CAST(0.3 AS DOUBLE) ORDER BY mid LIMIT 3")
+def t06(s, d):
+    kept = clean.importance_filter(X.mem(s, d).drop("importance"), imp()).where("method = 'rule'")
+    return clean.sample(kept, 3, "mid")
+
+
+@q("t07_dynamic_sort", f"SELECT mid, rank FROM (SELECT mid, row_number() OVER (ORDER BY round({DYN}, 9) DESC, mid) AS rank FROM mem) WHERE rank <= 50")
+def t07(s, d):
+    score = R.dynamic_score(C("score"), C("importance"), C("mtype"), C("created_s"), boost_col(), LIT(AS))
+    return report.by_dynamic_score(X.mem(s, d), score).select("mid", "rank")
+
+
+@q("u01_scorer", f"SELECT mid, round(CASE WHEN {IMP} < CAST(0.3 AS DOUBLE) THEN {IMP} + CAST(0.2 AS DOUBLE) ELSE {IMP} END, 6) AS importance, CASE WHEN {IMP} < CAST(0.3 AS DOUBLE) THEN 'external' ELSE 'rule' END AS method FROM mem WHERE ({NOISE.replace('importance <', 'CAST(0.5 AS DOUBLE) <')}) IS NULL AND ({IMP} >= CAST(0.3 AS DOUBLE) OR ({IMP} >= CAST(0.2 AS DOUBLE) AND mid % 2 = 0))")
+def u01(s, d):
+    scorer = lambda rows: rows.withColumn("importance", F.when(C("mid") % 2 == 0, C("importance") + 0.2).otherwise(0.0))
+    return clean.importance_filter(X.mem(s, d).drop("importance"), imp(), scorer=scorer).select("mid", F.round("importance", 6).alias("importance"), "method")
+
+
+@q("u03_external_entities", r"SELECT mid, CASE WHEN len(b) > 0 THEN 'builtin' WHEN len(l) > 0 THEN 'learned' WHEN mid % 2 = 0 THEN 'external' ELSE 'none' END AS source, CASE WHEN len(b) > 0 THEN array_to_string(b, ',') WHEN len(l) > 0 THEN array_to_string(l, ',') WHEN mid % 2 = 0 THEN 'Extra' ELSE '' END AS entities FROM (SELECT mid, list_sort(list_distinct(regexp_extract_all(content, '(?i)worth[a-z]'))) AS b, list_filter(['The', 'Thnt'], lambda w: contains(content, w)) AS l FROM mem)")
+def u03(s, d):
+    t = C("content")
+    rows = X.mem(s, d).select("mid", "content", entities.builtin_entities(t, ("worth[a-z]",)).alias("builtin"), F.filter(F.array(LIT("The"), LIT("Thnt")), lambda w: F.contains(t, w)).alias("learned"))
+    ask = lambda rows: rows.withColumn("reply", F.when(C("mid") % 2 == 0, LIT('["Extra"]')).otherwise(LIT("no answer")))
+    return entities.with_external(rows, ask).select("mid", "source", F.array_join("entities", ",").alias("entities"))
+
+
+@q("u04_extracted_validity", "v AS (SELECT mem.mid AS vid, entity, a AS attribute, regexp_extract(content, a || ' ([a-z]+)', 1) AS value, created_s * 1000000 AS ts_us FROM mem JOIN ent ON ent.mid = mem.mid, (VALUES ('with'), ('from')) AS t(a)) SELECT vid, entity, attribute, value, lead(ts_us) OVER (PARTITION BY entity, attribute ORDER BY ts_us, vid) AS valid_to FROM v WHERE value <> ''")
+def u04(s, d):
+    found = {a: F.regexp_extract("content", f"{a} ([a-z]+)", 1) for a in ("with", "from")}
+    return temporal.validity(temporal.extracted(X.mem(s, d), X.ent(s, d), found)).select("vid", "entity", "attribute", "value", "valid_to")
 
 
 # --- retrieval ----------------------------------------------------------------------------------------------------------
@@ -450,7 +578,10 @@ def en(s, d):
 
 
 def ti(s, d):
-    return search.tfidf_channel(X.qry(s, d), X.mem(s, d)).withColumn("score", F.round("score", 9))
+    return search.tfidf_channel(X.qry(s, d), X.mem(s, d))
+
+
+best = search.top
 
 
 @q("j01_keyword_search", f"{KW}, {TOPN('k', 'kw', 20)} SELECT qid, mid, score, pos FROM k")
@@ -468,15 +599,14 @@ def j04(s, d):
     return search.pending_channel(X.qry(s, d), X.mem(s, d).where("source_turn = 0")).withColumn("match", F.round("match", 6))
 
 
-@q("g03_tfidf_search", f"{TF}, {TOPN('k', 'ti', 10)} SELECT qid, mid, pos, round(score, 6) AS score FROM k")
+@q("g03_tfidf_search", f"{TF}, {TOPN('k', 'ti', 10)} SELECT qid, mid, pos, round(score, 9) AS score FROM k")
 def g03(s, d):
-    return search.top(ti(s, d), 10).select("qid", "mid", "pos", F.round("score", 6).alias("score"))
+    return best(ti(s, d), 10).select("qid", "mid", "pos", F.round("score", 9).alias("score"))
 
 
-@q("g04_bm25_search", "tc AS (SELECT mid, term, count(*) AS tf FROM (SELECT mid, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS term FROM mem) GROUP BY 1, 2), dl AS (SELECT mid, CAST(sum(tf) AS DOUBLE) AS dl FROM tc GROUP BY mid), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS a FROM dl), df AS (SELECT term, count(*) AS df FROM tc GROUP BY term), qt AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(array_to_string(regexp_extract_all(query, '[A-Za-z][A-Za-z0-9_-]+'), ' ')), '[a-z0-9]+')) AS term FROM qry), bm AS (SELECT qid, tc.mid, sum(ln(1 + (n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / a))) AS score FROM qt JOIN df ON df.term = qt.term JOIN tc ON tc.term = qt.term JOIN dl ON dl.mid = tc.mid, st GROUP BY 1, 2), k AS (SELECT qid, mid, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, mid) AS pos FROM bm QUALIFY pos <= 10) SELECT qid, mid, pos, round(score, 6) AS score FROM k")
+@q("g04_bm25_search", "tc AS (SELECT mid, term, count(*) AS tf FROM (SELECT mid, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS term FROM mem) GROUP BY 1, 2), dl AS (SELECT mid, CAST(sum(tf) AS DOUBLE) AS dl FROM tc GROUP BY mid), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS a FROM dl), df AS (SELECT term, count(*) AS df FROM tc GROUP BY term), qt AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(array_to_string(regexp_extract_all(query, '[A-Za-z][A-Za-z0-9_-]+'), ' ')), '[a-z0-9]+')) AS term FROM qry), bm AS (SELECT qid, tc.mid, sum(ln(1 + (n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / a))) AS score FROM qt JOIN df ON df.term = qt.term JOIN tc ON tc.term = qt.term JOIN dl ON dl.mid = tc.mid, st GROUP BY 1, 2), k AS (SELECT qid, mid, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, mid) AS pos FROM bm QUALIFY pos <= 10) SELECT qid, mid, pos, round(score, 9) AS score FROM k")
 def g04(s, d):
-    b = search.bm25_channel(X.qry(s, d), X.mem(s, d)).withColumn("score", F.round("score", 9))
-    return search.top(b, 10).select("qid", "mid", "pos", F.round("score", 6).alias("score"))
+    return best(search.bm25_channel(X.qry(s, d), X.mem(s, d)), 10).select("qid", "mid", "pos", F.round("score", 9).alias("score"))
 
 
 @q("g05_vector_search", "SELECT * FROM (SELECT a.vec_id AS qid, b.vec_id AS mid, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS pos, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE pos <= 10")
@@ -487,7 +617,7 @@ def g05(s, d):
 
 @q("g06_hybrid", f"{KW}, {TF} SELECT coalesce(kw.qid, ti.qid) AS qid, coalesce(kw.mid, ti.mid) AS mid, round(CAST(0.3 AS DOUBLE) * coalesce(kw.score, 0) + CAST(0.7 AS DOUBLE) * coalesce(round(ti.score, 9), 0), 6) AS score FROM kw FULL JOIN ti ON kw.qid = ti.qid AND kw.mid = ti.mid WHERE CAST(0.3 AS DOUBLE) * coalesce(kw.score, 0) + CAST(0.7 AS DOUBLE) * coalesce(round(ti.score, 9), 0) >= CAST(0.2 AS DOUBLE)")
 def g06(s, d):
-    return search.hybrid(kw(s, d), ti(s, d)).withColumn("score", F.round("score", 6))
+    return search.hybrid(kw(s, d), ti(s, d).withColumn("score", F.round("score", 9))).withColumn("score", F.round("score", 6))
 
 
 @q("g07_index_refresh", "SELECT count(*) AS total, count(v.mid) AS indexed, count(*) FILTER (WHERE v.mid IS NULL) AS missing FROM mem LEFT JOIN (SELECT DISTINCT vec_id * 1000 AS mid FROM embeddings) v ON v.mid = mem.mid")
@@ -500,17 +630,16 @@ FU = f"{CH}, fx AS (SELECT qid, mid, sum(1 / CAST(60 + pos AS DOUBLE)) AS score
 
 
 def channels(s, d):
-    return [search.top(c, 20) for c in (kw(s, d), en(s, d), ti(s, d))]
+    return [best(c, 20) for c in (kw(s, d), en(s, d), ti(s, d))]
 
 
 def fused(s, d):
-    f = search.fuse(channels(s, d), 10**6).drop("pos").withColumn("score", F.round("score", 9))
-    return search.top(f, 35)
+    return best(search.reciprocal_ranks(channels(s, d)), 35)
 
 
-@q("g01_rank_fusion", f"{FU} SELECT qid, mid, pos, round(score, 6) AS score FROM fu")
+@q("g01_rank_fusion", f"{FU} SELECT qid, mid, pos, round(score, 9) AS score FROM fu")
 def g01(s, d):
-    return fused(s, d).select("qid", "mid", "pos", F.round("score", 6).alias("score"))
+    return fused(s, d).select("qid", "mid", "pos", F.round("score", 9).alias("score"))
 
 
 @q("g02_priority_merge", f"{CH} SELECT qid, mid, channel, pos FROM (SELECT qid, mid, 0 AS channel, pos FROM k1 UNION ALL SELECT qid, mid, 1, pos FROM k2 UNION ALL SELECT qid, mid, 2, pos FROM k3) QUALIFY row_number() OVER (PARTITION BY qid, mid ORDER BY channel, pos) = 1")
@@ -527,8 +656,7 @@ RR = f"rr AS (SELECT k2.qid, k2.mid, {RER.format('k2.s2')} AS score FROM (SELECT
 
 
 def ranked(s, d, n=8):
-    r = search.rerank(en(s, d), X.mem(s, d), AS).withColumn("score", F.round("score", 9))
-    return search.top(r, n)
+    return best(search.rerank(en(s, d), X.mem(s, d), AS), n)
 
 
 @q("t02_rerank_cut", f"{EN}, {RR} SELECT qid, mid, pos, round(score, 9) AS score FROM rt")
@@ -536,9 +664,9 @@ def t02(s, d):
     return ranked(s, d).select("qid", "mid", "pos", F.round("score", 9).alias("score"))
 
 
-@q("j11_spread", f"{EN}, {RR}, he AS (SELECT DISTINCT qid, entity FROM rt JOIN ent ON ent.mid = rt.mid WHERE pos <= 5), nr AS (SELECT he.qid, he.entity, m.mid, m.score FROM he JOIN ent ON ent.entity = he.entity JOIN mem m ON m.mid = ent.mid WHERE mtype = 'fact' AND NOT EXISTS (SELECT 1 FROM rt WHERE rt.qid = he.qid AND rt.mid = m.mid)), kp AS (SELECT * FROM nr QUALIFY row_number() OVER (PARTITION BY qid, entity ORDER BY score DESC, mid) <= 5), bt AS (SELECT qid, mid, max(score) * CAST(0.3 AS DOUBLE) AS score FROM kp GROUP BY 1, 2) SELECT qid, mid, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, mid) AS pos FROM bt QUALIFY pos <= 3")
+@q("j11_spread", f"{EN}, {RR}, he AS (SELECT DISTINCT qid, entity FROM rt JOIN ent ON ent.mid = rt.mid WHERE pos <= 5), nr AS (SELECT he.qid, he.entity, m.mid, m.score FROM he JOIN ent ON ent.entity = he.entity JOIN mem m ON m.mid = ent.mid WHERE mtype = 'fact' AND NOT EXISTS (SELECT 1 FROM rt WHERE rt.qid = he.qid AND rt.mid = m.mid)), kp AS (SELECT * FROM nr QUALIFY row_number() OVER (PARTITION BY qid, entity ORDER BY score DESC, mid) <= 5), bt AS (SELECT qid, mid, max(score) * CAST(0.3 AS DOUBLE) AS score FROM kp GROUP BY 1, 2) SELECT qid, mid, round(score, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, mid) AS pos FROM bt QUALIFY pos <= 3")
 def j11(s, d):
-    return search.spread(ranked(s, d), X.ent(s, d), X.mem(s, d).where("mtype = 'fact'")).select("qid", "mid", "pos", F.round("score", 6).alias("score"))
+    return search.spread(ranked(s, d), X.ent(s, d), X.mem(s, d).where("mtype = 'fact'")).select("qid", "mid", "pos", F.round("score", 9).alias("score"))
 
 
 @q("j13_external_hits", "SELECT m.session_id AS qid, m.mid, CAST(m.source_turn AS DOUBLE) AS score FROM mem m WHERE m.mid % 3 = 0")
@@ -568,15 +696,60 @@ def d10(s, d):
     return search.enriched(en(s, d), X.mem(s, d)).select("qid", "mid", F.round("score", 9).alias("score"))
 
 
-@q("g08_route", f"{FU}, rr AS (SELECT fu.qid, fu.mid, {RER.format('fu.s2')} AS score FROM (SELECT qid, mid, score AS s2 FROM fu) fu JOIN mem ON mem.mid = fu.mid) SELECT qid, mid, pos, round(score, 5) AS score FROM (SELECT qid, mid, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 7) DESC, mid) AS pos FROM rr) WHERE pos <= 8")
+@q("g08_route", f"{FU}, rr AS (SELECT fu.qid, fu.mid, {RER.format('fu.s2')} AS score FROM (SELECT qid, mid, score AS s2 FROM fu) fu JOIN mem ON mem.mid = fu.mid) SELECT qid, mid, pos, round(score, 9) AS score FROM (SELECT qid, mid, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 7) DESC, mid) AS pos FROM rr) WHERE pos <= 8")
 def g08(s, d):
-    r = search.rerank(fused(s, d).select("qid", "mid", "score"), X.mem(s, d), AS).withColumn("score", F.round("score", 7))
-    return search.top(r, 8).select("qid", "mid", "pos", F.round("score", 5).alias("score"))
+    r = search.rerank(fused(s, d).select("qid", "mid", "score"), X.mem(s, d), AS)
+    return search.top(r, 8, F.desc(F.round("score", 7))).select("qid", "mid", "pos", F.round("score", 9).alias("score"))
+
+
+BM = "bl AS (SELECT mid, CAST(sum(tf) AS DOUBLE) AS dl FROM tc GROUP BY mid), bs AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS a FROM bl), bd AS (SELECT term, count(*) AS df FROM tc GROUP BY term), bq AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(array_to_string(regexp_extract_all(query, '[A-Za-z][A-Za-z0-9_-]+'), ' ')), '[a-z0-9]+')) AS term FROM qry), bm AS (SELECT qid, tc.mid, sum(ln(1 + (n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / a))) AS score FROM bq JOIN bd ON bd.term = bq.term JOIN tc ON tc.term = bq.term JOIN bl ON bl.mid = tc.mid, bs GROUP BY 1, 2)"
+LAYERQ = "CASE " + " ".join(f"WHEN {has('lower(query)', w)} THEN {n}" for _, n, w in TRIG) + " ELSE 2 END"
+CLASSES = f"kc AS (SELECT qid, query, CASE WHEN {has('lower(query)', ('eron',))} OR {LAYERQ} = 0 THEN 'precise' WHEN {has('lower(query)', ('and',))} THEN 'broad' ELSE 'topic' END AS class FROM qry), ks AS (SELECT qid, query, CASE class WHEN 'precise' THEN 15 WHEN 'topic' THEN 25 ELSE 35 END AS initial, CASE class WHEN 'precise' THEN 10 WHEN 'topic' THEN 16 ELSE 25 END AS rerank, CASE class WHEN 'precise' THEN 8 WHEN 'topic' THEN 13 ELSE 18 END AS final FROM kc)"
+#: The queries hold no time words of the default list; these proxies occur in some.
+DAYS_OF = {"thour": 3, "eronan": 5, "stand": 9}
+TIMES = "tq AS (SELECT qid, CASE " + " ".join(f"WHEN contains(query, '{w}') THEN {n}" for w, n in DAYS_OF.items()) + f" END AS days FROM qry), tr AS (SELECT qid, mid, score FROM tq JOIN mem ON created_s >= {AS} - 86400 * days AND created_s < {AS} - 86400 * days + 86400)"
+CUT = lambda name, src: f"{name} AS (SELECT x.qid, x.mid, x.score, row_number() OVER (PARTITION BY x.qid ORDER BY round(x.score, 9) DESC, x.mid) AS pos FROM {src} x JOIN ks ON ks.qid = x.qid WHERE x.qid NOT IN (SELECT qid FROM tr) QUALIFY pos <= ks.initial)"
+PEND = "pw AS (SELECT qid, list_distinct(regexp_extract_all(lower(query), '[a-zA-Z]+')) AS w FROM qry), pn AS (SELECT qid, mid, importance AS score FROM pw, (SELECT mid, content, importance FROM mem WHERE source_turn = 0 AND session_id % 40 = 0) WHERE len(w) > 0 AND qid NOT IN (SELECT qid FROM tr) AND len(list_filter(w, lambda x: contains(lower(content), x))) > 0)"
+VEC = "ve AS (SELECT a.vec_id AS qid, b.vec_id * 1000 AS mid, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT qid FROM qry))"
+ALIKE = "qe AS (SELECT qid, entity AS q FROM qf), " + SIMQ
+DAYSM = f"CAST(floor(({AS} - last_accessed_s) / 86400.0) AS BIGINT)"
+RERI = f"CAST(0.35 AS DOUBLE) * exp(-(CASE WHEN mem.mid % 4 = 0 THEN CAST(0.05 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END) * coalesce(greatest(0, {DAYSM}), 30)) + CAST(0.35 AS DOUBLE) * importance + CAST(0.3 AS DOUBLE) * (CAST(0.5 AS DOUBLE) * mg.s2 + CAST(0.5 AS DOUBLE) * mem.score)"
+MERGE = "fx AS (SELECT qid, mid, sum(1 / CAST(60 + pos AS DOUBLE)) AS score FROM (SELECT qid, mid, pos FROM c1 UNION ALL SELECT qid, mid, pos FROM c2 UNION ALL SELECT qid, mid, pos FROM c3 UNION ALL SELECT qid, mid, pos FROM c4 UNION ALL SELECT qid, mid, pos FROM c5) GROUP BY 1, 2), fu AS (SELECT fx.qid, fx.mid, fx.score, row_number() OVER (PARTITION BY fx.qid ORDER BY round(fx.score, 9) DESC, fx.mid) AS pos FROM fx)"
+PRIO = "fu AS (SELECT qid, mid, CAST(score AS DOUBLE) AS score, 0 AS pos FROM (SELECT qid, mid, 0 AS c, pos, score FROM c5 UNION ALL SELECT qid, mid, 1, pos, score FROM c2 UNION ALL SELECT qid, mid, 2, pos, CAST(score AS DOUBLE) FROM c3 UNION ALL SELECT qid, mid, 3, pos, CAST(score AS DOUBLE) FROM c4) QUALIFY row_number() OVER (PARTITION BY qid, mid ORDER BY c, pos) = 1)"
+ROUTED = lambda merge: f"{KW}, {EN}, {TF}, {BM}, {CLASSES}, {TIMES}, {PEND}, {VEC}, {CUT('c1', 'ti')}, {CUT('c2', 'bm')}, {CUT('c3', 'kw')}, {CUT('c4', 'en')}, {CUT('c5', 've')}, {merge}, mg AS (SELECT qid, mid, score AS s2 FROM pn UNION ALL SELECT fu.qid, fu.mid, fu.score FROM fu JOIN ks ON ks.qid = fu.qid WHERE fu.pos <= rerank AND NOT EXISTS (SELECT 1 FROM pn WHERE pn.qid = fu.qid AND pn.mid = fu.mid)), rr AS (SELECT mg.qid, mg.mid, {RERI} AS score FROM mg JOIN mem ON mem.mid = mg.mid), {ALIKE}, rx AS (SELECT DISTINCT rr.qid, rr.mid FROM rr JOIN ent ON ent.mid = rr.mid JOIN qe ON qe.qid = rr.qid AND qe.q = ent.entity), rn AS (SELECT DISTINCT rr.qid, rr.mid FROM rr JOIN ent ON ent.mid = rr.mid JOIN qe ON qe.qid = rr.qid JOIN sim ON sim.q = qe.q AND sim.e = ent.entity WHERE similarity >= CAST(0.5 AS DOUBLE)), ri AS (SELECT rr.qid, rr.mid, CASE WHEN rx.mid IS NULL AND rn.mid IS NOT NULL THEN rr.score * CAST(0.1 AS DOUBLE) ELSE rr.score END AS score FROM rr LEFT JOIN rx ON rx.qid = rr.qid AND rx.mid = rr.mid LEFT JOIN rn ON rn.qid = rr.qid AND rn.mid = rr.mid), rt AS (SELECT ri.qid, ri.mid, ri.score, final, row_number() OVER (PARTITION BY ri.qid ORDER BY round(ri.score, 9) DESC, ri.mid) AS pos FROM ri JOIN ks ON ks.qid = ri.qid QUALIFY pos <= ks.rerank), he AS (SELECT DISTINCT qid, entity FROM rt JOIN ent ON ent.mid = rt.mid WHERE pos <= 5), nr AS (SELECT he.qid, he.entity, m.mid, m.score FROM he JOIN ent ON ent.entity = he.entity JOIN mem m ON m.mid = ent.mid WHERE mtype = 'fact' AND NOT EXISTS (SELECT 1 FROM rt WHERE rt.qid = he.qid AND rt.mid = m.mid)), kp AS (SELECT * FROM nr QUALIFY row_number() OVER (PARTITION BY qid, entity ORDER BY score DESC, mid) <= 5), bt AS (SELECT qid, mid, max(score) * CAST(0.3 AS DOUBLE) AS score FROM kp GROUP BY 1, 2), fi AS (SELECT qid, mid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, mid) AS pos, score, 'temporal' AS source FROM tr UNION ALL SELECT qid, mid, pos, score, 'search' FROM rt WHERE pos <= final UNION ALL SELECT qid, mid, 1000 + row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, mid) AS pos, score, 'spread' FROM bt QUALIFY pos <= 1003)"
+
+
+def routed(s, d, tfidf=True):
+    m, v = X.mem(s, d), X.table(s, d, "embeddings")
+    pending = m.where("source_turn = 0 AND session_id % 40 = 0")
+    qv = v.join(X.qry(s, d).select(C("qid").alias("vec_id")), "vec_id", "left_semi").select(C("vec_id").alias("qid"), C("embedding").alias("qv"))
+    return search.route(
+        X.qry(s, d), m.withColumn("is_identity", C("mid") % 4 == 0), X.ent(s, d), posts(s, d), AS, pending=pending, external=search.bm25_channel(X.qry(s, d), m), query_vectors=qv,
+        vectors=v.select((C("vec_id") * 1000).alias("mid"), C("embedding").alias("v")), tfidf=tfidf, triggers=TRIG, precise=("eron",), broad=("and",), time_words=DAYS_OF,
+    )
+
 
+ROUTE_ROWS = "SELECT fi.qid, fi.mid, pos, round(fi.score, 9) AS score, CASE WHEN mem.score >= CAST(0.8 AS DOUBLE) THEN 'direct' WHEN mem.score >= CAST(0.5 AS DOUBLE) THEN 'marked' ELSE 'reference' END AS tier, source FROM fi JOIN mem ON mem.mid = fi.mid"
 
-@q("g08_full_router")
+
+@q("g08_full_router", f"{ROUTED(MERGE)} {ROUTE_ROWS}")
 def g08f(s, d):
-    return search.route(X.qry(s, d), X.mem(s, d), X.ent(s, d), posts(s, d), AS, TRIG)
+    return routed(s, d).results.withColumn("score", F.round("score", 9))
+
+
+@q("g08_priority_router", f"{ROUTED(PRIO)} {ROUTE_ROWS}")
+def g08p(s, d):
+    return routed(s, d, tfidf=False).results.withColumn("score", F.round("score", 9))
+
+
+@q("g08_route_stats", f"{ROUTED(MERGE)}, al AS (SELECT qid, 'tfidf' AS c FROM c1 UNION ALL SELECT qid, 'external' FROM c2 UNION ALL SELECT qid, 'keyword' FROM c3 UNION ALL SELECT qid, 'entity' FROM c4 UNION ALL SELECT qid, 'vector' FROM c5 UNION ALL SELECT qid, 'pending' FROM pn UNION ALL SELECT qid, 'merged' FROM mg UNION ALL SELECT fi.qid, 'final' FROM fi JOIN mem ON mem.mid = fi.mid) SELECT qid, " + ", ".join(f"count(*) FILTER (WHERE c = '{c}') AS {c}" for c in ("tfidf", "external", "keyword", "entity", "vector", "pending", "merged", "final")) + " FROM al GROUP BY qid")
+def g08s(s, d):
+    return routed(s, d).stats
+
+
+@q("r03_search_view", f"{ROUTED(MERGE)}, rs AS ({ROUTE_ROWS}), tc2 AS (SELECT qid, count(*) FILTER (WHERE tier = 'direct') AS direct, count(*) FILTER (WHERE tier = 'marked') AS marked, count(*) FILTER (WHERE tier = 'reference') AS reference FROM rs GROUP BY qid) SELECT rs.qid, row_number() OVER (PARTITION BY rs.qid ORDER BY pos, rs.mid) AS place, rs.mid, '[' || upper(substring(mtype, 1, 1)) || '] ' || substring(content, 1, 50) || '...' AS line, rs.score, importance, direct, marked, reference FROM rs JOIN mem ON mem.mid = rs.mid JOIN tc2 ON tc2.qid = rs.qid QUALIFY place <= 10")
+def r03(s, d):
+    return search.search_view(routed(s, d).results, X.mem(s, d)).withColumn("score", F.round("score", 9))
 
 
 # --- time ------------------------------------------------------------------------------------------------------------
@@ -632,7 +805,7 @@ def c05d(s, d):
 
 @q("c05_invalidated", f"{EP} SELECT DISTINCT b AS mid FROM ep JOIN mem_new n ON n.mid = a JOIN mem_old o ON o.mid = b WHERE {CONTR}")
 def c05i(s, d):
-    return temporal.invalidated(X.mem_new(s, d), X.mem_old(s, d), X.ent(s, d), NEG)
+    return temporal.invalidated(X.mem_new(s, d), X.mem_old(s, d), X.entx(s, d), NEG)
 
 
 # --- design notes ------------------------------------------------------------------------------------------------------
@@ -648,10 +821,9 @@ def d02(s, d):
     return curate.vote(X.mem(s, d).select(C("session_id").alias("entity"), C("mtype").alias("attribute"), C("ownership").alias("value"), "score", "created_s"), AS)
 
 
-@q("d03_merge_attributes", f"a AS (SELECT entity, mem.mid, content, created_s, CASE WHEN {has('content', ('with', 'from'))} THEN 'location' WHEN {has('content', ('thing',))} THEN 'job' END AS attribute FROM mem JOIN ent ON ent.mid = mem.mid) SELECT entity, attribute, arg_max(content, created_s * 10000000 + mid) AS content, array_to_string(list_slice(list(mid ORDER BY created_s, mid), 1, -2), ',') AS history FROM a WHERE attribute IS NOT NULL GROUP BY 1, 2")
+@q("d03_merge_attributes", f"a AS (SELECT entity, mem.mid, content, created_s, CASE WHEN {has('content', ('with', 'from'))} THEN 'location' WHEN {has('content', ('thing',))} THEN 'job' END AS attribute FROM mem JOIN ent ON ent.mid = mem.mid) SELECT entity, attribute, mid, content, row_number() OVER (PARTITION BY entity, attribute ORDER BY created_s DESC, mid DESC) = 1 AS newest FROM a WHERE attribute IS NOT NULL")
 def d03(s, d):
-    out = curate.merge_attributes(X.mem(s, d), {"location": ("with", "from"), "job": ("thing",)}, X.ent(s, d))
-    return out.select("entity", "attribute", "content", csv("history").alias("history"))
+    return curate.merge_attributes(X.mem(s, d), {"location": ("with", "from"), "job": ("thing",)}, X.ent(s, d)).drop("created_s")
 
 
 @q("d04_deny", "SELECT mid, round(CASE WHEN mid % 3 = 0 THEN confidence - CAST(0.3 AS DOUBLE) ELSE confidence END, 6) AS confidence FROM mem WHERE mtype = 'belief' AND CASE WHEN mid % 3 = 0 THEN confidence - CAST(0.3 AS DOUBLE) ELSE confidence END >= CAST(0.2 AS DOUBLE)")
@@ -692,7 +864,7 @@ def d12(s, d):
     return report.recent(X.mem(s, d), AS, 7, "fact").select("mid")
 
 
-@q("d13_rollup", "SELECT CAST(date_trunc('week', to_timestamp(created_s)) AS DATE) AS period, mtype, count(*) AS n, coalesce(string_agg(CAST(mid AS VARCHAR), ',' ORDER BY mid) FILTER (WHERE importance >= CAST(0.8 AS DOUBLE)), '') AS important FROM mem GROUP BY 1, 2".replace("CAST(date_trunc('week', to_timestamp(created_s)) AS DATE) AS period", "CAST(CAST(date_trunc('week', to_timestamp(created_s)) AS DATE) AS VARCHAR) AS period"))
+@q("d13_rollup", "SELECT CAST(date_trunc('week', to_timestamp(created_s)) AS DATE) AS period, mtype, count(*) AS n, coalesce(array_to_string(list_slice(list(mid ORDER BY mid) FILTER (WHERE importance >= CAST(0.8 AS DOUBLE)), 1, 20), ','), '') AS important FROM mem GROUP BY 1, 2".replace("CAST(date_trunc('week', to_timestamp(created_s)) AS DATE) AS period", "CAST(CAST(date_trunc('week', to_timestamp(created_s)) AS DATE) AS VARCHAR) AS period"))
 def d13(s, d):
     return report.rollup(X.mem(s, d)).withColumn("period", C("period").cast("string"))
 

@@ -24,6 +24,11 @@ def write_version(df: DataFrame, root: str) -> str:
     return path
 
 
+def log_expired(expired: DataFrame, path: str, as_of_s: int) -> None:
+    """The expired branch of a run, appended to a log: id, content, when it was made, due and found."""
+    append_records(expired.select(F.col("mid").alias("memory_id"), "content", F.col("created_s").alias("created_at"), F.col("expires_s").alias("expires_at"), F.lit(as_of_s).alias("expired_at")), path)
+
+
 def append_records(df: DataFrame, path: str) -> None:
     """S03/S14/S15."""
     df.write.mode("append").json(path)
@@ -111,16 +116,30 @@ def write_partitioned(df: DataFrame, path: str, key: str, buckets: int = 64) ->
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local one only where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, one is made for a local session, which has no other machine; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        root = spark.sparkContext.getCheckpointDir()
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read back: what several results are made from is computed once, and the cut of the
+    lineage survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives for all that is there now, as a table: complete results replace each other, appended ones add up."""
     spark = stream.sparkSession
