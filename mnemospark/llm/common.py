@@ -3,6 +3,7 @@
 import math
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,37 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: a cut of the lineage that survives lost executors."""
+_scratch: list[list[str]] = []
+
+
+def store(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: a cut of the lineage that survives lost executors.
+
+    Inside scratch() the table goes at its end, unless keep is set; elsewhere tables stay until the folder is cleared, as a
+    result may be read at any time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables that store() writes inside it when it ends well: for results that are written inside it too."""
+    _scratch.append([])
+    done = False
+    try:
+        yield
+        done = True
+    finally:
+        for path in _scratch.pop() if done else ():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, tkey (a hash of the text) and text. Together doc_id and tkey name a document; repeated rows are one."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -159,6 +183,24 @@ def meet_docs(docs: DataFrame, info: DataFrame, how: str = "left") -> DataFrame:
     return met.unionByName(rest.select("*", *missing))
 
 
+def map_met(docs: DataFrame, info: DataFrame, run, schema: str) -> DataFrame:
+    """meet_docs(docs, info).mapInArrow(run, schema), with one Python function for the rows that don't meet info."""
+    docs = docs.select("doc_id", "tkey", "text")
+    bits = bitmap(info.select(F.xxhash64("doc_id", "tkey").alias("a")))
+    if bits is None:
+        return join_docs(docs, info).mapInArrow(run, schema)
+    names = [x for x in info.columns if x not in ("doc_id", "tkey")]
+    shared, h = docs.sparkSession.sparkContext.broadcast(bits), F.xxhash64("doc_id", "tkey")
+    keyed_rows = docs.withColumn("_h", h)
+
+    def lone(batches):
+        rows = (b for b in _filtered(shared, False, "_h")(batches) if b.num_rows)
+        return run(pa.RecordBatch.from_arrays([*b.columns, *(pa.nulls(b.num_rows) for _ in names)], names=[*b.schema.names, *names]) for b in rows)
+
+    some = keyed_rows.mapInArrow(_filtered(shared, True, "_h"), docs.schema)
+    return join_docs(some, info).mapInArrow(run, schema).unionByName(keyed_rows.mapInArrow(lone, schema))
+
+
 # --- bytes in tasks ------------------------------------------------------------------------------------------------
 
 

@@ -6,111 +6,181 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Rolling, byte_class, grouped, hash_words, slices, text_key, texts_of
+from .common import Rolling, bitmap, byte_class, document, free_name, grouped, hash_words, i64, in_bitmap, keyed, local_bitmap, map_met, parted, slices, store, texts_of
 
-#: Benchmark texts are broadcast in blocks of at most so many bytes; a larger benchmark takes more passes.
-BLOCK_BYTES = 16 << 20
+#: Benchmark texts are broadcast up to so many bytes together. Each window takes 20 bytes of the table and at least 2 of text,
+#: so the table has at most 10 times as many. The windows of a larger benchmark are joined by shuffle.
+MAX_BYTES = 4 << 20
 
 _WORD = byte_class("alnum")
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
-_SCHEMA = "doc_id long, tkey long, n_words long, hits array<struct<s: int, e: int>>, items array<string>"
-
-
-def window_table(items: list[tuple[str, bytes]], n: int) -> dict[int, dict[int, list]]:
-    """{window length: {hash: [(words, [item ids])]}}."""
-    out: dict[int, dict[int, list]] = {}
-    for item, text in items:
-        data = np.frombuffer(text, np.uint8)
-        h, s, e = hash_words(data, _WORD, lower=True)
-        if not len(h):
-            continue
-        low, m = text.translate(_LOWER), min(n, len(h))
-        words = [low[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-        for i, x in enumerate(Rolling(h).grams(m).tolist()):
-            found = out.setdefault(m, {}).setdefault(x, [])
-            key = tuple(words[i : i + m])
-            same = next((y for y in found if y[0] == key), None)
-            if same is None:
-                found.append(same := (key, []))
-            if item not in same[1]:
-                same[1].append(item)
-    return out
-
-
-def _scan(shared):
+_HITS = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
+_HITS_ARROW = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+
+
+def windows(text: bytes, n: int) -> tuple[bytes, int, np.ndarray, np.ndarray, np.ndarray]:
+    """(words joined by one space, window length, window hashes, their first and last bytes); a text of fewer than n words is one window."""
+    h, s, e = hash_words(np.frombuffer(text, np.uint8), _WORD, lower=True)
+    m = min(n, len(h))
+    if not m:
+        return b"", 0, np.zeros(0, np.uint64), s, e
+    low, size = text.translate(_LOWER), np.cumsum(e - s + 1)
+    plain = b" ".join(low[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True))
+    return plain, m, Rolling(h).grams(m), (size - (e - s + 1))[: len(h) - m + 1], size[m - 1 :] - 1
+
+
+class WindowTable:
+    """Windows of all items, sorted by hash, by window length: {m: (hashes, items, first bytes, last bytes)}."""
+
+    def __init__(self, items: list[tuple[str | None, bytes]], n: int):
+        self.ids = [i for i, _ in items]
+        self.texts, rows = [], {}
+        for k, (_, text) in enumerate(items):
+            plain, m, h, a, b = windows(text, n)
+            self.texts.append(plain)
+            if m:
+                rows.setdefault(m, []).append((h, np.full(len(h), k, np.int32), a.astype(np.int32), b.astype(np.int32)))
+        self.by_length = {}
+        for m, parts in rows.items():
+            h, k, a, b = (np.concatenate([x[i] for x in parts]) for i in range(4))
+            order = np.argsort(h, kind="stable")
+            self.by_length[m] = tuple(x[order] for x in (h, k, a, b))
+
+    def scan(self, texts: list[bytes]) -> tuple[list[int], list[list[dict]], list[list]]:
+        """(words, hit spans of words, ids of the items with a hit) of each text; hits are verified word by word."""
+        words, hits, items = [], [], []
+        for a, b in grouped(texts):
+            joined = b" ".join(texts[a:b])
+            lens = np.fromiter(map(len, texts[a:b]), np.int64, b - a)
+            h, s, e = hash_words(np.frombuffer(joined, np.uint8), _WORD, lower=True)
+            bounds = np.searchsorted(s, np.concatenate([[0], np.cumsum(lens + 1)]))
+            doc = np.repeat(np.arange(b - a), np.diff(bounds))
+            at: dict[int, list] = {}
+            got: dict[int, set] = {}
+            roll = Rolling(h)
+            for m, (keys, item, lo, hi) in self.by_length.items():
+                g = roll.grams(m)
+                i = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, g), len(keys) - 1)] == g)
+                i = i[doc[i] == doc[i + m - 1]] if len(i) else i
+                first, last = np.searchsorted(keys, g[i]), np.searchsorted(keys, g[i], "right")
+                for j, x, y in zip(i.tolist(), first.tolist(), last.tolist(), strict=True):
+                    found = b" ".join(joined[p:q].translate(_LOWER) for p, q in zip(s[j : j + m].tolist(), e[j : j + m].tolist(), strict=True))
+                    own = {self.ids[item[k]] for k in range(x, y) if self.texts[item[k]][lo[k] : hi[k]] == found}
+                    if own:
+                        d = int(doc[j])
+                        at.setdefault(d, []).append({"s": j - int(bounds[d]), "e": j - int(bounds[d]) + m})
+                        got.setdefault(d, set()).update(own)
+            words += np.diff(bounds).tolist()
+            hits += [at.get(d, []) for d in range(b - a)]
+            items += [in_order(got.get(d, ())) for d in range(b - a)]
+        return words, hits, items
+
+
+def in_order(ids) -> list:
+    """Item ids as strings in order, a null one last."""
+    return sorted(ids, key=lambda x: (x is None, x or ""))
+
+
+def _scanned(shared):
+    def run(batches):
+        for batch in slices(batches):
+            words, hits, items = shared.value.scan(texts_of(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), pa.array(words, pa.int64()), pa.array(hits, _HITS_ARROW), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "tkey", "n_words", "hits", "items"])
+
+    return run
+
+
+def _marked(shared, name: str):
     def run(batches):
-        table = shared.value
-        sets = {m: np.sort(np.fromiter(x, np.uint64, len(x))) for m, x in table.items()}
-        bits = {}
-        for m, x in sets.items():
-            bits[m] = np.zeros(1 << 20, bool)
-            bits[m][(x >> np.uint64(44)).astype(np.int64)] = True
         for batch in slices(batches):
-            texts = texts_of(batch.column("text"))
-            words, hits, items = [], [], []
-            for a, b in grouped(texts):
-                joined = b" ".join(texts[a:b])
-                data = np.frombuffer(joined, np.uint8)
-                lens = np.fromiter(map(len, texts[a:b]), np.int64, b - a)
-                first = np.concatenate([[0], np.cumsum(lens + 1)])
-                h, s, e = hash_words(data, _WORD, lower=True)
-                bounds = np.searchsorted(s, first)
-                words += np.diff(bounds).tolist()
-                doc = np.repeat(np.arange(b - a), np.diff(bounds))
-                at: dict[int, list] = {}
-                got: dict[int, set] = {}
+            hits = pa.array(shared.value.scan(texts_of(batch.column("text")))[1], _HITS_ARROW)
+            yield pa.RecordBatch.from_arrays([*batch.columns, hits], names=[*batch.schema.names, name])
+
+    return run
+
+
+def _counted(batches):
+    for batch in slices(batches):
+        words = [len(hash_words(np.frombuffer(x, np.uint8), _WORD, lower=True)[0]) for x in texts_of(batch.column("text"))]
+        hits = pa.array([x or [] for x in batch.column("hits").to_pylist()], _HITS_ARROW)
+        items = pa.array([in_order(y["i"] for y in x or ()) for x in batch.column("items").to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), pa.array(words, pa.int64()), hits, items], names=["doc_id", "tkey", "n_words", "hits", "items"])
+
+
+def _test_windows(n: int):
+    def run(batches):
+        for batch in slices(batches, 64):
+            ids = batch.column("i").to_pylist()
+            for k, text in enumerate(texts_of(batch.column("t"))):
+                plain, m, h, a, b = windows(text, n)
+                for x in range(0, len(h), 10_000):
+                    w = [plain[p:q] for p, q in zip(a[x : x + 10_000].tolist(), b[x : x + 10_000].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([m] * len(w), pa.int32()), i64(h[x : x + 10_000]), pa.array(w, pa.binary()), pa.array([ids[k]] * len(w), pa.string())], names=["m", "h", "w", "i"])
+
+    return run
+
+
+def _doc_windows(lengths: list[int], shared):
+    def run(batches):
+        keys = local_bitmap(shared)
+        for batch in slices(batches, 64):
+            for k, text in enumerate(texts_of(batch.column("text"))):
+                h, s, e = hash_words(np.frombuffer(text, np.uint8), _WORD, lower=True)
                 roll = Rolling(h)
-                for m, keys in sets.items():
+                for m in lengths:
                     g = roll.grams(m)
-                    i = np.flatnonzero(bits[m][(g >> np.uint64(44)).astype(np.int64)]) if len(g) else np.zeros(0, int)
-                    i = i[doc[i] == doc[i + m - 1]] if len(i) else i
-                    if len(i):
-                        k = np.minimum(np.searchsorted(keys, g[i]), len(keys) - 1)
-                        i = i[keys[k] == g[i]]
-                    for j in i.tolist():  # few: verified word by word
-                        found = tuple(joined[x:y].translate(_LOWER) for x, y in zip(s[j : j + m].tolist(), e[j : j + m].tolist(), strict=True))
-                        for key, ids in table[m][int(g[j])]:
-                            if key == found:
-                                d = int(doc[j])
-                                at.setdefault(d, []).append((j - int(bounds[d]), j - int(bounds[d]) + m))
-                                got.setdefault(d, set()).update(ids)
-                hits += [at.get(d, []) for d in range(b - a)]
-                items += [sorted(got.get(d, ())) for d in range(b - a)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tkey"), pa.array(words, pa.int64()), pa.array([[{"s": x, "e": y} for x, y in z] for z in hits], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
-                names=["doc_id", "tkey", "n_words", "hits", "items"],
-            )
+                    at = np.arange(len(g)) if keys is None else np.flatnonzero(in_bitmap(keys, g))
+                    for x in range(0, len(at), 10_000):
+                        own = at[x : x + 10_000].tolist()
+                        w = [b" ".join(text[p:q].translate(_LOWER) for p, q in zip(s[j : j + m].tolist(), e[j : j + m].tolist(), strict=True)) for j in own]
+                        rows = pa.array([k] * len(own))
+                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("tkey").take(rows), pa.array([m] * len(own), pa.int32()), i64(g[own]), pa.array(w, pa.binary()), pa.array(own, pa.int32())], names=["doc_id", "tkey", "m", "h", "w", "s"])
 
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Hits of benchmark windows in keyed docs: doc_id, tkey, n_words, hits (word spans), items; a row for each row.
+def _joined(docs: DataFrame, test: DataFrame, n: int) -> DataFrame:
+    """(doc_id, tkey, hits, items of structs) of the keyed docs with a hit, for a benchmark of any size: windows are joined by
+    their hash and words. A bitmap of the benchmark's windows (its size is checked) keeps other windows out of the shuffle."""
+    own = store(test.mapInArrow(_test_windows(n), "m int, h long, w binary, i string").distinct(), "test-windows")
+    lengths = sorted(r["m"] for r in own.select("m").distinct().toLocalIterator())  # n values at most
+    bits = bitmap(own.select(F.col("h").alias("a")).distinct())
+    shared = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
+    found = docs.mapInArrow(_doc_windows(lengths, shared), "doc_id long, tkey long, m int, h long, w binary, s int").join(own, ["m", "h", "w"])
+    spans = F.collect_set(F.struct("s", (F.col("s") + F.col("m")).alias("e"))).alias("hits")
+    return store(found.groupBy("doc_id", "tkey").agg(spans, F.collect_set(F.struct("i")).alias("items")), "leaks")
+
+
+def _test(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    test = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")).where(F.length("t") > 0)
+    return test, test.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+
+
+def _table(docs: DataFrame, test: DataFrame, n: int):
+    """The broadcast table of a benchmark whose size has been checked."""
+    return docs.sparkSession.sparkContext.broadcast(WindowTable(sorted(((r["i"], r["t"].encode()) for r in test.toLocalIterator()), key=lambda x: (x[0] or "", x[1])), n))
 
-    One pass with no shuffle while the benchmark has at most block_bytes; else a pass for each block, merged by document.
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Hits of benchmark windows in keyed docs: doc_id, tkey, n_words, hits (word spans), items; a row for each row of docs.
+
+    Up to max_bytes of benchmark text the table of windows is broadcast and docs are scanned in one pass; beyond it windows
+    are joined by shuffle. Both ways give the same rows. Items with a null id are searched too; their id is a null in items.
+    Null and empty texts have no words; items without words are never found; an empty benchmark finds nothing.
     """
-    spark = docs.sparkSession
-    test = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")).where(F.col("i").isNotNull() & (F.length("t") > 0))
-    total = test.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    found = []
-    for k in range(blocks):
-        part = test if blocks == 1 else test.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        table = window_table([(r["i"], r["t"].encode()) for r in part.toLocalIterator()], n)
-        found.append(docs.select("doc_id", "tkey", "text").mapInArrow(_scan(spark.sparkContext.broadcast(table)), _SCHEMA))
-    if blocks == 1:
-        return found[0]
-    all_found = found[0]
-    for x in found[1:]:
-        all_found = all_found.unionByName(x)
-    return all_found.groupBy("doc_id", "tkey").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    )
+    test, total = _test(benchmark)
+    docs = docs.select("doc_id", "tkey", "text")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tkey", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("hits", _HITS), T.StructField("items", T.ArrayType(T.StringType()))])
+    if total <= max_bytes:
+        return docs.mapInArrow(_scanned(_table(docs, test, n)), schema)
+    return map_met(docs, _joined(docs, test, n), _counted, schema)
 
 
 def report(leaks: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of find_leaks."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of find_leaks. Items with a null id count as one in n_items
+    and are left out of the ids that items_sha256 joins."""
     return leaks.mapInArrow(_covered, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
@@ -126,50 +196,62 @@ def _covered(batches):
     for batch in slices(batches):
         hits = [covered(x) for x in batch.column("hits").to_pylist()]
         items = batch.column("items").to_pylist()
+        sha = [hashlib.sha256(",".join(i for i in x if i is not None).encode()).hexdigest() for x in items]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([x > 0 for x in hits], pa.bool_())],
+            [batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in hits], pa.bool_())],
             names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
         )
 
 
-def _without_spans(batches):
-    for batch in slices(batches):
-        texts = []
-        for text, hits in zip(texts_of(batch.column("text")), batch.column("hits").to_pylist(), strict=True):
-            if hits:
-                _, s, e = hash_words(np.frombuffer(text, np.uint8), _WORD, lower=True)
-                keep, end = [], 0
-                for a, b in sorted((int(s[x["s"]]), int(e[x["e"] - 1])) for x in hits):
-                    keep.append(text[end : max(a, end)])
-                    end = max(end, b)
-                text = b"".join([*keep, text[end:]])
-            texts.append(text.decode())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), pa.array(texts, pa.string())], names=["doc_id", "tkey", "text"])
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents") -> DataFrame:
+def _without_spans(name: str):
+    def run(batches):
+        for batch in slices(batches):
+            texts = []
+            for text, hits in zip(texts_of(batch.column("text")), batch.column(name).to_pylist(), strict=True):
+                if hits:
+                    _, s, e = hash_words(np.frombuffer(text, np.uint8), _WORD, lower=True)
+                    keep, end = [], 0
+                    for a, b in sorted((int(s[x["s"]]), int(e[x["e"] - 1])) for x in hits):
+                        keep.append(text[end : max(a, end)])
+                        end = max(end, b)
+                    text = b"".join([*keep, text[end:]])
+                texts.append(text.decode() if hits else None)
+            own = batch.column("text")
+            cut = pa.array([x if x is not None else y for x, y in zip(texts, own.to_pylist(), strict=True)], own.type)
+            batch = batch.set_column(batch.schema.get_field_index("text"), batch.schema.field("text"), cut)
+            yield batch.select([x for x in batch.schema.names if x != name])
+
+    return run
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents", max_bytes: int = MAX_BYTES) -> DataFrame:
     """docs without what the benchmark holds: remove='documents' drops each document with a hit, 'spans' cuts the hit words.
 
-    Null doc_ids and texts stay; repeated rows are judged alike. Columns of docs are kept as they are.
+    All columns are kept, whatever their names. Null doc_ids and null texts stay as they are; repeated rows are judged alike;
+    items with a null id count; an empty benchmark removes nothing. While the benchmark is broadcast this is a map over rows;
+    a larger one shuffles only the texts that may have a hit.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove: documents or spans")
-    own = docs.withColumn("_k", text_key(F.coalesce("text", F.lit(""))))
-    base = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_k").alias("tkey"), F.coalesce("text", F.lit("")).alias("text"))
-    bad = find_leaks(base, benchmark, n).where(F.size("hits") > 0)
+    test, total = _test(benchmark)
+    name = free_name(docs, "_hits")
+    if total <= max_bytes:
+        marked = docs.mapInArrow(_marked(_table(docs, test, n), name), T.StructType([*docs.schema.fields, T.StructField(name, _HITS)]))
+    else:
+        key = free_name(docs, "_doc")
+        info = _joined(keyed(docs), test, n).select(F.struct("doc_id", "tkey").alias(key), F.col("hits").alias(name))
+        h = lambda d: F.xxhash64(d.getField("doc_id"), d.getField("tkey"))
+        bits = bitmap(info.select(h(F.col(key)).alias("a")))
+        some, rest = (docs, None) if bits is None else parted(docs, bits, h(document()))
+        marked = some.withColumn(key, document()).join(info, key, "left").select(*docs.columns, name)
+        if rest is not None:
+            marked = marked.unionByName(rest.withColumn(name, F.lit(None).cast(_HITS)))
     if remove == "documents":
-        bad = bad.select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"))
-        return own.join(bad, own["doc_id"].cast("long").eqNullSafe(bad["_d"]) & (own["_k"] == bad["_t"]), "left_anti").drop("_k")
-    hit = bad.dropDuplicates(["doc_id", "tkey"]).withColumnsRenamed({"doc_id": "_d", "tkey": "_t"}).select("_d", "_t", "hits")
-    cut = base.dropDuplicates(["doc_id", "tkey"]).join(hit, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tkey") == F.col("_t"))).select("doc_id", "tkey", "text", "hits")
-    new = cut.mapInArrow(_without_spans, "doc_id long, tkey long, text string").withColumnsRenamed({"doc_id": "_d", "tkey": "_t", "text": "_text"})
-    joined = own.join(new, own["doc_id"].cast("long").eqNullSafe(new["_d"]) & (own["_k"] == new["_t"]), "left")
-    return joined.withColumn("text", F.coalesce("_text", "text")).select(*docs.columns)
+        return marked.where(F.coalesce(F.size(name), F.lit(0)) <= 0).select(docs.columns)
+    return marked.mapInArrow(_without_spans(name), docs.schema)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    from .common import keyed
-
     docs = keyed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return report(find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
