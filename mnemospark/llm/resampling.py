@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, bitmap, byte_class, grouped, hash_words, in_bitmap, keyed, slices, store, texts_of
+from .common import Rolling, byte_class, grouped, hash_words, keyed, slices, store, texts_of
 
 BUCKETS = 1 << 14
 _ALNUM = byte_class("alnum")
@@ -23,46 +23,53 @@ def bucket_rows(texts: list[bytes]):
         yield i, (h >> np.uint64(50)).astype(np.int64), (two >> np.uint64(50)).astype(np.int64), at
 
 
-def _counts(batches):
-    total = np.zeros(BUCKETS, np.int64)
-    for batch in slices(batches):
-        for _, one, two, at in bucket_rows(texts_of(batch.column("text"))):
-            total += np.bincount(one, minlength=BUCKETS)
-            if len(two):
-                inside = np.ones(len(two), bool)
-                last = at[1:-1] - 1
-                inside[last[(last >= 0) & (last < len(two))]] = False
-                total += np.bincount(two[inside], minlength=BUCKETS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["b", "n"])
+def _counts(shared=None):
+    def run(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in slices(batches):
+            if shared is not None:
+                ids, own = shared.value, batch.column("doc_id")
+                at = np.minimum(np.searchsorted(ids, own.fill_null(0).to_numpy()), max(0, len(ids) - 1))
+                same = ids[at] == own.fill_null(0).to_numpy() if len(ids) else np.zeros(len(own), bool)
+                batch = batch.filter(pa.array(same & np.asarray(own.is_valid())))
+            for _, one, two, at in bucket_rows(texts_of(batch.column("text"))):
+                total += np.bincount(one, minlength=BUCKETS)
+                if len(two):
+                    inside = np.ones(len(two), bool)
+                    last = at[1:-1] - 1
+                    inside[last[(last >= 0) & (last < len(two))]] = False
+                    total += np.bincount(two[inside], minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["b", "n"])
+
+    return run
 
 
-def ngram_counts(texts: DataFrame) -> np.ndarray:
-    """Bucket counts over all rows: at most BUCKETS rows a task, summed before they come to the driver."""
-    found = texts.select("text").mapInArrow(_counts, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+def ngram_counts(texts: DataFrame, shared=None) -> np.ndarray:
+    """Bucket counts over all rows, or those of the broadcast sorted ids: at most BUCKETS rows a task, summed before they come to
+    the driver."""
+    found = texts.select("doc_id", "text").mapInArrow(_counts(shared), "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS)
     out[found["b"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
-def _near(shared):
-    def run(batches):
-        for batch in slices(batches):
-            yield batch.filter(pa.array(in_bitmap(shared.value, batch.column("h").to_numpy().view(np.uint64)))).select(["doc_id", "text"])
-
-    return run
+#: Ids of the target that are broadcast at most (8 bytes each); more are met by a join.
+MAX_IDS = 4_000_000
 
 
-def log_ratios(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
+def log_ratios(docs: DataFrame, target_ids: DataFrame, max_ids: int = MAX_IDS) -> np.ndarray:
     """log(p_target / p_raw) of each bucket, add-one smoothed. Raw text is all of docs; target_ids (doc_id) names the target.
 
-    Only texts that may be in the target are shuffled for the semi-join, as far as a bounded bitmap can tell.
+    Up to max_ids ids go to the tasks and no text is shuffled.
     """
     ids = store(target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "target")
-    bits = bitmap(ids.select(F.xxhash64("doc_id").alias("a")))
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    near = rows if bits is None else rows.mapInArrow(_near(docs.sparkSession.sparkContext.broadcast(bits)), "doc_id long, text string")
-    target, raw = ngram_counts(near.join(ids, "doc_id", "left_semi")), ngram_counts(docs)
+    if ids.count() <= max_ids:
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow()["doc_id"].to_numpy()))
+        target = ngram_counts(docs, shared)
+    else:
+        target = ngram_counts(docs.join(ids, "doc_id", "left_semi"))
+    raw = ngram_counts(docs)
     return np.log((target + 1) / (target + 1).sum()) - np.log((raw + 1) / (raw + 1).sum())
 
 
@@ -108,7 +115,9 @@ def resample(docs: DataFrame, target_ids: DataFrame, share: float = 0.3, seed: i
 
     The weight of a document is the ratio of its n-grams' probabilities in target and raw text; adding Gumbel noise (from a
     hash of seed, doc_id and text, so repeated rows are drawn alike) and taking the largest keys draws in proportion to it.
-    All rows that tie with the last key are selected. Null and empty texts have weight 1 (log 0).
+    All rows that tie with the last key are selected. Null and empty texts have weight 1 (log 0). Repeated rows each give a row
+    with the same key, so they are selected together. An empty table gives an empty table, an empty target weights of 1 at
+    most; texts are counted whole, in bounded pieces. Other columns are not taken.
     """
     base = keyed(docs)
     shared = docs.sparkSession.sparkContext.broadcast(log_ratios(base, target_ids))
