@@ -3,11 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from mnemospark.llm import decontaminate, jaccard, language, lines, pieces
-from mnemospark.llm.common import store
+from mnemospark.llm.common import scratch, store
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language stays unsure, go."""
+    """Documents without a letter, or whose language stays unsure, go; null and empty texts have no letter."""
     return language.keep_identified(docs)
 
 
@@ -44,7 +44,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's own tables are deleted when its result is written.
+
+    Every stage takes null, empty and very long texts, repeated rows, empty tables and further columns: language_id drops null
+    and letterless texts, the others keep rows without words; repeated rows are judged alike, and ties go to the least doc_id.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = store(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
