@@ -7,6 +7,7 @@ none is a piece, which gives SentencePiece's own ids.
 """
 
 import hashlib
+import heapq
 import re
 from dataclasses import dataclass, field
 from functools import cache
@@ -22,6 +23,8 @@ SPACE = "▁"
 #: Characters of the texts whose new words are encoded together.
 TEXT = 1 << 20
 SLOTS = 1 << 20
+#: Words of more characters (as in scripts without spaces) are merged one by one.
+WIDE = 200
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
 
@@ -52,6 +55,7 @@ class Pieces:
         self.slot[place] = np.arange(len(place))
         self.shared = np.bincount(place, minlength=SLOTS) > 1
         self.longest = max((len(x) for x in points), default=1)
+        self.rank = {self.pieces[i]: self.scores[i] for i in own}
         self.text = [x.replace(SPACE, " ").encode() if p else b"" for x, p in zip(self.pieces, self.plain, strict=True)]
         for b in range(256 if self.bytes_at >= 0 else 0):
             self.text[self.bytes_at + b] = bytes([b])
@@ -113,6 +117,27 @@ class Pieces:
             self._score(sums, ends, pair, live[has], left[has])
         return ends
 
+    def merge_wide(self, word: str) -> np.ndarray:
+        """merge_words for one word of very many characters: its pairs wait in a heap, best first, leftmost of equals."""
+        n, rank = len(word), self.rank
+        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-v, s, s + 2) for s in range(n - 1) if (v := rank.get(word[s : s + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, s, e = heapq.heappop(heap)
+            middle = ends[s]
+            if not middle or middle >= n or ends[middle] != e:  # one side has been joined to something else
+                continue
+            ends[s], ends[middle] = e, 0
+            pairs = [(before[s], e)]
+            if e < n:
+                before[e] = s
+                pairs.append((s, ends[e]))
+            for a, b in pairs:
+                if a >= 0 and b - a <= self.longest and (v := rank.get(word[a:b])) is not None:
+                    heapq.heappush(heap, (-v, a, b))
+        return np.array(ends)
+
     def _score(self, sums, ends, pair, rows, start):
         width = ends.shape[1]
         middle = ends[rows, start]
@@ -158,7 +183,10 @@ class Pieces:
             for k in range(0, len(all_rows) if width else 0, step):
                 rows = all_rows[k : k + step]
                 points = np.frombuffer("".join(words[i] for i in rows).encode("utf-32-le"), np.uint32).reshape(-1, width).astype(np.uint64)
-                ends = self.merge_words(points) if self.algorithm == "bpe" else self.best_paths(points)
+                if self.algorithm != "bpe":
+                    ends = self.best_paths(points)
+                else:
+                    ends = self.merge_words(points) if width <= WIDE else np.array([self.merge_wide(words[i]) for i in rows])
                 r, s = np.nonzero(ends)
                 sums = _sums(points)
                 at = self.probe(mix((sums[r, ends[r, s]] - sums[r, s]) * powers(width + 1)[1][s]))
@@ -243,7 +271,8 @@ def _encoded(path, algorithm, arrays):
 def encode_checked(docs: DataFrame, path: str | None = None, algorithm: str = "auto") -> DataFrame:
     """doc_id, ids (array of int), n_tokens and round_trip of each whole text; null and empty texts have no ids.
 
-    A map over rows. round_trip: the ids decode to the text (U+2581, which stands for a space in pieces, to a space).
+    A map over rows: repeated rows give equal rows, an empty table an empty one, and texts and words of any length are encoded
+    whole. round_trip: the ids decode to the text (U+2581, which stands for a space in pieces, to a space).
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_encoded(path or model_path(), algorithm, True), "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
