@@ -17,9 +17,9 @@ MEM = """SELECT conv_id*1000+turn AS mid, conv_id AS session_id, turn AS source_
   CASE WHEN (conv_id+turn)%5=0 THEN 1704067200 + (conv_id*1000+turn)*3571%900*3600 ELSE NULL END AS expires_s,
   (conv_id*3+turn)%7 AS retrieval_count, (conv_id+turn*2)%5 AS used_in_response_count, (conv_id*2+turn)%3 AS user_mentioned_count
 FROM conversations"""
-#: mem with edits: every other record of each fifth session repeats what the next session says at that turn, with one word more.
+#: mem with edits: three of four records of each fifth session repeat what the next session says at that turn, with one word more.
 EDIT = "worthless"
-MEMX = f"SELECT m.* REPLACE (CASE WHEN o.content IS NULL THEN m.content ELSE o.content || ' {EDIT}' END AS content) FROM mem m LEFT JOIN mem o ON m.session_id % 5 = 0 AND m.mid % 2 = 0 AND o.session_id = m.session_id + 1 AND o.source_turn = m.source_turn"
+MEMX = f"SELECT m.* REPLACE (CASE WHEN o.content IS NULL THEN m.content ELSE o.content || ' {EDIT}' END AS content) FROM mem m LEFT JOIN mem o ON m.session_id % 5 = 0 AND m.mid % 4 <> 0 AND o.session_id = m.session_id + 1 AND o.source_turn = m.source_turn"
 NEW = "SELECT mid, mid AS ord, content, mtype, ownership, importance, score, confidence, created_s, expires_s, last_accessed_s FROM memx WHERE session_id % 5 = 0"
 OLD = "SELECT mid, mid AS ord, content, mtype, ownership, importance, score, confidence, created_s, expires_s, last_accessed_s FROM memx WHERE session_id % 5 <> 0"
 VIEWS = {
@@ -65,7 +65,7 @@ def mem_columns(conversations: DataFrame) -> DataFrame:
 def memx(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mem(spark, sf_dir)
     edits = m.where("(session_id - 1) % 5 = 0").select((F.col("session_id") - 1).alias("session_id"), "source_turn", F.concat("content", F.lit(f" {EDIT}")).alias("edit"))
-    edited = F.when(F.col("mid") % 2 == 0, F.col("edit"))
+    edited = F.when(F.col("mid") % 4 != 0, F.col("edit"))
     return m.join(edits, ["session_id", "source_turn"], "left").withColumn("content", F.coalesce(edited, "content")).select(*m.columns)
 
 

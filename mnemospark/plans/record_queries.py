@@ -706,7 +706,7 @@ BM = "bl AS (SELECT mid, CAST(sum(tf) AS DOUBLE) AS dl FROM tc GROUP BY mid), bs
 LAYERQ = "CASE " + " ".join(f"WHEN {has('lower(query)', w)} THEN {n}" for _, n, w in TRIG) + " ELSE 2 END"
 CLASSES = f"kc AS (SELECT qid, query, CASE WHEN {has('lower(query)', ('eron',))} OR {LAYERQ} = 0 THEN 'precise' WHEN {has('lower(query)', ('and',))} THEN 'broad' ELSE 'topic' END AS class FROM qry), ks AS (SELECT qid, query, CASE class WHEN 'precise' THEN 15 WHEN 'topic' THEN 25 ELSE 35 END AS initial, CASE class WHEN 'precise' THEN 10 WHEN 'topic' THEN 16 ELSE 25 END AS rerank, CASE class WHEN 'precise' THEN 8 WHEN 'topic' THEN 13 ELSE 18 END AS final FROM kc)"
 #: The queries hold no time words of the default list; these proxies occur in some.
-DAYS_OF = {"thour": 3, "eronan": 5, "stand": 9}
+DAYS_OF = {"haat": 3, "erha": 5, "ansh": 9}
 TIMES = "tq AS (SELECT qid, CASE " + " ".join(f"WHEN contains(query, '{w}') THEN {n}" for w, n in DAYS_OF.items()) + f" END AS days FROM qry), tr AS (SELECT qid, mid, score FROM tq JOIN mem ON created_s >= {AS} - 86400 * days AND created_s < {AS} - 86400 * days + 86400)"
 CUT = lambda name, src: f"{name} AS (SELECT x.qid, x.mid, x.score, row_number() OVER (PARTITION BY x.qid ORDER BY round(x.score, 9) DESC, x.mid) AS pos FROM {src} x JOIN ks ON ks.qid = x.qid WHERE x.qid NOT IN (SELECT qid FROM tr) QUALIFY pos <= ks.initial)"
 PEND = "pw AS (SELECT qid, list_distinct(regexp_extract_all(lower(query), '[a-zA-Z]+')) AS w FROM qry), pn AS (SELECT qid, mid, importance AS score FROM pw, (SELECT mid, content, importance FROM mem WHERE source_turn = 0 AND session_id % 40 = 0) WHERE len(w) > 0 AND qid NOT IN (SELECT qid FROM tr) AND len(list_filter(w, lambda x: contains(lower(content), x))) > 0)"
