@@ -1,4 +1,5 @@
-"""Repeated passages over all documents: what substring dedup (3, words) and suffix-array dedup (9, bytes) share.
+"""Repeated passages over all documents: what substring dedup (3, words) and suffix-array dedup (9, bytes) share, and the
+search of the second.
 
 A window is `length` consecutive symbols. Each window is owned by its anchor, the last gram of least hash in it (winnowing),
 so equal windows have equal anchors wherever they stand. Neighbouring windows that share an anchor are a segment; as its
@@ -104,31 +105,37 @@ def _anchors(unit):
     return run
 
 
+def own_segments(unit, texts: list[bytes], keys: np.ndarray | None):
+    """(row, masked anchors, content hash, start, symbols) of the texts' segments. What a document repeats itself is settled
+    here: runs of such segments (periodic text) are one row without an anchor."""
+    for row, a, g, lo, n in segments(unit, texts, True, keys):
+        if not len(a):
+            continue
+        order = np.lexsort((lo, g, a, row))
+        again = np.zeros(len(a), bool)
+        x, y = order[1:], order[:-1]
+        again[x] = (row[x] == row[y]) & (a[x] == a[y]) & (g[x] == g[y])
+        mask = again
+        if again.any():
+            r, s, e = row[again], lo[again], (lo + n)[again]
+            new = np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] > e[:-1])])
+            k = np.flatnonzero(new)
+            e = e[np.concatenate([k[1:], [len(e)]]) - 1]
+            row, lo, n = (np.concatenate(z) for z in ((row[~again], r[k]), (lo[~again], s[k]), (n[~again], e - s[k])))
+            mask = np.concatenate([np.zeros(len(a) - len(s), bool), np.ones(len(k), bool)])
+            a, g = (np.concatenate([z[~again], np.zeros(len(k), np.uint64)]) for z in (a, g))
+        yield row, np.ma.masked_array(a, mask), g, lo, n
+
+
 def _segments(unit, shared):
     def run(batches):
         keys = local_bitmap(shared)
         for batch in slices(batches):
             texts = texts_of(batch.column("text"))
             for i, j in grouped(texts):
-                for row, a, g, lo, n in segments(unit, texts[i:j], True, keys):
-                    if not len(a):
-                        continue
-                    order = np.lexsort((lo, g, a, row))
-                    again = np.zeros(len(a), bool)
-                    x, y = order[1:], order[:-1]
-                    again[x] = (row[x] == row[y]) & (a[x] == a[y]) & (g[x] == g[y])
-                    if again.any():  # copies inside a document are settled here; runs of them (periodic text) are one row
-                        r, s, e = row[again], lo[again], (lo + n)[again]
-                        new = np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] > e[:-1])])
-                        k = np.flatnonzero(new)
-                        e = e[np.concatenate([k[1:], [len(e)]]) - 1]
-                        row, lo, n = (np.concatenate(z) for z in ((row[~again], r[k]), (lo[~again], s[k]), (n[~again], e - s[k])))
-                        mask = np.concatenate([np.zeros(len(a) - len(s), bool), np.ones(len(k), bool)])
-                        a, g = (np.concatenate([z[~again], np.zeros(len(k), np.uint64)]) for z in (a, g))
-                    else:
-                        mask = again
+                for row, a, g, lo, n in own_segments(unit, texts[i:j], keys):
                     at = pa.array(row + i)
-                    a = pa.array(a.view(np.int64), pa.int64(), mask=mask)
+                    a = pa.array(a.data.view(np.int64), pa.int64(), mask=np.ma.getmaskarray(a))
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("tkey").take(at), a, i64(g), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "tkey", "a", "g", "lo", "n"])
 
     return run
@@ -160,6 +167,7 @@ def _search(find, length: int):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("tkey", "ascending"), ("lo", "ascending")])
+        table = table.filter(_once(*(table[k] for k in ("doc_id", "tkey", "lo"))))
         nulls = table.filter(pa.compute.is_null(table["doc_id"]))
         if len(nulls):  # a null doc_id comes first
             table = pa.concat_tables([nulls, table.filter(pa.compute.is_valid(table["doc_id"]))])
@@ -180,6 +188,18 @@ def _search(find, length: int):
     return run
 
 
+def _once(*columns) -> pa.Array:
+    """Which rows of sorted columns differ from the row before: a repeated row of docs gives its segments twice."""
+    keep = np.ones(len(columns[0]), bool)
+    if len(keep) > 1:
+        keep[1:] = False
+        for c in columns:
+            valid = np.asarray(c.is_valid())
+            x = c.fill_null(0).to_numpy()
+            keep[1:] |= (x[1:] != x[:-1]) | (valid[1:] != valid[:-1])
+    return pa.array(keep)
+
+
 def repeated_spans(docs: DataFrame, unit, find, block_rows: int, hot_rows: int) -> DataFrame:
     """doc_id, tkey, spans (lo, n in symbols): windows of keyed docs that also start earlier, by (doc_id, tkey, start).
 
