@@ -151,9 +151,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 7) -> M
     """Fit on rows of docs with text and lang.
 
     Document frequencies cover all of these rows. The regression is fitted on a sample by hash of doc_id of about
-    per_language rows a language (or all, if it has fewer), of which a fifth is kept for the temperature.
+    per_language rows a language (or all, if it has fewer), of which a fifth is kept for the temperature. It is the same in
+    every run; rows that repeat a doc_id are taken together. The driver gets the sample's bucket counts, no texts.
     """
-    docs = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
     labels = sorted(counts)
     if not labels:
@@ -164,7 +165,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 7) -> M
     idf = np.log((1 + sum(counts.values())) / (1 + seen)) + 1
     rate = F.create_map(*(F.lit(v) for k in labels for v in (k, min(1.0, per_language / counts[k]))))
     part = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))
-    sample = docs.where(part < rate[F.col("lang")]).limit(2 * per_language * len(labels)).mapInArrow(_sampled, "lang string, at array<int>, tf array<float>")
+    sample = docs.where(part < rate[F.col("lang")]).mapInArrow(_sampled, "lang string, at array<int>, tf array<float>")
     rows = []
     for batch in sample.toArrow().to_batches():
         for lang, at, tf in zip(*(batch.column(i) for i in range(3)), strict=True):

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD_SPACE, bitmap, document, free_name, keyed, meet_docs, parted, slices, store, texts_of
+from .common import LOWER, UPPER, WORD_SPACE, bitmap, document, free_name, keyed, map_met, parted, slices, store, texts_of
 
 
 def line_key(line):
@@ -133,12 +133,16 @@ MAX_BROADCAST = 100_000
 
 
 def drop_lines(docs: DataFrame, hot: DataFrame, min_chars: int = 1, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Rows of keyed docs as doc_id, tkey, n_lines, n_dropped and text without the lines whose hash is in hot."""
+    """Rows of keyed docs as doc_id, tkey, n_lines, n_dropped and text without the lines whose hash is in hot.
+
+    A row for each row; null and empty texts are one empty line; null doc_ids lose hot lines too. Lines with equal keys go
+    together, so there are no ties.
+    """
     if hot.count() <= max_broadcast:
         return docs.mapInArrow(_with_known(_known(hot), min_chars), "doc_id long, tkey long, n_lines long, n_dropped long, text string")
     found = key_hashes(docs, min_chars).select("doc_id", "tkey", F.explode("hs").alias("h")).join(hot, "h", "left_semi")
     per_doc = found.groupBy("doc_id", "tkey").agg(F.collect_set("h").alias("hot"))
-    return meet_docs(docs, store(per_doc, "hot-by-doc")).mapInArrow(_kept(min_chars), "doc_id long, tkey long, n_lines long, n_dropped long, text string")
+    return map_met(docs, store(per_doc, "hot-by-doc"), _kept(min_chars), "doc_id long, tkey long, n_lines long, n_dropped long, text string")
 
 
 def _known(hot: DataFrame):

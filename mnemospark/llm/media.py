@@ -199,7 +199,11 @@ def _round_trip(form: str):
 
 
 def text_media(docs: DataFrame, form: str = "pgm") -> DataFrame:
-    """Store each text as an image, read the stored bytes back and describe them; a map over rows, equal texts give equal values."""
+    """Store each text as an image, read the stored bytes back and describe them; a map over rows, equal texts give equal values.
+
+    A null or empty text is 64 zero bytes; repeated rows give equal rows, an empty table an empty one, and other columns are not
+    taken. A long text is one image, resized in strips of bounded size.
+    """
     return docs.selectExpr("CAST(doc_id AS long) doc_id", "text").mapInArrow(_round_trip(form), f"doc_id long, n_bytes long, {_SQL}")
 
 
