@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from .common import store
 
 
-#: Nodes whose edges a task contracts together.
-NODES = 50_000
+#: Nodes whose edges a task contracts together (some 200 bytes each), and edges that one task may finish: they have no more nodes.
+NODES = 100_000
+FEW = NODES // 2
 
 
 def _contracted(batches):
@@ -47,12 +48,13 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
     Partitions first contract their own edges. Then each step is two aggregations and a join on slim rows, written to the
     shared folder; a node of very many neighbours costs partial minima and a join that Spark can split. Steps grow with the
-    logarithm of a component's size.
+    logarithm of a component's size. When no more than FEW edges are left (they are counted as they are written), one task
+    contracts them all, which gives the same components.
     """
     kind = edges.schema["u"].dataType.simpleString()
     slim = edges.where("u <> v").select("u", "v").distinct().mapInArrow(_contracted, f"u {kind}, v {kind}")
     now, state, before = *_stored(slim.distinct(), name), None
-    while state != before:
+    while state != before and state[0] > FEW:
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -60,6 +62,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now, state = _stored(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), name)
+    if state[0] <= FEW:
+        now = store(now.coalesce(1).mapInArrow(_contracted, f"u {kind}, v {kind}"), name)
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
