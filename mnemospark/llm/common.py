@@ -85,12 +85,6 @@ def join_docs(docs: DataFrame, info: DataFrame, how: str = "left") -> DataFrame:
 MAX_BITMAP_BITS = 1 << 28
 
 
-def recurring(keys: DataFrame, at_least: int = 2, name: str = "recurring") -> DataFrame:
-    """The values of keys' column `a` that occur in at least so many rows (partial counts before the shuffle)."""
-    counted = keys.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= at_least)
-    return store(counted.select("a"), name)
-
-
 def bitmap(keys: DataFrame, max_bits: int = MAX_BITMAP_BITS) -> np.ndarray | None:
     """A bitmap over the longs in column `a` with 16 bits or more a key, or None where that would pass max_bits.
 
@@ -165,26 +159,12 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return drop(some).unionByName(rest)
 
 
-def meet_docs(docs: DataFrame, info: DataFrame, how: str = "left") -> DataFrame:
-    """join_docs for an info table that has a row for few of the docs: texts of the others are not shuffled.
+def map_met(docs: DataFrame, info: DataFrame, run, schema: str) -> DataFrame:
+    """run over keyed docs with what info, a stored table, has for (doc_id, tkey); info has a row for few of the docs.
 
-    A bitmap of info's documents (its size is checked, see bitmap) parts the docs; beyond its bound all texts go to the join.
-    info should be a stored table.
+    A bitmap of info's documents (its size is checked) parts the docs: texts of the others aren't shuffled and go through one
+    Python function with nulls for info's columns. Beyond its bound all texts go to the join.
     """
-    h = F.xxhash64("doc_id", "tkey")
-    bits = bitmap(info.select(h.alias("a")))
-    if bits is None:
-        return join_docs(docs, info, how)
-    some, rest = parted(docs.select("doc_id", "tkey", "text"), bits, h)
-    met = join_docs(some, info, how)
-    if how == "inner":
-        return met
-    missing = [F.lit(None).cast(x.dataType).alias(x.name) for x in info.schema if x.name not in ("doc_id", "tkey")]
-    return met.unionByName(rest.select("*", *missing))
-
-
-def map_met(docs: DataFrame, info: DataFrame, run, schema: str) -> DataFrame:
-    """meet_docs(docs, info).mapInArrow(run, schema), with one Python function for the rows that don't meet info."""
     docs = docs.select("doc_id", "tkey", "text")
     bits = bitmap(info.select(F.xxhash64("doc_id", "tkey").alias("a")))
     if bits is None:

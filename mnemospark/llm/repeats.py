@@ -1,16 +1,14 @@
-"""Repeated passages over all documents: what substring dedup (3, words) and suffix-array dedup (9, bytes) share, and the
-search of the second.
+"""Repeated passages over all documents: what substring dedup (3, words) and suffix-array dedup (9, bytes) share.
 
 A window is `length` consecutive symbols. Each window is owned by its anchor, the last gram of least hash in it (winnowing),
 so equal windows have equal anchors wherever they stand. Neighbouring windows that share an anchor are a segment; as its
 place in them differs, no two windows of one segment are equal.
 
-1. Count anchors (partial sums before the shuffle); keep those that recur.
-2. Segments of recurring anchors are pre-aggregated by content: every copy but the first of a segment is a repeat,
-   which costs a row for each task and distinct content however hot a passage is.
-3. Only anchors with several contents go on, with the first copy of each: blocks of bounded size, dealt by anchor (a hot
-   anchor is salted over several blocks), are searched by the operator's own method.
-4. Windows of salted anchors that are first in their block meet once more, by window, with partial minima.
+1. Anchors are counted with partial sums; those that occur once hold no repeated window.
+2. Every document is streamed: its segments of recurring anchors go to their anchor's shard. An anchor of very many segments
+   is dealt over several shards. Windows that a document repeats itself are settled in place.
+3. Each shard reads its segments in document order by the operator's own method, which flags the windows that were met before.
+4. Windows of dealt anchors that are first in their shard meet once more, by window, with partial minima.
 """
 
 import hashlib
@@ -21,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, Rolling, bitmap, byte_class, byte_values, grouped, hash_words, i64, in_bitmap, local_bitmap, meet_docs, mix, recurring, slices, slide_min, store, texts_of
+from .common import CHUNK, Rolling, bitmap, byte_class, byte_values, grouped, hash_words, i64, in_bitmap, local_bitmap, mix, slices, slide_min, store, texts_of
 
 _T1, _T2 = byte_values(21), byte_values(22)
 _SPACE = byte_class("space")
@@ -42,8 +40,8 @@ class Bytes:
         return len(data), (lambda a, b: _T1[data[a:b]]), (lambda a, b: _T2[data[a:b]]), start, start + n
 
     @staticmethod
-    def cut(text: bytes, parts: list[tuple[int, int]]) -> list[bytes]:
-        return [text[a : a + n] for a, n in parts]
+    def cutter(text: bytes):
+        return lambda a, n: text[a : a + n]
 
 
 class Words:
@@ -60,9 +58,9 @@ class Words:
         return len(h), (lambda a, b: h[a:b]), (lambda a, b: mix(h[a:b] + second)), at[:-1], at[1:]
 
     @staticmethod
-    def cut(text: bytes, parts: list[tuple[int, int]]) -> list[bytes]:
+    def cutter(text: bytes):
         words = text.split()
-        return [b" ".join(words[a : a + n]) for a, n in parts]
+        return lambda a, n: b" ".join(words[a : a + n])
 
 
 def segments(unit, texts: list[bytes], contents: bool = False, keys: np.ndarray | None = None):
@@ -127,33 +125,35 @@ def own_segments(unit, texts: list[bytes], keys: np.ndarray | None):
         yield row, np.ma.masked_array(a, mask), g, lo, n
 
 
-def _segments(unit, shared):
-    def run(batches):
-        keys = local_bitmap(shared)
-        for batch in slices(batches):
-            texts = texts_of(batch.column("text"))
-            for i, j in grouped(texts):
-                for row, a, g, lo, n in own_segments(unit, texts[i:j], keys):
-                    at = pa.array(row + i)
-                    a = pa.array(a.data.view(np.int64), pa.int64(), mask=np.ma.getmaskarray(a))
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("tkey").take(at), a, i64(g), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "tkey", "a", "g", "lo", "n"])
+def spread_of(row: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lo.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
 
-    return run
 
+def _streamed(unit, shared, hot, n_blocks: int):
+    """Segments of recurring anchors with their shard and symbols; spans (no symbols) of what a document repeats itself."""
 
-def _cut(unit):
     def run(batches):
-        for batch in slices(batches):
-            out = {k: [] for k in ("blk", "split", "doc_id", "tkey", "lo", "seg")}
-            ids, keys, parts = (batch.column(k).to_pylist() for k in ("doc_id", "tkey", "parts"))
-            for d, t, text, own in zip(ids, keys, texts_of(batch.column("text")), parts, strict=True):
-                own = list({(p["blk"], p["lo"]): p for p in own}.values())
-                out["seg"] += unit.cut(text, [(p["lo"], p["n"]) for p in own])
-                for k in ("blk", "split", "lo"):
-                    out[k] += [p[k] for p in own]
-                out["doc_id"] += [d] * len(own)
-                out["tkey"] += [t] * len(own)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("blk", pa.int64()), ("split", pa.bool_()), ("doc_id", pa.int64()), ("tkey", pa.int64()), ("lo", pa.int32()), ("seg", pa.binary())]))
+        keys, (names, pieces) = local_bitmap(shared), hot.value
+        for batch in slices(batches, 256):
+            texts = texts_of(batch.column("text"))
+            for i, j in grouped(texts):
+                cut = [unit.cutter(x) for x in texts[i:j]]
+                for row, a, _, lo, n in own_segments(unit, texts[i:j], keys):
+                    own = ~a.mask
+                    split = np.zeros(len(row), bool)
+                    salt = np.zeros(len(row), np.uint64)
+                    if len(names):
+                        at = np.minimum(np.searchsorted(names, a.data), len(names) - 1)
+                        split = own & (names[at] == a.data)
+                        salt[split] = spread_of(row, lo)[split] % pieces[at[split]].astype(np.uint64)
+                    mixed = np.where(own, a.data, spread_of(row, lo))
+                    blk = ((mixed ^ (salt + np.uint64(1)) * np.uint64(0x94D049BB133111EB)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(31)) % np.uint64(n_blocks)
+                    seg = [cut[r](s, k) if o else None for r, s, k, o in zip(row.tolist(), lo.tolist(), n.tolist(), own.tolist(), strict=True)]
+                    at = pa.array(row + i)
+                    yield pa.RecordBatch.from_arrays(
+                        [i64(blk), pa.array(split), i64(a.data), batch.column("doc_id").take(at), batch.column("tkey").take(at), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(seg, pa.binary())],
+                        names=["blk", "split", "a", "doc_id", "tkey", "lo", "n", "seg"],
+                    )
 
     return run
 
@@ -200,38 +200,50 @@ def _once(*columns) -> pa.Array:
     return pa.array(keep)
 
 
+def _shard(find, length: int):
+    """_search of a shard's segments; spans that are settled already (without symbols) pass."""
+    search = _search(find, length)
+
+    def run(table: pa.Table) -> pa.Table:
+        done = pa.compute.is_null(table["seg"])
+        passed = table.filter(done).select(["doc_id", "tkey", "lo", "n"]).append_column("w", pa.nulls(pa.compute.sum(done).as_py() or 0, pa.binary()))
+        rest = table.filter(pa.compute.invert(done))
+        return pa.concat_tables([search(rest), passed]) if len(rest) else passed
+
+    return run
+
+
+#: Anchors that are dealt over several shards: what counts as very many grows with the corpus, so there are never more.
+MAX_HOT = 100_000
+
+
 def repeated_spans(docs: DataFrame, unit, find, block_rows: int, hot_rows: int) -> DataFrame:
     """doc_id, tkey, spans (lo, n in symbols): windows of keyed docs that also start earlier, by (doc_id, tkey, start).
 
-    Documents without a repeat have no row. Repeated rows are one document. find: see _search.
+    Documents without a repeat have no row. Repeated rows are one document. find: see _search. A shard has block_rows segments
+    on average; an anchor has hot_rows in one at most, or more where over MAX_HOT anchors would pass that.
     """
     spark = docs.sparkSession
-    keys = recurring(docs.select("text").mapInArrow(_anchors(unit), "a long"), name="anchors")
-    bits = bitmap(keys)
+    anchors = docs.select("text").mapInArrow(_anchors(unit), "a long").groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    anchors = store(anchors, "anchors")
+    total = anchors.agg(F.sum("c")).first()[0] or 0
+    hot_rows = max(hot_rows, math.ceil(total / MAX_HOT))
+    rows = anchors.where(F.col("c") > hot_rows).toArrow()  # total / hot_rows rows at most
+    names, pieces = rows["a"].to_numpy().view(np.uint64), -(-rows["c"].to_numpy() // hot_rows)
+    order = np.argsort(names)
+    hot = spark.sparkContext.broadcast((names[order], pieces[order]))
+    bits = bitmap(anchors.select("a"))
     shared = None if bits is None else spark.sparkContext.broadcast(bits)
-    rows = docs.mapInArrow(_segments(unit, shared), "doc_id long, tkey long, a long, g long, lo int, n int")
+    schema = "blk long, split boolean, a long, doc_id long, tkey long, lo int, n int, seg binary"
+    found = docs.mapInArrow(_streamed(unit, shared, hot, max(1, math.ceil(total / block_rows))), schema)
     if bits is None:  # the bitmap may let a lone anchor pass, which costs its row and nothing else
-        rows = rows.join(keys, "a", "left_semi").unionByName(rows.where("a IS NULL"))
-    rows = store(rows, "segments")
-    settled = rows.where("a IS NULL").select("doc_id", "tkey", "lo", "n")
-    rows = rows.where("a IS NOT NULL")
-    place = F.struct("doc_id", "tkey", "lo")
-    first = store(rows.groupBy("a", "g").agg(F.min(F.struct("doc_id", "tkey", "lo", "n")).alias("f")), "first")
-    later = rows.join(first, ["a", "g"]).where(~place.eqNullSafe(F.struct("f.doc_id", "f.tkey", "f.lo"))).select("doc_id", "tkey", "lo", "n")
-    several = store(first.groupBy("a").agg(F.count(F.lit(1)).alias("nv")).where("nv > 1"), "several")
-    total = several.agg(F.sum("nv")).first()[0] or 0
-    n_blocks = max(1, math.ceil(total / block_rows))
-    parts = first.join(several, "a").select("a", "nv", "f.*")
-    pieces = F.ceil(F.col("nv") / F.lit(hot_rows)).cast("long")
-    salt = F.when(pieces > 1, F.pmod(F.xxhash64("doc_id", "tkey", "lo"), pieces)).otherwise(F.lit(0).cast("long"))
-    parts = parts.withColumn("blk", F.pmod(F.xxhash64("a", salt), F.lit(n_blocks))).withColumn("split", pieces > 1)
-    per_doc = parts.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("blk", "split", "lo", "n")).alias("parts"))
-    cut = meet_docs(docs, store(per_doc, "parts"), "inner").mapInArrow(_cut(unit), "blk long, split boolean, doc_id long, tkey long, lo int, seg binary")
-    found = store(cut.groupBy("blk").applyInArrow(_search(find, unit.length), "doc_id long, tkey long, lo int, n int, w binary"), "found")
-    open_ = found.where("w IS NOT NULL")
+        found = found.where("seg IS NOT NULL").join(anchors.select("a"), "a", "left_semi").unionByName(found.where("seg IS NULL"))
+    shards = found.select("blk", "split", "doc_id", "tkey", "lo", "n", "seg").groupBy("blk").applyInArrow(_shard(find, unit.length), "doc_id long, tkey long, lo int, n int, w binary")
+    shards = store(shards, "found")
+    place, open_ = F.struct("doc_id", "tkey", "lo"), shards.where("w IS NOT NULL")
     ahead = open_.groupBy("w").agg(F.min(place).alias("f"))
     over = open_.join(ahead, "w").where(~place.eqNullSafe(F.col("f"))).select("doc_id", "tkey", "lo", "n")
-    spans = later.unionByName(settled).unionByName(found.where("w IS NULL").drop("w")).unionByName(over)
+    spans = shards.where("w IS NULL").drop("w").unionByName(over)
     return store(spans.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("lo", "n")).alias("spans")), "spans")
 
 

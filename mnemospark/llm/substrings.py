@@ -1,33 +1,18 @@
-"""Substring dedup (3): repeated-phrase automata, compiled in shards, through which all documents are streamed.
-
-A window is 20 words. Its anchor, the last gram of least hash in it (winnowing), names its shard, so equal windows meet
-wherever they stand; neighbouring windows of one anchor are a segment. Anchors that occur once hold no recurring window.
-
-1. Anchors are counted with partial sums.
-2. Every document is streamed: its segments of recurring anchors go to their shards. An anchor of very many segments is dealt
-   over several shards. Windows that a document repeats itself are settled in place.
-3. Each shard confirms its recurring windows word by word, compiles an Aho-Corasick automaton of these phrases and reads all
-   its segments, in document order, through it: every occurrence but a phrase's first is a repeat.
-4. Phrases of dealt anchors that are first in their shard meet once more, by window, with partial minima.
-"""
+"""Substring dedup (3): repeated-phrase automata, compiled in shards, through which all documents are streamed (see repeats)."""
 
 import hashlib
-import math
 from collections import Counter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import bitmap, grouped, i64, keyed, local_bitmap, map_met, slices, store, texts_of
-from .repeats import Words, _anchors, _search, outside, own_segments, union
+from .common import keyed, map_met, slices, texts_of
+from .repeats import Words, outside, repeated_spans, union
 
 #: Segments (about 26 words each) in a shard on average, and of one anchor in a shard at most.
 BLOCK, HOT = 2000, 20_000
-#: Anchors that are dealt over several shards: what counts as very many grows with the corpus, so there are never more.
-MAX_HOT = 100_000
 
 
 def _letters(segs: list[bytes]) -> list[str]:
@@ -65,77 +50,9 @@ def phrase_automaton(length: int):
     return find
 
 
-def spread_of(row: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    return (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lo.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
-
-
-def _shard(find, length: int):
-    """_search of a shard's segments; spans that are settled already (without words) pass."""
-    search = _search(find, length)
-
-    def run(table: pa.Table) -> pa.Table:
-        done = pa.compute.is_null(table["seg"])
-        passed = table.filter(done).select(["doc_id", "tkey", "lo", "n"]).append_column("w", pa.nulls(pa.compute.sum(done).as_py() or 0, pa.binary()))
-        return pa.concat_tables([search(table.filter(pa.compute.invert(done))), passed])
-
-    return run
-
-
-def _streamed(unit, shared, hot, n_blocks: int):
-    """Segments of recurring anchors with their shard and words; spans (no words) of what a document repeats itself."""
-
-    def run(batches):
-        keys, (names, pieces) = local_bitmap(shared), hot.value
-        for batch in slices(batches, 256):
-            texts = texts_of(batch.column("text"))
-            for i, j in grouped(texts):
-                words = [x.split() for x in texts[i:j]]
-                for row, a, _, lo, n in own_segments(unit, texts[i:j], keys):
-                    own = ~a.mask
-                    split = np.zeros(len(row), bool)
-                    salt = np.zeros(len(row), np.uint64)
-                    if len(names):
-                        at = np.minimum(np.searchsorted(names, a.data), len(names) - 1)
-                        split = own & (names[at] == a.data)
-                        salt[split] = spread_of(row, lo)[split] % pieces[at[split]].astype(np.uint64)
-                    mixed = np.where(own, a.data, spread_of(row, lo))
-                    blk = ((mixed ^ (salt + np.uint64(1)) * np.uint64(0x94D049BB133111EB)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(31)) % np.uint64(n_blocks)
-                    seg = [b" ".join(words[r][s : s + k]) if o else None for r, s, k, o in zip(row.tolist(), lo.tolist(), n.tolist(), own.tolist(), strict=True)]
-                    at = pa.array(row + i)
-                    yield pa.RecordBatch.from_arrays(
-                        [i64(blk), pa.array(split), i64(a.data), batch.column("doc_id").take(at), batch.column("tkey").take(at), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(seg, pa.binary())],
-                        names=["blk", "split", "a", "doc_id", "tkey", "lo", "n", "seg"],
-                    )
-
-    return run
-
-
 def repeated_words(docs: DataFrame, length: int = 20, block_rows: int = BLOCK, hot_rows: int = HOT) -> DataFrame:
-    """doc_id, tkey, spans (lo, n in words) of keyed docs that lie in a window of `length` words which also starts earlier, by
-    (doc_id, tkey, start). Documents without one have no row. Repeated rows are one document."""
-    spark, unit = docs.sparkSession, Words(length)
-    anchors = docs.select("text").mapInArrow(_anchors(unit), "a long").groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    anchors = store(anchors, "anchors")
-    total = anchors.agg(F.sum("c")).first()[0] or 0
-    hot_rows = max(hot_rows, math.ceil(total / MAX_HOT))
-    rows = anchors.where(F.col("c") > hot_rows).toArrow()  # total / hot_rows rows at most
-    names, pieces = rows["a"].to_numpy().view(np.uint64), -(-rows["c"].to_numpy() // hot_rows)
-    order = np.argsort(names)
-    hot = spark.sparkContext.broadcast((names[order], pieces[order]))
-    bits = bitmap(anchors.select("a"))
-    shared = None if bits is None else spark.sparkContext.broadcast(bits)
-    schema = "blk long, split boolean, a long, doc_id long, tkey long, lo int, n int, seg binary"
-    found = docs.mapInArrow(_streamed(unit, shared, hot, max(1, math.ceil(total / block_rows))), schema)
-    if bits is None:  # the bitmap may let a lone anchor pass, which costs its row and nothing else
-        found = found.where("seg IS NOT NULL").join(anchors.select("a"), "a", "left_semi").unionByName(found.where("seg IS NULL"))
-    find = _shard(phrase_automaton(length), length)
-    shards = found.select("blk", "split", "doc_id", "tkey", "lo", "n", "seg").groupBy("blk").applyInArrow(find, "doc_id long, tkey long, lo int, n int, w binary")
-    shards = store(shards, "found")
-    place, open_ = F.struct("doc_id", "tkey", "lo"), shards.where("w IS NOT NULL")
-    ahead = open_.groupBy("w").agg(F.min(place).alias("f"))
-    over = open_.join(ahead, "w").where(~place.eqNullSafe(F.col("f"))).select("doc_id", "tkey", "lo", "n")
-    spans = shards.where("w IS NULL").drop("w").unionByName(over)
-    return store(spans.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("lo", "n")).alias("spans")), "spans")
+    """doc_id, tkey, spans of words of keyed docs that lie in a window of `length` words which also starts earlier."""
+    return repeated_spans(docs, Words(length), phrase_automaton(length), block_rows, hot_rows)
 
 
 def _kept(batches):

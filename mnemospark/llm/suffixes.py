@@ -1,4 +1,4 @@
-"""Suffix-array dedup (9): longest-previous-factor arrays over blocks of text."""
+"""Suffix-array dedup (9): longest-previous-factor arrays over shards of text, to which all documents are streamed (see repeats)."""
 
 import hashlib
 from array import array
@@ -7,10 +7,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import keyed, meet_docs, slices, texts_of
+from .common import keyed, map_met, slices, texts_of
 from .repeats import Bytes, outside, repeated_spans, union
 
-#: Segments (about 135 bytes each) of several anchors in a block, on average, and of one anchor in a block at most.
+#: Segments (about 135 bytes each) in a shard on average, and of one anchor in a shard at most.
 BLOCK, HOT = 8000, 50_000
 #: Suffixes of the order that are walked over at a time.
 SLICE = 100_000
@@ -151,9 +151,10 @@ def dedup_bytes(docs: DataFrame, length: int = 100, block_rows: int = BLOCK) ->
     """keyed docs as doc_id, n_bytes, n_removed, n_spans, kept (binary: a cut may fall inside a character).
 
     Strings are judged on the input and never cross documents. Null texts are empty. Documents are ordered by doc_id, null
-    first; different texts of one doc_id by the hash of the text; repeated rows are one document.
+    first; different texts of one doc_id by the hash of the text; repeated rows are one document. An empty table gives an empty
+    table; long texts are cut into segments in bounded pieces. Other columns of a table are not taken (see keyed).
     """
-    return meet_docs(docs, repeated_bytes(docs, length, block_rows)).mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_met(docs, repeated_bytes(docs, length, block_rows), _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def _kept(batches):
@@ -176,7 +177,7 @@ def _digest(batches):
 
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = keyed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return meet_docs(docs, repeated_bytes(docs)).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_met(docs, repeated_bytes(docs), _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 OP9_SQL = r"""

@@ -1,6 +1,7 @@
 """The ten operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import io
 import itertools
 import random
 import re
@@ -62,7 +63,7 @@ def test_substring_dedup(spark, block, hot):
     want = {d: (len(w), sum(g), " ".join(x for x, y in zip(w, g, strict=True) if not y)) for (d, _), w, g in zip(docs, split, brute_spans(split, 20), strict=True)}
     base = keyed(table(spark, rows))
     spans = substrings.repeated_words(base, 20, block, hot)
-    got = substrings.meet_docs(base, spans).mapInArrow(substrings._kept, "doc_id long, tkey long, n_words long, n_removed long, text string").collect()
+    got = substrings.map_met(base, spans, substrings._kept, "doc_id long, tkey long, n_words long, n_removed long, text string").collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r["n_words"], r["n_removed"], r["text"]) == want[r["doc_id"]], r["doc_id"]
@@ -79,7 +80,7 @@ def test_suffix_array_dedup(spark, block, hot):
         want[d] = (len(b), sum(g), sum(k for k, _ in itertools.groupby(g)), bytes(x for x, y in zip(b, g, strict=True) if not y))
     base = keyed(table(spark, rows))
     spans = suffixes.repeated_bytes(base, 100, block, hot)
-    got = suffixes.meet_docs(base, spans).mapInArrow(suffixes._kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").collect()
+    got = suffixes.map_met(base, spans, suffixes._kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["doc_id"]], r["doc_id"]
@@ -465,3 +466,151 @@ def test_keep_one_tells_texts_of_one_doc_id_apart(spark):
         many = [(i, " ".join(f"w{j}" if j != i else f"x{i}" for j in range(120))) for i in range(30)] + rows
         kept = {x["doc_id"] for x in jaccard.keep_one(table(spark, many), block=block).collect()}
         assert kept == {0, 3, 5, 8, 9}
+
+
+CLASH = "doc_id long, text string, tkey string, _k string, _doc string, _text string, _hits string, _h string"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, "a", "b", "c", "d", "e", "f") for i, t in rows], CLASH)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_names_of_other_columns_dont_matter(spark, limit):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(i, f"header\nown {i}") for i in range(11)] + [(20, f"x {item} y"), (None, f"z {item}"), (21, None), (20, f"x {item} y")]
+    docs = clashing(spark, rows)
+    others = lambda df: {tuple(r)[2:] for r in df.collect()}
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for out, n in (
+        (lines.dedup_lines(docs, max_broadcast=limit), len(rows)), (decontaminate.decontaminate(docs, bench, max_bytes=limit), len(rows) - 3),
+        (decontaminate.decontaminate(docs, bench, remove="spans", max_bytes=limit), len(rows)),
+    ):
+        assert out.columns == docs.columns and out.count() == n and others(out) == {tuple("abcdef")}
+    cut = decontaminate.decontaminate(docs, bench, remove="spans", max_bytes=limit).collect()
+    assert sorted(r["text"] for r in cut if r["doc_id"] == 20) == ["x  y", "x  y"] and [r["text"] for r in cut if r["doc_id"] == 21] == [None]
+
+
+def test_leaks_are_equal_however_large_the_benchmark_is(spark):
+    r = random.Random(11)
+    word = lambda: r.choice(["Alpha", "beta", "ü", "d4", "e-f", "gamma"])
+    items = [(i if i % 5 else None, " ".join(word() for _ in range(r.randrange(1, 14)))) for i in range(30)] + [(50, None), (51, "..."), (52, "")]
+    rows = [(i, " ".join(word() for _ in range(r.randrange(0, 60)))) for i in range(30)] + [(40, None), (41, ""), (None, "alpha beta"), (3, "alpha"), (7, "beta")]
+    rows += [rows[5], rows[5], (60, "x " * 3000 + items[1][1])]
+    bench, base = spark.createDataFrame(items, "item_id long, text string"), keyed(table(spark, rows))
+    key = lambda x: (x["doc_id"] is not None, x["doc_id"] or 0, x["tkey"], x["n_words"])
+    small, large = (sorted(decontaminate.find_leaks(base, bench, 10, b).collect(), key=key) for b in (1 << 20, 0))
+    spans = lambda x: sorted({(h["s"], h["e"]) for h in x["hits"]})
+    assert [(*key(x), spans(x), x["items"]) for x in small] == [(*key(x), spans(x), x["items"]) for x in large]
+    assert len(small) == len(rows)
+    texts = {(i, t or "") for i, t in rows}
+    for x in small:
+        want = [t for i, t in texts if i == x["doc_id"] and brute_leaks(t, items, 10)[0] == x["n_words"]]
+        assert any(brute_leaks(t, items, 10)[1] == decontaminate.covered(x["hits"]) for t in want)
+    assert any(None in x["items"] for x in small)
+
+
+def test_wide_words_are_encoded_whole(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    r = random.Random(12)
+    model = pieces.Pieces.load(pieces.model_path())
+    texts = ["".join(r.choice("theringandso") for _ in range(n)) for n in (199, 200, 201, 1000, 20_000)] + ["a" * 3000, "日本語の文章" * 300]
+    assert [x.tolist() for x in model.encode(texts)] == [sp.encode(x) for x in texts]
+
+
+def test_resampling_weights_and_keys(spark):
+    r = random.Random(13)
+    rows = [(i, " ".join(r.choices(["Good", "fine", "word", "bad", "ünk"], k=r.randrange(0, 25)))) for i in range(60)] + [(70, None), (71, ""), (72, "x"), (5, "other text"), (None, "good word")]
+    rows.append(rows[3])
+    target = [0, 2, 4, 5, 5, None, 999]
+    docs, ids = table(spark, rows), spark.createDataFrame([(i,) for i in target], "doc_id long")
+
+    def grams(text):
+        """Buckets of a text's unigrams and bigrams, word by word."""
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        data = [next(resampling.bucket_rows([w.encode()]))[1][0] for w in words]
+        return data + [int(next(resampling.bucket_rows([f"{a} {b}".encode()]))[2][0]) for a, b in itertools.pairwise(words)]
+
+    count = lambda own: np.bincount([b for x in own for b in grams(x)], minlength=resampling.BUCKETS) + 1.0
+    raw, wanted = count([t for _, t in rows]), count([t for i, t in rows if i in set(target) - {None}])
+    ratio = np.log(wanted / wanted.sum()) - np.log(raw / raw.sum())
+    for most in (100, 0):  # ids in the tasks, ids by a join
+        assert np.allclose(resampling.log_ratios(keyed(docs), ids, most), ratio)
+    u = {(x["doc_id"], x["tkey"]): x["u"] for x in keyed(docs).withColumn("u", (F.shiftrightunsigned(F.xxhash64(F.lit(3), "doc_id", "tkey"), 11) + 0.5) / float(1 << 53)).collect()}
+    weights = sorted((round(float(ratio[grams(t)].sum()), 6) for _, t in rows))
+    out = resampling.resample(docs, ids, share=0.5).collect()
+    assert np.allclose(sorted(x["log_weight"] for x in out), weights, atol=2e-6) and len(out) == len(rows)
+    keys = sorted(x["gumbel_key"] - x["log_weight"] for x in out)
+    noise = sorted(-np.log(-np.log(v)) for (d, k), v in u.items() for _ in range(sum(1 for i, t in rows if i == d) if d == rows[3][0] else 1))
+    assert np.allclose(keys, noise, atol=3e-6)
+    assert all(x["log_weight"] == 0 for x in out if x["doc_id"] in (70, 71))
+    assert sum(x["selected"] for x in out) >= len(rows) // 2 and len({x["selected"] for x in out if x["doc_id"] == rows[3][0]}) == 1
+    assert resampling.resample(table(spark, rows).limit(0), ids).count() == 0
+
+
+def test_language_scores_follow_from_the_model(spark):
+    rows = [*((i, t, lang, "x") for i, t, lang in language_rows(60)), (900, None, "en", "x"), (901, "", "en", "x"), (902, "the " * 4000, "en", "x"), (5, language_rows(60)[5][1], "en", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language.train(docs, 50)
+    for x in language.predict(keyed(docs), model).collect():
+        text = next((t for i, t, *_ in rows if i == x["doc_id"]), None)
+        if not text:
+            assert (x["lang_pred"], x["score"]) == ("und", 0.0)
+            continue
+        grams = [g for k in language.ORDERS for a in range(len(text) - k + 1) for g in language.ngrams(np.array([ord(c) for c in text.lower()[a : a + k]], np.uint32), k).tolist()] if len(text) < 3000 else None
+        z = (model.weights[grams].astype(float).mean(0) if grams else model.logits([text])[0] - model.bias) + model.bias
+        p = np.exp(z / model.temperature - np.max(z / model.temperature))
+        assert abs(x["score"] - (p / p.sum()).max()) < 1e-5 and x["lang_pred"] == model.labels[int(p.argmax())]
+    again = language.train(docs, 50)
+    assert np.array_equal(model.weights, again.weights) and model.temperature == again.temperature
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from mnemospark.llm import common
+
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with common.scratch(spark):
+        kept = common.store(common.store(spark.range(5), "one").where("id > 1"), "two", keep=True)
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["two"] and kept.count() == 3
+
+
+@pytest.mark.parametrize("few", [0, 10, 100_000])
+def test_components(spark, monkeypatch, few):
+    from mnemospark.llm import components
+
+    monkeypatch.setattr(components, "FEW", few)
+    r = random.Random(15)
+    edges = [(f"{r.randrange(300):03}", f"{r.randrange(300):03}") for _ in range(170)] + [(f"c{i}", f"c{i + 1}") for i in range(40)] + [("hub", f"h{i}") for i in range(50)] + [("x", "x")]
+    up = {}
+    for a, b in edges:
+        ga, gb = up.setdefault(a, {a}), up.setdefault(b, {b})
+        if ga is not gb and a != b:
+            ga |= gb
+            for x in gb:
+                up[x] = ga
+    want = {(x, min(g)) for x, g in up.items() if len(g) > 1}
+    assert {tuple(x) for x in components.components(spark.createDataFrame(edges, "u string, v string")).collect()} == want
+
+
+def test_media_features_follow_from_plain_area_means(spark):
+    def means(image, rows, cols):
+        h, w = image.shape
+        overlap = lambda k, n, size, p: max(0.0, min((k + 1) * size / n, p + 1) - max(k * size / n, p))
+        down = np.array([[overlap(i, rows, h, y) for y in range(h)] for i in range(rows)])
+        across = np.array([[overlap(j, cols, w, x) for x in range(w)] for j in range(cols)])
+        return down @ image.astype(float) @ across.T * (rows * cols / (h * w))
+
+    r = random.Random(14)
+    rows = [(1, "hello world"), (2, None), (3, "".join(chr(r.randrange(32, 1000)) for _ in range(900))), (4, "ab" * 700), (1, "hello world")]
+    for x in media.text_media(table(spark, rows)).collect():
+        data = (dict(rows)[x["doc_id"]] or "").encode()
+        image = np.frombuffer(data + bytes(-len(data) % 64 or (0 if data else 64)), np.uint8).reshape(-1, 64)
+        small, tile = np.round(means(image, 8, 9), 6), io.BytesIO()
+        bits = "".join(str(int(small[i, j + 1] > small[i, j])) for i in range(8) for j in range(8))
+        np.save(tile, np.clip(np.round(np.round(means(image, 32, 32), 6)), 0, 255).astype(np.uint8))
+        assert x["feature"] == f"{len(image)}x64;dhash={int(bits, 2):016x};tile={zlib.crc32(tile.getvalue()):08x}"
