@@ -5,8 +5,10 @@ that holds it in every dimension and is left with the least weighted residual no
 residual and demand. Pieces are dealt evenly over bounded groups; sequences that a group leaves unfilled are dealt again.
 """
 
+import json
 import math
 import os
+import re
 import zlib
 from functools import cache
 
@@ -21,46 +23,81 @@ LIMIT, END = 4096, 1
 #: Pieces that one task packs at a time.
 GROUP = 20_000
 #: Bytes of text that are split into words at a time, and words that are encoded and remembered at a time.
-TEXT, WORDS, MEMORY = 2 << 20, 20_000, 400_000
+TEXT, WORDS, MEMORY = 2 << 20, 20_000, 1_000_000
+
+
+# The splitting pattern of the tokenizer that texts may be split for here, and the same for simple texts in lower case.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u024f"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
+#: Texts whose normal form is their lower case: ASCII and precomposed Latin letters (without dotted capital I).
+_SIMPLE = re.compile("[\t-\r -~\u00c0-\u012f\u0131-\u024f]*")
 
 
 class Encoder:
     """Token ids (little-endian uint32 bytes) of texts by a tokenizer whose tokens never reach over ASCII white space.
 
     Words are encoded once: unknown ones together, parted by a special token that the tokenizer finds before anything else.
-    Words that have a special token's text in them are encoded by themselves.
+    Words that have a special token's text in them are encoded by themselves. Where the tokenizer composes characters, lower-cases
+    and then splits by _PATTERN, simple texts are lower-cased and split here, each part is encoded once, and the model gets parts
+    that need neither. What is remembered is bounded and shared by the tasks of a worker.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.model, self.known = Tokenizer.from_file(path), {}
+        self.model, self.words, self.parts = Tokenizer.from_file(path), {}, {}
         special = self.model.get_added_tokens_decoder()
-        self.marks = [x.content.encode() for x in special.values()]
+        self.marks = [x.content for x in special.values()]
         self.mark = next((i for i, x in special.items() if x.special and not (x.lstrip or x.rstrip or x.single_word or x.normalized)), None)
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn(self, words: list[bytes]):
-        alone = words if self.mark is None else [w for w in words if any(x in w for x in self.marks)]
-        self.known.update((w, self._ids(w.decode()).tobytes()) for w in alone)
-        words = [w for w in words if w not in self.known]
+        self.plain = None
+        form = json.loads(self.model.to_str())
+        steps = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
+        cuts = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
+        end = form["model"].get("end_of_word_suffix")
+        if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": _PATTERN} and end:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.last = np.zeros(self.model.get_vocab_size(), bool)
+            self.last[[i for w, i in self.model.get_vocab().items() if w.endswith(end)]] = True
+
+    def _ids(self, model, text: str) -> np.ndarray:
+        return np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        for i in range(0, len(parts), WORDS):
+            some = parts[i : i + WORDS]
+            ids = self._ids(self.plain, " ".join(some))
+            cut, data = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist(), ids.tobytes()
+            self.parts.update((w, data[a:b]) for w, a, b in zip(some, [0, *cut[:-1]], cut, strict=True))
+
+    def _learn_words(self, words: list[str]) -> None:
+        alone = [w for w in words if self.mark is None or any(x in w for x in self.marks)]
+        self.words.update((w, self._ids(self.model, w).tobytes()) for w in alone)
+        words = [w for w in words if w not in self.words]
         for i in range(0, len(words), WORDS):
             some = words[i : i + WORDS]
-            ids = self._ids(self.model.id_to_token(self.mark).join(w.decode() for w in some))
+            ids = self._ids(self.model, self.model.id_to_token(self.mark).join(some))
             cut, data = np.flatnonzero(ids == self.mark) * 4, ids.tobytes()
-            self.known.update((w, data[a:b]) for w, a, b in zip(some, [0, *(cut + 4).tolist()], [*cut.tolist(), len(data)], strict=True))
+            self.words.update((w, data[a:b]) for w, a, b in zip(some, [0, *(cut + 4).tolist()], [*cut.tolist(), len(data)], strict=True))
+
+    @staticmethod
+    def _known(memory: dict, learn, items: list[list[str]]) -> list[bytes]:
+        new = set().union(*items) - memory.keys()
+        if len(memory) + len(new) > MEMORY:
+            memory.clear()
+            new = set().union(*items)
+        learn(list(new))
+        return [b"".join(map(memory.__getitem__, x)) for x in items]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [x.split() for x in texts]
-        new = set().union(*words) - self.known.keys()
-        if len(self.known) + len(new) > MEMORY:
-            self.known, new = {}, set().union(*words)
-        self._learn(sorted(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in words]
+        text = [x.decode() for x in texts]
+        simple = [self.plain is not None and _SIMPLE.fullmatch(x) is not None and not any(m in x for m in self.marks) for x in text]
+        by_part = iter(self._known(self.parts, self._learn_parts, [_PARTS.findall(x.lower()) for x, s in zip(text, simple, strict=True) if s]))
+        by_word = iter(self._known(self.words, self._learn_words, [[w.decode() for w in x.split()] for x, s in zip(texts, simple, strict=True) if not s]))
+        return [next(by_part if s else by_word) for s in simple]
 
 
 @cache
