@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import rules as R
 from ..functions.text import any_of, floor_days, jaccard, mixed_tokens, overlap_coefficient, whitespace_words, word_tokens
+from ..sources.io import stored
 
 
 def split_expired(memories: DataFrame, as_of_s: int) -> tuple[DataFrame, DataFrame]:
@@ -50,9 +51,13 @@ def access_stats(log: DataFrame) -> DataFrame:
 
 def apply_access(memories: DataFrame, log: DataFrame) -> DataFrame:
     """Counters and last access with the log's events added; the log is aggregated before the join."""
-    s = access_stats(log)
+    return add_access(memories, access_stats(log))
+
+
+def add_access(memories: DataFrame, stats: DataFrame) -> DataFrame:
+    """P17 with counts (as access_stats gives them) that are already there, such as a stream's."""
     add = lambda c, k: (F.col(c) + F.coalesce(F.col(k), F.lit(0))).alias(c)
-    joined = memories.join(s, "mid", "left")
+    joined = memories.join(stats, "mid", "left")
     changed = {"retrieval_count": add("retrieval_count", "retrieval"), "used_in_response_count": add("used_in_response_count", "used_in_response"), "user_mentioned_count": add("user_mentioned_count", "user_mentioned"), "last_accessed_s": F.greatest("last_accessed_s", "last_s").alias("last_accessed_s")}
     return joined.select(*(changed.get(c, F.col(c)) for c in memories.columns))
 
@@ -67,54 +72,73 @@ def apply_access_mode(memories: DataFrame, log: DataFrame, mode: str = "v1.2.4")
 # --- candidate pairs --------------------------------------------------------------------------------------------------
 
 
-def entity_pairs(new: DataFrame, old: DataFrame, links: DataFrame) -> DataFrame:
-    """Distinct (a, b) of new and old records that share an entity: an equi join on the entity, which blocks the comparisons."""
-    a = links.join(new.select("mid"), "mid", "left_semi").select("entity", F.col("mid").alias("a"))
-    b = links.join(old.select("mid"), "mid", "left_semi").select("entity", F.col("mid").alias("b"))
-    return a.join(b, "entity").select("a", "b").distinct()
+def _need(least: float, of: str, a: Column, b: Column) -> Column:
+    """Tokens that sets of sizes a (new) and b (old) have in common at least, for a share of `least`."""
+    share = {"union": (a + b) * (least / (1 + least)), "new": a * least, "smaller": F.least(a, b) * least}[of]
+    return F.greatest(F.ceil(share - 1e-9), F.lit(1))
 
 
-def token_pairs(new: DataFrame, old: DataFrame, least: float, of: str = "union") -> DataFrame:
-    """(a, b) of token sets (mid, tokens) that may share `least` of what they hold together (of='union'), of new's tokens
-    ('new') or of the smaller set's ('smaller').
+def token_pairs(new: DataFrame, old: DataFrame, links: DataFrame, least: float, of: str = "union") -> DataFrame:
+    """(a, b) of token sets (mid, tokens) that share an entity and may share `least` of what they hold together (of='union'), of
+    new's tokens ('new') or of the smaller set's ('smaller').
 
-    Such sets share one of the first n - ceil(least * n) + 1 tokens of one side, in any common order. Rare tokens come first,
-    so common words, which many records have, are hardly ever joined on.
+    Records meet on entity and token. Tokens stand by how rare they are among the entity's records, and a pair meets only on a
+    token that leaves enough places after it on both sides to reach the share (its first common token always does). An entity
+    whose records would meet more often by token than as whole lists meets by itself, so there are never more meetings than
+    pairs of an entity. The placed tokens are written once to the shared folder.
+    """
+    sides = []
+    for side, df in enumerate((new, old)):
+        rows = df.select("mid", F.size("tokens").alias("n"), F.explode("tokens").alias("w")).join(links.select("mid", "entity"), "mid")
+        sides.append(rows.withColumn("side", F.lit(side)))
+    both = sides[0].unionByName(sides[1])
+    common = both.groupBy("entity", "w").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("side", "mid", "entity").orderBy("df", "w")
+    placed = both.join(common, ["entity", "w"]).withColumn("i", F.row_number().over(order))
+    own = {"union": F.ceil(F.col("n") * least - 1e-9), "new": F.when(F.col("side") == 0, F.ceil(F.col("n") * least - 1e-9)).otherwise(1), "smaller": F.lit(1)}[of]
+    placed = stored(placed.where(F.col("i") <= F.col("n") - F.greatest(own, F.lit(1)) + 1).select("side", "mid", "n", "entity", "w", "i"), "placed")
+    at = lambda side, first=False: F.count_if((F.col("side") == side) & ((F.col("i") == 1) | F.lit(not first)))
+    meets = placed.groupBy("entity", "w").agg(at(0).alias("ca"), at(1).alias("cb"), at(0, True).alias("fa"), at(1, True).alias("fb"))
+    whole = meets.groupBy("entity").agg((F.sum(F.col("ca") * F.col("cb")) > F.sum("fa") * F.sum("fb")).alias("whole"))
+    rows = placed.join(meets.join(whole, "entity").where("ca > 0 AND cb > 0 OR whole").select("entity", "w", "whole"), ["entity", "w"])
+    a = rows.where("side = 0").select("entity", "w", "whole", F.col("mid").alias("a"), F.col("n").alias("n_a"), F.col("i").alias("i_a"))
+    b = rows.where("side = 1").select("entity", "w", "whole", F.col("mid").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"))
+    need = _need(least, of, F.col("n_a"), F.col("n_b"))
+    by_token = a.where("NOT whole").drop("whole").join(b.where("NOT whole").drop("whole"), ["entity", "w"]).where(F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) + 1 >= need)
+    lists = [x.where("whole AND i_%s = 1" % k).drop("whole", "w", f"i_{k}") for x, k in ((a, "a"), (b, "b"))]
+    by_entity = lists[0].join(lists[1], "entity").where(F.least("n_a", "n_b") >= need)
+    return by_token.select("a", "b").unionByName(by_entity.select("a", "b")).distinct()
+
+
+def contained_pairs(inner: DataFrame, outer: DataFrame, links: DataFrame, chars: int = 8) -> DataFrame:
+    """(x, y) of records (mid, content) that share an entity and of which y's text holds x's, letter case aside.
+
+    They meet on the entity and the inner text's first few characters, which the outer texts' substrings of that length hold.
     """
-    rows = [df.select("mid", F.size("tokens").alias("n"), F.explode("tokens").alias("w")) for df in (new, old)]
-    common = rows[0].select("w").unionByName(rows[1].select("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    need = F.ceil(F.col("n") * least - 1e-9)
-
-    def first(r: DataFrame, key: str) -> DataFrame:
-        order = F.array_sort(F.collect_list(F.struct("df", "w")))
-        cut = r.join(common, "w").groupBy("mid", "n").agg(order.alias("o")).select("mid", "n", F.explode(F.slice("o", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("x"))
-        return cut.select(F.col("mid").alias(key), F.col("n").alias(f"n_{key}"), "x.w")
-
-    whole = lambda r, key: r.select(F.col("mid").alias(key), F.col("n").alias(f"n_{key}"), "w")
-    if of == "union":
-        sizes = (F.col("n_a") >= F.col("n_b") * least) & (F.col("n_b") >= F.col("n_a") * least)
-        return first(rows[0], "a").join(first(rows[1], "b"), "w").where(sizes).select("a", "b").distinct()
-    pairs = first(rows[0], "a").join(whole(rows[1], "b"), "w")
-    if of == "new":
-        return pairs.select("a", "b").distinct()
-    pairs = pairs.where("n_a <= n_b").unionByName(whole(rows[0], "a").join(first(rows[1], "b"), "w").where("n_b < n_a"))
-    return pairs.select("a", "b").distinct()
+    low = lambda df, key: df.select(F.col("mid").alias(key), F.lower("content").alias(f"c_{key}")).join(links.select(F.col("mid").alias(key), "entity"), key)
+    x = low(inner, "x").withColumn("k", F.substring("c_x", 1, chars))
+    sizes = x.select("entity", F.length("k").alias("g")).distinct()
+    y = low(outer, "y").join(sizes, "entity").where(F.length("c_y") >= F.col("g"))
+    parts = F.transform(F.sequence(F.lit(1), F.length("c_y") - F.col("g") + 1), lambda i: F.substring("c_y", i, F.col("g")))
+    met = x.join(y.select("y", "c_y", "entity", F.explode(F.array_distinct(parts)).alias("k")), ["entity", "k"])
+    return met.where(F.contains("c_y", "c_x")).select("x", "y").distinct()
 
 
 _SIDE = ("content", "created_s", "confidence", "ownership", "importance", "score", "ord")
 
 
 def paired(new: DataFrame, old: DataFrame, links: DataFrame, tokens, least: float, of: str = "union", small: int = 0) -> DataFrame:
-    """Pairs of new and old records that share an entity and may share `least` of their tokens (see token_pairs), or have
-    fewer than `small` tokens on a side; with both sides' columns (n_*, o_*) and token sets, made once for each record."""
-    names = links.groupBy("mid").agg(F.collect_set("entity").alias("entities"))
-    sides = [df.select("mid", *_SIDE, tokens(F.col("content")).alias("tokens")).join(names, "mid") for df in (new, old)]
-    pairs = token_pairs(sides[0].select("mid", "tokens"), sides[1].select("mid", "tokens"), least, of)
+    """Pairs of new and old records that share an entity and may share `least` of their tokens (see token_pairs), or of which a
+    record of fewer than `small` tokens lies in the other's text; with both sides' columns (n_*, o_*) and token sets, made once
+    for each record."""
+    sides = [df.select("mid", *_SIDE, tokens(F.col("content")).alias("tokens")) for df in (new, old)]
+    pairs = token_pairs(sides[0].select("mid", "tokens"), sides[1].select("mid", "tokens"), links, least, of)
     if small:
-        few = [x.where(F.size("tokens") < small).select("mid") for x in sides]
-        pairs = pairs.unionByName(entity_pairs(few[0], old, links)).unionByName(entity_pairs(new, few[1], links)).distinct()
-    side = lambda df, p, k: df.select(F.col("mid").alias(k), *(F.col(c).alias(p + c) for c in (*_SIDE, "tokens", "entities")))
-    return pairs.join(side(sides[0], "n_", "a"), "a").join(side(sides[1], "o_", "b"), "b").where(F.arrays_overlap("n_entities", "o_entities"))
+        few = [x.where(F.size("tokens") < small).select("mid", "content") for x in sides]
+        inside = [contained_pairs(few[0], old, links).toDF("a", "b"), contained_pairs(few[1], new, links).toDF("b", "a")]
+        pairs = pairs.unionByName(inside[0]).unionByName(inside[1]).distinct()
+    side = lambda df, p, k: df.select(F.col("mid").alias(k), *(F.col(c).alias(p + c) for c in (*_SIDE, "tokens")))
+    return pairs.join(side(sides[0], "n_", "a"), "a").join(side(sides[1], "o_", "b"), "b")
 
 
 def decide(new: DataFrame, old: DataFrame, links: DataFrame, threshold: float = 0.7, words=L.CONTRADICTION_WORDS) -> DataFrame:
@@ -140,7 +164,7 @@ def apply_decisions(old: DataFrame, new: DataFrame, decisions: DataFrame) -> Dat
 def overlap_dedup(new: DataFrame, old: DataFrame, links: DataFrame, least: float = 0.3, tier1=L.OVERRIDE_TIER1, tier2=L.OVERRIDE_TIER2, penalties=(0.1, 0.4)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(inserts, updates, downgrades). A new record like an old one (containment or overlap) is its duplicate, unless it
     carries an override signal: then the old one is downgraded. All are judged on the input version: downgrades multiply."""
-    # A text inside another shares all its tokens but the first and the last, so only texts of few tokens need more pairs.
+    # A text inside another shares all its tokens but the first and the last, so only texts of few tokens meet by their letters.
     p = paired(new, old, links, lambda c: mixed_tokens(F.lower(c)), least, "smaller", math.ceil(2 / (1 - least)) if least < 1 else 2**31 - 1)
     p = p.withColumn("overlap", overlap_coefficient(F.col("n_tokens"), F.col("o_tokens"))).withColumn("tier", R.override_tier(F.col("n_content"), tier1, tier2))
     n, o = F.lower("n_content"), F.lower("o_content")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import any_of, entity_similarity, extract_all, suffix_type
+from ..functions.text import any_of, entity_similarity, extract_all, prefix_length, suffix_type
+from ..sources.io import stored
 
 
 def links(memories: DataFrame, entities: Column, least: int = 2) -> DataFrame:
@@ -43,12 +44,12 @@ def builtin_entities(content: Column, patterns=L.BUILTIN_ENTITIES) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.array(*(extract_all(content, f"(?i){p}") for p in patterns)))))
 
 
-def learned_matches(memories: DataFrame, dictionary: DataFrame, max_rows: int = 10_000) -> DataFrame:
+def learned_matches(memories: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(mid, entity) for learned entities that a content contains, for each row of memories.
 
     One equi join whatever the dictionary's size: an entity without white space lies in a content if and only if it lies in
     one of its tokens, so distinct tokens are exploded to substrings of the lengths that such entities have. For entities with
-    white space, contents are. max_rows changes nothing; it is kept for callers.
+    white space, contents are.
     """
     names = dictionary.select("entity").where(F.length("entity") > 0).distinct()
     spaced = F.col("entity").rlike(r"\s")
@@ -102,25 +103,32 @@ def learn(seen: DataFrame, known: DataFrame, as_of_s: int, limit: int = 1000) ->
     return kept.select("entity", F.lit(as_of_s).cast("long").alias("first_seen_s"), F.lit(as_of_s).cast("long").alias("last_used_s"), "use_count")
 
 
+def prefix_nodes(names: DataFrame) -> DataFrame:
+    """(prefix, n, lo, hi, kinds, shortest, longest) of every prefix of names (e): how many names have it, the least and the greatest
+    of them, and the kinds and lengths of what follows it. Linear in the names' characters; no pairs of names."""
+    rows = names.where(F.length("e") > 0).select("e", F.explode(F.sequence(F.lit(1), F.length("e"))).alias("h"))
+    rest = F.expr("substring(e, h + 1)")
+    return rows.groupBy(F.substring("e", F.lit(1), F.col("h")).alias("prefix")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("e").alias("lo"), F.max("e").alias("hi"), F.collect_set(suffix_type(rest)).alias("kinds"), F.min(F.length(rest)).alias("shortest"), F.max(F.length(rest)).alias("longest")
+    )
+
+
 def generalise(new: DataFrame, existing: DataFrame, least: int = 3) -> DataFrame:
     """(entity, pattern) for new entities that share a prefix of at least half their length with enough existing ones.
 
-    Candidates meet by an equi join on that half prefix. The common prefix of all of them is the prefix that the least and
-    the greatest name share, as in any sorted list.
+    Names meet at prefix nodes only: a new name's half prefix has a node with the number and the ends of the names below it; the
+    prefix that the ends share with the new name is a node again, and all these names are below it, so its kinds are theirs.
     """
+    nodes = stored(prefix_nodes(existing.select(F.col("entity").alias("e"))), "prefixes")
     half = F.ceil(F.length("entity") / 2).cast("int")
-    a = new.select("entity", F.substring("entity", F.lit(1), half).alias("p"), half.alias("h"))
-    b = existing.select(F.col("entity").alias("e"))
-    lengths = a.select("h").distinct()
-    b = b.where(F.length("e") > 0).select("e", F.explode(F.sequence(F.lit(1), F.length("e"))).alias("h")).join(lengths, "h").withColumn("p", F.substring("e", F.lit(1), F.col("h")))
-    group = a.join(b, ["p", "h"]).select("entity", "e").unionByName(a.select("entity", F.col("entity").alias("e")))
-    ends = group.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.min("e").alias("lo"), F.max("e").alias("hi"))
-    from ..functions.text import prefix_length
-
-    ends = ends.where(F.col("n") >= least).withColumn("prefix", F.substring("lo", F.lit(1), prefix_length(F.col("lo"), F.col("hi")))).select("entity", "prefix")
-    rest = group.join(ends, "entity").withColumn("s", F.expr("substring(e, length(prefix) + 1)"))
-    kinds = rest.groupBy("entity", "prefix").agg(F.collect_set(suffix_type(F.col("s"))).alias("k"), F.min(F.length("s")).alias("a"), F.max(F.length("s")).alias("b"))
-    one = kinds.where((F.size("k") == 1) & (F.length("prefix") > 0)).withColumn("k", F.col("k")[0])
+    ends = new.select("entity", F.substring("entity", F.lit(1), half).alias("prefix")).join(nodes.select("prefix", "n", "lo", "hi"), "prefix", "left")
+    ends = ends.select("entity", (F.coalesce("n", F.lit(0)) + 1).alias("n"), F.least("entity", "lo").alias("lo"), F.greatest("entity", "hi").alias("hi")).where(F.col("n") >= least)
+    ends = ends.select("entity", F.substring("lo", F.lit(1), prefix_length(F.col("lo"), F.col("hi"))).alias("prefix"))
+    own = F.expr("substring(entity, length(prefix) + 1)")
+    met = ends.join(nodes.select("prefix", "kinds", "shortest", "longest"), "prefix", "left")
+    kinds = F.array_union(F.coalesce("kinds", F.array().cast("array<string>")), F.array(suffix_type(own)))
+    one = met.select("entity", "prefix", kinds.alias("k"), F.least("shortest", F.length(own)).alias("a"), F.greatest("longest", F.length(own)).alias("b"))
+    one = one.where((F.size("k") == 1) & (F.length("prefix") > 0)).withColumn("k", F.col("k")[0])
     several = F.when(F.col("a") == F.col("b"), F.format_string("[A-Z]{%d}", "a")).otherwise(F.format_string("[A-Z]{%d,%d}", "a", "b"))
     tail = F.when(F.col("k") == "digit", "\\d+").when(F.col("k") == "single_upper", "[A-Z]").when(F.col("k") == "multi_upper", several).when(F.col("k") == "lower", "[a-z]+")
     escaped = F.regexp_replace("prefix", r"([^\p{L}\p{N}_])", r"\\$1")
@@ -147,16 +155,52 @@ def merge_external(rules: DataFrame, external: DataFrame) -> DataFrame:
     return rules.join(found, "mid", "left").select("mid", F.array_sort(F.array_union("entities", F.coalesce("x", empty))).alias("entities"))
 
 
+def _grams(name: Column) -> Column:
+    """The two-letter parts of a name between border marks, with their places."""
+    whole = F.concat(F.lit("\x01"), name, F.lit("\x02"))
+    return F.transform(F.sequence(F.lit(1), F.length(name) + 1), lambda i: F.struct(F.substring(whole, i, F.lit(2)).alias("g"), i.alias("i")))
+
+
+def _bag(name: Column) -> Column:
+    """A name's letters, each with its number among the equal ones before it: common ones of two bags are common letters."""
+    letters = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, i, F.lit(1)))
+    return F.transform(letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+
+
+def near_names(queries: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
+    """(q, e, L) of names that may be at most D = floor((1 - threshold) * L) edits apart, L the longer one's length, for thresholds
+    of 0.5 or more.
+
+    Such names have L + 1 - 2 D two-letter parts (with their borders) in common at least, each at places at most D apart, and
+    L - D letters. They meet on such a part and the length; the few that have enough parts in common are held against their letters.
+    """
+    low, high = F.ceil(F.length("q") * threshold - 1e-9).cast("int"), F.floor(F.length("q") / threshold + 1e-9).cast("int")
+    a = queries.where(F.length("q") > 0).select("q", F.length("q").alias("m"), F.explode(F.sequence(F.greatest(low, F.lit(1)), high)).alias("n"))
+    a = a.select("q", "m", "n", F.explode(_grams(F.col("q"))).alias("x")).select("q", "m", "n", "x.g", F.col("x.i").alias("i"))
+    b = candidates.where(F.length("e") > 0).select("e", F.length("e").alias("n"), F.explode(_grams(F.col("e"))).alias("x")).select("e", "n", "x.g", F.col("x.i").alias("j"))
+    longest = F.greatest("m", "n")
+    edits = F.floor(longest * (1 - threshold) + 1e-9)
+    met = a.join(b, ["g", "n"]).where((F.col("q") != F.col("e")) & (F.abs(F.col("i") - F.col("j")) <= edits))
+    met = met.groupBy("q", "e", "m", "n").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= longest + 1 - 2 * edits)
+    bags = [queries.select("q", _bag(F.col("q")).alias("qb")), candidates.select("e", _bag(F.col("e")).alias("eb"))]
+    near = met.join(bags[0], "q").join(bags[1], "e").where(F.size(F.array_intersect("qb", "eb")) >= longest - edits)
+    return near.select("q", "e")
+
+
 def similar_pairs(queries: DataFrame, candidates: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(q, e, similarity) of unequal entities with similarity of the threshold or more.
+    """(q, e, similarity) of unequal entities with similarity of the threshold or more. queries: (q); candidates: (e), both
+    distinct.
 
-    Each branch of the similarity bounds the length ratio by the threshold, so an equi join on admissible lengths loses
-    nothing. queries: (q); candidates: (e), both distinct.
+    A common prefix, a contained name and an edit distance of the threshold all bound the edits by its complement, so from 0.5 on
+    near_names loses nothing and few pairs are compared. Below, an equi join on the admissible lengths is left.
     """
-    low, high = F.ceil(F.length("q") * threshold).cast("int"), F.floor(F.length("q") / threshold).cast("int")
-    a = queries.where(F.length("q") > 0).withColumn("n", F.explode(F.sequence(F.greatest(low, F.lit(1)), high)))
-    b = candidates.withColumn("n", F.length("e"))
-    return a.join(b, "n").where(F.col("q") != F.col("e")).withColumn("similarity", entity_similarity(F.col("q"), F.col("e"))).where(F.col("similarity") >= threshold).select("q", "e", "similarity")
+    if threshold >= 0.5:
+        pairs = near_names(queries, candidates, threshold)
+    else:
+        low, high = F.ceil(F.length("q") * threshold).cast("int"), F.floor(F.length("q") / threshold).cast("int")
+        a = queries.where(F.length("q") > 0).withColumn("n", F.explode(F.sequence(F.greatest(low, F.lit(1)), high)))
+        pairs = a.join(candidates.withColumn("n", F.length("e")), "n").where(F.col("q") != F.col("e"))
+    return pairs.withColumn("similarity", entity_similarity(F.col("q"), F.col("e"))).where(F.col("similarity") >= threshold).select("q", "e", "similarity")
 
 
 def isolation_needed(query_entities: DataFrame, candidate_entities: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -26,3 +26,10 @@ def search_export(memories: DataFrame, links: DataFrame) -> DataFrame:
     names = links.groupBy("mid").agg(F.array_join(F.array_sort(F.collect_set("entity")), ", ").alias("names"))
     line = F.concat(F.lit("["), F.col("mid"), F.lit("] "), F.col("content"))
     return memories.join(names, "mid", "left").select("mtype", "mid", F.concat_ws("\n", line, F.concat(F.lit("  entities: "), F.col("names"))).alias("line"))
+
+
+def export(memories: DataFrame, links: DataFrame, path: str) -> DataFrame:
+    """The lines as text files, one folder for each type; (mtype, n, chars) counts of what was written."""
+    lines = search_export(memories, links)
+    lines.select("mtype", "line").write.partitionBy("mtype").mode("overwrite").text(path)
+    return lines.groupBy("mtype").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"))

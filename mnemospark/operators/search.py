@@ -27,15 +27,24 @@ def top(channel: DataFrame, limit, order: Column | None = None) -> DataFrame:
     return channel.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit)
 
 
-def cut(channel: DataFrame, sizes: DataFrame, column: str, most: int = 35) -> DataFrame:
-    """The best rows of each query, as many as its class has in a column of sizes (qid, ...), never more than most."""
+def cut(channel: DataFrame, sizes: DataFrame, column: str, most: int) -> DataFrame:
+    """The best rows of each query, as many as its class has in a column of sizes (qid, ...); most: the column's largest size."""
     return top(channel, most).join(sizes.select("qid", F.col(column).alias("_most")), "qid").where(F.col("pos") <= F.col("_most")).drop("_most")
 
 
+def keyword_terms(queries: DataFrame) -> DataFrame:
+    """(qid, term): the query shingles that the keyword channel looks up."""
+    return queries.select("qid", F.explode(query_shingles(F.col("query"))).alias("term"))
+
+
+def keyword_matches(terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """Number of a query's terms (qid, term) that each record has."""
+    return terms.join(postings, "term").groupBy("qid", "mid").agg(F.count(F.lit(1)).alias("score"))
+
+
 def keyword_channel(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """Number of distinct query shingles among a record's keywords: an equi join on the term."""
-    terms = queries.select("qid", F.explode(query_shingles(F.col("query"))).alias("term"))
-    return terms.join(postings, "term").groupBy("qid", "mid").agg(F.count(F.lit(1)).alias("score"))
+    return keyword_matches(keyword_terms(queries), postings)
 
 
 def query_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
@@ -116,7 +125,8 @@ def bm25_channel(queries: DataFrame, memories: DataFrame, k1: float = 1.2, b: fl
     return rows.groupBy("qid", "mid").agg(F.sum(part).alias("score"))
 
 
-def _dot(a, b):
+def dot(a, b):
+    """The scalar product of two arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
@@ -126,10 +136,10 @@ def vector_channel(queries: DataFrame, vectors: DataFrame, k: int, block: int =
     more make Spark deal pairs of partitions."""
     n, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("qv")), F.lit(0))).first()
     part = F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-n // block))))
-    blocks = queries.groupBy(part.alias("qb")).agg(F.collect_list(F.struct("qid", "qv", F.sqrt(_dot(F.col("qv"), F.col("qv"))).alias("qn"))).alias("qs"))
-    sized = vectors.withColumn("n", F.sqrt(_dot(F.col("v"), F.col("v")))).where("n > 0")
+    blocks = queries.groupBy(part.alias("qb")).agg(F.collect_list(F.struct("qid", "qv", F.sqrt(dot(F.col("qv"), F.col("qv"))).alias("qn"))).alias("qs"))
+    sized = vectors.withColumn("n", F.sqrt(dot(F.col("v"), F.col("v")))).where("n > 0")
     rows = sized.crossJoin(F.broadcast(blocks) if n * (8 * width + 16) <= MOST_BROADCAST else blocks).select("mid", "v", "n", F.explode("qs").alias("q")).where("q.qn > 0")
-    cosine = F.round(_dot(F.col("q.qv"), F.col("v")) / (F.col("n") * F.col("q.qn")), digits)
+    cosine = F.round(dot(F.col("q.qv"), F.col("v")) / (F.col("n") * F.col("q.qn")), digits)
     return top(rows.select("q.qid", "mid", cosine.alias("score")), k)
 
 
@@ -179,7 +189,7 @@ def rerank(candidates: DataFrame, memories: DataFrame, as_of_s: int) -> DataFram
     return candidates.join(m, "mid").select("qid", "mid", "memory_score", score.alias("score"))
 
 
-def spread(results: DataFrame, links: DataFrame, facts: DataFrame, factor: float = 0.3, seeds: int = 5, per_entity: int = 5, most: int = 3, most_results: int = 35) -> DataFrame:
+def spread(results: DataFrame, links: DataFrame, facts: DataFrame, factor: float = 0.3, seeds: int = 5, per_entity: int = 5, most: int = 3, *, most_results: int) -> DataFrame:
     """Facts that share an entity with a query's first results and aren't among them: at most per_entity for each entity,
     best score first, then `most` for each query, at score * factor.
 
@@ -241,16 +251,16 @@ class Routed(NamedTuple):
     stats: DataFrame
 
 
-def query_sizes(queries: DataFrame, triggers=None, precise=L.PRECISE_WORDS, broad=L.BROAD_WORDS) -> DataFrame:
+def query_sizes(queries: DataFrame, triggers=None, precise=L.PRECISE_WORDS, broad=L.BROAD_WORDS, class_sizes=L.QUERY_SIZES) -> DataFrame:
     """(qid, layer, trigger, matched, class, initial, rerank, final)."""
     layered = queries.select("qid", "query", R.trigger(F.col("query"), **({"triggers": triggers} if triggers else {})).alias("t"))
     kinds = layered.select("qid", "t.*", R.query_class(F.col("query"), F.col("t.layer"), precise, broad).alias("class"))
-    return kinds.withColumns({name: R.size_of(F.col("class"), i) for i, name in enumerate(("initial", "rerank", "final"))})
+    return kinds.withColumns({name: R.size_of(F.col("class"), i, class_sizes) for i, name in enumerate(("initial", "rerank", "final"))})
 
 
 def route(
     queries: DataFrame, memories: DataFrame, links: DataFrame, postings: DataFrame, as_of_s: int, *, pending: DataFrame | None = None, external: DataFrame | None = None, query_vectors: DataFrame | None = None,
-    vectors: DataFrame | None = None, tfidf: bool = True, triggers=None, precise=L.PRECISE_WORDS, broad=L.BROAD_WORDS, time_words: dict[str, int] | None = None, threshold: float = 0.5,
+    vectors: DataFrame | None = None, tfidf: bool = True, triggers=None, precise=L.PRECISE_WORDS, broad=L.BROAD_WORDS, time_words: dict[str, int] | None = None, threshold: float = 0.5, class_sizes=L.QUERY_SIZES,
 ) -> Routed:
     """The whole router over a batch of queries (qid, query).
 
@@ -259,37 +269,40 @@ def route(
     (G05) channels, each cut to the query class's first size, are fused by reciprocal ranks and cut to the second. Without
     TF-IDF the first channel that has a record decides instead (G02). Then rerank (P24), inhibition of records with entities
     that are like the query's but not equal (J10), cut to the second size, spread (J11) and cut to the last size; what spreads
-    comes after it. Tiers by the records' own scores (P27). The reranked rows are written once to the shared folder.
+    comes after it. Tiers by the records' own scores (P27). What several parts need (timed rows, queries with their sizes and
+    entities, channels, reranked rows) is written once to the shared folder.
     """
+    initial, second, _ = (max(x) for x in zip(*class_sizes.values(), strict=True))
     ranged = queries.select("qid", temporal.time_range(F.col("query"), F.lit(as_of_s), time_words).alias("r")).select("qid", "r.*")
     timed = temporal.in_range(ranged.where("from_s IS NOT NULL"), memories).join(memories.select("mid", "score"), "mid").select("qid", "mid", "score")
-    queries = queries.join(timed.select("qid").distinct(), "qid", "left_anti")
-    sizes = query_sizes(queries, triggers, precise, broad)
-    found = query_entities(queries, links)
+    timed = stored(timed, "timed")
+    queries = stored(queries.join(timed.select("qid").distinct(), "qid", "left_anti"), "queries")
+    sizes = stored(query_sizes(queries, triggers, precise, broad, class_sizes), "sizes")
+    found = stored(query_entities(queries, links), "found")
     channels = {"tfidf": tfidf_channel(queries, memories)} if tfidf else {}
     if external is not None:
         channels["external"] = external.join(queries.select("qid"), "qid", "left_semi").select("qid", "mid", "score")
     channels |= {"keyword": keyword_channel(queries, postings), "entity": entity_channel(found, links)}
     if vectors is not None:
-        channels["vector"] = vector_channel(query_vectors.join(queries.select("qid"), "qid", "left_semi"), vectors, 35)
-    channels = {k: cut(c, sizes, "initial") for k, c in channels.items()}
+        channels["vector"] = vector_channel(query_vectors.join(queries.select("qid"), "qid", "left_semi"), vectors, initial)
+    channels = {k: stored(cut(c, sizes, "initial", initial), k) for k, c in channels.items()}
     every = memories
     first = None
     if pending is not None:
-        first = pending_channel(queries, pending).select("qid", "mid", "score")
+        first = stored(pending_channel(queries, pending).select("qid", "mid", "score"), "pending")
         every = memories.unionByName(pending.join(memories.select("mid"), "mid", "left_anti"), allowMissingColumns=True)
     if tfidf:
-        merged = cut(reciprocal_ranks(list(channels.values())), sizes, "rerank").select("qid", "mid", "score")
+        merged = cut(reciprocal_ranks(list(channels.values())), sizes, "rerank", second).select("qid", "mid", "score")
     else:
         order = [channels[k] for k in ("vector", "external", "keyword", "entity") if k in channels]
         merged = merge_by_priority(order).select("qid", "mid", F.col("score").cast("double").alias("score"))
     if first is not None:
         merged = first.unionByName(merged.join(first.select("qid", "mid"), ["qid", "mid"], "left_anti"))
     scored = rerank(merged, every, as_of_s)
-    ranked = cut(inhibit(scored.select("qid", "mid", "score"), found.withColumnRenamed("entity", "q"), links, threshold=threshold), sizes, "rerank")
+    ranked = cut(inhibit(scored.select("qid", "mid", "score"), found.withColumnRenamed("entity", "q"), links, threshold=threshold), sizes, "rerank", second)
     ranked = stored(ranked.select("qid", "mid", "pos", "score"), "ranked")
     final = ranked.join(sizes.select("qid", F.col("final").alias("_n")), "qid").where(F.col("pos") <= F.col("_n")).drop("_n").withColumn("source", F.lit("search"))
-    bonus = spread(ranked, links, memories.where("mtype = 'fact'")).select("qid", "mid", (F.col("pos") + 1000).alias("pos"), "score", F.lit("spread").alias("source"))
+    bonus = spread(ranked, links, memories.where("mtype = 'fact'"), most_results=second).select("qid", "mid", (F.col("pos") + 1000).alias("pos"), "score", F.lit("spread").alias("source"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "mid")
     timed = timed.select("qid", "mid", F.row_number().over(w).alias("pos"), "score", F.lit("temporal").alias("source"))
     rows = timed.unionByName(final).unionByName(bonus).join(every.select("mid", F.col("score").alias("memory_score")), "mid")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import later
 from ..functions.text import any_of
+from ..sources.io import stored
 
 
 def time_range(query: Column, as_of_s: Column, words: dict[str, int] | None = None) -> Column:
@@ -25,10 +26,19 @@ def in_range(queries: DataFrame, memories: DataFrame, bucket_s: int = 86400) ->
     return q.join(m, "day").where("created_s >= from_s AND created_s < to_s").select("qid", "mid", "created_s")
 
 
-def validity(versions: DataFrame) -> DataFrame:
-    """Each version's end is the next version's start, by entity and attribute."""
-    w = Window.partitionBy("entity", "attribute").orderBy("ts_us", "vid")
-    return versions.withColumn("valid_to", F.lead("ts_us").over(w))
+def validity(versions: DataFrame, bucket_us: int = 30 * 86_400_000_000) -> DataFrame:
+    """Each version's end is the next version's start, by entity and attribute.
+
+    A key is split by time: each range is ordered by itself, and its last version ends where the key's next range that has one
+    begins. So a key of very many versions is spread over tasks; only the ranges' first starts, one row each, meet by key.
+    """
+    key = ["entity", "attribute"]
+    rows = versions.withColumn("_b", F.floor(F.col("ts_us") / bucket_us))
+    starts = rows.groupBy(*key, "_b").agg(F.min("ts_us").alias("_start"))
+    starts = starts.select(*key, "_b", F.lead("_start").over(Window.partitionBy(*key).orderBy("_b")).alias("_next"))
+    own = rows.withColumn("_own", F.lead("ts_us").over(Window.partitionBy(*key, "_b").orderBy("ts_us", "vid")))
+    on = [own[c].eqNullSafe(starts[c]) for c in (*key, "_b")]
+    return own.join(starts, on, "left").select(*(own[c] for c in versions.columns), F.coalesce("_own", "_next").alias("valid_to"))
 
 
 def extracted(memories: DataFrame, links: DataFrame, attributes: dict[str, Column]) -> DataFrame:
@@ -66,14 +76,47 @@ def evidence(memories: DataFrame) -> DataFrame:
     return memories.join(g, "mid", "left").select("mid", F.col("content").alias("answer"), ids.alias("evidence_ids"), F.least("confidence", "least").alias("confidence"))
 
 
-def evidence_chain(edges: DataFrame, hops: int = 5) -> DataFrame:
-    """J15 over several hops: (mid, evidence, hop) by a bounded iterative join; edges: (mid, evidence)."""
-    found = last = edges.select("mid", "evidence").distinct().withColumn("hop", F.lit(1))
-    step = edges.select(F.col("mid").alias("evidence"), F.col("evidence").alias("next"))
-    for h in range(2, hops + 1):
-        last = last.join(step, "evidence").select("mid", F.col("next").alias("evidence")).distinct().withColumn("hop", F.lit(h))
-        found = found.unionByName(last)
-    return found.groupBy("mid", "evidence").agg(F.min("hop").alias("hop"))
+def evidence_chain(edges: DataFrame, hops: int | None = None) -> DataFrame:
+    """J15 over several hops: (mid, evidence, hop), hop the least number of edges between them; edges: (mid, evidence).
+
+    Each step joins what is known with itself, so paths double in length and chains of n take about log2(n) steps; it ends when
+    a step changes nothing, so cycles end too (a record of one is its own evidence). hops bounds the length. Steps are written
+    to the shared folder.
+    """
+    known = stored(edges.select("mid", "evidence").where("mid IS NOT NULL AND evidence IS NOT NULL").distinct().withColumn("hop", F.lit(1)), "chain")
+    state, length = known.agg(F.count(F.lit(1)), F.sum("hop")).first(), 1
+    while hops is None or length < hops:
+        further = known.select("mid", F.col("evidence").alias("m"), "hop").join(known.select(F.col("mid").alias("m"), "evidence", F.col("hop").alias("h")), "m")
+        both = known.unionByName(further.select("mid", "evidence", (F.col("hop") + F.col("h")).alias("hop")))
+        if hops is not None:
+            both = both.where(F.col("hop") <= hops)
+        known = stored(both.groupBy("mid", "evidence").agg(F.min("hop").alias("hop")), "chain")
+        before, state, length = state, known.agg(F.count(F.lit(1)), F.sum("hop")).first(), 2 * length
+        if before == state:
+            break
+    return known
+
+
+def evidence_roots(memories: DataFrame) -> DataFrame:
+    """J15 for chains of any length: (mid, root, hops, confidence, cyclic) of records (mid, supersedes_id, confidence).
+
+    root is the last record of the chain of what each record supersedes, confidence the least on the way. Pointers double at
+    each step, so a chain of n takes about log2(n) steps, and rows stay one for each record. A pointer that isn't at an end after
+    as many steps as the longest chain could need runs in a cycle: it has no root.
+    """
+    ids = memories.select("mid", F.col("confidence").alias("c"))
+    known = memories.select("mid", F.col("supersedes_id").alias("p"), "confidence").join(ids.withColumnsRenamed({"mid": "p", "c": "pc"}), "p", "left")
+    state = known.select("mid", F.when(F.col("pc").isNotNull(), F.col("p")).alias("at"), F.least("confidence", "pc").alias("confidence"))
+    state = stored(state.select("mid", F.coalesce("at", "mid").alias("at"), F.when(F.col("at").isNull(), 0).otherwise(1).cast("long").alias("hops"), "confidence", F.col("at").isNull().alias("done")), "roots")
+    n = state.count()
+    for _ in range(max(1, n).bit_length()):
+        if state.where("NOT done").isEmpty():
+            break
+        ahead = state.select(F.col("mid").alias("at"), F.col("at").alias("at2"), F.col("hops").alias("hops2"), F.col("confidence").alias("c2"), F.col("done").alias("done2"))
+        step = state.where("NOT done").join(ahead, "at").select("mid", F.col("at2").alias("at"), (F.col("hops") + F.col("hops2")).alias("hops"), F.least("confidence", "c2").alias("confidence"), F.col("done2").alias("done"))
+        state = stored(state.where("done").unionByName(step), "roots")
+    open_ = ~F.col("done")
+    return state.select("mid", F.when(~open_, F.col("at")).alias("root"), F.when(~open_, F.col("hops")).alias("hops"), "confidence", open_.alias("cyclic"))
 
 
 def state_at(memories: DataFrame, as_of_s: int) -> DataFrame:

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..operators import clean, curate, entities, index, report, search, temporal
+from ..operators import clean, curate, entities, index, report, search, segments, temporal
+from ..operators import vectors as cells
 from . import fixtures as X
 from . import jobs
 from .rule_queries import AGE, DYN, IMP, KEYS, NOISE, RATE, RER, SHINGLES, SIMSET, TRIG, WORDS, O, Q, boost_col, has, imp, q
@@ -363,13 +364,13 @@ def r05t(s, d):
     return report.snapshot_text(snapshot(s, d))
 
 
-@q("s12_snapshot_sink", f"{SNAP} SELECT line FROM sc")
+@q("s12_snapshot_sink", f"{SNAP}, o AS (SELECT list_position(['critical', 'high', 'downgraded', 'ranking', 'entities', 'totals'], section) AS s, pos, line FROM sc UNION ALL SELECT DISTINCT list_position(['critical', 'high', 'downgraded', 'ranking', 'entities', 'totals'], section), 0, '## ' || section FROM sc) SELECT string_agg(line, chr(10) ORDER BY s, pos) || chr(10) AS text FROM o")
 def s12(s, d):
     from ..sources import io
 
     path = io.shared_path(s, "snapshot")
-    io.write_text(snapshot(s, d), path)
-    return s.read.text(path).select(C("value").alias("line"))
+    io.write_document(report.snapshot_text(snapshot(s, d)), path)
+    return s.read.text(path, wholetext=True).select(C("value").alias("text"))
 
 
 @q("r02_pending_view", f"SELECT mid AS ord, CASE WHEN {has('content', ('worthless', 'nicht', 'pour'))} THEN '🔴' ELSE '⚪' END || ' ' || substring(content, 1, 50) || '...' AS line, round(importance, 1) AS importance, (SELECT count(*) FROM mem) AS pending, (SELECT count(*) FROM mem WHERE {has('content', ('worthless', 'nicht', 'pour'))}) AS urgents FROM mem")
@@ -400,6 +401,14 @@ def s11(s, d):
     return index.search_export(X.mem(s, d), X.ent(s, d))
 
 
+@q("s11_export_counts", "SELECT mtype, count(*) AS n, sum(length('[' || mid || '] ' || content || coalesce(chr(10) || '  entities: ' || names, ''))) AS chars FROM mem LEFT JOIN (SELECT mid AS m2, string_agg(entity, ', ' ORDER BY entity) AS names FROM ent GROUP BY mid) e ON m2 = mid GROUP BY mtype")
+def s11c(s, d):
+    from ..sources import io
+
+    path = io.shared_path(s, "export")
+    return index.export(X.mem(s, d), X.ent(s, d), path)
+
+
 @q("s06_line_segments", "SELECT source, pos, trim(line) AS content FROM (SELECT doc_id AS source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents) WHERE length(trim(line)) > 5")
 def s06(s, d):
     from ..sources.io import line_segments
@@ -472,6 +481,30 @@ def s08(s, d):
     return upsert(m, m.where("mid % 4 = 0").withColumn("content", LIT("new"))).select("mid", "content")
 
 
+def upserted(s, d):
+    """Every fourth record comes again, with one entity of its own, no importance and state 2; as many are new."""
+    from ..sources.io import upsert_records
+
+    m = X.mem(s, d).select("mid", "content", "importance", "score", "confidence", "ownership").withColumn("seq", LIT(1)).withColumn("state", LIT(1))
+    again = m.where("mid % 4 = 0")
+    new = again.unionByName(again.withColumn("mid", -C("mid") - 1)).withColumn("seq", LIT(2)).withColumn("state", LIT(2))
+    new = new.withColumn("importance", F.when(C("mid") % 8 == 0, C("importance"))).withColumn("entities", F.array(LIT("Own"), F.concat(LIT("E"), C("mid") % 3), LIT("Own")))
+    return upsert_records(m, new, {"entities": X.ent(s, d)}, {"entities": "entity"})
+
+
+UPS = "up AS (SELECT mid, importance, 1 AS state, false AS new FROM mem WHERE mid % 4 <> 0 UNION ALL SELECT mid, CASE WHEN mid % 8 = 0 THEN importance ELSE 0.5 END, 0, true FROM mem WHERE mid % 4 = 0 UNION ALL SELECT -mid - 1, CASE WHEN (-mid - 1) % 8 = 0 THEN importance ELSE 0.5 END, 0, true FROM mem WHERE mid % 4 = 0)"
+
+
+@q("s08_records", f"{UPS} SELECT mid, round(importance, 6) AS importance, state FROM up")
+def s08r(s, d):
+    return upserted(s, d).records.select("mid", F.round("importance", 6).alias("importance"), "state")
+
+
+@q("s08_children", f"{UPS} SELECT mid, entity FROM ent WHERE mid IN (SELECT mid FROM up WHERE NOT new) UNION ALL SELECT mid, unnest(['Own', 'E' || mid % 3]) FROM up WHERE new")
+def s08c(s, d):
+    return upserted(s, d).children["entities"]
+
+
 @q("c03_index_sizes", f"SELECT (SELECT count(*) FROM (SELECT mid, unnest({KEYS.format('content')}) AS term FROM mem)) AS postings, (SELECT count(*) FROM ent) AS relations")
 def c03(s, d):
     p, r = jobs.rebuild_indexes(X.mem(s, d), X.ent(s, d))
@@ -594,9 +627,9 @@ def j02(s, d):
     return search.top(en(s, d), 20)
 
 
-@q("j04_pending_search", "w AS (SELECT qid, list_distinct(regexp_extract_all(lower(query), '[a-zA-Z]+')) AS w FROM qry) SELECT qid, mid, importance AS score, round(len(list_filter(w, lambda x: contains(lower(content), x))) / CAST(len(w) AS DOUBLE), 6) AS match FROM w, (SELECT mid, content, importance FROM mem WHERE source_turn = 0) WHERE len(w) > 0 AND len(list_filter(w, lambda x: contains(lower(content), x))) > 0")
+@q("j04_pending_search", "w AS (SELECT qid, list_distinct(regexp_extract_all(lower(query), '[a-zA-Z]+')) AS w FROM qry) SELECT qid, mid, importance AS score, round(len(list_filter(w, lambda x: contains(lower(content), x))) / CAST(len(w) AS DOUBLE), 6) AS match FROM w, (SELECT mid, content, importance FROM mem) WHERE len(w) > 0 AND len(list_filter(w, lambda x: contains(lower(content), x))) > 0")
 def j04(s, d):
-    return search.pending_channel(X.qry(s, d), X.mem(s, d).where("source_turn = 0")).withColumn("match", F.round("match", 6))
+    return search.pending_channel(X.qry(s, d), X.mem(s, d)).withColumn("match", F.round("match", 6))
 
 
 @q("g03_tfidf_search", f"{TF}, {TOPN('k', 'ti', 10)} SELECT qid, mid, pos, round(score, 9) AS score FROM k")
@@ -615,6 +648,56 @@ def g05(s, d):
     return search.vector_channel(v.where("vec_id % 20 = 0").select(C("vec_id").alias("qid"), C("embedding").alias("qv")), v.select(C("vec_id").alias("mid"), C("embedding").alias("v")), 10, digits=6)
 
 
+def vectors(s, d):
+    v = X.table(s, d, "embeddings")
+    kind = F.when(C("vec_id") % 3 == 0, "fact").otherwise("belief")
+    return v.select(C("vec_id").alias("mid"), C("embedding").alias("v"), kind.alias("mtype"))
+
+
+G5 = "SELECT * FROM (SELECT a.vec_id AS qid, b.vec_id AS mid, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS pos, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0{}) WHERE pos <= 10"
+
+
+@q("g05_index_search", G5.format(""))
+def g05i(s, d):
+    v = vectors(s, d)
+    return cells.search(v.where("mid % 20 = 0").select(C("mid").alias("qid"), C("v").alias("qv")), cells.build(v, 24), 10, probes=4, digits=6)
+
+
+@q("g05_typed_index_search", G5.format(" AND b.vec_id % 3 = 0"))
+def g05t(s, d):
+    v = vectors(s, d)
+    return cells.search(v.where("mid % 20 = 0").select(C("mid").alias("qid"), C("v").alias("qv")), cells.build(v, 24), 10, probes=4, digits=6, where="mtype = 'fact'")
+
+
+def changed(s, d):
+    """An index that five changes make: two thirds of the records, the rest, edits of every tenth, deletes of every seventh, and some again."""
+    from ..sources import io
+
+    root = io.shared_path(s, "index")
+    m = X.mem(s, d).join(X.table(s, d, "embeddings").select((C("vec_id") * 1000).alias("mid"), C("embedding").alias("v")), "mid", "left").select("mid", "content", "mtype", "v")
+    edited = lambda df: df.withColumn("content", F.concat("content", LIT(" zebra quagga")))
+    none = m.limit(0)
+    for ups, gone in ((m.where("mid % 3 <> 0"), None), (m.where("mid % 3 = 0"), None), (edited(m.where("mid % 10 = 0")), None), (none, m.where("mid % 7 = 0")), (edited(m.where("mid % 21 = 0")), m.where("mid % 11 = 0"))):
+        segments.change(s, root, ups, gone, fanout=3)
+    return root
+
+
+CHG = f"mm AS (SELECT mid, CASE WHEN mid % 10 = 0 OR mid % 21 = 0 THEN content || ' zebra quagga' ELSE content END AS content FROM mem WHERE (mid % 7 <> 0 OR mid % 21 = 0) AND (mid % 11 <> 0 OR mid % 21 = 0))"
+
+
+@q("g07_segment_search", f"{CHG}, po AS (SELECT mid, unnest({KEYS.format('content')}) AS term FROM mm), kw AS (SELECT s.qid, po.mid, count(*) AS score FROM (SELECT qid, term FROM {SHINGLES} UNION ALL SELECT -1, unnest(['zebra', 'quagga'])) s JOIN po ON po.term = s.term GROUP BY 1, 2), {TOPN('k', 'kw', 20)} SELECT qid, mid, score, pos FROM k")
+def g07s(s, d):
+    ask = X.qry(s, d).unionByName(s.range(1).select(LIT(-1).cast("long").alias("qid"), LIT("zebra").alias("query")))
+    terms = search.keyword_terms(ask).where("qid >= 0").unionByName(s.range(1).select(LIT(-1).cast("long").alias("qid"), F.explode(F.array(LIT("zebra"), LIT("quagga"))).alias("term")))
+    return search.top(search.keyword_matches(terms, segments.live_postings(s, changed(s, d))), 20)
+
+
+@q("g07_segment_vectors", f"{CHG}, vv AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id * 1000 IN (SELECT mid FROM mm)) SELECT * FROM (SELECT a.vec_id AS qid, b.vec_id * 1000 AS mid, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS pos, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, vv b WHERE a.vec_id % 20 = 0) WHERE pos <= 10")
+def g07v(s, d):
+    qs = vectors(s, d).where("mid % 20 = 0").select(C("mid").alias("qid"), C("v").alias("qv"))
+    return search.vector_channel(qs, segments.live_vectors(s, changed(s, d)).select("mid", "v"), 10, digits=6)
+
+
 @q("g06_hybrid", f"{KW}, {TF} SELECT coalesce(kw.qid, ti.qid) AS qid, coalesce(kw.mid, ti.mid) AS mid, round(CAST(0.3 AS DOUBLE) * coalesce(kw.score, 0) + CAST(0.7 AS DOUBLE) * coalesce(round(ti.score, 9), 0), 6) AS score FROM kw FULL JOIN ti ON kw.qid = ti.qid AND kw.mid = ti.mid WHERE CAST(0.3 AS DOUBLE) * coalesce(kw.score, 0) + CAST(0.7 AS DOUBLE) * coalesce(round(ti.score, 9), 0) >= CAST(0.2 AS DOUBLE)")
 def g06(s, d):
     return search.hybrid(kw(s, d), ti(s, d).withColumn("score", F.round("score", 9))).withColumn("score", F.round("score", 6))
@@ -666,7 +749,7 @@ def t02(s, d):
 
 @q("j11_spread", f"{EN}, {RR}, he AS (SELECT DISTINCT qid, entity FROM rt JOIN ent ON ent.mid = rt.mid WHERE pos <= 5), nr AS (SELECT he.qid, he.entity, m.mid, m.score FROM he JOIN ent ON ent.entity = he.entity JOIN mem m ON m.mid = ent.mid WHERE mtype = 'fact' AND NOT EXISTS (SELECT 1 FROM rt WHERE rt.qid = he.qid AND rt.mid = m.mid)), kp AS (SELECT * FROM nr QUALIFY row_number() OVER (PARTITION BY qid, entity ORDER BY score DESC, mid) <= 5), bt AS (SELECT qid, mid, max(score) * CAST(0.3 AS DOUBLE) AS score FROM kp GROUP BY 1, 2) SELECT qid, mid, round(score, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, mid) AS pos FROM bt QUALIFY pos <= 3")
 def j11(s, d):
-    return search.spread(ranked(s, d), X.ent(s, d), X.mem(s, d).where("mtype = 'fact'")).select("qid", "mid", "pos", F.round("score", 9).alias("score"))
+    return search.spread(ranked(s, d), X.ent(s, d), X.mem(s, d).where("mtype = 'fact'"), most_results=8).select("qid", "mid", "pos", F.round("score", 9).alias("score"))
 
 
 @q("j13_external_hits", "SELECT m.session_id AS qid, m.mid, CAST(m.source_turn AS DOUBLE) AS score FROM mem m WHERE m.mid % 3 = 0")
@@ -709,7 +792,7 @@ CLASSES = f"kc AS (SELECT qid, query, CASE WHEN {has('lower(query)', ('eron',))}
 DAYS_OF = {"haat": 3, "erha": 5, "ansh": 9}
 TIMES = "tq AS (SELECT qid, CASE " + " ".join(f"WHEN contains(query, '{w}') THEN {n}" for w, n in DAYS_OF.items()) + f" END AS days FROM qry), tr AS (SELECT qid, mid, score FROM tq JOIN mem ON created_s >= {AS} - 86400 * days AND created_s < {AS} - 86400 * days + 86400)"
 CUT = lambda name, src: f"{name} AS (SELECT x.qid, x.mid, x.score, row_number() OVER (PARTITION BY x.qid ORDER BY round(x.score, 9) DESC, x.mid) AS pos FROM {src} x JOIN ks ON ks.qid = x.qid WHERE x.qid NOT IN (SELECT qid FROM tr) QUALIFY pos <= ks.initial)"
-PEND = "pw AS (SELECT qid, list_distinct(regexp_extract_all(lower(query), '[a-zA-Z]+')) AS w FROM qry), pn AS (SELECT qid, mid, importance AS score FROM pw, (SELECT mid, content, importance FROM mem WHERE source_turn = 0 AND session_id % 40 = 0) WHERE len(w) > 0 AND qid NOT IN (SELECT qid FROM tr) AND len(list_filter(w, lambda x: contains(lower(content), x))) > 0)"
+PEND = f"pw AS (SELECT qid, list_distinct(regexp_extract_all(lower(query), '[a-zA-Z]+')) AS w FROM qry), pn AS (SELECT qid, mid, importance AS score FROM pw, (SELECT mid, content, importance FROM mem WHERE created_s >= {AS - 86400}) WHERE len(w) > 0 AND qid NOT IN (SELECT qid FROM tr) AND len(list_filter(w, lambda x: contains(lower(content), x))) > 0)"
 VEC = "ve AS (SELECT a.vec_id AS qid, b.vec_id * 1000 AS mid, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT qid FROM qry))"
 ALIKE = "qe AS (SELECT qid, entity AS q FROM qf), " + SIMQ
 DAYSM = f"CAST(floor(({AS} - last_accessed_s) / 86400.0) AS BIGINT)"
@@ -721,7 +804,7 @@ ROUTED = lambda merge: f"{KW}, {EN}, {TF}, {BM}, {CLASSES}, {TIMES}, {PEND}, {VE
 
 def routed(s, d, tfidf=True):
     m, v = X.mem(s, d), X.table(s, d, "embeddings")
-    pending = m.where("source_turn = 0 AND session_id % 40 = 0")
+    pending = m.where(C("created_s") >= AS - 86400)  # what came within a day isn't consolidated yet
     qv = v.join(X.qry(s, d).select(C("qid").alias("vec_id")), "vec_id", "left_semi").select(C("vec_id").alias("qid"), C("embedding").alias("qv"))
     return search.route(
         X.qry(s, d), m.withColumn("is_identity", C("mid") % 4 == 0), X.ent(s, d), posts(s, d), AS, pending=pending, external=search.bm25_channel(X.qry(s, d), m), query_vectors=qv,
@@ -788,7 +871,15 @@ def j15(s, d):
 def j15c(s, d):
     m = X.mem(s, d)
     prev = m.select("session_id", (C("source_turn") + 1).alias("source_turn"), C("mid").alias("evidence"))
-    return temporal.evidence_chain(m.join(prev, ["session_id", "source_turn"]).select("mid", "evidence"))
+    return temporal.evidence_chain(hops=5, edges=m.join(prev, ["session_id", "source_turn"]).select("mid", "evidence"))
+
+
+@q("j15_evidence_roots", "p AS (SELECT a.mid, b.mid AS prev, a.confidence FROM mem a LEFT JOIN mem b ON b.session_id = a.session_id AND b.source_turn = a.source_turn - 1), r AS (SELECT mid, mid AS root, 0 AS hops, confidence FROM p WHERE prev IS NULL UNION ALL SELECT p.mid, r.root, r.hops + 1, least(p.confidence, r.confidence) FROM p JOIN r ON r.mid = p.prev) SELECT mid, root, CAST(hops AS BIGINT) AS hops, round(confidence, 6) AS confidence, false AS cyclic FROM r")
+def j15r(s, d):
+    m = X.mem(s, d)
+    prev = m.select("session_id", (C("source_turn") + 1).alias("source_turn"), C("mid").alias("supersedes_id"))
+    rows = m.join(prev, ["session_id", "source_turn"], "left").select("mid", "supersedes_id", "confidence")
+    return temporal.evidence_roots(rows).withColumn("confidence", F.round("confidence", 6))
 
 
 @q("c05_state_at", f"SELECT mid FROM mem WHERE created_s <= {AS - 10 * 86400} AND (expires_s IS NULL OR expires_s > {AS - 10 * 86400})")
@@ -803,6 +894,16 @@ def c05d(s, d):
     return temporal.difference(m.where("mid % 5 <> 0"), new)
 
 
+@q("c05_stored_difference", "SELECT mid, CASE WHEN mid % 5 = 0 THEN 'added' WHEN mid % 7 = 0 THEN 'removed' ELSE 'changed' END AS change FROM mem WHERE (mid % 5 = 0) <> (mid % 7 = 0) OR (mid % 5 <> 0 AND mid % 7 <> 0 AND mid % 11 = 0)")
+def c05v(s, d):
+    from ..sources import io, versions
+
+    root, m = io.shared_path(s, "memories"), X.mem(s, d)
+    first = versions.replace(m.where("mid % 5 <> 0"), root)
+    versions.replace(m.where("mid % 7 <> 0").withColumn("content", F.when(C("mid") % 11 == 0, F.concat("content", LIT("!"))).otherwise(C("content"))), root)
+    return temporal.difference(versions.read(s, root, first.number), versions.read(s, root))
+
+
 @q("c05_invalidated", f"{EP} SELECT DISTINCT b AS mid FROM ep JOIN mem_new n ON n.mid = a JOIN mem_old o ON o.mid = b WHERE {CONTR}")
 def c05i(s, d):
     return temporal.invalidated(X.mem_new(s, d), X.mem_old(s, d), X.entx(s, d), NEG)

@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..sources import io
+from ..sources import io, versions
 from ..streaming import streams
 from . import fixtures as X
-from .rule_queries import Q, has, q
+from .rule_queries import IMP, NOISE, Q, has, imp, q
 
 C, LIT = F.col, F.lit
 AS = X.AS_OF
@@ -15,31 +15,56 @@ def stream(s, d, name):
     return io.stream_table(s, f"{d}/{name}.parquet")
 
 
-def events(s, d):
-    return stream(s, d, "events").withColumn("ts", C("ts").cast("timestamp"))
+def heartbeat(s, schema, ts_s, **values):
+    """One row that moves a stream's watermark to its end; values fill columns that tell it from other rows."""
+    value = lambda f: F.timestamp_seconds(LIT(ts_s)) if f.name == "ts" else LIT(values.get(f.name))
+    return s.range(1).select(*(value(f).cast(f.dataType).alias(f.name) for f in schema.fields))
+
+
+FAR = 4102444800  # 2100-01-01
 
 
 @q("st1_pending_stream", f"SELECT conv_id * 1000 + turn AS id, {has('text', ('worthless', 'nicht', 'pour'))} AS urgent FROM conversations")
 def st1(s, d):
     ts = F.timestamp_seconds(LIT(1704067200) + C("conv_id") * 60 + C("turn"))
-    m = stream(s, d, "conversations").select((C("conv_id") * 1000 + C("turn")).alias("id"), ts.alias("ts"), C("text").alias("content"))
-    twice = m.unionByName(m)
-    return io.drained(streams.pending_stream(twice, "3650 days", critical=("worthless",), important=("nicht", "pour"), time=("^$^",))).select("id", "urgent")
+    m = X.table(s, d, "conversations").select((C("conv_id") * 1000 + C("turn")).alias("id"), ts.alias("ts"), C("text").alias("content"))
+    late = F.unix_seconds("ts") + F.when(C("again"), 3600).otherwise(C("id") % 5 * 300)  # each message comes twice, the second time in a later file
+    twice = m.withColumn("again", LIT(False)).unionByName(m.withColumn("again", LIT(True)))
+    path = io.arriving(twice, late, 5)
+    return io.drained(streams.pending_stream(io.arriving_stream(s, path).drop("again"), "24 hours", critical=("worthless",), important=("nicht", "pour"), time=("^$^",))).select("id", "urgent")
 
 
-@q("st2_drain", f"SELECT conv_id * 1000 + turn AS id FROM conversations WHERE {has('text', ('worthless', 'nicht', 'pour'))}")
+@q("st2_drain", f"SELECT mid, substring(mtype, 1, 1) || '_' || strftime(to_timestamp(created_s), '%Y%m%d') || '_' || substring(md5(content), 1, 16) AS id, round({IMP}, 6) AS importance FROM mem WHERE ({NOISE.replace('importance <', 'CAST(0.5 AS DOUBLE) <')}) IS NULL AND ({has('content', ('worthless', 'nicht'))} OR {IMP} >= CAST(0.5 AS DOUBLE))")
 def st2(s, d):
-    path, done = io.shared_path(s, "drained"), io.shared_path(s, "offsets")
-    src = stream(s, d, "conversations").select((C("conv_id") * 1000 + C("turn")).alias("id"), "text")
-    streams.drain(src, lambda b, _: b.where(C("text").rlike("worthless|nicht|pour")).select("id").write.mode("append").parquet(path), done).awaitTermination()
-    return s.read.schema("id long").parquet(path)
+    root = io.shared_path(s, "records")
+    pending = X.mem(s, d).withColumn("urgent", C("content").rlike("worthless|nicht"))
+    src = io.arriving_stream(s, io.arriving(pending, C("created_s"), 4))
+    streams.drain(src, streams.consolidate_pending(root, imp(), LIT(False)), io.shared_path(s, "offsets")).awaitTermination()
+    return versions.read(s, root).select("mid", "id", F.round("importance", 6).alias("importance"))
 
 
 @q("st3_access_counts", "SELECT CAST(CAST(date_trunc('day', ts) AS DATE) AS VARCHAR) AS day, (user_id % 100)*1000 + event_id % 4 AS mid, count(*) AS n, count(*) FILTER (WHERE event_type = 'view') AS retrieval FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1, 2")
 def st3(s, d):
+    path = io.arriving(accesses(s, d), F.unix_seconds("ts") + C("mid") % 4 * 3600, 4, heartbeat(s, accesses(s, d).schema, FAR, mid=-1))
+    out = io.drained(streams.access_counts(io.arriving_stream(s, path))).where("mid >= 0")
+    return out.select(C("day").cast("date").cast("string").alias("day"), "mid", "n", "retrieval")
+
+
+def accesses(s, d):
     kind = F.when(C("event_type") == "view", "retrieval").when(C("event_type") == "click", "used_in_response").otherwise("user_mentioned")
-    log = events(s, d).where("event_type IN ('view', 'click', 'purchase')").select(((C("user_id") % 100) * 1000 + C("event_id") % 4).alias("mid"), kind.alias("access_type"), "ts")
-    return io.drained(streams.access_counts(log), "complete").select(C("day").cast("date").cast("string").alias("day"), "mid", "n", "retrieval")
+    e = X.table(s, d, "events").withColumn("ts", C("ts").cast("timestamp"))
+    return e.where("event_type IN ('view', 'click', 'purchase')").select(((C("user_id") % 100) * 1000 + C("event_id") % 4).alias("mid"), kind.alias("access_type"), "ts")
+
+
+@q("st3_merged_accesses", "SELECT mid, count(*) AS accesses, count(*) FILTER (WHERE access_type = 'retrieval') AS retrieval, count(*) FILTER (WHERE access_type = 'used_in_response') AS used_in_response, count(*) FILTER (WHERE access_type = 'user_mentioned') AS user_mentioned, CAST(floor(max(ts_us) / 1000000.0) AS BIGINT) AS last_s FROM access_log GROUP BY mid")
+def st3m(s, d):
+    root = io.shared_path(s, "accesses")
+    late = F.unix_seconds("ts") + F.when(C("mid") % 7 == 0, 20 * 86400).otherwise(0)  # some come many files later
+    src = io.arriving_stream(s, io.arriving(accesses(s, d), late, 6))
+    streams.drain(src, streams.merge_accesses(root, 86400, compact_after=3), io.shared_path(s, "offsets")).awaitTermination()
+    streams.merge_accesses(root, 86400)(streams.late_accesses(s, root), versions.current(s, root).note["batch"])  # played again: no effect
+    parts = streams.merged_accesses(s, root).unionByName(streams.counted(streams.late_accesses(s, root)))
+    return streams.summed(parts)
 
 
 @q("st4_expired", f"SELECT mid FROM mem WHERE expires_s <= {AS}")
@@ -48,15 +73,30 @@ def st4(s, d):
     return io.drained(streams.expired(X.mem_columns(c), AS).select("mid"))
 
 
+@q("st4_timers", f"SELECT mid, e AS expires_s FROM (SELECT mid, CASE WHEN mid % 3 = 0 AND expires_s > created_s + 7200 THEN expires_s + 432000 ELSE expires_s END AS e FROM mem) WHERE e <= {AS}")
+def st4t(s, d):
+    streams.rocksdb(s)
+    first = X.mem(s, d).select("mid", "expires_s", C("created_s").alias("ts_s"))
+    again = X.mem(s, d).where("mid % 3 = 0 AND expires_s > created_s + 7200").select("mid", (C("expires_s") + 432000).alias("expires_s"), (C("created_s") + 3600).alias("ts_s"))
+    updates = first.unionByName(again).withColumn("ts", F.timestamp_seconds("ts_s")).drop("ts_s")
+    path = io.arriving(updates, F.unix_seconds("ts") + C("mid") % 2 * 7000, 5, heartbeat(s, updates.schema, AS + 7200 + 0.5, mid=-1))
+    return io.drained(streams.expire_by_timer(io.arriving_stream(s, path), "2 hours"))
+
+
 @q("st5_intents", "g AS (SELECT user_id, event_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n, array_to_string(list_slice(list(event_id ORDER BY ts DESC, event_id DESC), 1, 10), ',') AS last FROM k GROUP BY user_id, sid")
 def st5(s, d):
-    out = io.drained(streams.intents(events(s, d)), "complete")
-    return out.select("user_id", F.unix_micros("start").alias("start_us"), "n", "last")
+    streams.rocksdb(s)
+    e = X.table(s, d, "events").select("user_id", "event_id", C("ts").cast("timestamp").alias("ts"))
+    path = io.arriving(e, F.unix_seconds("ts") + C("event_id") % 3 * 3000, 3, heartbeat(s, e.schema, FAR, user_id=-1, event_id=-1))
+    out = io.drained(streams.intents(io.arriving_stream(s, path), delay="2 hours"))
+    return out.where("user_id >= 0").select("user_id", "start_us", "n", "last")
 
 
 @q("st6_look_back", "SELECT epoch_us(h) AS start_us, event_type, count(*) AS n FROM (SELECT event_type, unnest(generate_series(date_trunc('hour', ts) - INTERVAL 23 HOUR, date_trunc('hour', ts), INTERVAL 1 HOUR)) AS h FROM events) GROUP BY 1, 2")
 def st6(s, d):
-    out = io.drained(streams.look_back(events(s, d)), "complete")
+    e = X.table(s, d, "events").select("event_type", "event_id", C("ts").cast("timestamp").alias("ts"))
+    path = io.arriving(e, F.unix_seconds("ts") + C("event_id") % 3 * 3000, 4, heartbeat(s, e.schema, FAR, event_type="none"))
+    out = io.drained(streams.look_back(io.arriving_stream(s, path))).where("event_type <> 'none'")
     return out.select(F.unix_micros("start").alias("start_us"), "event_type", "n")
 
 

@@ -1,6 +1,7 @@
 """Readers, collectors and writers."""
 
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ def read_records(spark: SparkSession, path: str, schema=MEMORY) -> DataFrame:
 
 
 def write_version(df: DataFrame, root: str) -> str:
-    """An overwrite as a new version folder under root, returned; readers of the old one aren't disturbed."""
+    """JSON lines in a new folder under root, returned; versions.replace swaps the current version of a table."""
     path = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
     df.write.json(path)
     return path
@@ -74,6 +75,34 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str = "mid", order: str
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_in")
 
 
+#: Values of an inserted record's columns where they are missing or null.
+DEFAULTS = {"importance": 0.5, "score": 0.5, "confidence": 1.0, "ownership": "user"}
+
+
+class Upserted(NamedTuple):
+    """The next version of the records and of their child tables (mid, value of the array column)."""
+
+    records: DataFrame
+    children: dict[str, DataFrame]
+
+
+def upsert_records(stored: DataFrame, incoming: DataFrame, children: dict[str, DataFrame], arrays: dict[str, str], defaults: dict | None = None) -> Upserted:
+    """Incoming records (mid, seq, columns, array columns) replace stored ones of their id.
+
+    Missing values get their defaults and state is 0 whatever comes in. arrays names each array column's child table column; a
+    replaced record's child rows are those of its new arrays, the others keep theirs.
+    """
+    fill = DEFAULTS if defaults is None else defaults
+    new = incoming.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in incoming.columns else F.lit(v) for c, v in fill.items()}).withColumn("state", F.lit(0))
+    last = upsert(new.limit(0), new)
+    records = upsert(stored, last.drop(*arrays))
+    kept = {}
+    for column, name in arrays.items():
+        old = children[column].join(last.select("mid"), "mid", "left_anti").select("mid", name)
+        kept[column] = old.unionByName(child_rows(last, column, name))
+    return Upserted(records, kept)
+
+
 def child_rows(records: DataFrame, column: str, name: str) -> DataFrame:
     """Link rows of an array column, distinct."""
     return records.select("mid", F.explode(column).alias(name)).distinct()
@@ -100,13 +129,13 @@ def dual_write(df: DataFrame, json_path: str, parquet_path: str) -> None:
 
 
 def write_text(lines: DataFrame, path: str) -> None:
-    """One text column as files, rows of a group in order."""
+    """One text column as files, rows of a group in order."""
     lines.select("line").write.mode("overwrite").text(path)
 
 
-def rankings(memories: DataFrame, n: int = 50) -> DataFrame:
-    """The n best (mid, score)."""
-    return memories.select("mid", "score").orderBy(F.desc("score"), "mid").limit(n)
+def write_document(text: DataFrame, path: str) -> None:
+    """A document (one row, `text`) as one file of its lines in order; bounded, as a snapshot has few lines."""
+    text.select("text").coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_partitioned(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
@@ -115,6 +144,18 @@ def write_partitioned(df: DataFrame, path: str, key: str, buckets: int = 64) ->
     df.select("*", b).repartition("bucket").sortWithinPartitions(key).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int = 64) -> DataFrame:
+    """Df as a table of the session's catalog, bucketed and sorted by key, in the shared folder; returned as read.
+
+    Rows are dealt by the key before they are written, so each bucket is one file. A join or an aggregate on the key reads the
+    buckets as they are, without a shuffle of this side.
+    """
+    spark = df.sparkSession
+    table = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    table.option("path", shared_path(spark, name)).format("parquet").mode("overwrite").saveAsTable(name)
+    return spark.table(name)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
@@ -162,3 +203,23 @@ def stream_table(spark: SparkSession, path: str) -> DataFrame:
     if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
         return reader.parquet(path)
     return reader.option("pathGlobFilter", p.getName()).parquet(path.rpartition("/")[0])
+
+
+def arriving(df: DataFrame, at: Column, files: int, last: DataFrame | None = None) -> str:
+    """df as a folder of files that stand in order of arrival `at`; `last`, rows that end the stream's time, in one more file."""
+    spark = df.sparkSession
+    path = shared_path(spark, "arriving")
+    rows = stored(df.withColumn("_at", at.cast("long")), "ordered")
+    cuts = rows.agg(F.percentile_approx("_at", [i / files for i in range(1, files)], 10_000)).first()[0] if files > 1 else []
+    for low, high in zip([None, *(cuts or [])], [*(cuts or []), None], strict=True):
+        own = rows if low is None else rows.where(F.col("_at") > low)
+        own = own if high is None else own.where(F.col("_at") <= high)
+        own.drop("_at").coalesce(1).write.mode("append").parquet(path)
+    if last is not None:
+        last.select(df.columns).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def arriving_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of files as a stream, one file in each micro-batch, oldest first."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)

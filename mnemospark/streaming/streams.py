@@ -1,15 +1,18 @@
 """Streaming forms (ST1-ST6). Times are event times in a timestamp column `ts`."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.rules import urgency
+from ..plans import jobs
+from ..sources import versions
 
 
 def pending_stream(messages: DataFrame, delay: str = "24 hours", **lexicon) -> DataFrame:
-    """ST1: messages (id, content, ts) tagged with urgency; an id seen within the watermark is dropped."""
+    """ST1: messages (id, content, ts) tagged with urgency; an id seen within the watermark is dropped, in other batches too."""
     tagged = messages.withColumn("u", urgency(F.col("content"), **lexicon)).select("id", "ts", "content", "u.urgent", "u.importance", "u.category")
     return tagged.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
 
@@ -19,6 +22,24 @@ def drain(stream: DataFrame, job: Callable[[DataFrame, int], None], checkpoint:
     return stream.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def consolidate_pending(root: str, importance: Column, identity: Column, threshold: float = 0.5) -> Callable[[DataFrame, int], None]:
+    """ST2: the job that turns a micro-batch of pending rows (C02) into records of a versioned table; a batch counts once."""
+
+    def job(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        last = versions.current(spark, root)
+        if batch_id > last.note.get("batch", -1):
+            part = versions.new_part(jobs.mini_consolidate(batch, importance, identity, threshold), root)
+            versions.publish(spark, root, last, [*last.parts, part], {"batch": batch_id})
+
+    return job
+
+
+# --- ST3: access counts -------------------------------------------------------------------------------------------------
+
+_COUNTS = {"accesses": None, "retrieval": "retrieval", "used_in_response": "used_in_response", "user_mentioned": "user_mentioned"}
+
+
 def access_counts(log: DataFrame, delay: str = "1 day", size: str = "1 day") -> DataFrame:
     """ST3: accesses (mid, access_type, ts) by day and record, with the last access."""
     g = log.withWatermark("ts", delay).groupBy(F.window("ts", size).alias("w"), "mid")
@@ -26,17 +47,172 @@ def access_counts(log: DataFrame, delay: str = "1 day", size: str = "1 day") ->
     return out.select(F.col("w.start").alias("day"), "mid", "n", "retrieval", "last")
 
 
+def summed(parts: DataFrame) -> DataFrame:
+    """Counts of several parts, one row for each record."""
+    return parts.groupBy("mid").agg(*(F.sum(c).alias(c) for c in _COUNTS), F.max("last_s").alias("last_s"))
+
+
+def counted(log: DataFrame) -> DataFrame:
+    """A log's accesses (mid, access_type, ts) as a part."""
+    count = lambda kind: F.count(F.lit(1)) if kind is None else F.count_if(F.col("access_type") == kind)
+    return log.groupBy("mid").agg(*(count(kind).alias(name) for name, kind in _COUNTS.items()), F.max(F.unix_seconds("ts")).alias("last_s"))
+
+
+def merge_accesses(root: str, delay_s: int, compact_after: int = 8) -> Callable[[DataFrame, int], None]:
+    """ST3: a foreachBatch job that adds a batch's accesses (mid, access_type, ts) to the counts under root.
+
+    A batch becomes one part of the next version, whose note has the batch id, so a batch that is played again changes nothing
+    and one that fails leaves no trace. Rows more than delay_s older than the newest row of earlier batches are late: they aren't
+    counted but go to a side table (late_accesses). Many parts are summed into one.
+    """
+
+    def job(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        last = versions.current(spark, root)
+        if batch_id <= last.note.get("batch", -1):
+            return
+        rows = batch.select("mid", "access_type", "ts").persist()
+        newest = rows.agg(F.max(F.unix_micros("ts"))).first()[0]
+        seen = last.note.get("newest_us")
+        on_time = F.lit(True) if seen is None else F.unix_micros("ts") >= seen - delay_s * 1_000_000
+        parts = [*last.parts, versions.new_part(counted(rows.where(on_time)), root)]
+        late = last.note.get("late", [])
+        if seen is not None and not rows.where(~on_time).isEmpty():
+            late = [*late, versions.new_part(rows.where(~on_time), root)]
+        if len(parts) > compact_after:
+            parts = [versions.new_part(summed(spark.read.parquet(*parts)), root)]
+        newest = max((x for x in (seen, newest) if x is not None), default=None)
+        versions.publish(spark, root, last, parts, {"batch": batch_id, "newest_us": newest, "late": late})
+        rows.unpersist()
+
+    return job
+
+
+def merged_accesses(spark: SparkSession, root: str) -> DataFrame:
+    """ST3: (mid, accesses, retrieval, used_in_response, user_mentioned, last_s) of all batches so far, as curate.access_stats."""
+    return summed(versions.read(spark, root))
+
+
+def late_accesses(spark: SparkSession, root: str) -> DataFrame:
+    """ST3: the side table of late rows (mid, access_type, ts)."""
+    late = versions.current(spark, root).note.get("late", [])
+    schema = "mid long, access_type string, ts timestamp"
+    return spark.read.schema(schema).parquet(*late) if late else spark.createDataFrame([], schema)
+
+
+# --- ST4: expiry --------------------------------------------------------------------------------------------------------
+
+
 def expired(records: DataFrame, as_of_s: int) -> DataFrame:
     """ST4: records whose expiry has passed, as they arrive; the stateless form of the batch filter."""
     return records.where(F.col("expires_s") <= as_of_s)
 
 
-def intents(messages: DataFrame, gap: str = "30 minutes", delay: str = "30 minutes", last: int = 10) -> DataFrame:
-    """ST5: sessions of a user's events (user_id, ts, event_id) by a gap, with the count and the last few ids."""
-    g = messages.withWatermark("ts", delay).groupBy("user_id", F.session_window("ts", gap).alias("w"))
-    ids = F.array_sort(F.collect_list(F.struct("ts", "event_id")))
-    out = g.agg(F.count(F.lit(1)).alias("n"), F.slice(F.reverse(ids), 1, last).alias("l"))
-    return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", F.array_join(F.transform("l", lambda x: x["event_id"].cast("string")), ",").alias("last"))
+class ExpiryTimers(StatefulProcessor):
+    """For each id the newest version's expiry and one timer for it; a newer version cancels the timer of the one before."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.record = handle.getValueState("record", "ts_us long, expires_s long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        old = tuple(self.record.get()) if self.record.exists() else None
+        none = -(1 << 62)  # no expiry: kept in state, so that an older version that comes later doesn't set a timer
+        new = max([*([old] if old else []), *((r["ts_us"], none if r["expires_s"] is None else r["expires_s"]) for r in rows)])
+        if new != old:
+            if old and old[1] != none:
+                self.handle.deleteTimer(old[1] * 1000)
+            if none != new[1] and new[1] * 1000 <= timerValues.getCurrentWatermarkInMs():
+                self.record.clear()
+                yield Row(mid=key[0], expires_s=new[1])
+                return
+            self.record.update(new)
+            if new[1] != none:
+                self.handle.registerTimer(new[1] * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        expires_s = self.record.get()[1]
+        self.record.clear()
+        yield Row(mid=key[0], expires_s=expires_s)
+
+    def close(self) -> None:
+        pass
+
+
+def expire_by_timer(updates: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """ST4: (mid, expires_s) of each record when the watermark passes the expiry of its newest version.
+
+    updates: versions (mid, expires_s, ts), in any order and over any number of batches; the greatest (ts, expires_s) is the
+    newest. A null expiry never fires. Rows later than the watermark are dropped. A record is forgotten once it has expired: a
+    version that comes after that starts it anew. Needs the RocksDB state store (see rocksdb).
+    """
+    rows = updates.select("mid", "expires_s", "ts", F.unix_micros("ts").alias("ts_us")).withWatermark("ts", delay)
+    return rows.groupBy("mid").transformWithState(ExpiryTimers(), "mid long, expires_s long", "append", "eventTime")
+
+
+def rocksdb(spark: SparkSession) -> None:
+    """Sets the state store that keyed state with timers needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+# --- ST5 and ST6 --------------------------------------------------------------------------------------------------------
+
+
+class Sessions(StatefulProcessor):
+    """A user's open sessions: start, end, number of events and the last few of them. A session closes when the watermark passes
+    its end; an event joins those that its own gap reaches, and may unite two."""
+
+    def __init__(self, gap_us: int, last: int) -> None:
+        self.gap_us, self.last = gap_us, last
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "start_us long, end_us long, n long, ts array<long>, ids array<long>")
+
+    def _latest(self, events: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        return sorted(events, reverse=True)[: self.last]
+
+    def _keep(self, sessions: list[tuple]) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if not sessions:
+            self.open.clear()
+            return
+        self.open.put([(s, e, n, [x for x, _ in events], [i for _, i in events]) for s, e, n, events in sessions])
+        self.handle.registerTimer(-(-min(e for _, e, _, _ in sessions) // 1000))
+
+    def _known(self) -> list[tuple]:
+        return [(s, e, n, list(zip(ts, ids, strict=True))) for s, e, n, ts, ids in self.open.get()] if self.open.exists() else []
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        sessions = self._known()
+        for r in rows:
+            new = (r["ts_us"], r["ts_us"] + self.gap_us, 1, [(r["ts_us"], r["event_id"])])
+            near = [x for x in sessions if x[0] < new[1] and new[0] < x[1]]
+            sessions = [x for x in sessions if x not in near]
+            events = self._latest([e for x in (*near, new) for e in x[3]])
+            sessions.append((min(x[0] for x in (*near, new)), max(x[1] for x in (*near, new)), sum(x[2] for x in (*near, new)), events))
+        self._keep(sessions)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        sessions = self._known()
+        done = [x for x in sessions if x[1] <= now]
+        self._keep([x for x in sessions if x[1] > now])
+        for start, end, n, events in sorted(done):
+            yield Row(user_id=key[0], start_us=start, end_us=end, n=n, last=",".join(str(i) for _, i in events))
+
+    def close(self) -> None:
+        pass
+
+
+def intents(messages: DataFrame, gap_s: int = 1800, delay: str = "30 minutes", last: int = 10) -> DataFrame:
+    """ST5: closed sessions of a user's events (user_id, ts, event_id) by a gap: start_us, end_us, n and the last few ids, newest
+    first. Only these ids are kept in state, however long a session is. Append mode; needs the RocksDB state store."""
+    rows = messages.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("ts_us")).withWatermark("ts", delay)
+    kind = "user_id long, start_us long, end_us long, n long, last string"
+    return rows.groupBy("user_id").transformWithState(Sessions(gap_s * 1_000_000, last), kind, "append", "eventTime")
 
 
 def look_back(messages: DataFrame, size: str = "24 hours", slide: str = "1 hour", delay: str = "24 hours") -> DataFrame:
