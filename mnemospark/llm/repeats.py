@@ -213,31 +213,45 @@ def _shard(find, length: int):
     return run
 
 
-#: Anchors that are dealt over several shards: what counts as very many grows with the corpus, so there are never more.
+#: Anchors that are dealt over several shards are broadcast up to this number, the most frequent ones first; the others are joined.
 MAX_HOT = 100_000
 
 
+def _dealt(found: DataFrame, hot: DataFrame, n_blocks: int) -> DataFrame:
+    """Segments of hot anchors (a, pieces), a stored table of any size, in a shard by anchor and salt. The join only streams rows,
+    so Spark may split an anchor of very many segments over tasks."""
+    salt = F.pmod(F.xxhash64("doc_id", "tkey", "lo"), F.col("pieces"))
+    met = found.join(hot, "a", "left")
+    mine = F.col("pieces").isNotNull() & F.col("seg").isNotNull()
+    blk = F.when(mine, F.pmod(F.xxhash64("a", salt), F.lit(n_blocks))).otherwise(F.col("blk"))
+    return met.withColumn("blk", blk).withColumn("split", F.col("split") | mine).drop("pieces")
+
+
 def repeated_spans(docs: DataFrame, unit, find, block_rows: int, hot_rows: int) -> DataFrame:
     """doc_id, tkey, spans (lo, n in symbols): windows of keyed docs that also start earlier, by (doc_id, tkey, start).
 
     Documents without a repeat have no row. Repeated rows are one document. find: see _search. A shard has block_rows segments
-    on average; an anchor has hot_rows in one at most, or more where over MAX_HOT anchors would pass that.
+    on average; an anchor has about hot_rows in one at most, whatever the corpus' size.
     """
     spark = docs.sparkSession
     anchors = docs.select("text").mapInArrow(_anchors(unit), "a long").groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     anchors = store(anchors, "anchors")
     total = anchors.agg(F.sum("c")).first()[0] or 0
-    hot_rows = max(hot_rows, math.ceil(total / MAX_HOT))
-    rows = anchors.where(F.col("c") > hot_rows).toArrow()  # total / hot_rows rows at most
-    names, pieces = rows["a"].to_numpy().view(np.uint64), -(-rows["c"].to_numpy() // hot_rows)
+    many = anchors.where(F.col("c") > hot_rows).withColumn("pieces", F.ceil(F.col("c") / hot_rows))
+    most = 0 if many.count() <= MAX_HOT else math.ceil(total / MAX_HOT)  # so many segments have at most MAX_HOT anchors
+    rows = many.where(F.col("c") > most).select("a", "pieces").toArrow()
+    names, pieces = rows["a"].to_numpy().view(np.uint64), rows["pieces"].to_numpy()
     order = np.argsort(names)
     hot = spark.sparkContext.broadcast((names[order], pieces[order]))
     bits = bitmap(anchors.select("a"))
     shared = None if bits is None else spark.sparkContext.broadcast(bits)
     schema = "blk long, split boolean, a long, doc_id long, tkey long, lo int, n int, seg binary"
-    found = docs.mapInArrow(_streamed(unit, shared, hot, max(1, math.ceil(total / block_rows))), schema)
+    n_blocks = max(1, math.ceil(total / block_rows))
+    found = docs.mapInArrow(_streamed(unit, shared, hot, n_blocks), schema)
     if bits is None:  # the bitmap may let a lone anchor pass, which costs its row and nothing else
         found = found.where("seg IS NOT NULL").join(anchors.select("a"), "a", "left_semi").unionByName(found.where("seg IS NULL"))
+    if most:
+        found = _dealt(found, many.where(F.col("c") <= most).select("a", "pieces"), n_blocks)
     shards = found.select("blk", "split", "doc_id", "tkey", "lo", "n", "seg").groupBy("blk").applyInArrow(_shard(find, unit.length), "doc_id long, tkey long, lo int, n int, w binary")
     shards = store(shards, "found")
     place, open_ = F.struct("doc_id", "tkey", "lo"), shards.where("w IS NOT NULL")

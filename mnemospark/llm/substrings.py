@@ -15,35 +15,47 @@ from .repeats import Words, outside, repeated_spans, union
 BLOCK, HOT = 2000, 20_000
 
 
-def _letters(segs: list[bytes]) -> list[str]:
-    """Each segment's words as letters, one for each distinct word of the shard (surrogates aside)."""
+#: Code points that letters take (surrogates are left out); a shard of more distinct words has two letters a word.
+LETTERS = 1_000_000
+
+
+def _letters(segs: list[bytes], most: int = LETTERS) -> tuple[list[str], int]:
+    """Each segment's words as letters, equal ones for equal words of the shard, and the number of letters a word.
+
+    The first and the second letter of a word come from halves of the alphabet, so words can't be met across their borders.
+    """
     number: dict[bytes, int] = {}
     words = [[number.setdefault(w, len(number)) for w in x.split(b" ")] for x in segs]
-    codes = np.fromiter((k for x in words for k in x), np.uint32, sum(map(len, words))) + np.uint32(1)
+    codes = np.fromiter((k for x in words for k in x), np.int64, sum(map(len, words)))
+    width, half = (1, most) if len(number) <= most else (2, most // 2)
+    if width == 2:
+        codes = np.stack([codes // half, half + codes % half], 1).ravel()
+    codes = (codes + 1).astype(np.uint32)
     codes += np.uint32(0x800) * (codes >= 0xD800)
-    text, ends = codes.tobytes().decode("utf-32-le"), np.cumsum([0, *map(len, words)]).tolist()
-    return [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    text, ends = codes.tobytes().decode("utf-32-le"), (width * np.cumsum([0, *map(len, words)])).tolist()
+    return [text[a:b] for a, b in zip(ends, ends[1:], strict=False)], width
 
 
-def phrase_automaton(length: int):
+def phrase_automaton(length: int, most: int = LETTERS):
     """find() for repeats: confirm the windows that recur in a shard, compile an Aho-Corasick automaton of them over words and
     stream every segment through it; an occurrence of a phrase that was met before is a repeat."""
 
     def find(segs: list[bytes]):
-        texts = _letters(segs)
-        seen = Counter(x[i : i + length] for x in texts for i in range(len(x) - length + 1))
+        texts, width = _letters(segs, most)
+        size = length * width
+        seen = Counter(x[i : i + size] for x in texts for i in range(0, len(x) - size + 1, width))
         machine = ahocorasick.Automaton()
         for k, x in enumerate(x for x, n in seen.items() if n > 1):
             machine.add_word(x, k)
         del seen
-        flags = [np.zeros(max(0, len(x) - length + 1), bool) for x in texts]
+        flags = [np.zeros(max(0, len(x) // width - length + 1), bool) for x in texts]
         if len(machine):
             machine.make_automaton()
             met = bytearray(len(machine))
             for x, own in zip(texts, flags, strict=True):
                 for end, k in machine.iter(x):
                     if met[k]:
-                        own[end - length + 1] = True
+                        own[(end + 1) // width - length] = True
                     met[k] = 1
         return flags, lambda k, a: b" ".join(segs[k].split(b" ")[a : a + length])
 
