@@ -61,6 +61,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         raise ValueError("no Netpbm file")
     (w, h, top), at = _header(data, 3)
     shape = (h, w, 3) if colour else (h, w)
+    if not 0 < top < 65536:
+        raise ValueError("Netpbm: the largest value is 1 to 65535")
     n = h * w * (3 if colour else 1)
     if kind in (b"P2", b"P3"):
         out = np.array(data[at:].split()[:n], np.int64)
@@ -88,7 +90,16 @@ def decode_bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    """The samples of a file; an image of no rows or columns is an error."""
+    image = decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    if not image.size:
+        raise ValueError("an image without samples")
+    return image
+
+
+def largest_value(data: bytes) -> int:
+    """The value that stands for white."""
+    return _header(data, 3)[0][2] if data[:2] in (b"P2", b"P3", b"P5", b"P6") else 255
 
 
 def _edges(n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +157,9 @@ def describe(media: bytes) -> dict:
     """Decoded payload's size, hash and checksum, and the features of an image column's value."""
     image = decode(media)
     grey = image if image.ndim == 2 else np.round(image.mean(2)).astype(image.dtype)
-    payload = image.tobytes()
+    payload, top = image.tobytes(), largest_value(media)
+    if top != 255:
+        grey = np.minimum(grey, top) * (255 / top)
     tile = npy_tile(grey)
     dhash = difference_hash(grey)
     return {
@@ -162,7 +175,9 @@ _SQL = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes
 
 def media_features(df: DataFrame, media: str = "media") -> DataFrame:
     """doc_id and features of a binary column of Netpbm or BMP files: payload figures, dhash and tile_npy. Null media give nulls;
-    files that can't be decoded have their reason in `error`."""
+    files that can't be decoded, that end early or have no samples, have their reason in `error`. Samples count by the file's
+    largest value, so 16-bit images aren't clipped. A map over rows: repeated rows give equal rows, an empty table an empty
+    one; ties of neighbouring cells are a 0 in dhash; further columns aren't taken."""
     fields = [*_FIELDS, ("dhash", pa.string()), ("tile_npy", pa.binary()), ("error", pa.string())]
 
     def run(batches):
