@@ -1,7 +1,9 @@
 """What the operators share: the shared folder, doc keys, recurring keys and chunks of text bytes."""
 
+import hashlib
 import math
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -30,35 +32,71 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-_scratch: list[list[str]] = []
+class _Scratch(threading.local):
+    """What store() has written inside the open scratch() blocks of this thread: (path, table name or None)."""
 
+    def __init__(self):
+        self.open: list[list[tuple[str, str | None]]] = []
 
-def store(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: a cut of the lineage that survives lost executors.
 
-    Inside scratch() the table goes at its end, unless keep is set; elsewhere tables stay until the folder is cleared, as a
-    result may be read at any time.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_scratch = _Scratch()
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df, written to a path and read back: a cut of the lineage that survives lost executors."""
     df.write.parquet(path)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back.
+
+    Inside scratch() the table goes at its end; elsewhere tables stay until the folder is cleared, as a result may be read at
+    any time.
+    """
+    path = place(df.sparkSession, name)
+    out = written(df, path)
+    if _scratch.open:
+        _scratch.open[-1].append((path, None))
+    return out
+
+
+def store_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """store() as a table of the session's catalog that is bucketed and sorted by key, so that joins on the key don't shuffle it;
+    and its rows as plain files, for unions: Spark 4.1 takes a union of bucketed tables for bucketed too, but reads one after
+    the other, and would add up parts of a group by themselves."""
+    spark, path = df.sparkSession, place(df.sparkSession, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    if _scratch.open:
+        _scratch.open[-1].append((path, table))
+    return spark.table(table), spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Deletes the tables that store() writes inside it when it ends well: for results that are written inside it too."""
-    _scratch.append([])
+    """Deletes the tables that store() writes inside it when it ends well: for results that are written inside it too. Each thread
+    has its own."""
+    _scratch.open.append([])
     done = False
     try:
         yield
         done = True
     finally:
-        for path in _scratch.pop() if done else ():
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        for path, table in _scratch.open.pop() if done else ():
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            remove(spark, path)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -266,6 +304,11 @@ def word_spans(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
 
+#: Longer words (in bytes) have a cryptographic hash: sums of powers modulo 2**64 are equal for some unequal words of 1,024 letters.
+LONG = 64
+_LOWER_BYTES = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
+
+
 def hash_words(data: np.ndarray, is_word: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends) of the words of a byte array, made a piece at a time so that memory stays bounded."""
     values = _V1.copy()
@@ -279,7 +322,11 @@ def hash_words(data: np.ndarray, is_word: np.ndarray, lower: bool) -> tuple[np.n
                 end += 1
         piece = data[at:end]
         s, e = word_spans(piece, is_word)
-        out.append((Rolling(values[piece]).spans(s, e), s + at, e + at))
+        h = Rolling(values[piece]).spans(s, e)
+        for k in np.flatnonzero(e - s > LONG).tolist():
+            word = piece[s[k] : e[k]].tobytes()
+            h[k] = int.from_bytes(hashlib.blake2b(word.translate(_LOWER_BYTES) if lower else word, digest_size=8).digest(), "little")
+        out.append((h, s + at, e + at))
         at = end
     if not out:
         z = np.zeros(0, np.int64)

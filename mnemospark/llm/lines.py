@@ -1,12 +1,13 @@
 """Line dedup (7): levelled sorted runs of line hashes, compacted periodically; batches merge-anti-join the runs."""
 
 import hashlib
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD_SPACE, bitmap, document, free_name, keyed, map_met, parted, slices, store, texts_of
+from .common import LOWER, UPPER, WORD_SPACE, bitmap, document, free_name, keyed, map_met, parted, slices, store, store_bucketed, texts_of
 
 
 def line_key(line):
@@ -21,48 +22,60 @@ def key_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.withColumn("hs", F.array_distinct(F.transform(kept, lambda k: F.md5(k))))
 
 
+class Run(NamedTuple):
+    """A run as a bucketed, sorted table, and the same rows as plain files."""
+
+    table: DataFrame
+    rows: DataFrame
+
+
 class SortedRuns:
-    """Runs of (h, n): line hash and number of documents, each sorted by h and held as a table in the shared folder.
+    """Runs of (h, n): line hash and number of documents, each a table that is bucketed and sorted by h.
 
-    add() writes a new run at level 0; when a level has `fanout` runs they are merged into one run of the next level,
-    so that a hash is rewritten at most log(batches) times and a batch meets a few sorted runs. What meet() finds for hashes
-    that a run has already goes to levels of its own (`more`), compacted likewise.
+    All runs have the same buckets, so a batch meets a run bucket by bucket, in order, and only the batch's own hashes are dealt,
+    once; runs move when they are compacted. add() writes a new run at level 0; when a level has `fanout` runs they are merged
+    into one run of the next level, so that a hash is rewritten at most log(batches) times and a batch meets a few sorted runs.
+    What meet() finds for hashes that a run has already goes to levels of its own (`more`), compacted likewise.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout, self.levels, self.more = spark, fanout, [[]], [[]]
+    def __init__(self, spark: SparkSession, fanout: int = 4, buckets: int = 16):
+        self.spark, self.fanout, self.buckets = spark, fanout, buckets
+        self.levels: list[list[Run]] = [[]]
+        self.more: list[list[Run]] = [[]]
 
     def add(self, counts: DataFrame) -> None:
-        self._write(counts.select("h", "n"), 0, self.levels)
+        self._place(self._run(counts), 0, self.levels)
 
     def meet(self, counts: DataFrame) -> None:
         """Take in a batch's distinct hashes (h, n): those in no run enter as a run, the others add their counts."""
         if not any(self.levels):
             self.add(counts)
             return
-        new = store(self.unseen(counts.select("h", "n")), "new-hashes")
-        known = counts.select("h", "n").join(new.select("h").hint("merge"), "h", "left_anti")
-        self._write(known, 0, self.more)
-        self.add(new)
+        new = self._run(self.unseen(counts.select("h", "n")))
+        self._place(self._run(counts.join(new.table.select("h").hint("merge"), "h", "left_anti")), 0, self.more)
+        self._place(new, 0, self.levels)
 
-    def _write(self, rows: DataFrame, level: int, levels: list[list[DataFrame]]) -> None:
+    def _run(self, counts: DataFrame) -> Run:
+        return Run(*store_bucketed(counts.select("h", "n"), "run", "h", self.buckets))
+
+    def _place(self, run: Run, level: int, levels: list[list[Run]]) -> None:
         while len(levels) <= level:
             levels.append([])
-        levels[level].append(store(rows.repartition("h").sortWithinPartitions("h"), f"run{level}"))
+        levels[level].append(run)
         if len(levels[level]) >= self.fanout:
             self.compact(level, levels)
 
-    def compact(self, level: int, levels: list[list[DataFrame]] | None = None) -> None:
+    def compact(self, level: int, levels: list[list[Run]] | None = None) -> None:
         levels = self.levels if levels is None else levels
         merged = self.merged(levels[level])
         levels[level] = []
-        self._write(merged, level + 1, levels)
+        self._place(self._run(merged), level + 1, levels)
 
     @staticmethod
-    def merged(runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
+    def merged(runs: list[Run]) -> DataFrame:
+        rows = runs[0].rows
         for r in runs[1:]:
-            rows = rows.unionByName(r)
+            rows = rows.unionByName(r.rows)
         return rows.groupBy("h").agg(F.sum("n").alias("n"))
 
     def counts(self) -> DataFrame:
@@ -74,7 +87,7 @@ class SortedRuns:
         """rows (with column h) whose hash is in no run: a merge anti-join with each run."""
         for level in self.levels:
             for run in level:
-                rows = rows.join(run.select("h").hint("merge"), "h", "left_anti")
+                rows = rows.join(run.table.select("h").hint("merge"), "h", "left_anti")
         return rows
 
 
@@ -101,12 +114,16 @@ def _kept(min_chars: int):
     return run
 
 
-def hot_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4) -> DataFrame:
+#: Hashes of all batches for each bucket of the runs, and documents in a batch.
+BUCKET_ROWS, BATCH_DOCS = 1_000_000, 50_000_000
+
+
+def hot_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int | None = None, fanout: int = 4) -> DataFrame:
     """h of the line keys that at least min_docs doc_ids of docs have; rows without a doc_id don't count.
 
     Each batch (a hash of doc_id) has its lines counted by h with partial sums, so a line that every document has costs a
     row for each task. Only rows that repeat a doc_id are shuffled as (doc_id, h) first, to count once. The batches then meet
-    the levelled runs one by one.
+    the levelled runs one by one. Batches (4 at least) and buckets grow with the input.
     """
     spark = docs.sparkSession
     own = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
@@ -120,9 +137,10 @@ def hot_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
         rows = lines_of(some).distinct().unionByName(lines_of(rest))
     else:
         rows = lines_of(own)
+    batches = batches or max(4, -(-own.count() // BATCH_DOCS))
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch")
     counted = store(rows.select(batch, "h").groupBy("batch", "h").agg(F.count(F.lit(1)).alias("n")), "line-counts")
-    runs = SortedRuns(spark, fanout)
+    runs = SortedRuns(spark, fanout, max(16, -(-counted.count() // BUCKET_ROWS)))
     for k in range(batches):
         runs.meet(counted.where(F.col("batch") == k))
     return store(runs.counts().where(F.col("n") >= min_docs).select("h"), "hot-lines")
@@ -135,8 +153,9 @@ MAX_BROADCAST = 100_000
 def drop_lines(docs: DataFrame, hot: DataFrame, min_chars: int = 1, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """Rows of keyed docs as doc_id, tkey, n_lines, n_dropped and text without the lines whose hash is in hot.
 
-    A row for each row; null and empty texts are one empty line; null doc_ids lose hot lines too. Lines with equal keys go
-    together, so there are no ties.
+    A row for each row, repeated ones too; null and empty texts are one empty line; null doc_ids lose hot lines too. Lines with
+    equal keys go together, so there are no ties. An empty table gives an empty table, an empty hot keeps every line; texts of
+    any length are taken whole. Other columns are not taken (see keyed).
     """
     if hot.count() <= max_broadcast:
         return docs.mapInArrow(_with_known(_known(hot), min_chars), "doc_id long, tkey long, n_lines long, n_dropped long, text string")
