@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, bitmap, byte_class, document, free_name, grouped, hash_words, i64, in_bitmap, keyed, local_bitmap, map_met, parted, slices, store, texts_of
+from .common import Rolling, bitmap, byte_class, document, free_name, grouped, hash_words, i64, in_bitmap, join_docs, keyed, local_bitmap, map_met, parted, slices, store, texts_of
 
 #: Benchmark texts are broadcast up to so many bytes together. Each window takes 20 bytes of the table and at least 2 of text,
 #: so the table has at most 10 times as many. The windows of a larger benchmark are joined by shuffle.
@@ -36,7 +36,7 @@ class WindowTable:
 
     def __init__(self, items: list[tuple[str | None, bytes]], n: int):
         self.ids = [i for i, _ in items]
-        self.texts, rows = [], {}
+        self.texts, rows, self.met = [], {}, {}
         for k, (_, text) in enumerate(items):
             plain, m, h, a, b = windows(text, n)
             self.texts.append(plain)
@@ -67,8 +67,11 @@ class WindowTable:
                 first, last = np.searchsorted(keys, g[i]), np.searchsorted(keys, g[i], "right")
                 for j, x, y in zip(i.tolist(), first.tolist(), last.tolist(), strict=True):
                     found = b" ".join(joined[p:q].translate(_LOWER) for p, q in zip(s[j : j + m].tolist(), e[j : j + m].tolist(), strict=True))
-                    own = {self.ids[item[k]] for k in range(x, y) if self.texts[item[k]][lo[k] : hi[k]] == found}
-                    if own:
+                    if (m, x) not in self.met:  # the items of each text with this hash, found once
+                        same = self.met[m, x] = {}
+                        for k in range(x, y):
+                            same.setdefault(self.texts[item[k]][lo[k] : hi[k]], set()).add(self.ids[item[k]])
+                    if own := self.met[m, x].get(found):
                         d = int(doc[j])
                         at.setdefault(d, []).append({"s": j - int(bounds[d]), "e": j - int(bounds[d]) + m})
                         got.setdefault(d, set()).update(own)
@@ -143,14 +146,23 @@ def _doc_windows(lengths: list[int], shared):
 
 def _joined(docs: DataFrame, test: DataFrame, n: int) -> DataFrame:
     """(doc_id, tkey, hits, items of structs) of the keyed docs with a hit, for a benchmark of any size: windows are joined by
-    their hash and words. A bitmap of the benchmark's windows (its size is checked) keeps other windows out of the shuffle."""
+    their hash and words. A bitmap of the benchmark's windows (its size is checked) keeps other windows out of the shuffle.
+
+    Equal windows of several items are one for the documents' windows. A document then has each of its windows once, whatever
+    their number of occurrences, and of an item that it shares several windows with one row is kept.
+    """
     own = store(test.mapInArrow(_test_windows(n), "m int, h long, w binary, i string").distinct(), "test-windows")
+    each = own.groupBy("m", "h", "w").agg(F.count(F.lit(1)).alias("items"), F.first("i").alias("i"))
     lengths = sorted(r["m"] for r in own.select("m").distinct().toLocalIterator())  # n values at most
     bits = bitmap(own.select(F.col("h").alias("a")).distinct())
     shared = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
-    found = docs.mapInArrow(_doc_windows(lengths, shared), "doc_id long, tkey long, m int, h long, w binary, s int").join(own, ["m", "h", "w"])
-    spans = F.collect_set(F.struct("s", (F.col("s") + F.col("m")).alias("e"))).alias("hits")
-    return store(found.groupBy("doc_id", "tkey").agg(spans, F.collect_set(F.struct("i")).alias("items")), "leaks")
+    found = docs.mapInArrow(_doc_windows(lengths, shared), "doc_id long, tkey long, m int, h long, w binary, s int").join(each, ["m", "h", "w"])
+    found = store(found, "window-hits")
+    hits = found.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("s", (F.col("s") + F.col("m")).alias("e"))).alias("hits"))
+    lone = found.where("items = 1").select("doc_id", "tkey", "i")
+    several = found.where("items > 1").select("doc_id", "tkey", "m", "h", "w").distinct().join(own, ["m", "h", "w"]).select("doc_id", "tkey", "i")
+    items = lone.unionByName(several).groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("i")).alias("items"))
+    return store(join_docs(hits, items), "leaks")
 
 
 def _test(benchmark: DataFrame) -> tuple[DataFrame, int]:
@@ -168,7 +180,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: in
 
     Up to max_bytes of benchmark text the table of windows is broadcast and docs are scanned in one pass; beyond it windows
     are joined by shuffle. Both ways give the same rows. Items with a null id are searched too; their id is a null in items.
-    Null and empty texts have no words; items without words are never found; an empty benchmark finds nothing.
+    Null and empty texts have no words; items without words are never found; an empty benchmark finds nothing. Repeated rows are
+    judged alike, texts of any length are scanned whole, in bounded pieces; ids of items are in order; further columns aren't taken.
     """
     test, total = _test(benchmark)
     docs = docs.select("doc_id", "tkey", "text")
