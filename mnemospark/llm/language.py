@@ -193,7 +193,8 @@ def _predicted(shared):
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, tkey, lang_pred and score of keyed docs' whole texts; 'und' with score 0 if a text is null or has no letter.
 
-    Without training rows every document is 'und'.
+    Without training rows every document is 'und'. A map over rows: repeated rows give equal rows, an empty table an empty one,
+    and texts of any length count whole. Of labels that tie the first in order is taken; further columns aren't.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "tkey", "text").mapInArrow(_predicted(shared), "doc_id long, tkey long, lang_pred string, score double")

@@ -294,7 +294,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def round_trips(docs: DataFrame, path: str | None = None, algorithm: str = "auto") -> DataFrame:
     """doc_id, n_bytes, n_tokens, ids_sha256 (little-endian int32), decoded_sha256, round_trip of each whole text.
 
-    U+2581 stands for a space in pieces, so it decodes to a space; round_trip allows that and nothing else.
+    U+2581 stands for a space in pieces, so it decodes to a space; round_trip allows that and nothing else. A map over rows, as
+    encode_checked: null and empty texts have no ids, repeated rows give equal rows, an empty table an empty one, texts and words
+    of any length are encoded whole, and further columns aren't taken.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_encoded(path or model_path(), algorithm, False), "doc_id long, n_bytes long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

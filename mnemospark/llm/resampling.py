@@ -116,8 +116,9 @@ def resample(docs: DataFrame, target_ids: DataFrame, share: float = 0.3, seed: i
     The weight of a document is the ratio of its n-grams' probabilities in target and raw text; adding Gumbel noise (from a
     hash of seed, doc_id and text, so repeated rows are drawn alike) and taking the largest keys draws in proportion to it.
     All rows that tie with the last key are selected. Null and empty texts have weight 1 (log 0). Repeated rows each give a row
-    with the same key, so they are selected together. An empty table gives an empty table, an empty target weights of 1 at
-    most; texts are counted whole, in bounded pieces. Other columns are not taken.
+    with the same key, so they are selected together. An empty table gives an empty table; with an empty target every n-gram is as
+    likely as any other in it, so documents of rare n-grams weigh more. Texts are counted whole, in bounded pieces. Other
+    columns are not taken.
     """
     base = keyed(docs)
     shared = docs.sparkSession.sparkContext.broadcast(log_ratios(base, target_ids))

@@ -86,6 +86,71 @@ def test_suffix_array_dedup(spark, block, hot):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["doc_id"]], r["doc_id"]
 
 
+@pytest.mark.parametrize("most", [0, 1, 3])
+def test_more_hot_anchors_than_are_broadcast(spark, monkeypatch, most):
+    """Beyond MAX_HOT anchors the others' salts are joined; shards stay as small, and rows are the same."""
+    monkeypatch.setattr(repeats, "MAX_HOT", max(most, 1) if most else 1)
+    rows = [*sample(), *((500 + i, sample()[3][1]) for i in range(25))]
+    docs = ordered(rows)
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t) for _, t in docs]
+    want = {d: sum(g) for (d, _), g in zip(docs, brute_spans(split, 20), strict=True)}
+    base = keyed(table(spark, rows))
+    dealt = []
+    kept = repeats._dealt
+    monkeypatch.setattr(repeats, "_dealt", lambda found, hot, n: dealt.append(hot.count()) or kept(found, hot, n))
+    spans = substrings.repeated_words(base, 20, 4, 3)
+    got = substrings.map_met(base, spans, substrings._kept, "doc_id long, tkey long, n_words long, n_removed long, text string").collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == want and dealt and dealt[0] > 0
+
+
+def test_a_shard_of_very_many_distinct_words():
+    """More distinct words than there are code points."""
+    n = 40_000
+    segs = [" ".join(f"w{30 * i + k}" for k in range(30)).encode() for i in range(n)] + [b"x " + b" ".join(b"w%d" % k for k in range(25)), b"y z"]
+    texts, width = substrings._letters(segs)
+    assert width == 2 and len(set("".join(texts))) < 1_114_112
+    flags, window = substrings.phrase_automaton(20)(segs)
+    assert [len(x) for x in flags[-2:]] == [7, 0] and flags[-2].tolist() == [False] + [True] * 6 and not any(x.any() for x in flags[:n])
+    assert window(n, 1) == b" ".join(b"w%d" % k for k in range(20))
+
+
+@pytest.mark.parametrize("most", [4, 6, 10, 1000])
+def test_automata_with_one_and_two_letters_a_word(most):
+    r = random.Random(7)
+    segs = [b" ".join(b"v%d" % r.randrange(6) for _ in range(r.randrange(1, 40))) for _ in range(60)]
+    want = brute_spans([x.split() for x in segs], 3)
+    flags, _ = substrings.phrase_automaton(3, most)(segs)
+    for x, f, w in zip(segs, flags, want, strict=True):
+        n, gone = len(x.split()), [False] * len(x.split())
+        for i in np.flatnonzero(f).tolist():
+            gone[i : i + 3] = [True] * 3
+        assert gone == w and len(f) == max(0, n - 2)
+
+
+def test_long_unlike_words_have_unlike_hashes(spark):
+    """Words in the order of Thue and Morse and their complements: sums of powers modulo 2**64 can't tell them apart."""
+    from mnemospark.llm.common import byte_class, hash_words
+
+    for n in (64, 256, 1024, 4096):
+        word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+        other = word.translate(str.maketrans("ab", "ba"))
+        data = np.frombuffer(f"{word} {other} {word.upper()}".encode(), np.uint8)
+        h = hash_words(data, byte_class("space"), lower=True)[0]
+        assert h[0] == h[2] != h[1]
+    rows = [(1, word), (2, other), (3, word.upper())]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(table(spark, rows), k=3, percent=90).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_media_without_samples_and_of_16_bits(spark):
+    files = [b"P5\n0 3\n255\n", b"P5\n3 0\n255\n", b"P6\n0 0\n255\n", b"BM" + bytes(200), b"P5\n2 2\n0\n" + bytes(4), b"P5\n9 9\n255\nshort", b"P5\n2 2\n65535\n" + (300).to_bytes(2, "big") * 4, b"P2\n2 1\n15\n15 0\n", None, b""]
+    df = spark.createDataFrame([(i, bytearray(x) if x is not None else None, "x") for i, x in enumerate(files)], "doc_id long, media binary, error string")
+    got = {r["doc_id"]: r for r in media.media_features(df).collect()}
+    assert all(got[i]["error"] for i in (0, 1, 2, 3, 4, 5, 9)) and got[8]["error"] is None and got[8]["feature"] is None
+    tile = lambda i: np.load(io.BytesIO(got[i]["tile_npy"]))
+    assert (tile(6) == 1).all() and tile(7)[0, 0] == 255 and tile(7)[0, -1] == 0
+
+
 def test_longest_previous_factor():
     r = random.Random(2)
     for text in [b"", b"a", b"aaaa", b"abracadabra", *(bytes(r.choice(b"ab") for _ in range(60)) for _ in range(20))]:
@@ -204,10 +269,21 @@ def test_lines_count_doc_ids_and_batches_meet_the_runs(spark, monkeypatch):
     for k in range(5):
         runs.meet(spark.createDataFrame([("a", 1), ("b" if k % 2 else "c", 2), (f"d{k}", 3)], "h string, n long"))
     assert {r["h"]: r["n"] for r in runs.counts().collect()} == {"a": 5, "b": 4, "c": 6} | {f"d{k}": 3 for k in range(5)}
-    rows = [r for level in runs.levels for run in level for r in run.collect()]
+    rows = [r for level in runs.levels for run in level for r in run.table.collect()]
     assert len(rows) == len({r["h"] for r in rows}) == 8
 
 
+def test_a_batch_meets_a_run_without_shuffling_it(spark):
+    runs = lines.SortedRuns(spark, fanout=4, buckets=8)
+    rows = spark.range(1000).select(F.md5(F.col("id").cast("string")).alias("h"), F.lit(1).cast("long").alias("n"))
+    runs.meet(rows.where("n > 0"))
+    runs.meet(rows.limit(500))
+    plan = runs.unseen(rows)._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "Bucketed: true" in x]
+    assert len(scans) == sum(map(len, runs.levels)) and all("8 out of 8" in x for x in scans)
+    assert plan.count("Exchange hashpartitioning(h") == 1  # the batch's own
+
+
 def test_sorted_runs_compact_and_anti_join(spark):
     runs = lines.SortedRuns(spark, fanout=2)
     kept = []
@@ -510,6 +586,17 @@ def test_leaks_are_equal_however_large_the_benchmark_is(spark):
     assert any(None in x["items"] for x in small)
 
 
+def test_windows_that_many_items_and_documents_share(spark):
+    shared = " ".join(f"s{i}" for i in range(14))
+    items = [(i, f"{shared} own{i}") for i in range(30)] + [(i, f"only {i} " + " ".join(f"w{i}x{k}" for k in range(12))) for i in range(30, 34)]
+    rows = [(i, f"a{i} {shared} {shared} b{i}") for i in range(40)] + [(50, items[31][1]), (51, None)]
+    test = spark.createDataFrame(items, "item_id long, text string")
+    got = [sorted(map(str, decontaminate.report(decontaminate.find_leaks(keyed(table(spark, rows)), test, 10, limit)).collect())) for limit in (1 << 20, 0)]
+    assert got[0] == got[1]
+    by_id = {r["doc_id"]: r for r in decontaminate.report(decontaminate.find_leaks(keyed(table(spark, rows)), test, 10, 0)).collect()}
+    assert by_id[0]["n_items"] == 30 and by_id[0]["n_hit"] == 28 and by_id[50]["n_items"] == 1 and by_id[51]["n_items"] == 0
+
+
 def test_wide_words_are_encoded_whole(spark):
     import sentencepiece
 
@@ -575,8 +662,18 @@ def test_scratch_tables_go(spark):
     folder = common.shared_dir(spark).removeprefix("file:")
     before = set(os.listdir(folder))
     with common.scratch(spark):
-        kept = common.store(common.store(spark.range(5), "one").where("id > 1"), "two", keep=True)
+        bucketed, _ = common.store_bucketed(common.store(spark.range(5), "one"), "three", "id", 2)
+        kept = common.written(bucketed.where("id > 1"), common.place(spark, "two"))
     assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["two"] and kept.count() == 3
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("three")]
+    # another thread's tables are its own
+    import threading
+
+    with common.scratch(spark):
+        other = threading.Thread(target=lambda: common.store(spark.range(1), "apart"))
+        other.start()
+        other.join()
+    assert [x for x in os.listdir(folder) if x.startswith("apart")]
 
 
 @pytest.mark.parametrize("few", [0, 10, 100_000])
