@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from mnemospark.llm import decontaminate, jaccard, language, lines, pieces
-from mnemospark.llm.common import scratch, store
+from mnemospark.llm.common import place, remove, scratch, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +44,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Each stage's own tables are deleted when its result is written.
+    """The last stage's rows. Each stage's own tables are deleted when its result is written, and its result when the next one's
+    is; the last stage's input stays, as its rows are read from it.
 
     Every stage takes null, empty and very long texts, repeated rows, empty tables and further columns: language_id drops null
     and letterless texts, the others keep rows without words; repeated rows are judged alike, and ties go to the least doc_id.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
+        path = place(spark, name)
         with scratch(spark):
-            docs = store(stage(spark, docs, sf_dir), name, keep=True)
+            docs = written(stage(spark, docs, sf_dir), path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
