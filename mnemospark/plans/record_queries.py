@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..operators import clean, curate, entities, index, report, search, segments, temporal
+from ..operators import clean, curate, entities, index, report, search, segments, temporal, topk
 from ..operators import vectors as cells
 from . import fixtures as X
 from . import jobs
@@ -550,6 +550,24 @@ def c01o(s, d):
     return rows
 
 
+DERIVED = f"""{C1}, fc AS (SELECT entity, count(*) AS n FROM entx JOIN cu ON cu.mid = entx.mid WHERE mtype = 'fact' GROUP BY entity), ls AS (SELECT entity, max(created_s) AS last_s FROM entx JOIN ve ON ve.mid = entx.mid WHERE mtype = 'summary' GROUP BY entity), en AS (SELECT entity, mtype, ac.mid FROM entx JOIN ac ON ac.mid = entx.mid)
+SELECT 'summaries' AS part, fc.entity AS key, CAST(0 AS BIGINT) AS mid, n FROM fc LEFT JOIN ls ON ls.entity = fc.entity WHERE (last_s IS NULL AND n >= 3) OR (n >= 8 AND floor(({AS} - last_s) / 86400.0) >= 7)
+UNION ALL SELECT 'profiles', entity || ' ' || mtype, mid, count(*) FILTER (WHERE mtype IN ('fact', 'belief')) OVER (PARTITION BY entity) FROM en
+UNION ALL SELECT 'relations', entity || ' ' || mtype, mid, 0 FROM en
+UNION ALL SELECT 'postings', unnest({KEYS.format('content')}), mid, 0 FROM ac
+UNION ALL SELECT 'rankings', '', mid, row_number() OVER (ORDER BY score DESC, mid) AS n FROM ac QUALIFY n <= 50"""
+
+
+@q("c01_derived", DERIVED)
+def c01r(s, d):
+    out = consolidated(s, d)
+    row = lambda df, part, key, mid, n: df.select(LIT(part).alias("part"), key.alias("key"), mid.cast("long").alias("mid"), n.cast("long").alias("n"))
+    typed = F.concat_ws(" ", "entity", "mtype")
+    rows = row(out.summaries, "summaries", C("entity"), LIT(0), C("n_facts"))
+    rows = rows.unionByName(row(out.profiles, "profiles", typed, C("mid"), C("n"))).unionByName(row(out.relations, "relations", typed, C("mid"), LIT(0)))
+    return rows.unionByName(row(out.postings, "postings", C("term"), C("mid"), LIT(0))).unionByName(row(out.rankings, "rankings", LIT(""), C("mid"), C("rank")))
+
+
 @q("x02_known_facts", f"{EX}, {NW}, {VER} SELECT nw.mid, coalesce(verdict, 'unchanged') AS verdict, b AS fact FROM nw LEFT JOIN vf ON vf.a = nw.mid WHERE nw.mtype = 'belief'")
 def x02(s, d):
     m = X.memx(s, d).withColumn("ord", C("mid"))
@@ -648,6 +666,27 @@ def g05(s, d):
     return search.vector_channel(v.where("vec_id % 20 = 0").select(C("vec_id").alias("qid"), C("embedding").alias("qv")), v.select(C("vec_id").alias("mid"), C("embedding").alias("v")), 10, digits=6)
 
 
+@q("j01_early_stop", f"{KW}, {TOPN('k', 'kw', 20)} SELECT qid, mid, CAST(score AS BIGINT) AS score, pos FROM k")
+def j01e(s, d):
+    found = topk.search(topk.keyword_weights(X.qry(s, d)), topk.build(topk.keyword_parts(posts(s, d))), 20).results
+    return found.select("qid", "mid", C("score").cast("long").alias("score"), "pos")
+
+
+O["g03_early_stop"], O["g04_early_stop"] = O["g03_tfidf_search"], O["g04_bm25_search"]
+
+
+@q("g03_early_stop")
+def g03e(s, d):
+    found = topk.search(topk.tfidf_terms(X.qry(s, d)), topk.build(topk.tfidf_parts(X.mem(s, d))), 10).results
+    return found.select("qid", "mid", "pos", F.round("score", 9).alias("score"))
+
+
+@q("g04_early_stop")
+def g04e(s, d):
+    found = topk.search(topk.bm25_terms(X.qry(s, d)), topk.build(topk.bm25_parts(X.mem(s, d))), 10).results
+    return found.select("qid", "mid", "pos", F.round("score", 9).alias("score"))
+
+
 def vectors(s, d):
     v = X.table(s, d, "embeddings")
     kind = F.when(C("vec_id") % 3 == 0, "fact").otherwise("belief")

@@ -124,12 +124,12 @@ def s09(s, d):
     return io.migrate_files(s, paths)[1]
 
 
-@q("s10_dual_write", "SELECT 'json' AS store, count(*) AS n FROM ent UNION ALL SELECT 'parquet', count(*) FROM ent")
+@q("s10_dual_write", "SELECT 'json' AS store, mid, entity FROM ent UNION ALL SELECT 'parquet', mid, entity FROM ent")
 def s10(s, d):
     a, b = io.shared_path(s, "json"), io.shared_path(s, "parquet")
     io.dual_write(X.ent(s, d), a, b)
-    count = lambda df, name: df.agg(F.count(LIT(1)).alias("n")).select(LIT(name).alias("store"), "n")
-    return count(s.read.schema("mid long, entity string").json(a), "json").unionByName(count(s.read.parquet(b), "parquet"))
+    rows = lambda df, name: df.select(LIT(name).alias("store"), "mid", "entity")
+    return rows(s.read.schema("mid long, entity string").json(a), "json").unionByName(rows(s.read.parquet(b), "parquet"))
 
 
 @q("s16_s17_sinks", "SELECT mid, entity FROM ent")
@@ -139,4 +139,13 @@ def s17(s, d):
     return s.read.parquet(path).select("mid", "entity")
 
 
+@q("s17_bucketed_tables", "SELECT a.mid, b.mid AS other, a.entity FROM ent a JOIN ent b ON a.entity = b.entity AND b.mid = a.mid + 1")
+def s17b(s, d):
+    import uuid
+
+    links = io.write_bucketed(X.ent(s, d), f"links_{uuid.uuid4().hex}", "entity", 16)
+    other = links.select("entity", C("mid").alias("other"))
+    return links.join(other, "entity").where("other = mid + 1").select("mid", "other", "entity")
+
+
 __all__ = ["Q"]

@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.operators import curate, entities, index, search, segments, temporal, vectors
+from mnemospark.functions.text import entity_similarity
+from mnemospark.operators import curate, entities, index, search, segments, temporal, topk, vectors
 from mnemospark.plans import fixtures as X
 from mnemospark.plans import rule_queries, stream_queries
 from mnemospark.sources import io, versions
@@ -196,6 +197,29 @@ def test_vector_index_of_few_or_no_vectors(spark):
     assert vectors.search(asked.limit(0), vectors.build(df, 4), 10, 2).count() == 0
 
 
+def test_early_stop_gives_the_same_rows_from_fewer_postings(spark):
+    r = random.Random(2)
+    common, rare = ["the", "and", "with"], [f"r{i}" for i in range(60)]
+    rows = [(i, " ".join(r.choice(common) for _ in range(r.randrange(1, 9))) + " " + " ".join(r.choices(rare, k=r.randrange(0, 4)))) for i in range(3000)]
+    m = spark.createDataFrame(rows, "mid long, content string")
+    ask = spark.createDataFrame([(1, "the r1 r2"), (2, "and with r5 r5 r9"), (3, "r7"), (4, "the and with"), (5, "unheard"), (6, "")], "qid long, query string")
+    forms = [(topk.bm25_parts(m), topk.bm25_terms(ask), search.bm25_channel(ask, m)), (topk.tfidf_parts(m), topk.tfidf_terms(ask), search.tfidf_channel(ask, m))]
+    line = lambda x: (x["qid"], x["pos"], x["mid"], round(x["score"], 9))
+    for parts, terms, channel in forms:
+        built = topk.build(parts, block=32)
+        found = topk.search(terms, built, 10)
+        assert sorted(map(line, found.results.collect())) == sorted(map(line, search.top(channel, 10).collect()))
+        some = terms.where("qid < 4")  # of common terms alone everything must be read; a rarer one lets their tails go
+        all_met = some.join(built.postings, "term").count()
+        read = topk.search(some, built, 10).read
+        assert 0 < read < 0.5 * all_met, (read, all_met)
+        assert built.blocks.agg(F.max("n")).first()[0] < 4 * 32 and built.blocks.agg(F.sum("n")).first()[0] == built.postings.count()
+    keys = topk.build(topk.keyword_parts(index.postings(m)), block=32)
+    asked = topk.keyword_weights(ask)
+    assert sorted(map(line, topk.search(asked, keys, 10).results.collect())) == sorted(map(line, search.top(search.keyword_channel(ask, index.postings(m)), 10).collect()))
+    assert topk.search(asked.limit(0), keys, 10).results.count() == 0 and topk.search(asked, topk.build(topk.keyword_parts(index.postings(m.limit(0)))), 10).results.count() == 0
+
+
 def test_bucketed_tables_join_without_an_exchange(spark):
     posts = io.write_bucketed(index.postings(X.mem(spark, D)), "postings_by_term", "term", 8)
     links = io.write_bucketed(X.ent(spark, D), "links_by_entity", "entity", 8)
@@ -293,3 +317,22 @@ def test_upserted_records_get_defaults_and_their_own_children(spark):
     out = io.upsert_records(stored_, new, {"entities": links}, {"entities": "entity"}, {"importance": 0.5})
     assert {x["mid"]: (x["content"], x["importance"], x["state"]) for x in out.records.collect()} == {1: ("a", 0.9, 1), 2: ("c", 0.5, 0), 3: ("d", 0.2, 0)}
     assert sorted(map(tuple, out.children["entities"].collect())) == [(1, "p"), (2, "x")]
+
+
+def test_few_of_the_like_names_are_compared(spark):
+    """A tenth of what the join on lengths compares, with the same pairs."""
+    names = [r["entity"] for r in X.ent(spark, "/root/testdata/sf0.01").select("entity").distinct().collect()]
+    few, every = spark.createDataFrame([(x,) for x in sorted(names)[::8]], "q string"), spark.createDataFrame([(x,) for x in names], "e string")
+    compared = entities.near_names(few, every, 0.5).count()
+    by_length = sum(min(len(a), len(b)) >= 0.5 * max(len(a), len(b)) for a in sorted(names)[::8] for b in names if a != b)
+    assert compared < 0.1 * by_length, (compared, by_length)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.6, 0.8])
+def test_like_names_are_all_found(spark, threshold):
+    r = random.Random(4)
+    names = sorted({"".join(r.choice("abA_日") for _ in range(r.randrange(0, 9))) for _ in range(120)} | {"a", "", "projekt_1", "projekt_22", "projekt"})
+    df = lambda c: spark.createDataFrame([(x,) for x in names], f"{c} string")
+    pairs = df("q").crossJoin(df("e")).where("q <> e").withColumn("s", entity_similarity(F.col("q"), F.col("e"))).where(F.col("s") >= threshold).where("q <> '' AND e <> ''")
+    got = entities.similar_pairs(df("q"), df("e"), threshold)
+    assert sorted((x["q"], x["e"], round(x["similarity"], 9)) for x in got.collect()) == sorted((x["q"], x["e"], round(x["s"], 9)) for x in pairs.collect())
