@@ -82,8 +82,9 @@ def token_pairs(new: DataFrame, old: DataFrame, links: DataFrame, least: float,
     """(a, b) of token sets (mid, tokens) that share an entity and may share `least` of what they hold together (of='union'), of
     new's tokens ('new') or of the smaller set's ('smaller').
 
-    Records meet on entity and token. Tokens stand by how rare they are among the entity's records, and a pair meets only on a
-    token that leaves enough places after it on both sides to reach the share (its first common token always does). An entity
+    Records meet on entity and token, by classes of size (powers of two). Tokens stand by how rare they are among the entity's
+    records, and a pair meets only on a token that leaves enough places after it on both sides to reach the share (its first
+    common token always does); the classes bound the share before the join, so common tokens mostly don't enter it. An entity
     whose records would meet more often by token than as whole lists meets by itself, so there are never more meetings than
     pairs of an entity. The placed tokens are written once to the shared folder.
     """
@@ -95,18 +96,28 @@ def token_pairs(new: DataFrame, old: DataFrame, links: DataFrame, least: float,
     common = both.groupBy("entity", "w").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("side", "mid", "entity").orderBy("df", "w")
     placed = both.join(common, ["entity", "w"]).withColumn("i", F.row_number().over(order))
-    own = {"union": F.ceil(F.col("n") * least - 1e-9), "new": F.when(F.col("side") == 0, F.ceil(F.col("n") * least - 1e-9)).otherwise(1), "smaller": F.lit(1)}[of]
-    placed = stored(placed.where(F.col("i") <= F.col("n") - F.greatest(own, F.lit(1)) + 1).select("side", "mid", "n", "entity", "w", "i"), "placed")
-    at = lambda side, first=False: F.count_if((F.col("side") == side) & ((F.col("i") == 1) | F.lit(not first)))
-    meets = placed.groupBy("entity", "w").agg(at(0).alias("ca"), at(1).alias("cb"), at(0, True).alias("fa"), at(1, True).alias("fb"))
-    whole = meets.groupBy("entity").agg((F.sum(F.col("ca") * F.col("cb")) > F.sum("fa") * F.sum("fb")).alias("whole"))
-    rows = placed.join(meets.join(whole, "entity").where("ca > 0 AND cb > 0 OR whole").select("entity", "w", "whole"), ["entity", "w"])
-    a = rows.where("side = 0").select("entity", "w", "whole", F.col("mid").alias("a"), F.col("n").alias("n_a"), F.col("i").alias("i_a"))
-    b = rows.where("side = 1").select("entity", "w", "whole", F.col("mid").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"))
+    placed = stored(placed.select("side", "mid", "n", "entity", "w", "i"), "placed")
+    classes = (placed.agg(F.max("n")).first()[0] or 1).bit_length()
+    low, first = F.call_function("shiftleft", F.lit(1), F.col("other")), F.col("side") == 0
+    own = {
+        "union": F.greatest(F.col("n") * least, (F.col("n") + low) * (least / (1 + least))), "new": F.when(first, F.col("n") * least).otherwise(low * least),
+        "smaller": F.least(F.col("n"), low) * least,
+    }[of]
+    rows = placed.withColumn("c", F.length(F.bin("n")) - 1).withColumn("other", F.explode(F.array(*map(F.lit, range(classes)))))
+    rows = rows.where(F.col("i") <= F.col("n") - F.greatest(F.ceil(own - 1e-9), F.lit(1)) + 1)
+    rows = rows.withColumn("ca", F.when(first, F.col("c")).otherwise(F.col("other"))).withColumn("cb", F.when(first, F.col("other")).otherwise(F.col("c")))
+    key = ["entity", "w", "ca", "cb"]
+    meets = rows.groupBy(*key).agg(F.count_if(F.col("side") == 0).alias("ra"), F.count_if(F.col("side") == 1).alias("rb")).where("ra > 0 AND rb > 0")
+    heads = placed.where("i = 1").groupBy("entity").agg((F.count_if(F.col("side") == 0) * F.count_if(F.col("side") == 1)).alias("pairs"))
+    whole = stored(meets.groupBy("entity").agg(F.sum(F.col("ra") * F.col("rb")).alias("met")).join(heads, "entity").select("entity", (F.col("met") > F.col("pairs")).alias("whole")), "by-entity")
+    rows = rows.join(meets.join(whole.where("NOT whole"), "entity").select(key), key)
+    a = rows.where("side = 0").select(*key, F.col("mid").alias("a"), F.col("n").alias("n_a"), F.col("i").alias("i_a"))
+    b = rows.where("side = 1").select(*key, F.col("mid").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"))
     need = _need(least, of, F.col("n_a"), F.col("n_b"))
-    by_token = a.where("NOT whole").drop("whole").join(b.where("NOT whole").drop("whole"), ["entity", "w"]).where(F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) + 1 >= need)
-    lists = [x.where("whole AND i_%s = 1" % k).drop("whole", "w", f"i_{k}") for x, k in ((a, "a"), (b, "b"))]
-    by_entity = lists[0].join(lists[1], "entity").where(F.least("n_a", "n_b") >= need)
+    by_token = a.join(b, key).where(F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) + 1 >= need)
+    lists = placed.where("i = 1").join(whole.where("whole"), "entity", "left_semi")
+    left, right = (lists.where(F.col("side") == i).select("entity", F.col("mid").alias(k), F.col("n").alias(f"n_{k}")) for i, k in enumerate("ab"))
+    by_entity = left.join(right, "entity").where(F.least("n_a", "n_b") >= need)
     return by_token.select("a", "b").unionByName(by_entity.select("a", "b")).distinct()
 
 

@@ -34,7 +34,18 @@ def test_token_pairs_miss_none(spark, of, least, hot):
     size = {"union": lambda x, y: len(x | y), "new": lambda x, y: len(x), "smaller": lambda x, y: min(len(x), len(y))}[of]
     near = [(i, j) for i, j in itertools.product(a, b) if names[i] & names[j]]
     want = {(i, j) for i, j in near if len(a[i] & b[j]) >= least * size(a[i], b[j])}
-    assert want <= got <= set(near) and len(rows) == len(got) < len(near)
+    assert want <= got <= set(near) and len(rows) == len(got)
+    assert of != "union" or len(got) < len(near)
+
+
+@pytest.mark.parametrize(("of", "least"), [("union", 0.7), ("new", 0.3), ("smaller", 0.3)])
+def test_an_entity_in_every_record_makes_few_pairs(spark, of, least):
+    r = random.Random(3)
+    sets = {i: {f"w{r.randrange(400)}" for _ in range(8)} | {"the", "of"} for i in range(160)}
+    df = lambda keep: spark.createDataFrame([(i, sorted(s)) for i, s in sets.items() if keep(i)], "mid long, tokens array<string>")
+    links = spark.createDataFrame([(i, "all") for i in sets], "mid long, entity string")
+    n = curate.token_pairs(df(lambda i: i < 80), df(lambda i: i >= 80), links, least, of).count()
+    assert n < 0.3 * 80 * 80
 
 
 def test_contained_pairs(spark):
