@@ -78,10 +78,55 @@ def _need(least: float, of: str, a: Column, b: Column) -> Column:
     return F.greatest(F.ceil(share - 1e-9), F.lit(1))
 
 
-def token_pairs(new: DataFrame, old: DataFrame, links: DataFrame, least: float, of: str = "union") -> DataFrame:
+def _by_token(new: DataFrame, old: DataFrame, least: float) -> DataFrame:
+    """(a, b) of token sets that may share `least` of their union: they meet on one of the first n - ceil(least * n) + 1 tokens of
+    both, rare ones first, that leaves enough places after it."""
+    rows = [df.select("mid", F.size("tokens").alias("n"), F.explode("tokens").alias("w")) for df in (new, old)]
+    common = rows[0].select("w").unionByName(rows[1].select("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+
+    def first(r: DataFrame, key: str) -> DataFrame:
+        order = F.array_sort(F.collect_list(F.struct("df", "w")))
+        size = (F.col("n") - F.greatest(F.ceil(F.col("n") * least - 1e-9), F.lit(1)) + 1).cast("int")
+        cut = r.join(common, "w").groupBy("mid", "n").agg(order.alias("o")).select("mid", "n", F.posexplode(F.slice("o", F.lit(1), size)).alias("i", "x"))
+        return cut.select(F.col("mid").alias(key), F.col("n").alias(f"n_{key}"), (F.col("i") + 1).alias(f"i_{key}"), "x.w")
+
+    need = _need(least, "union", F.col("n_a"), F.col("n_b"))
+    met = first(rows[0], "a").join(first(rows[1], "b"), "w").where(F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) + 1 >= need)
+    return met.select("a", "b").distinct()
+
+
+#: An entity of more records than this on both sides is met by token.
+FEW = 32
+
+
+def token_pairs(new: DataFrame, old: DataFrame, links: DataFrame, least: float, of: str = "union", few: int = FEW) -> DataFrame:
     """(a, b) of token sets (mid, tokens) that share an entity and may share `least` of what they hold together (of='union'), of
     new's tokens ('new') or of the smaller set's ('smaller').
 
+    A share of the union leaves few tokens to meet on, so rare tokens come first and entities are held against each other after.
+    The other shares leave most tokens: there records meet on the entity, and those of an entity that more than `few` records
+    on both sides have meet on entity and token (see _hot_pairs), so an entity in every record makes few pairs.
+    """
+    names = links.select("mid", "entity")
+    if of == "union":
+        pairs = _by_token(new, old, least)
+        both = pairs.join(names.withColumnRenamed("mid", "a"), "a").join(names.withColumnRenamed("mid", "b"), ["b", "entity"])
+        return both.select("a", "b").distinct()
+    left, right = (df.where(F.size("tokens") > 0).select(F.col("mid").alias(k), F.size("tokens").alias(f"n_{k}")).join(names.withColumnRenamed("mid", k), k) for k, df in (("a", new), ("b", old)))
+    counts = left.groupBy("entity").agg(F.count(F.lit(1)).alias("na")).join(right.groupBy("entity").agg(F.count(F.lit(1)).alias("nb")), "entity")
+    counts = stored(counts.withColumn("hot", F.least("na", "nb") > few).select("entity", "hot"), "entities")
+    cold = counts.where("NOT hot").select("entity")
+    need = _need(least, of, F.col("n_a"), F.col("n_b"))
+    pairs = left.join(cold, "entity").join(right, "entity").where(F.least("n_a", "n_b") >= need).select("a", "b")
+    hot = counts.where("hot").select("entity")
+    if not hot.isEmpty():
+        pairs = pairs.unionByName(_hot_pairs(new, old, names.join(hot, "entity", "left_semi"), least, of))
+    return pairs.distinct()
+
+
+def _hot_pairs(new: DataFrame, old: DataFrame, links: DataFrame, least: float, of: str) -> DataFrame:
+    """The pairs of token_pairs for entities of many records.
+
     Records meet on entity and token, by classes of size (powers of two). Tokens stand by how rare they are among the entity's
     records, and a pair meets only on a token that leaves enough places after it on both sides to reach the share (its first
     common token always does); the classes bound the share before the join, so common tokens mostly don't enter it. An entity
@@ -100,9 +145,9 @@ def token_pairs(new: DataFrame, old: DataFrame, links: DataFrame, least: float,
     classes = (placed.agg(F.max("n")).first()[0] or 1).bit_length()
     low, first = F.call_function("shiftleft", F.lit(1), F.col("other")), F.col("side") == 0
     own = {
-        "union": F.greatest(F.col("n") * least, (F.col("n") + low) * (least / (1 + least))), "new": F.when(first, F.col("n") * least).otherwise(low * least),
+        "new": F.when(first, F.col("n") * least).otherwise(low * least),
         "smaller": F.least(F.col("n"), low) * least,
-    }[of]
+    }[of]
     rows = placed.withColumn("c", F.length(F.bin("n")) - 1).withColumn("other", F.explode(F.array(*map(F.lit, range(classes)))))
     rows = rows.where(F.col("i") <= F.col("n") - F.greatest(F.ceil(own - 1e-9), F.lit(1)) + 1)
     rows = rows.withColumn("ca", F.when(first, F.col("c")).otherwise(F.col("other"))).withColumn("cb", F.when(first, F.col("other")).otherwise(F.col("c")))

@@ -29,7 +29,7 @@ def test_token_pairs_miss_none(spark, of, least, hot):
     names = {i: {f"e{r.randrange(12)}", f"f{r.randrange(5)}"} | ({"all"} if hot else set()) for i in (*a, *b)}
     df = lambda x: spark.createDataFrame([(i, sorted(s)) for i, s in x.items()], "mid long, tokens array<string>")
     links = spark.createDataFrame([(i, e) for i, es in names.items() for e in es], "mid long, entity string")
-    rows = curate.token_pairs(df(a), df(b), links, least, of).collect()
+    rows = curate.token_pairs(df(a), df(b), links, least, of, few=4).collect()
     got = {tuple(x) for x in rows}
     size = {"union": lambda x, y: len(x | y), "new": lambda x, y: len(x), "smaller": lambda x, y: min(len(x), len(y))}[of]
     near = [(i, j) for i, j in itertools.product(a, b) if names[i] & names[j]]
