@@ -172,3 +172,31 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         io.shared_path(Session(), "x")
+
+
+def test_records_of_one_entity_meet_without_pairs(spark, monkeypatch):
+    """Every record has the entity and a third of its tokens in common with all others: what is kept grows with the records."""
+    kept = []
+    keep = lambda df, name: kept.append((out := io.stored(df, name)).count()) or out
+    monkeypatch.setattr(curate, "stored", keep)
+    r = random.Random(4)
+    text = lambda i: " ".join(f"w{chr(97 + x)}" for x in sorted(r.sample(range(9), 4))) + f" All{' worthless' if i % 3 == 0 else ''}"
+    rows = {i: text(i) for i in range(160)}
+    df = spark.createDataFrame([(i, t, i, i % 7 / 7, 0.5, 0.5, "user", 0) for i, t in rows.items()], "mid long, content string, ord long, importance double, score double, confidence double, ownership string, created_s long")
+    links = spark.createDataFrame([(i, e) for i in rows for e in ("all", f"e{i % 5}")], "mid long, entity string")
+    new, old = df.where("mid < 60"), df.where("mid >= 60")
+    sets = {i: set(t.lower().split()) for i, t in rows.items()}
+    inserts, updates, downgrades = curate.overlap_dedup(new, old, links, 0.3, ("worthless",), ("nothing",))
+    like = {(i, j) for i in range(60) for j in range(60, 160) if len(sets[i] & sets[j]) / min(len(sets[i]), len(sets[j])) >= 0.3}
+    first = {i: min(j for k, j in like if k == i) for i in range(60) if i % 3 and any(k == i for k, _ in like)}
+    down = {j: sum(k % 3 == 0 for k, m in like if m == j) for j in range(60, 160)}
+    assert {x.mid for x in inserts.collect()} == set(range(60)) - set(first)
+    assert {x.mid: x.content for x in updates.collect()} == {j: rows[max(i for i, k in first.items() if k == j and i % 7 > j % 7)] for j in {k for i, k in first.items() if i % 7 > k % 7}}
+    assert {x.mid: x.n for x in downgrades.collect()} == {j: n for j, n in down.items() if n}
+    verdicts = {x.mid: (x.verdict, x.fact) for x in curate.verify_beliefs(new, old, links, ("worthless",)).collect()}
+    share = lambda i, j: len(sets[i] & sets[j]) / len(sets[i])
+    for i in range(60):
+        hits = [j for j in range(60, 160) if share(i, j) > 0.5 or ((i % 3 == 0) != (j % 3 == 0) and share(i, j) > 0.3)]
+        want = ("unchanged", None) if not hits else ("confirmed" if share(i, hits[0]) > 0.5 else "contradicted", hits[0])
+        assert verdicts[i] == want
+    assert kept and max(kept) <= 320
