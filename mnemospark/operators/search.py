@@ -3,8 +3,11 @@
 Every operator takes a batch of queries (qid, query). A channel is (qid, mid, score).
 """
 
+from functools import partial
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,12 +15,11 @@ from ..functions import lexicon as L
 from ..functions import rules as R
 from ..functions.text import extract_all, id_in_text, query_shingles
 from ..sources.io import stored
-from . import temporal
+from . import blocks, temporal
 from .entities import inhibit
 
-BLOCK = 16
-#: Bytes of query vectors that are broadcast at most.
-MOST_BROADCAST = 64 << 20
+#: Cosines that a task holds at a time.
+COSINES = 1 << 22
 
 
 def top(channel: DataFrame, limit, order: Column | None = None) -> DataFrame:
@@ -130,17 +132,38 @@ def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def vector_channel(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK, digits: int = 9) -> DataFrame:
-    """Exact cosine of queries (qid, qv) with all vectors (mid, v), top k. The stated query set meets all rows in blocks:
-    a vector is read once for each block of queries. Query vectors are broadcast up to MOST_BROADCAST bytes, which are checked;
-    more make Spark deal pairs of partitions."""
-    n, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("qv")), F.lit(0))).first()
-    part = F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-n // block))))
-    blocks = queries.groupBy(part.alias("qb")).agg(F.collect_list(F.struct("qid", "qv", F.sqrt(dot(F.col("qv"), F.col("qv"))).alias("qn"))).alias("qs"))
-    sized = vectors.withColumn("n", F.sqrt(dot(F.col("v"), F.col("v")))).where("n > 0")
-    rows = sized.crossJoin(F.broadcast(blocks) if n * (8 * width + 16) <= MOST_BROADCAST else blocks).select("mid", "v", "n", F.explode("qs").alias("q")).where("q.qn > 0")
-    cosine = F.round(dot(F.col("q.qv"), F.col("v")) / (F.col("n") * F.col("q.qn")), digits)
-    return top(rows.select("q.qid", "mid", cosine.alias("score")), k)
+def best_cosines(asked: pa.Table, met: pa.Table, k: int, digits: int) -> pa.Table:
+    """The k rows of met with the largest cosines (equal to so many digits: the least mid first) for each row of asked. v: vectors."""
+    wide = lambda t: np.stack(t["v"].to_numpy(zero_copy_only=False)).astype(np.float64)
+    met = met.sort_by("mid")
+    q, v = wide(asked), wide(met)
+    q, v = q / np.sqrt((q * q).sum(1, keepdims=True)), v / np.sqrt((v * v).sum(1, keepdims=True))
+    qid, mid = asked["mid"].to_numpy(), met["mid"].to_numpy()
+    step, out = max(1, COSINES // len(mid)), []
+    for low in range(0, len(qid), step):
+        cosine = q[low : low + step] @ v.T
+        place = np.floor(cosine * 10.0**digits + 0.5)
+        if k < len(mid):
+            least = -np.partition(-place, k - 1, axis=1)[:, k - 1]
+            row, at = np.nonzero(place >= least[:, None])
+            order = np.lexsort((at, -place[row, at], row))  # mids ascend
+            row, at = row[order], at[order]
+            some = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, at = row[some], at[some]
+        else:
+            row, at = (x.ravel() for x in np.indices(cosine.shape))
+        out.append((qid[low:][row], mid[at], cosine[row, at]))
+    return pa.table(dict(zip(("qid", "mid", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+
+def vector_channel(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """Exact cosine of queries (qid, qv) with all vectors (mid, v), top k; vectors of length 0 match nothing. Blocks of queries meet
+    blocks of vectors as products of matrices, each of which gives k rows a query; a vector is read once for each block of queries."""
+    some = lambda df: df.where(dot(F.col("v"), F.col("v")) > 0)
+    asked, met = some(queries.select(F.col("qid").alias("mid"), F.col("qv").alias("v"))), some(vectors.select("mid", "v"))
+    sizes = blocks.side_of(asked.count(), 4096), blocks.side_of(met.count(), 32768)
+    found = blocks.grid(asked, met, sizes, "mid", partial(best_cosines, k=k, digits=digits), "qid long, mid long, score double")
+    return top(found.select("qid", "mid", F.round("score", digits).alias("score")), k)
 
 
 def hybrid(keyword: DataFrame, vector: DataFrame, weights=(0.3, 0.7), least: float = 0.2) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.io import stored
-from .search import MOST_BROADCAST, dot, top
+from .blocks import spark_schema
+from .search import best_cosines, dot, top
 
 #: Vectors that the cells' centres are learned from at most.
 SAMPLE = 50_000
@@ -69,13 +71,26 @@ def build(vectors: DataFrame, cells: int, sample: int = SAMPLE) -> VectorIndex:
     return VectorIndex(rows, stored(middle.join(sizes, "cell"), "cells"))
 
 
-def _scored(asked: DataFrame, rows: DataFrame, wanted: DataFrame, width: int, digits: int) -> DataFrame:
-    """Cosines of queries (qid, qu) with the rows of their wanted cells (qid, cell)."""
-    pairs = wanted.join(asked, "qid")
-    n = wanted.count()
-    small = n * (8 * width + 16) <= MOST_BROADCAST
-    met = rows.join(F.broadcast(pairs) if small else pairs, "cell")
-    return met.select("qid", "mid", F.round(dot(F.col("qu"), F.col("u")), digits).alias("score"))
+def _scored(asked: DataFrame, rows: DataFrame, wanted: DataFrame, k: int, digits: int) -> DataFrame:
+    """The k largest cosines of each query (qid, qu) in each wanted cell (qid, cell), at least those of the k best of all. A cell's rows and
+    its queries are dealt in blocks that meet as products of matrices."""
+    sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(wanted.groupBy("cell").agg(F.count(F.lit(1)).alias("m")), "cell")
+    sizes = stored(sizes.select("cell", F.ceil(F.col("n") / 16384).alias("ni"), F.ceil(F.col("m") / 4096).alias("mi")), "sizes")
+    own = lambda n: F.pmod(F.xxhash64("mid"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    met = rows.select("cell", "mid", F.col("u").alias("v")).join(F.broadcast(sizes), "cell").withColumn("i", own("ni")).withColumn("j", every("mi")).withColumn("side", F.lit(1))
+    pairs = wanted.join(asked, "qid").select("cell", F.col("qid").alias("mid"), F.col("qu").alias("v"))
+    pairs = pairs.join(F.broadcast(sizes), "cell").withColumn("j", own("mi")).withColumn("i", every("ni")).withColumn("side", F.lit(0))
+    schema = "qid long, mid long, score double"
+    empty = spark_schema(schema).empty_table()
+
+    def best(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        parts = [table.filter(pa.array(side == x)).combine_chunks() for x in (0, 1)]
+        return best_cosines(*parts, k=k, digits=digits) if all(p.num_rows for p in parts) else empty
+
+    found = pairs.unionByName(met).groupBy("cell", "i", "j").applyInArrow(best, schema)
+    return found.select("qid", "mid", F.round("score", digits).alias("score"))
 
 
 def search(queries: DataFrame, index: VectorIndex, k: int, probes: int, exact: bool = True, where=None, digits: int = 9) -> DataFrame:
@@ -88,11 +103,10 @@ def search(queries: DataFrame, index: VectorIndex, k: int, probes: int, exact: b
     """
     rows = index.rows if where is None else index.rows.where(where)
     asked = queries.select("qid", unit(F.col("qv")).alias("qu")).where("qu IS NOT NULL")
-    width = asked.agg(F.max(F.size("qu"))).first()[0] or 0
     table = index.cells.agg(F.collect_list(F.struct("cell", "centre", "radius")).alias("c"))
     near = asked.crossJoin(F.broadcast(table)).select("qid", "qu", F.explode("c").alias("c")).select("qid", "c.cell", "c.radius", angle(F.col("qu"), F.col("c.centre")).alias("angle"))
     near = stored(near.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("angle", "cell"))), "near")
-    found = top(_scored(asked, rows, near.where(F.col("place") <= probes).select("qid", "cell"), width, digits), k)
+    found = top(_scored(asked, rows, near.where(F.col("place") <= probes).select("qid", "cell"), k, digits), k)
     if not exact:
         return found
     found = stored(found, "probed")
@@ -100,4 +114,4 @@ def search(queries: DataFrame, index: VectorIndex, k: int, probes: int, exact: b
     best = F.cos(F.greatest(F.lit(0.0), F.col("angle") - F.col("radius")))
     slack = 2 * 10.0**-digits  # rounding, and of the angles
     rest = near.where(F.col("place") > probes).join(kth, "qid", "left").where(F.col("kth").isNull() | (best >= F.col("kth") - slack - 1e-9)).select("qid", "cell")
-    return top(found.select("qid", "mid", "score").unionByName(_scored(asked, rows, rest, width, digits)), k)
+    return top(found.select("qid", "mid", "score").unionByName(_scored(asked, rows, rest, k, digits)), k)

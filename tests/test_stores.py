@@ -336,3 +336,36 @@ def test_like_names_are_all_found(spark, threshold):
     pairs = df("q").crossJoin(df("e")).where("q <> e").withColumn("s", entity_similarity(F.col("q"), F.col("e"))).where(F.col("s") >= threshold).where("q <> '' AND e <> ''")
     got = entities.similar_pairs(df("q"), df("e"), threshold)
     assert sorted((x["q"], x["e"], round(x["similarity"], 9)) for x in got.collect()) == sorted((x["q"], x["e"], round(x["s"], 9)) for x in pairs.collect())
+
+
+def test_vector_channel_meets_in_blocks_with_many_copies(spark):
+    """Exact with ties by mid, and without a nested loop over all pairs."""
+    _, df = some_vectors(spark, 300)
+    copies = df.unionByName(df.where("mid % 3 = 0").withColumn("mid", F.col("mid") + 1000)).select("mid", "v").cache()
+    asked = copies.where("mid % 20 = 0").select(F.col("mid").alias("qid"), F.col("v").alias("qv"))
+    channel = search.vector_channel(asked, copies, 7, digits=6)
+    plan = channel._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {(x.qid, x.pos): (x.mid, x.score) for x in channel.collect()}
+    rows = [tuple(x) for x in copies.collect() if any(x.v)]
+    cosine = lambda x, y: round(sum(a * b for a, b in zip(x, y, strict=True)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y)), 6)
+    want = {}
+    for qid, v in ((m, v) for m, v in rows if m % 20 == 0):
+        best = sorted((-cosine(v, u), m) for m, u in rows)[:7]
+        want |= {(qid, i + 1): (m, -c) for i, (c, m) in enumerate(best)}
+    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-6 for x in got)
+
+
+def test_a_search_reads_the_rest_whole_once_looking_up_costs_more(spark, monkeypatch):
+    """Equal parts never let a query stop early: its postings are read once, not term by term for each record named."""
+    made = []
+    keep = lambda df, name: made.append(name) or io.stored(df, name)
+    monkeypatch.setattr(topk, "stored", keep)
+    parts = spark.createDataFrame([(f"t{i % 9}", m, 1.0) for m in range(400) for i in (m, m + 1, m * 7)], "term string, mid long, part double").distinct()
+    terms = spark.createDataFrame([(q, f"t{(q + i) % 12}", 1.0) for q in range(6) for i in range(5)], "qid long, term string, weight double")
+    built = topk.build(parts, block=8)
+    made.clear()
+    got = topk.search(terms, built, 5)
+    full = search.top(terms.join(parts, "term").groupBy("qid", "mid").agg(F.sum("weight").alias("score")), 5)
+    assert sorted(map(tuple, got.results.select("qid", "mid", "score", "pos").collect())) == sorted(map(tuple, full.select("qid", "mid", "score", "pos").collect()))
+    assert made.count("scores") <= 1
