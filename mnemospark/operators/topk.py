@@ -53,19 +53,29 @@ def build(parts: DataFrame, block: int = BLOCK) -> TermIndex:
 def search(terms: DataFrame, index: TermIndex, k: int, first: int = 1, growth: int = 4) -> Found:
     """The k best records of each query's terms (qid, term, weight), as the channels and `top` give them: scores equal to 9 places
     tie, ties by mid. Rounds read blocks up to a depth that grows by `growth`; a query leaves as soon as no further block can
-    change its list. Repeated terms of a query add up. Each round's scores are written to the shared folder."""
+    change its list. Where looking up all terms of what a round may name would cost more than the open queries' postings have rows, these
+    are read whole, once, and the search ends. Repeated terms of a query add up. Each round's scores are written to the shared folder."""
     asked = stored(terms.groupBy("qid", "term").agg(F.sum("weight").alias("weight")).where("weight > 0"), "asked")
     wanted = asked.join(index.blocks.select("term", "blk", "largest", "n"), "term")
     wanted = stored(wanted.select("qid", "term", "weight", "blk", "largest", "n"), "wanted")
+    asked = wanted.where("blk = 0").select("qid", "term", "weight")  # the terms that the index has
     still = asked.select("qid").distinct()
     scored, read, low, high = None, 0, 0, first
+    score = F.sum(F.col("weight") * F.col("part")).alias("score")
     while True:
         now = wanted.where((F.col("blk") >= low) & (F.col("blk") < high)).join(still, "qid", "left_semi")
+        next_n = F.sum(F.when((F.col("blk") >= low) & (F.col("blk") < high), F.col("n")).otherwise(0))
+        costs = wanted.join(still, "qid", "left_semi").groupBy("qid").agg((next_n * F.count_if(F.col("blk") == 0)).alias("lookups"), F.sum("n").alias("n"))
+        lookups, every = costs.agg(F.sum("lookups"), F.sum("n")).first()
+        if (lookups or 0) > (every or 0):
+            rest = asked.join(still, "qid", "left_semi").join(index.postings, "term").groupBy("qid", "mid").agg(score)
+            done = rest if scored is None else scored.join(still, "qid", "left_anti").unionByName(rest)
+            return Found(top(done, k), read + every)
         named = now.select("qid", "term", "blk").join(index.blocks.select("term", "blk", "mids"), ["term", "blk"]).select("qid", F.explode("mids").alias("mid")).distinct()
         if scored is not None:
             named = named.join(scored, ["qid", "mid"], "left_anti")
         pairs = named.join(asked, "qid").join(index.postings, ["term", "mid"])
-        new = stored(pairs.groupBy("qid", "mid").agg(F.sum(F.col("weight") * F.col("part")).alias("score"), F.count(F.lit(1)).alias("hits")), "scores")
+        new = stored(pairs.groupBy("qid", "mid").agg(score, F.count(F.lit(1)).alias("hits")), "scores")
         read += (now.agg(F.sum("n")).first()[0] or 0) + (new.agg(F.sum("hits")).first()[0] or 0)
         new = new.drop("hits")
         scored = new if scored is None else scored.unionByName(new)
