@@ -212,11 +212,10 @@ def isolation_needed(query_entities: DataFrame, candidate_entities: DataFrame, t
 
 def inhibit(candidates: DataFrame, query_entities: DataFrame, links_: DataFrame, factor: float = 0.1, threshold: float = 0.5) -> DataFrame:
     """Candidates (qid, mid, score) without an entity of the query but with one that is like it get score * factor."""
-    named = candidates.select("qid", "mid").join(links_, "mid")
-    pairs = similar_pairs(query_entities.select("q").distinct(), named.select(F.col("entity").alias("e")).distinct(), threshold)
-    exact = named.join(query_entities.withColumnRenamed("q", "entity"), ["qid", "entity"]).select("qid", "mid").distinct()
+    pairs = similar_pairs(query_entities.select("q").distinct(), links_.select(F.col("entity").alias("e")).distinct(), threshold)
+    exact = query_entities.join(links_.withColumnRenamed("entity", "q"), "q").select("qid", "mid").distinct()
     close = query_entities.join(pairs, "q").select("qid", F.col("e").alias("entity")).distinct()
-    near = named.join(close, ["qid", "entity"]).select("qid", "mid").distinct().join(exact, ["qid", "mid"], "left_anti").withColumn("inhibited", F.lit(True))
+    near = close.join(links_, "entity").select("qid", "mid").distinct().join(exact, ["qid", "mid"], "left_anti").withColumn("inhibited", F.lit(True))
     out = candidates.join(near, ["qid", "mid"], "left").withColumn("inhibited", F.coalesce("inhibited", F.lit(False)))
     return out.withColumn("score", F.when(F.col("inhibited"), F.col("score") * factor).otherwise(F.col("score")))
 

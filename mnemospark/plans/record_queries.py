@@ -831,7 +831,7 @@ CLASSES = f"kc AS (SELECT qid, query, CASE WHEN {has('lower(query)', ('eron',))}
 DAYS_OF = {"haat": 3, "erha": 5, "ansh": 9}
 TIMES = "tq AS (SELECT qid, CASE " + " ".join(f"WHEN contains(query, '{w}') THEN {n}" for w, n in DAYS_OF.items()) + f" END AS days FROM qry), tr AS (SELECT qid, mid, score FROM tq JOIN mem ON created_s >= {AS} - 86400 * days AND created_s < {AS} - 86400 * days + 86400)"
 CUT = lambda name, src: f"{name} AS (SELECT x.qid, x.mid, x.score, row_number() OVER (PARTITION BY x.qid ORDER BY round(x.score, 9) DESC, x.mid) AS pos FROM {src} x JOIN ks ON ks.qid = x.qid WHERE x.qid NOT IN (SELECT qid FROM tr) QUALIFY pos <= ks.initial)"
-PEND = f"pw AS (SELECT qid, list_distinct(regexp_extract_all(lower(query), '[a-zA-Z]+')) AS w FROM qry), pn AS (SELECT qid, mid, importance AS score FROM pw, (SELECT mid, content, importance FROM mem WHERE created_s >= {AS - 86400}) WHERE len(w) > 0 AND qid NOT IN (SELECT qid FROM tr) AND len(list_filter(w, lambda x: contains(lower(content), x))) > 0)"
+PEND = f"pw AS (SELECT qid, list_distinct(regexp_extract_all(lower(query), '[a-zA-Z]+')) AS w FROM qry), pn AS (SELECT qid, mid, importance AS score FROM pw, (SELECT mid, content, importance FROM mem) WHERE len(w) > 0 AND qid NOT IN (SELECT qid FROM tr) AND len(list_filter(w, lambda x: contains(lower(content), x))) > 0)"
 VEC = "ve AS (SELECT a.vec_id AS qid, b.vec_id * 1000 AS mid, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT qid FROM qry))"
 ALIKE = "qe AS (SELECT qid, entity AS q FROM qf), " + SIMQ
 DAYSM = f"CAST(floor(({AS} - last_accessed_s) / 86400.0) AS BIGINT)"
@@ -843,10 +843,9 @@ ROUTED = lambda merge: f"{KW}, {EN}, {TF}, {BM}, {CLASSES}, {TIMES}, {PEND}, {VE
 
 def routed(s, d, tfidf=True):
     m, v = X.mem(s, d), X.table(s, d, "embeddings")
-    pending = m.where(C("created_s") >= AS - 86400)  # what came within a day isn't consolidated yet
     qv = v.join(X.qry(s, d).select(C("qid").alias("vec_id")), "vec_id", "left_semi").select(C("vec_id").alias("qid"), C("embedding").alias("qv"))
     return search.route(
-        X.qry(s, d), m.withColumn("is_identity", C("mid") % 4 == 0), X.ent(s, d), posts(s, d), AS, pending=pending, external=search.bm25_channel(X.qry(s, d), m), query_vectors=qv,
+        X.qry(s, d), m.withColumn("is_identity", C("mid") % 4 == 0), X.ent(s, d), posts(s, d), AS, pending=m, external=search.bm25_channel(X.qry(s, d), m), query_vectors=qv,
         vectors=v.select((C("vec_id") * 1000).alias("mid"), C("embedding").alias("v")), tfidf=tfidf, triggers=TRIG, precise=("eron",), broad=("and",), time_words=DAYS_OF,
     )
 
