@@ -73,3 +73,10 @@ def test_upsert_is_idempotent(spark):
     new = m.where("mid % 2 = 0").withColumn("content", F.lit("x"))
     once = upsert(m, new)
     assert sorted(map(tuple, upsert(once, new).collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_routers_search_pending_rows(spark):
+    """The pending channel of the routers reads all records, as j04_pending_search does."""
+    n = {r.qid: r.pending for r in Q["g08_route_stats"](spark, D).collect()}
+    alone = {r.qid: r["count"] for r in Q["j04_pending_search"](spark, D).groupBy("qid").count().collect()}
+    assert n and any(n.values()) and all(v in (0, alone.get(q, 0)) for q, v in n.items())
