@@ -19,11 +19,20 @@ def time_range(query: Column, as_of_s: Column, words: dict[str, int] | None = No
     return F.when(days.isNotNull(), F.struct(start.alias("from_s"), (start + 86400).alias("to_s")))
 
 
+#: Tasks that a day's records are dealt over.
+SALTS = 32
+
+
 def in_range(queries: DataFrame, memories: DataFrame, bucket_s: int = 86400) -> DataFrame:
-    """Records created in a query's range: an equi join on day buckets, then the exact test. queries: (qid, from_s, to_s)."""
+    """Records created in a query's range: an equi join on day buckets, then the exact test. queries: (qid, from_s, to_s).
+
+    A bucket's records are dealt over SALTS keys, which each range meets, so few days of very many records are no few tasks. The rows
+    themselves are as many as records lie in ranges.
+    """
     q = queries.withColumn("day", F.explode(F.sequence(F.floor(F.col("from_s") / bucket_s), F.floor((F.col("to_s") - 1) / bucket_s))))
-    m = memories.withColumn("day", F.floor(F.col("created_s") / bucket_s))
-    return q.join(m, "day").where("created_s >= from_s AND created_s < to_s").select("qid", "mid", "created_s")
+    q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    m = memories.withColumn("day", F.floor(F.col("created_s") / bucket_s)).withColumn("_salt", F.pmod(F.xxhash64("mid"), F.lit(SALTS).cast("long")))
+    return q.join(m.select("mid", "created_s", "day", "_salt"), ["day", "_salt"]).where("created_s >= from_s AND created_s < to_s").select("qid", "mid", "created_s")
 
 
 def validity(versions: DataFrame, bucket_us: int = 30 * 86_400_000_000) -> DataFrame:

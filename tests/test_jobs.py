@@ -200,3 +200,20 @@ def test_records_of_one_entity_meet_without_pairs(spark, monkeypatch):
         want = ("unchanged", None) if not hits else ("confirmed" if share(i, hits[0]) > 0.5 else "contradicted", hits[0])
         assert verdicts[i] == want
     assert kept and max(kept) <= 320
+
+
+def test_a_day_of_many_records_is_dealt_over_tasks(spark):
+    """All records are of one day: the rows come from several tasks."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        m = spark.range(400).select(F.col("id").alias("mid"), (F.lit(AS_OF) + F.col("id")).alias("created_s"))
+        q = spark.createDataFrame([(i, AS_OF + i, AS_OF + 100 + i) for i in range(5)], "qid long, from_s long, to_s long")
+        rows = temporal.in_range(q, m).select("qid", "mid", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted((r.qid, r.mid) for r in rows) == [(i, x) for i in range(5) for x in range(i, i + 100)]
+    assert len({r.p for r in rows}) > 3
