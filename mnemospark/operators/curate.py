@@ -82,20 +82,40 @@ def _need(least: float, of: str, a: Column, b: Column) -> Column:
     return F.greatest(F.ceil(share - 1e-9), F.lit(1))
 
 
+#: Longs of 64 bits that stand for a token set before it is compared (see _folded).
+FOLDS = 4
+
+
+def _folded(w: Column) -> list[Column]:
+    """A token set (hashes w, a row each) folded to FOLDS longs: each token flips one bit. Common tokens cancel out, so two sets' folds
+    differ in no more bits than the sets do in tokens. Null where a row is repeated."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(w, 8).bitwiseAND(63).cast("int"))
+    once = F.count(F.lit(1)) == F.max("n")
+    return [F.when(once, F.bit_xor(F.when(F.pmod(w, F.lit(FOLDS)) == i, bit).otherwise(F.lit(0).cast("long")))).alias(f"s{i}") for i in range(FOLDS)]
+
+
 def _by_token(new: DataFrame, old: DataFrame, least: float) -> DataFrame:
     """(a, b) of token sets that may share `least` of their union: they meet on one of the first n - ceil(least * n) + 1 tokens of
-    both, rare ones first, that leaves enough places after it."""
-    rows = [df.select("mid", F.size("tokens").alias("n"), F.explode("tokens").alias("w")) for df in (new, old)]
-    common = rows[0].select("w").unionByName(rows[1].select("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    both, rare ones first, that leaves enough places after it.
+
+    Tokens are 64-bit hashes here, written once to the shared folder. Those that meet by chance have folds (see _folded) that differ in
+    too many bits: they go inside the join, so the pairs that leave it are nearly all similar, and only these are shuffled.
+    """
+    whole = [df.select(F.lit(i).alias("side"), "mid", F.size("tokens").alias("n"), F.transform("tokens", lambda w: F.xxhash64(w)).alias("h")) for i, df in enumerate((new, old))]
+    rows = stored(whole[0].unionByName(whole[1]), "hashes").select("side", "mid", "n", F.xxhash64(F.array_sort("h")).alias("k"), F.explode("h").alias("w"))
+    common = rows.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
 
-    def first(r: DataFrame, key: str) -> DataFrame:
-        order = F.array_sort(F.collect_list(F.struct("df", "w")))
+    def first(side: int, key: str) -> DataFrame:
+        order = F.array_sort(F.collect_set(F.struct("df", "w")))
         size = (F.col("n") - F.greatest(F.ceil(F.col("n") * least - 1e-9), F.lit(1)) + 1).cast("int")
-        cut = r.join(common, "w").groupBy("mid", "n").agg(order.alias("o")).select("mid", "n", F.posexplode(F.slice("o", F.lit(1), size)).alias("i", "x"))
-        return cut.select(F.col("mid").alias(key), F.col("n").alias(f"n_{key}"), (F.col("i") + 1).alias(f"i_{key}"), "x.w")
+        kept = rows.where(F.col("side") == side).join(common, "w").groupBy("mid", "n", "k").agg(order.alias("o"), *_folded(F.col("w")))
+        cut = kept.select("mid", "n", *(f"s{i}" for i in range(FOLDS)), F.posexplode(F.slice("o", F.lit(1), size)).alias("i", "x"))
+        return cut.select("x.w", F.col("mid").alias(key), F.col("n").alias(f"n_{key}"), (F.col("i") + 1).alias(f"i_{key}"), *(F.col(f"s{i}").alias(f"s{i}_{key}") for i in range(FOLDS)))
 
     need = _need(least, "union", F.col("n_a"), F.col("n_b"))
-    met = first(rows[0], "a").join(first(rows[1], "b"), "w").where(F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) + 1 >= need)
+    bits = [F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(FOLDS)]
+    near = F.coalesce(sum(bits[1:], bits[0]) <= F.col("n_a") + F.col("n_b") - 2 * need, F.lit(True))
+    met = first(0, "a").join(first(1, "b"), "w").where((F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) + 1 >= need) & near)
     return met.select("a", "b").distinct()
 
 

@@ -48,6 +48,18 @@ def test_an_entity_in_every_record_makes_few_pairs(spark, of, least):
     assert n < 0.3 * 80 * 80
 
 
+def test_tokens_that_meet_by_chance_make_few_pairs(spark):
+    """Half of a small vocabulary each: nearly all share a first token and nearly none are similar. Repeated rows lose no pair."""
+    r = random.Random(5)
+    sets = {i: r.sample([f"w{j}" for j in range(40)], 20) for i in range(120)}
+    links = spark.createDataFrame([(i, "all") for i in [*sets, 900]], "mid long, entity string")
+    rows = lambda keep: [(i, s) for i, s in sets.items() if keep(i)]
+    df = lambda x: spark.createDataFrame(x, "mid long, tokens array<string>")
+    a, b = rows(lambda i: i < 60), rows(lambda i: i >= 60)
+    got = {tuple(x) for x in curate.token_pairs(df(a), df([*b, (900, sets[0]), (900, sets[0])]), links, 0.7).collect()}
+    assert (0, 900) in got and len(got) < 0.02 * 60 * 60
+
+
 def test_contained_pairs(spark):
     r = random.Random(6)
     texts = {i: "".join(r.choice("aAbc ") for _ in range(r.choice([0, 1, 2, 5, 12, 30]))) for i in range(120)}
