@@ -39,14 +39,23 @@ def keyword_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(query_shingles(F.col("query"))).alias("term"))
 
 
-def keyword_matches(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """Number of a query's terms (qid, term) that each record has."""
+def keyword_matches(terms: DataFrame, postings: DataFrame, most: int | None = None) -> DataFrame:
+    """Number of a query's terms (qid, term) that each record has; with `most` only the best records of each query, found in blocks (see
+    blocks.products), as a query's common terms are in nearly every record."""
+    if most is not None:
+        found = blocks.products([(_counted(terms, "qid"), _counted(postings, "mid"))], most)
+        return found.select("qid", "mid", F.col("s0").cast("long").alias("score"))
     return terms.join(postings, "term").groupBy("qid", "mid").agg(F.count(F.lit(1)).alias("score"))
 
 
-def keyword_channel(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """Number of distinct query shingles among a record's keywords: an equi join on the term."""
-    return keyword_matches(keyword_terms(queries), postings)
+def keyword_channel(queries: DataFrame, postings: DataFrame, most: int | None = None) -> DataFrame:
+    """Number of distinct query shingles among a record's keywords: an equi join on the term, or in blocks (see keyword_matches)."""
+    return keyword_matches(keyword_terms(queries), postings, most)
+
+
+def _counted(rows: DataFrame, key: str) -> DataFrame:
+    """(key, term, w) of rows of terms, w how often a term is there."""
+    return rows.groupBy(key, "term").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
 def query_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
@@ -61,8 +70,10 @@ def query_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
     return parts.join(names, "entity").select("qid", "entity").distinct()
 
 
-def entity_channel(found: DataFrame, links: DataFrame) -> DataFrame:
-    """Number of the query's entities on each record. found: (qid, entity)."""
+def entity_channel(found: DataFrame, links: DataFrame, most: int | None = None) -> DataFrame:
+    """Number of the query's entities on each record, or of the best ones only. found: (qid, entity)."""
+    if most is not None:
+        return keyword_matches(found.withColumnRenamed("entity", "term"), links.select("mid", F.col("entity").alias("term")), most)
     return found.join(links, "entity").groupBy("qid", "mid").agg(F.count(F.lit(1)).alias("score"))
 
 
@@ -95,16 +106,31 @@ def term_counts(memories: DataFrame) -> DataFrame:
     return memories.select("mid", F.explode(extract_all(F.lower("content"), "[a-z0-9]+")).alias("term")).groupBy("mid", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_channel(queries: DataFrame, memories: DataFrame) -> DataFrame:
-    """Sum over shared terms of qtf * tf * idf^2 with idf = ln((1 + N) / (1 + df)) + 1, over the record's vector length."""
+def _tfidf_weights(queries: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(qid, term, qtf) and (mid, term, idf, w, size) of G03."""
     tf = term_counts(memories)
     n = memories.agg(F.count(F.lit(1)).alias("N"))
     idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     size = weighted.groupBy("mid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     q = term_counts(queries.select(F.col("qid").alias("mid"), F.col("query").alias("content"))).select(F.col("mid").alias("qid"), "term", F.col("tf").alias("qtf"))
-    dots = q.join(weighted, "term").groupBy("qid", "mid").agg(F.sum(F.col("qtf") * F.col("idf") * F.col("w")).alias("dot"))
-    return dots.join(size, "mid").select("qid", "mid", (F.col("dot") / F.col("size")).alias("score"))
+    return q, weighted.join(F.broadcast(q.select("term").distinct()), "term", "left_semi").join(size, "mid")
+
+
+def tfidf_terms(queries: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """G03's scores as sums of products: (qid, term, w) and (mid, term, w)."""
+    q, weighted = _tfidf_weights(queries, memories)
+    return q.withColumnRenamed("qtf", "w"), weighted.select("mid", "term", (F.col("idf") * F.col("w") / F.col("size")).alias("w"))
+
+
+def tfidf_channel(queries: DataFrame, memories: DataFrame, most: int | None = None) -> DataFrame:
+    """Sum over shared terms of qtf * tf * idf^2 with idf = ln((1 + N) / (1 + df)) + 1, over the record's vector length; with `most`
+    only the best records of each query, found in blocks."""
+    if most is not None:
+        return blocks.products([tfidf_terms(queries, memories)], most).withColumnRenamed("s0", "score")
+    q, weighted = _tfidf_weights(queries, memories)
+    dots = q.join(weighted, "term").groupBy("qid", "mid").agg(F.sum(F.col("qtf") * F.col("idf") * F.col("w")).alias("dot"), F.first("size").alias("size"))
+    return dots.select("qid", "mid", (F.col("dot") / F.col("size")).alias("score"))
 
 
 def reduced_query(query: Column) -> Column:
@@ -174,6 +200,15 @@ def hybrid(keyword: DataFrame, vector: DataFrame, weights=(0.3, 0.7), least: flo
     return out.where(F.col("score") >= least)
 
 
+def hybrid_search(queries: DataFrame, memories: DataFrame, postings: DataFrame, weights=(0.3, 0.7), least: float = 0.2, digits: int = 9) -> DataFrame:
+    """G06 over the keyword and TF-IDF (to so many digits) channels of all records: both scores of a pair come from one block, so neither
+    channel is shuffled."""
+    keyword = _counted(keyword_terms(queries), "qid"), _counted(postings, "mid")
+    both = blocks.products([keyword, tfidf_terms(queries, memories)], of=1)
+    score = weights[0] * F.col("s0") + weights[1] * F.round("s1", digits)
+    return both.select("qid", "mid", score.alias("score")).where(F.col("score") >= least)
+
+
 def index_refresh(memories: DataFrame, vectors: DataFrame) -> DataFrame:
     """Total, indexed and missing numbers of records."""
     have = vectors.select("mid").distinct().withColumn("have", F.lit(True))
@@ -302,10 +337,10 @@ def route(
     queries = stored(queries.join(timed.select("qid").distinct(), "qid", "left_anti"), "queries")
     sizes = stored(query_sizes(queries, triggers, precise, broad, class_sizes), "sizes")
     found = stored(query_entities(queries, links), "found")
-    channels = {"tfidf": tfidf_channel(queries, memories)} if tfidf else {}
+    channels = {"tfidf": tfidf_channel(queries, memories, initial)} if tfidf else {}
     if external is not None:
         channels["external"] = external.join(queries.select("qid"), "qid", "left_semi").select("qid", "mid", "score")
-    channels |= {"keyword": keyword_channel(queries, postings), "entity": entity_channel(found, links)}
+    channels |= {"keyword": keyword_channel(queries, postings, initial), "entity": entity_channel(found, links, initial)}
     if vectors is not None:
         channels["vector"] = vector_channel(query_vectors.join(queries.select("qid"), "qid", "left_semi"), vectors, initial)
     channels = {k: stored(cut(c, sizes, "initial", initial), k) for k, c in channels.items()}

@@ -620,16 +620,16 @@ def posts(s, d):
     return index.postings(X.mem(s, d))
 
 
-def kw(s, d):
-    return search.keyword_channel(X.qry(s, d), posts(s, d))
+def kw(s, d, most=None):
+    return search.keyword_channel(X.qry(s, d), posts(s, d), most)
 
 
-def en(s, d):
-    return search.entity_channel(search.query_entities(X.qry(s, d), X.ent(s, d)), X.ent(s, d))
+def en(s, d, most=None):
+    return search.entity_channel(search.query_entities(X.qry(s, d), X.ent(s, d)), X.ent(s, d), most)
 
 
-def ti(s, d):
-    return search.tfidf_channel(X.qry(s, d), X.mem(s, d))
+def ti(s, d, most=None):
+    return search.tfidf_channel(X.qry(s, d), X.mem(s, d), most)
 
 
 best = search.top
@@ -739,7 +739,7 @@ def g07v(s, d):
 
 @q("g06_hybrid", f"{KW}, {TF} SELECT coalesce(kw.qid, ti.qid) AS qid, coalesce(kw.mid, ti.mid) AS mid, round(CAST(0.3 AS DOUBLE) * coalesce(kw.score, 0) + CAST(0.7 AS DOUBLE) * coalesce(round(ti.score, 9), 0), 6) AS score FROM kw FULL JOIN ti ON kw.qid = ti.qid AND kw.mid = ti.mid WHERE CAST(0.3 AS DOUBLE) * coalesce(kw.score, 0) + CAST(0.7 AS DOUBLE) * coalesce(round(ti.score, 9), 0) >= CAST(0.2 AS DOUBLE)")
 def g06(s, d):
-    return search.hybrid(kw(s, d), ti(s, d).withColumn("score", F.round("score", 9))).withColumn("score", F.round("score", 6))
+    return search.hybrid_search(X.qry(s, d), X.mem(s, d), posts(s, d)).withColumn("score", F.round("score", 6))
 
 
 @q("g07_index_refresh", "SELECT count(*) AS total, count(v.mid) AS indexed, count(*) FILTER (WHERE v.mid IS NULL) AS missing FROM mem LEFT JOIN (SELECT DISTINCT vec_id * 1000 AS mid FROM embeddings) v ON v.mid = mem.mid")
@@ -752,7 +752,7 @@ FU = f"{CH}, fx AS (SELECT qid, mid, sum(1 / CAST(60 + pos AS DOUBLE)) AS score
 
 
 def channels(s, d):
-    return [best(c, 20) for c in (kw(s, d), en(s, d), ti(s, d))]
+    return [best(c(s, d, 20), 20) for c in (kw, en, ti)]
 
 
 def fused(s, d):

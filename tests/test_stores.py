@@ -319,6 +319,15 @@ def test_upserted_records_get_defaults_and_their_own_children(spark):
     assert sorted(map(tuple, out.children["entities"].collect())) == [(1, "p"), (2, "x")]
 
 
+def test_channels_in_blocks_give_the_best_of_the_whole(spark):
+    """The best rows of each query are those of the joined channel, ties by mid."""
+    m, ask = X.mem(spark, D), X.qry(spark, D)
+    posts = index.postings(m)
+    line = lambda r: (r["qid"], r["mid"], r["pos"], round(r["score"], 8))
+    for whole, few in ((search.keyword_channel(ask, posts), search.keyword_channel(ask, posts, 7)), (search.tfidf_channel(ask, m), search.tfidf_channel(ask, m, 7))):
+        assert sorted(map(line, search.top(whole, 7).collect())) == sorted(map(line, search.top(few, 7).collect()))
+
+
 def test_few_of_the_like_names_are_compared(spark):
     """A tenth of what the join on lengths compares, with the same pairs."""
     names = [r["entity"] for r in X.ent(spark, "/root/testdata/sf0.01").select("entity").distinct().collect()]
