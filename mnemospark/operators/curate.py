@@ -82,39 +82,68 @@ def _need(least: float, of: str, a: Column, b: Column) -> Column:
     return F.greatest(F.ceil(share - 1e-9), F.lit(1))
 
 
-#: Longs of 64 bits that stand for a token set before it is compared (see _folded).
+#: Longs of 64 bits that stand for a token set before it is compared (see _prefixes).
 FOLDS = 4
-
-
-def _folded(w: Column) -> list[Column]:
-    """A token set (hashes w, a row each) folded to FOLDS longs: each token flips one bit. Common tokens cancel out, so two sets' folds
-    differ in no more bits than the sets do in tokens. Null where a row is repeated."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(w, 8).bitwiseAND(63).cast("int"))
-    once = F.count(F.lit(1)) == F.max("n")
-    return [F.when(once, F.bit_xor(F.when(F.pmod(w, F.lit(FOLDS)) == i, bit).otherwise(F.lit(0).cast("long")))).alias(f"s{i}") for i in range(FOLDS)]
+#: Slots of the table of counts by which tokens are ordered (see _by_token); a power of two.
+SLOTS = 1 << 18
+#: Ids of so many records are broadcast at most.
+SHORT = 1 << 21
+
+
+def _slots(rows: DataFrame) -> np.ndarray:
+    """How many tokens of each side's sets (side, h) fall in each slot."""
+    count = lambda side: F.count_if(F.col("side") == side).alias(f"n{side}")
+    counts = rows.select("side", F.explode("h").alias("w")).groupBy(F.pmod("w", F.lit(SLOTS)).alias("slot")).agg(count(0), count(1)).toArrow()
+    out = np.zeros((2, SLOTS), np.int64)
+    for side in (0, 1):
+        out[side, counts["slot"].to_numpy()] = counts[f"n{side}"].to_numpy()
+    return out
+
+
+def _prefixes(batches, shared, least: float):
+    """(w, mid, n, i, s0, ...): the first tokens of each set (side, mid, h) by (slot's count, token) and their places i from 1, without those
+    whose slot is empty on the other side; s: the set folded to FOLDS longs: each token flips one bit. Common tokens cancel out, so two
+    sets' folds differ in no more bits than the sets do in tokens."""
+    counts = shared.value
+    both = counts.sum(0)
+    for batch in batches:
+        h, side = batch.column("h"), batch.column("side").to_numpy()
+        n = h.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        w, row = h.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+        folds = np.zeros((len(n), FOLDS), np.int64)
+        np.bitwise_xor.at(folds, (row, w & (FOLDS - 1)), np.left_shift(np.int64(1), (w >> 8) & 63))
+        order = np.lexsort((w, both[w & (SLOTS - 1)], row))
+        w = w[order]
+        place = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n) + 1
+        most = n - np.maximum(np.ceil(n * least - 1e-9), 1).astype(np.int64) + 1
+        keep = (place <= most[row]) & (counts[1 - side[row], w & (SLOTS - 1)] > 0)
+        row = row[keep]
+        columns = [pa.array(w[keep]), batch.column("mid").take(pa.array(row)), pa.array(n[row].astype(np.int32)), pa.array(place[keep].astype(np.int32)), *(pa.array(folds[row, i]) for i in range(FOLDS))]
+        yield pa.RecordBatch.from_arrays(columns, ["w", "mid", "n", "i", *(f"s{i}" for i in range(FOLDS))])
 
 
 def _by_token(new: DataFrame, old: DataFrame, least: float) -> DataFrame:
     """(a, b) of token sets that may share `least` of their union: they meet on one of the first n - ceil(least * n) + 1 tokens of
     both, rare ones first, that leaves enough places after it.
 
-    Tokens are 64-bit hashes here, written once to the shared folder. Those that meet by chance have folds (see _folded) that differ in
-    too many bits: they go inside the join, so the pairs that leave it are nearly all similar, and only these are shuffled.
+    Tokens are 64-bit hashes here, written once to the shared folder. How rare a token is comes from a table of SLOTS counts that each task
+    gets, so sets are ordered where they are read: only their first tokens are shuffled, and of these only those that the other side may have.
+    Sets that meet by chance have folds (see _prefixes) that differ in too many bits: they go inside the join, so the pairs that leave it are
+    nearly all similar, and only these are shuffled.
     """
-    whole = [df.select(F.lit(i).alias("side"), "mid", F.size("tokens").alias("n"), F.transform("tokens", lambda w: F.xxhash64(w)).alias("h")) for i, df in enumerate((new, old))]
-    rows = stored(whole[0].unionByName(whole[1]), "hashes").select("side", "mid", "n", F.xxhash64(F.array_sort("h")).alias("k"), F.explode("h").alias("w"))
-    common = rows.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    whole = [df.select(F.lit(i).alias("side"), "mid", F.transform("tokens", lambda w: F.xxhash64(w)).alias("h")) for i, df in enumerate((new, old))]
+    rows = stored(whole[0].unionByName(whole[1]), "hashes")
+    shared = rows.sparkSession.sparkContext.broadcast(_slots(rows))
+    folds = [f"s{i}" for i in range(FOLDS)]
+    schema = f"w long, mid {rows.schema['mid'].dataType.simpleString()}, n int, i int, " + ", ".join(f"{s} long" for s in folds)
 
     def first(side: int, key: str) -> DataFrame:
-        order = F.array_sort(F.collect_set(F.struct("df", "w")))
-        size = (F.col("n") - F.greatest(F.ceil(F.col("n") * least - 1e-9), F.lit(1)) + 1).cast("int")
-        kept = rows.where(F.col("side") == side).join(common, "w").groupBy("mid", "n", "k").agg(order.alias("o"), *_folded(F.col("w")))
-        cut = kept.select("mid", "n", *(f"s{i}" for i in range(FOLDS)), F.posexplode(F.slice("o", F.lit(1), size)).alias("i", "x"))
-        return cut.select("x.w", F.col("mid").alias(key), F.col("n").alias(f"n_{key}"), (F.col("i") + 1).alias(f"i_{key}"), *(F.col(f"s{i}").alias(f"s{i}_{key}") for i in range(FOLDS)))
+        cut = rows.where(F.col("side") == side).mapInArrow(partial(_prefixes, shared=shared, least=least), schema)
+        return cut.select("w", F.col("mid").alias(key), *(F.col(c).alias(f"{c}_{key}") for c in ("n", "i", *folds)))
 
     need = _need(least, "union", F.col("n_a"), F.col("n_b"))
-    bits = [F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(FOLDS)]
-    near = F.coalesce(sum(bits[1:], bits[0]) <= F.col("n_a") + F.col("n_b") - 2 * need, F.lit(True))
+    bits = [F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in folds]
+    near = sum(bits[1:], bits[0]) <= F.col("n_a") + F.col("n_b") - 2 * need
     met = first(0, "a").join(first(1, "b"), "w").where((F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) + 1 >= need) & near)
     return met.select("a", "b").distinct()
 
@@ -211,13 +240,16 @@ _SIDE = ("content", "created_s", "confidence", "ownership", "importance", "score
 def paired(new: DataFrame, old: DataFrame, links: DataFrame, tokens, least: float, of: str = "union", small: int = 0) -> DataFrame:
     """Pairs of new and old records that share an entity and may share `least` of their tokens (see token_pairs), or of which a
     record of fewer than `small` tokens lies in the other's text; with both sides' columns (n_*, o_*) and token sets, made once
-    for each record."""
+    for each record. The pairs are written once to the shared folder."""
     sides = [df.select("mid", *_SIDE, tokens(F.col("content")).alias("tokens")) for df in (new, old)]
     pairs = token_pairs(sides[0].select("mid", "tokens"), sides[1].select("mid", "tokens"), links, least, of)
     if small:
         few = [x.where(F.size("tokens") < small).select("mid", "content") for x in sides]
         inside = [contained_pairs(few[0], old, links).toDF("a", "b"), contained_pairs(few[1], new, links).toDF("b", "a")]
         pairs = pairs.unionByName(inside[0]).unionByName(inside[1]).distinct()
+    pairs = stored(pairs, "pairs")
+    if pairs.count() <= SHORT:  # records without a pair stay where they are
+        sides = [df.join(F.broadcast(pairs.select(F.col(k).alias("mid")).distinct()), "mid", "left_semi") for df, k in zip(sides, "ab", strict=True)]
     side = lambda df, p, k: df.select(F.col("mid").alias(k), *(F.col(c).alias(p + c) for c in (*_SIDE, "tokens")))
     return pairs.join(side(sides[0], "n_", "a"), "a").join(side(sides[1], "o_", "b"), "b")
 
@@ -245,14 +277,14 @@ def apply_decisions(old: DataFrame, new: DataFrame, decisions: DataFrame) -> Dat
 def _block_rows(records: DataFrame, links: DataFrame, tokens: Column, flag: Column) -> DataFrame:
     """Records with an entity, as blocks take them: mid, ord, flag, tokens and entities (ids as rows have them, absent orders first)."""
     names = links.groupBy("mid").agg(F.collect_set("entity").alias("names"))
-    rows = records.select("mid", F.coalesce(F.col("ord").cast("long"), F.lit(-(1 << 63))).alias("ord"), flag.cast("int").alias("flag"), tokens.alias("tokens"))
-    return rows.join(names, "mid")
+    rows = records.join(names, "mid")  # tokens come after: the text is less to shuffle
+    return rows.select("mid", F.coalesce(F.col("ord").cast("long"), F.lit(-(1 << 63))).alias("ord"), flag.cast("int").alias("flag"), tokens.alias("tokens"), "names")
 
 
 def _in_blocks(new: DataFrame, old: DataFrame, judge, schema: str, name: str) -> DataFrame:
     """What judge gives for all blocks of new and old records (as _block_rows has them), written once to the shared folder."""
     new, old = stored(new, f"{name}-new"), stored(old, f"{name}-old")
-    sizes = blocks.side_of(new.count(), 16384), blocks.side_of(old.count(), 32768)
+    sizes = blocks.sides_of((new.count(), old.count()), (16384, 32768))
     return stored(blocks.grid(new, old, sizes, "mid", judge, schema), name)
 
 

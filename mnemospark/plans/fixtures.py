@@ -69,18 +69,18 @@ def memx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(edits, ["session_id", "source_turn"], "left").withColumn("content", F.coalesce(edited, "content")).select(*m.columns)
 
 
-def _names(memories: DataFrame) -> DataFrame:
+def names(memories: DataFrame) -> DataFrame:
     from ..operators.entities import links
 
     return links(memories, F.regexp_extract_all("content", F.lit("[A-Z][a-z]+"), F.lit(0)))
 
 
 def ent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _names(mem(spark, sf_dir))
+    return names(mem(spark, sf_dir))
 
 
 def entx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _names(memx(spark, sf_dir))
+    return names(memx(spark, sf_dir))
 
 
 def mem_new(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,17 +34,18 @@ def consolidate(memories: DataFrame, segments: DataFrame, links: DataFrame, impo
     stored ones, verify new beliefs against stored and new facts (X02), summaries and profiles (4), decay with access
     protection and archive (5), indexes and stale scan (6), snapshot and rankings (7).
 
-    The reconciled records are written once to the shared folder; all results derive from them. records: (mid, mtype, content, importance, score, confidence, created_s, state, stale,
+    The links, the extracted and the reconciled records are written once to the shared folder; all results derive from them. memories and
+    segments are read several times. records: (mid, mtype, content, importance, score, confidence, created_s, state, stale,
     stale_days); state 1 is archived, 2 expired.
     """
     expired, valid = curate.split_expired(memories, as_of_s)
-    new = extract(segments.where(F.length(F.trim("content")) > 5), importance, identity).withColumn("ord", F.col("mid"))
+    links = stored(links.select("mid", "entity"), "links")
+    new = stored(extract(segments.where(F.length(F.trim("content")) > 5), importance, identity).withColumn("ord", F.col("mid")), "extracted")
     decisions = curate.decide(new, valid, links, threshold, words)
     kept = ["mid", "mtype", "content", "importance", "score", "confidence", "created_s", "last_accessed_s"]
     fresh = new.withColumn("last_accessed_s", F.lit(None).cast("long"))
-    current = curate.apply_decisions(valid.select(kept), fresh, decisions)
     verdicts = curate.verify_beliefs(new.where("mtype = 'belief'"), known_facts(valid, new), links, negations)
-    current = stored(settle(current, verdicts), "consolidated")
+    current = stored(curate.apply_decisions(valid.select(kept), settle(fresh, verdicts), decisions), "consolidated")
     decayed = current.withColumn("score", R.protected_decay(F.col("score"), F.col("importance"), F.col("mtype"), F.col("last_accessed_s"), F.lit(as_of_s)))
     keep, gone = curate.split_archive(decayed, least)
     active = curate.stale_scan(keep.withColumn("last_verified_s", F.lit(None).cast("long")), as_of_s, stale_days).drop("last_verified_s")
@@ -64,7 +65,7 @@ def known_facts(valid: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def settle(current: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Confirmed beliefs become facts, contradicted ones lose confidence."""
+    """New records, once verified: confirmed beliefs become facts, contradicted ones lose confidence."""
     v = verdicts.select("mid", "verdict", F.col("confidence").alias("_c"))
     out = current.join(v, "mid", "left").withColumn("confidence", F.coalesce("_c", "confidence"))
     return out.withColumn("mtype", F.when(F.col("verdict") == "confirmed", "fact").otherwise(F.col("mtype"))).select(current.columns)

@@ -530,9 +530,11 @@ C1 = f"{EX}, {NW}, " + DEC.replace("mem_new", "nw").replace("mem_old", "ve") + f
 
 
 def consolidated(s, d):
-    m = X.memx(s, d).withColumn("ord", C("mid"))
+    from ..sources import io
+
+    m = io.stored(X.memx(s, d).withColumn("ord", C("mid")), "memx")
     stored, seg = m.where("session_id % 5 <> 0"), m.where("session_id % 5 = 0")
-    return jobs.consolidate(stored, seg, X.entx(s, d), imp(), LIT(False), AS, NEG, NEG, stale_days=20)
+    return jobs.consolidate(stored, seg, X.names(m), imp(), LIT(False), AS, NEG, NEG, stale_days=20)
 
 
 @q("c01_consolidate", f"{C1} SELECT mid, mtype, content, round(confidence, 6) AS confidence, round(score, 6) AS score, CASE WHEN score < CAST(0.05 AS DOUBLE) THEN 1 ELSE 0 END AS state, CASE WHEN score >= CAST(0.05 AS DOUBLE) THEN {AGE} > 20 END AS stale FROM de UNION ALL SELECT mid, mtype, content, round(confidence, 6), round(score, 6), 2, NULL FROM mem_old WHERE mid NOT IN (SELECT mid FROM ve)")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import rules as R
 from mnemospark.functions import text as T
-from mnemospark.operators import clean, curate, report, search, temporal
+from mnemospark.operators import blocks, clean, curate, report, search, temporal
 from mnemospark.plans import fixtures as X
 from mnemospark.plans import record_queries
 from mnemospark.plans.rule_queries import Q
@@ -48,6 +48,29 @@ def test_an_entity_in_every_record_makes_few_pairs(spark, of, least):
     assert n < 0.3 * 80 * 80
 
 
+def test_tokens_of_one_side_are_not_shuffled(spark):
+    """Of sets with many tokens of their own only the common ones reach the join."""
+    df = lambda side: spark.createDataFrame([(i + side, [f"own{side}-{i}-{j}" for j in range(20)] + ["common"]) for i in range(1, 31)], "mid long, tokens array<string>")
+    pairs = curate._by_token(df(0), df(100), 0.02)
+    assert pairs.count() == 900
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_blocks_deal_few_rows():
+    for rows in ((5000, 50_000), (50_000, 5000), (11_000, 110_000), (66_000, 660_000), (0, 0), (1, 10**6)):
+        i, j = blocks.sides_of(rows, (16384, 32768))
+        assert rows[0] <= 16384 * i and rows[1] <= 32768 * j
+        assert i * rows[1] + j * rows[0] <= 8 * sum(rows) or i * j <= 5 * 21  # fewer than eight by eight
+    assert blocks.sides_of((5000, 50_000), (16384, 32768)) == (1, 16)
+
+
+def test_consolidation_makes_its_input_once(spark):
+    """What is derived reads stored tables; the conversations are read and joined once, before."""
+    for name in ("c01_derived", "c01_consolidate"):
+        assert "conversations.parquet" not in Q[name](spark, D)._jdf.queryExecution().optimizedPlan().toString() + str(Q[name](spark, D).inputFiles())
+
+
 def test_tokens_that_meet_by_chance_make_few_pairs(spark):
     """Half of a small vocabulary each: nearly all share a first token and nearly none are similar. Repeated rows lose no pair."""
     r = random.Random(5)
