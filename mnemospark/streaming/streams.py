@@ -1,10 +1,14 @@
 """Streaming forms (ST1-ST6). Times are event times in a timestamp column `ts`."""
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.rules import urgency
 from ..plans import jobs
@@ -158,61 +162,65 @@ def rocksdb(spark: SparkSession) -> None:
 # --- ST5 and ST6 --------------------------------------------------------------------------------------------------------
 
 
-class Sessions(StatefulProcessor):
-    """A user's open sessions: start, end, number of events and the last few of them. A session closes when the watermark passes
-    its end; an event joins those that its own gap reaches, and may unite two."""
-
-    def __init__(self, gap_us: int, last: int) -> None:
-        self.gap_us, self.last = gap_us, last
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", "start_us long, end_us long, n long, ts array<long>, ids array<long>")
-
-    def _latest(self, events: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        return sorted(events, reverse=True)[: self.last]
-
-    def _keep(self, sessions: list[tuple]) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if not sessions:
-            self.open.clear()
-            return
-        self.open.put([(s, e, n, [x for x, _ in events], [i for _, i in events]) for s, e, n, events in sessions])
-        self.handle.registerTimer(-(-min(e for _, e, _, _ in sessions) // 1000))
-
-    def _known(self) -> list[tuple]:
-        return [(s, e, n, list(zip(ts, ids, strict=True))) for s, e, n, ts, ids in self.open.get()] if self.open.exists() else []
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        sessions = self._known()
-        for r in rows:
-            new = (r["ts_us"], r["ts_us"] + self.gap_us, 1, [(r["ts_us"], r["event_id"])])
-            near = [x for x in sessions if x[0] < new[1] and new[0] < x[1]]
-            sessions = [x for x in sessions if x not in near]
-            events = self._latest([e for x in (*near, new) for e in x[3]])
-            sessions.append((min(x[0] for x in (*near, new)), max(x[1] for x in (*near, new)), sum(x[2] for x in (*near, new)), events))
-        self._keep(sessions)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        sessions = self._known()
-        done = [x for x in sessions if x[1] <= now]
-        self._keep([x for x in sessions if x[1] > now])
-        for start, end, n, events in sorted(done):
-            yield Row(user_id=key[0], start_us=start, end_us=end, n=n, last=",".join(str(i) for _, i in events))
-
-    def close(self) -> None:
-        pass
-
-
-def intents(messages: DataFrame, gap_s: int = 1800, delay: str = "30 minutes", last: int = 10) -> DataFrame:
+def _joined(sessions: list[np.ndarray], user: np.ndarray, ts: np.ndarray, ids: np.ndarray, gap_us: int, last: int) -> list[np.ndarray]:
+    """Sessions (user, start, end, n, number of kept events, and these events' times and ids, in order of sessions) with further events: each
+    joins its user's sessions that its own gap reaches, and may unite two. A session keeps its last few events."""
+    who, start, end, n, kept, old_ts, old_ids = sessions
+    who, start, end, n = np.concatenate([who, user]), np.concatenate([start, ts]), np.concatenate([end, ts + gap_us]), np.concatenate([n, np.ones_like(ts)])
+    own = np.concatenate([np.repeat(np.arange(len(kept)), kept), len(kept) + np.arange(len(ts))])
+    ts, ids = np.concatenate([old_ts, ts]), np.concatenate([old_ids, ids])
+    order = np.lexsort((start, who))
+    who, start, end, n = who[order], start[order], end[order], n[order]
+    other = np.concatenate([[True], who[1:] != who[:-1]])
+    # Times as ranks, a range of them for each user, so one running maximum serves all.
+    place = np.unique(np.concatenate([start, end]), return_inverse=True)[1] + np.tile(np.cumsum(other) * (2 * len(start)), 2)
+    first = other | np.concatenate([[True], place[1 : len(start)] >= np.maximum.accumulate(place[len(start) :])[:-1]])
+    at, group = np.flatnonzero(first), np.empty(len(start), np.int64)
+    group[order] = np.cumsum(first) - 1
+    event = group[own]
+    latest = np.lexsort((-ids, -ts, event))
+    event, ts, ids = event[latest], ts[latest], ids[latest]
+    keep = np.arange(len(event)) - np.searchsorted(event, event) < last
+    return [who[at], start[at], np.maximum.reduceat(end, at), np.add.reduceat(n, at), np.bincount(event[keep], minlength=len(at)), ts[keep], ids[keep]]
+
+
+def _closed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, gap_us: int, last: int) -> Iterator[pd.DataFrame]:
+    """The events that a batch has of a group of users join the open sessions in state; those whose end the watermark has passed are given
+    and forgotten."""
+    sessions = [np.array(x, np.int64) for x in (state.get if state.exists else ((),) * 7)]
+    if not state.hasTimedOut:
+        for f in frames:
+            if len(f):
+                sessions = _joined(sessions, *(f[c].to_numpy() for c in ("user", "ts_us", "event_id")), gap_us, last)
+    user, start, end, n, kept, ts, ids = sessions
+    over = end <= state.getCurrentWatermarkMs() * 1000
+    if over.all():
+        state.remove()
+    else:
+        event = ~np.repeat(over, kept)
+        state.update(tuple(x.tolist() for x in (user[~over], start[~over], end[~over], n[~over], kept[~over], ts[event], ids[event])))
+        state.setTimeoutTimestamp(int(-(-end[~over].min() // 1000)) - 1)  # a time-out comes once the watermark is past it
+    if over.any():
+        bounds = np.concatenate([[0], np.cumsum(kept)])
+        names = list(map(str, ids.tolist()))
+        texts = [",".join(names[bounds[i] : bounds[i + 1]]) for i in np.flatnonzero(over)]
+        yield pd.DataFrame({"user_id": [None] * len(texts) if key[0] < 0 else user[over], "start_us": start[over], "end_us": end[over], "n": n[over], "last": texts})
+
+
+def intents(messages: DataFrame, gap_s: int = 1800, delay: str = "30 minutes", last: int = 10, groups: int = 1024) -> DataFrame:
     """ST5: closed sessions of a user's events (user_id, ts, event_id) by a gap: start_us, end_us, n and the last few ids, newest
-    first. Only these ids are kept in state, however long a session is. Append mode; needs the RocksDB state store."""
-    rows = messages.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("ts_us")).withWatermark("ts", delay)
+    first. Only these ids are kept in state, however long a session is. Append mode.
+
+    State is kept for groups of users (by hash), as flat lists that come and go with the events, so a batch costs one call for each group and
+    none for a user or session. A task holds one group's open sessions: more groups make them smaller.
+    """
+    group = F.when(F.col("user_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(groups)))
+    user = F.coalesce(F.col("user_id").cast("long"), F.lit(0))
+    rows = messages.select(group.cast("int").alias("group"), user.alias("user"), "event_id", "ts", F.unix_micros("ts").alias("ts_us")).withWatermark("ts", delay)
     kind = "user_id long, start_us long, end_us long, n long, last string"
-    return rows.groupBy("user_id").transformWithState(Sessions(gap_s * 1_000_000, last), kind, "append", "eventTime")
+    state = ", ".join(f"{c} array<long>" for c in ("user", "start_us", "end_us", "n", "kept", "ts_us", "ids"))
+    closed = partial(_closed, gap_us=gap_s * 1_000_000, last=last)
+    return rows.groupBy("group").applyInPandasWithState(closed, kind, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def look_back(messages: DataFrame, size: str = "24 hours", slide: str = "1 hour", delay: str = "24 hours") -> DataFrame:

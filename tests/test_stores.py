@@ -3,7 +3,9 @@
 import itertools
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +120,21 @@ def test_sessions_keep_ten_ids_and_close_by_the_watermark(spark):
     assert sorted(map(tuple, out)) == sorted(want)
 
 
+def test_many_open_sessions_join_at_once():
+    """20,000 events of two users, a session each, then one user's as many that unite them: no step for each pair of sessions."""
+    none = [np.zeros(0, np.int64)] * 7
+    ts = np.arange(20_000) * 1000
+    began = time.time()
+    apart = none
+    for user in (7, 3):
+        apart = streams._joined(apart, np.full_like(ts, user), np.random.default_rng(user).permutation(ts), np.zeros_like(ts), 1000, 3)
+    one = streams._joined(apart, np.full_like(ts, 3), ts + 500, np.ones_like(ts), 1000, 3)
+    assert time.time() - began < 5
+    assert len(apart[0]) == 40_000 and len(one[0]) == 20_001 and [x[0] for x in one[:5]] == [3, 0, 20_000_500, 40_000, 3]
+    assert (one[5][:3].tolist(), one[6][:3].tolist()) == ([19_999_500, 19_999_000, 19_998_500], [1, 0, 1])
+    assert all((a[1:] == b[20_000:]).all() for a, b in zip(one[:5], apart[:5], strict=True))
+
+
 def test_a_message_that_comes_again_in_a_later_file_is_dropped(spark):
     rows = [[(1, "a", 100), (2, "b", 110)], [(1, "a", 100), (3, "c", 4000)], [(2, "b", 110), (4, "d", 90_000)], [(5, "late", 1), (4, "d", 90_000)]]
     src = file_stream(spark, rows, "id long, content string, s long")
