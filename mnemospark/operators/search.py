@@ -80,11 +80,11 @@ def entity_channel(found: DataFrame, links: DataFrame, most: int | None = None)
 def pending_channel(queries: DataFrame, pending: DataFrame) -> DataFrame:
     """Pending rows (mid, content, importance) that contain query words; score is importance, match the share of the words.
 
-    Substrings of the rows' distinct tokens, up to the longest query word, meet the query words in an equi join.
+    Substrings of the rows' distinct tokens, up to the longest query word, meet the query words in an equi join. The words that a row has go
+    into one list, written once to the shared folder; rows and queries meet in blocks, so no row for each query and record is shuffled.
     """
     words = queries.select("qid", F.array_distinct(extract_all(F.lower("query"), "[\\x{4e00}-\\x{9fa5}]+|[a-zA-Z]+")).alias("w")).where(F.size("w") > 0)
-    inverted = words.select("qid", F.size("w").alias("n"), F.explode("w").alias("word"))
-    vocabulary = inverted.select("word").distinct()
+    vocabulary = words.select(F.explode("w").alias("word")).distinct()
     tokens = pending.select(F.explode(F.array_distinct(F.split(F.lower("content"), r"\s+"))).alias("t")).distinct()
     # A word lies in a content if and only if it lies in one of its tokens (words hold no space).
     longest = vocabulary.agg(F.max(F.length("word"))).first()[0] or 0
@@ -92,8 +92,25 @@ def pending_channel(queries: DataFrame, pending: DataFrame) -> DataFrame:
     grams = tokens.where((F.length("t") > 0) & F.lit(longest > 0)).select("t", F.explode(F.array_distinct(F.flatten(parts))).alias("word"))
     pairs = grams.join(vocabulary, "word").select("t", "word")
     rows = pending.select("mid", "importance", F.explode(F.array_distinct(F.split(F.lower("content"), r"\s+"))).alias("t"))
-    hits = rows.join(pairs, "t").select("mid", "importance", "word").distinct().join(inverted, "word")
-    return hits.groupBy("qid", "mid").agg(F.first("importance").alias("score"), (F.count(F.lit(1)) / F.first("n")).alias("match"))
+    hits = rows.join(pairs, "t").groupBy(F.col("mid").cast("long").alias("id"), F.col("importance").cast("double").alias("score")).agg(F.collect_set("word").alias("w"))
+    hits = stored(hits, "words")
+    asked = words.select(F.col("qid").cast("long").alias("id"), F.lit(None).cast("double").alias("score"), "w")
+    sizes = blocks.sides_of((asked.count(), hits.count()), (256, 8192))
+    met = blocks.grid(asked, hits, sizes, "id", _matches, "qid long, mid long, score double, match double")
+    own = lambda df, c: F.col(c).cast(df.schema[c].dataType)
+    return met.select(own(queries, "qid"), own(pending, "mid"), "score", "match")
+
+
+def _matches(asked: pa.Table, hits: pa.Table) -> pa.Table:
+    """J04 for two blocks: queries and rows that have words in common, with the share of the query's words."""
+    words = blocks.Sets(asked["w"], hits["w"])
+    n, out = asked["w"].combine_chunks().value_lengths().to_numpy(), []
+    for low, high in blocks.tiles(words.na, words.nb):
+        common = words.common(low, high)
+        row, at = np.nonzero(common)
+        out.append((low + row, at, common[row, at].astype(np.float64) / n[low + row]))
+    row, at, match = map(np.concatenate, zip(*out, strict=True))
+    return pa.table({"qid": asked["id"].take(row), "mid": hits["id"].take(at), "score": hits["score"].take(at), "match": match})
 
 
 def external_channel(hits: DataFrame, memories: DataFrame) -> DataFrame:

@@ -80,3 +80,11 @@ def test_routers_search_pending_rows(spark):
     n = {r.qid: r.pending for r in Q["g08_route_stats"](spark, D).collect()}
     alone = {r.qid: r["count"] for r in Q["j04_pending_search"](spark, D).groupBy("qid").count().collect()}
     assert n and any(n.values()) and all(v in (0, alone.get(q, 0)) for q, v in n.items())
+
+
+def test_pending_rows_meet_queries_without_a_shuffle_of_pairs(spark):
+    """Rows and queries meet in blocks: above them nothing is grouped or joined, and each pair comes once."""
+    found = Q["j04_pending_search"](spark, D)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and not any(x in plan.partition("FlatMapGroupsInArrow")[0] for x in ("Aggregate", "Join"))
+    assert found.count() == found.select("qid", "mid").distinct().count() > 0
