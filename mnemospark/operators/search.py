@@ -92,7 +92,8 @@ def pending_channel(queries: DataFrame, pending: DataFrame) -> DataFrame:
     grams = tokens.where((F.length("t") > 0) & F.lit(longest > 0)).select("t", F.explode(F.array_distinct(F.flatten(parts))).alias("word"))
     pairs = grams.join(vocabulary, "word").select("t", "word")
     rows = pending.select("mid", "importance", F.explode(F.array_distinct(F.split(F.lower("content"), r"\s+"))).alias("t"))
-    hits = rows.join(pairs, "t").groupBy(F.col("mid").cast("long").alias("id"), F.col("importance").cast("double").alias("score")).agg(F.collect_set("word").alias("w"))
+    known = pairs.groupBy("t").agg(F.collect_set("word").alias("w"))  # a token's words are one row of the join, however many they are
+    hits = rows.join(known, "t").groupBy(F.col("mid").cast("long").alias("id"), F.col("importance").cast("double").alias("score")).agg(F.array_distinct(F.flatten(F.collect_set("w"))).alias("w"))
     hits = stored(hits, "words")
     asked = words.select(F.col("qid").cast("long").alias("id"), F.lit(None).cast("double").alias("score"), "w")
     sizes = blocks.sides_of((asked.count(), hits.count()), (256, 8192))
