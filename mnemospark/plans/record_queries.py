@@ -90,8 +90,9 @@ def e09(s, d):
 
 @q("j09_similar_entities", f"{SIMSET} SELECT q, e, round(similarity, 6) AS similarity FROM sim WHERE similarity >= CAST(0.5 AS DOUBLE)")
 def j09(s, d):
-    e = X.ent(s, d).select("entity").distinct()
-    return entities.similar_pairs(e.select(C("entity").alias("q")), e.select(C("entity").alias("e"))).select("q", "e", F.round("similarity", 6).alias("similarity"))
+    names = X.ent(s, d).select(C("entity").alias("q")).distinct()
+    # Halves go up as in round, which makes a decimal of each of very many rows.
+    return entities.similar_pairs(names).select("q", "e", (F.floor(C("similarity") * 1e6 + 0.5) / 1e6).alias("similarity"))
 
 
 QE = "qe AS (SELECT DISTINCT qid, e AS q FROM (SELECT qid, unnest(regexp_extract_all(query, '[A-Z][a-z]+')) AS e FROM qry) WHERE length(e) > 1)"

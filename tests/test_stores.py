@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -379,6 +380,32 @@ def test_like_names_are_all_found(spark, threshold):
     assert sorted((x["q"], x["e"], round(x["similarity"], 9)) for x in got.collect()) == sorted((x["q"], x["e"], round(x["s"], 9)) for x in pairs.collect())
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.55, 0.8])
+def test_names_of_one_table_meet_once_in_blocks(spark, monkeypatch, threshold):
+    """Both directions of every like pair, with the similarity that the column function has, from words of 8 to 64 bits and beyond."""
+    monkeypatch.setattr(entities.blocks, "side_of", lambda n, most: 3)
+    r = random.Random(5)
+    names = {"".join(r.choice("abé日😀") for _ in range(r.choice([1, 2, 5, 8, 9, 16, 17, 20, 32, 33, 64]))) for _ in range(120)}
+    names |= {x + y for x in sorted(names)[::3] for y in ("a", "ab")} | {"b" + x for x in sorted(names)[::5]} | {"", "ab" * 33, "ab" * 33 + "b", "ab" * 31}
+    df = lambda c: spark.createDataFrame([(x,) for x in sorted(names)], f"{c} string")
+    whole = df("q").crossJoin(df("e")).where("q <> e AND q <> '' AND e <> ''").withColumn("similarity", entity_similarity(F.col("q"), F.col("e")))
+    want = sorted(map(tuple, whole.where(F.col("similarity") >= threshold).collect()))
+    assert want and sorted(map(tuple, entities.similar_pairs(df("q"), threshold=threshold).collect())) == want
+    assert sorted(map(tuple, entities.similar_pairs(df("q"), df("e"), threshold).collect())) == want
+
+
+def test_like_names_are_neither_written_nor_judged_twice(spark, monkeypatch):
+    """Only the names go to the shared folder: the pairs, of which there are very many, leave as the result."""
+    made, names = [], X.ent(spark, D).select(F.col("entity").alias("q")).distinct()
+    monkeypatch.setattr(entities, "stored", lambda df, name: made.append(name) or io.stored(df, name))
+    both = entities.similar_pairs(names, names.withColumnRenamed("q", "e")).count()
+    assert made == ["queries", "names"]
+    assert entities.similar_pairs(names).count() == both > 0 and made == ["queries", "names", "queries"]
+    judged = lambda left, right: iter([pa.record_batch([pa.array([left.num_rows * (left.num_rows - 1) // 2 if right is None else left.num_rows * right.num_rows])], ["n"])])
+    n = names.count()
+    assert entities.blocks.own_pairs(names, 4, "q", judged, "n long").agg(F.sum("n")).first()[0] == n * (n - 1) // 2
+
+
 def test_vector_channel_meets_in_blocks_with_many_copies(spark):
     """Exact with ties by mid, and without a nested loop over all pairs."""
     _, df = some_vectors(spark, 300)
